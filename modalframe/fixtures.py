@@ -70,7 +70,7 @@ SELECT CAST(floor(user_id / 30) AS BIGINT) AS dataset_id, CAST(user_id % 6 AS IN
        CAST(CASE WHEN user_id % 6 = 4 THEN -2 ELSE user_id % 6 % 3 + 1 END AS INT) AS rsp_dir,
        CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 2 END AS ref_node, 3 AS ref_dir,
        CAST((day(ts) - 1) * 2 + floor(hour(ts) / 12) AS INT) AS line,
-       least(1e0, 0.6e0 + 0.4e0 * avg(value) / 120e0) AS coh FROM events WHERE user_id % 6 <> 5 GROUP BY 1, 2, 3, 4, 5, 6""",
+       least(1e0, 0.6e0 + 0.4e0 * avg(value) / 117.3e0) AS coh FROM events WHERE user_id % 6 <> 5 GROUP BY 1, 2, 3, 4, 5, 6""",
     "fx_states": """
 SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS family_id, p_partkey AS term_id, 'P' AS parameter, side, pv AS value,
        1e0 AS p0, p_retailprice AS f0,

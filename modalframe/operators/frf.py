@@ -9,12 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modalframe.functions.cplx import abs2
 from modalframe.functions.reasons import reason_array
 from modalframe.operators.ordered import islands, log_bin, top_rows, with_order
 
 AXIS = ["dataset_id", "ref_node", "ref_dir"]
+PEAKS = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("prominence", T.DoubleType())]))
+EIGENPAIRS = T.ArrayType(T.StructType([T.StructField("sigma", T.DoubleType()), T.StructField("vr", T.ArrayType(T.DoubleType())),
+                                       T.StructField("vi", T.ArrayType(T.DoubleType()))]))
 CHANNEL = ["dataset_id", "rsp_node", "rsp_dir", "ref_node", "ref_dir"]
 
 
@@ -173,7 +177,7 @@ def reference_gram(lines: DataFrame) -> DataFrame:
         F.sum(F.col("ar") * F.col("bi") - F.col("ai") * F.col("br")).alias("gi"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _gram_singular_values(i: pd.Series, j: pd.Series, gr: pd.Series, gi: pd.Series) -> pd.Series:
     """Singular values (descending) from the upper-triangle Gram entries of one line; a handful of references each."""
     out = []
@@ -270,7 +274,7 @@ def local_peaks(y: np.ndarray, distance: int, prominence: float) -> tuple[np.nda
     return peaks[keep], prom[keep]
 
 
-@F.pandas_udf("array<struct<idx:int,prominence:double>>")
+@F.pandas_udf(PEAKS)
 def _axis_peaks(values: pd.Series) -> pd.Series:
     out = []
     for v in values:
@@ -405,7 +409,7 @@ def band_lines(bands: DataFrame, lines: DataFrame, coherence: DataFrame | None =
     return rows.select(*chan, "line", "f_hz", (F.col("_re") / scale).alias("re"), (F.col("_im") / scale).alias("im"))
 
 
-@F.pandas_udf("array<struct<sigma:double,vr:array<double>,vi:array<double>>>")
+@F.pandas_udf(EIGENPAIRS)
 def _band_modes(size: pd.Series, i: pd.Series, j: pd.Series, gr: pd.Series, gi: pd.Series, wanted: pd.Series) -> pd.Series:
     """Leading eigenpairs of each band's snapshot Gram (columns x columns)."""
     out = []
