@@ -30,7 +30,12 @@ def finite(*cols) -> Column:
     return out
 
 
+def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """Clip that keeps NULL (``least`` / ``greatest`` skip NULL arguments)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+
+
 def mac_value(xr, xi, na, nb) -> Column:
     """Squared correlation of two shapes from their four sums; NULL without energy, clipped to [0, 1]."""
     value = abs2(xr, xi) / F.when((na > TINY) & (nb > TINY), na * nb)
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    return clip(value)

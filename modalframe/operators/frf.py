@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modalframe.functions.cplx import abs2
+from modalframe.functions.cplx import abs2, clip
 from modalframe.functions.reasons import reason_array
 from modalframe.operators.ordered import islands, log_bin, top_rows, with_order
 
@@ -110,7 +110,7 @@ def resolve_duplicates(chans: DataFrame, rtol: float = 1e-6, atol: float = 1e-9)
 
 def attach_coherence(frf: DataFrame, coh: DataFrame) -> DataFrame:
     """Join coherence channels on reference, response and the same axis (sample by sample within 1e-8 / 1e-10)."""
-    c = coh.select(*CHANNEL, F.col("x").alias("cx"), F.transform("coh", lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).alias("coh"))
+    c = coh.select(*CHANNEL, F.col("x").alias("cx"), F.transform("coh", lambda v: clip(v)).alias("coh"))
     same = (F.size("x") == F.size("cx")) & (F.size("x") == F.size("coh")) & F.forall(
         F.zip_with("x", "cx", lambda a, b: F.abs(b - a) <= F.lit(1e-10) + F.lit(1e-8) * F.abs(a)), lambda v: v)
     out = frf.join(c, CHANNEL, "left")
@@ -299,7 +299,7 @@ def rank_peaks(peaks: DataFrame, keep: int = 40) -> DataFrame:
     """Score = prominence + 0.25 coherence + 0.15 normalised amplitude; the best 40 of each axis, numbered by line."""
     rng = peaks.groupBy(*AXIS).agg(F.min("smoothed").alias("_lo"), F.max("smoothed").alias("_hi"))
     amp = (F.col("smoothed") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))
-    coh = F.least(F.greatest(F.coalesce("coherence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    coh = clip(F.coalesce("coherence", F.lit(0.0)))
     scored = peaks.join(rng, AXIS).withColumn("score", F.col("prominence") + 0.25 * coh + 0.15 * amp).drop("_lo", "_hi")
     best = top_rows(scored, AXIS, [F.desc("score"), F.desc("line")], keep)
     return best.withColumn("peak_no", F.row_number().over(Window.partitionBy(*AXIS).orderBy("line")))
@@ -480,7 +480,7 @@ def peak_confidence(modes: DataFrame) -> DataFrame:
              .when(coh.isNull() & (F.col("coherence_status") == "parse_error"), "Peak-derived (coherence parse error)")
              .when(coh.isNull(), "Peak-derived (coherence unavailable)").when(coh >= 0.90, "High peak confidence")
              .when(coh >= 0.70, "Medium peak confidence").otherwise("Peak-derived"))
-    score = F.when(F.col("dataset_type") == 58, F.least(F.greatest(F.coalesce(coh, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+    score = F.when(F.col("dataset_type") == 58, clip(F.coalesce(coh, F.lit(0.0)))).otherwise(1.0)
     source = F.when(fitted, "Curve-fitted modal set").when(F.col("dataset_type") == 58, "FRF resonance peak").otherwise("Imported modal vector")
     return modes.withColumn("source_label", source).withColumn("confidence_label", label).withColumn("confidence_score", score)
 
@@ -492,8 +492,7 @@ def validate_close_modes(cands: DataFrame) -> DataFrame:
         (F.col("nearby") >= F.greatest(F.col("wanted"), F.lit(1)), "enough independent peaks"),
         (F.col("max_mac") >= 0.90, "duplicate spatial shape"), (F.col("references") < 2, "single reference"),
         ((F.col("references") >= 2) & (ratio < 0.05), "insufficient independent rank"))
-    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    score = F.when(F.col("references") > 1, 1.0).otherwise(0.2) * unit(ratio / 0.20) * unit((1 - F.col("max_mac")) / 0.50)
+    score = F.when(F.col("references") > 1, 1.0).otherwise(0.2) * clip(ratio / 0.20) * clip((1 - F.col("max_mac")) / 0.50)
     out = cands.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0).withColumn("confidence_score", score)
     return out.withColumn("confidence_label", F.when(F.col("confidence_score") >= 0.75, "High").when(
         F.col("confidence_score") >= 0.45, "Medium").otherwise("Low"))

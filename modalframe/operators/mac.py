@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modalframe.functions.cplx import TINY, abs2, dot_im, dot_re, finite, mac_value
+from modalframe.functions.cplx import TINY, abs2, clip, dot_im, dot_re, finite, mac_value
 
 DOFS = (1, 2, 3)
 MODE = ["cmp_id", "role", "mode_no"]
@@ -176,7 +176,7 @@ def comac(rows: DataFrame) -> DataFrame:
         F.sum(abs2(xr, xi)).alias("gx"), F.sum(abs2(yr, yi)).alias("gy"))
     den = F.col("gx") * F.col("gy")
     dof = dof.withColumn("score", abs2(F.col("gr"), F.col("gi")) / F.when(den > TINY, den))
-    return dof.groupBy("cmp_id", "node_id").agg(F.least(F.greatest(F.avg("score"), F.lit(0.0)), F.lit(1.0)).alias("comac"))
+    return dof.groupBy("cmp_id", "node_id").agg(clip(F.avg("score")).alias("comac"))
 
 
 def correlation_summary(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modalframe.functions.cplx import abs2, finite
+from modalframe.functions.cplx import abs2, clip, finite
 from modalframe.operators.ordered import log_bin, with_order
 from modalframe.session import cut_lineage
 
@@ -161,8 +161,8 @@ def binned_field(field: DataFrame, keys: list[str], value: str, cells: int = 220
     nx, ny = (F.greatest(F.lit(2), F.rint(cells * s / span)) for s in (sx, sy))
     bx = F.least(F.floor((F.col("x") - F.col("_x0")) / F.when(sx > 0, sx) * nx), nx - 1)
     by = F.least(F.floor((F.col("y") - F.col("_y0")) / F.when(sy > 0, sy) * ny), ny - 1)
-    return (d.withColumn("bx", F.coalesce(bx, F.lit(0)).cast("int")).withColumn("by", F.coalesce(by, F.lit(0)).cast("int"))
-            .groupBy(*keys, "bx", "by").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")))
+    return (d.withColumn("cell_x", F.coalesce(bx, F.lit(0)).cast("int")).withColumn("cell_y", F.coalesce(by, F.lit(0)).cast("int"))
+            .groupBy(*keys, "cell_x", "cell_y").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")))
 
 
 # ------------------------------------------------------------------------------------------------ pair sums
@@ -197,7 +197,6 @@ def cos2_columns(a11, a12, a22, b11, b12, b22, c11, c12, c21, c22) -> tuple[Colu
     tr = p11 * q11 + p12 * q21 + p21 * q12 + p22 * q22
     det = (p11 * p22 - p12 * p21) * (q11 * q22 - q12 * q21)
     root = F.sqrt(F.greatest(tr * tr / 4 - det, F.lit(0.0)))
-    clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
     return clip(tr / 2 + root), clip(tr / 2 - root)
 
 
@@ -235,7 +234,7 @@ def subspace_mac_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
         for j in (0, 1):
             tr = add(tr, mul(x[i][j], y[j][i]))
     full = (F.col("rank_p") == 2) & (F.col("rank_q") == 2)
-    return g.withColumn("subspace_mac", F.when(full, F.least(F.greatest(tr[0] / F.when(full, da * db) / 2, F.lit(0.0)), F.lit(1.0))))
+    return g.withColumn("subspace_mac", F.when(full, clip(tr[0] / F.when(full, da * db) / 2)))
 
 
 def span_share(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -275,7 +274,7 @@ def mass_weighted_mac(pairs: DataFrame, left: DataFrame, right: DataFrame, mass:
     x = d.groupBy(*key, "i_mode", "j_mode").agg(F.sum(F.col("_x") * F.col("_y")).alias("x"))
     out = x.join(own(left, ml, "i_mode", "ll"), [*key, "i_mode"]).join(own(right, mr, "j_mode", "rr"), [*key, "j_mode"])
     good = (F.col("ll") > 0) & (F.col("rr") > 0)
-    return out.withColumn("mac", F.least(F.col("x") * F.col("x") / F.when(good, F.col("ll") * F.col("rr")), F.lit(1.0)))
+    return out.withColumn("mac", clip(F.col("x") * F.col("x") / F.when(good, F.col("ll") * F.col("rr"))))
 
 
 # ------------------------------------------------------------------------------------------------ components

@@ -158,10 +158,10 @@ def two_mode_features(rows, keys):
     return rows.groupBy(*keys).agg((cf - ce).alias("centre_residual"), (sf - se).alias("splitting_residual"), F.count(F.lit(1)).alias("n")).filter("n = 2")
 
 
-@query("a62_binned_field", "dataset_id:i bx:i by:i mean:6 n:i",
+@query("a62_binned_field", "dataset_id:i cell_x:i cell_y:i mean:6 n:i",
        """WITH b AS (SELECT dataset_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9 FROM fx_fe_points GROUP BY 1),
  c AS (SELECT p.*, x0, x9, y0, y9, greatest(2, round_even(8e0 * (x9 - x0) / greatest(x9 - x0, y9 - y0), 0)) AS nx, greatest(2, round_even(8e0 * (y9 - y0) / greatest(x9 - x0, y9 - y0), 0)) AS ny FROM fx_fe_points p JOIN b USING (dataset_id))
- SELECT dataset_id, CAST(least(floor((x - x0) / (x9 - x0) * nx), nx - 1) AS INT) AS bx, CAST(least(floor((y - y0) / (y9 - y0) * ny), ny - 1) AS INT) AS by, avg(z) AS mean, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+ SELECT dataset_id, CAST(least(floor((x - x0) / (x9 - x0) * nx), nx - 1) AS INT) AS cell_x, CAST(least(floor((y - y0) / (y9 - y0) * ny), ny - 1) AS INT) AS cell_y, avg(z) AS mean, count(*) AS n FROM c GROUP BY 1, 2, 3""")
 def a62(t):
     return sh.binned_field(t.fe_points, ["dataset_id"], "z", 8)
 
@@ -256,24 +256,16 @@ def a28(t):
     return confidence(t)
 
 
-QC_ORDER = {"FAIL": 3, "WARNING": 2, "PASS": 1, "NOT_AVAILABLE": 0}
-
-
 def worst_status(checks, keys):
-    """Worst status over the checks of each key: FAIL, then WARNING, then PASS; NOT_AVAILABLE only when nothing else is."""
-    level = F.lit(0)
-    for name, value in QC_ORDER.items():
-        level = F.when(F.col("status") == name, value).otherwise(level)
-    g = checks.groupBy(*keys).agg(F.max(level).alias("_l"), F.count(F.lit(1)).alias("n_checks"))
-    out = F.lit("NOT_AVAILABLE")
-    for name, value in QC_ORDER.items():
-        out = F.when(F.col("_l") == value, name).otherwise(out)
-    return g.withColumn("overall", out).drop("_l")
+    """Worst status over the checks of each key; a check that is not available does not degrade the result."""
+    g = checks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_checks"), F.bool_or(F.col("status") == "FAIL").alias("_f"),
+                                  F.bool_or(F.col("status") == "WARNING").alias("_w"))
+    return g.withColumn("overall", F.when(F.col("_f"), "FAIL").when(F.col("_w"), "WARNING").otherwise("PASS")).drop("_f", "_w")
 
 
 @query("a29_qc_rollup", "cmp_id:i n_checks:i overall",
        f"""WITH {CONF_SQL}, res AS ({fq.RES_SQL}), c AS (SELECT cmp_id, status FROM conf UNION ALL SELECT cmp_id, CASE WHEN bool_or(coalesce(unresolved, false) OR coalesce(close, false) OR NOT damping_available) THEN 'WARNING' ELSE 'PASS' END FROM res GROUP BY 1)
- SELECT cmp_id, count(*) AS n_checks, CASE WHEN bool_or(status = 'WARNING') THEN 'WARNING' WHEN bool_or(status = 'PASS') THEN 'PASS' ELSE 'NOT_AVAILABLE' END AS overall FROM c GROUP BY 1""")
+ SELECT cmp_id, count(*) AS n_checks, CASE WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END AS overall FROM c GROUP BY 1""")
 def a29(t):
     bad = F.coalesce("unresolved", F.lit(False)) | F.coalesce("close", F.lit(False)) | ~F.col("damping_available")
     res = fq.resolved(t).groupBy("cmp_id").agg(F.bool_or(bad).alias("_b")).select("cmp_id", F.when(F.col("_b"), "WARNING").otherwise("PASS").alias("status"))
