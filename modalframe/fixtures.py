@@ -95,7 +95,7 @@ SELECT l_suppkey AS specimen_id, CAST(l_linenumber AS INT) AS position, l_orderk
 SELECT o_custkey AS series_key, o_orderkey AS seq, o_orderdate AS recorded_at,
        CASE WHEN o_orderstatus = 'F' THEN 'WITHDRAWN' ELSE 'SET' END AS action,
        CASE WHEN o_orderpriority LIKE '1%' THEN 'REUSED' WHEN o_orderpriority LIKE '2%' THEN 'FAILED' ELSE 'SOLVED' END AS outcome,
-       CONCAT('h', CAST(o_totalprice AS BIGINT) % 50) AS candidate_hash FROM orders""",
+       CONCAT('h', CAST(floor(o_totalprice) AS BIGINT) % 50) AS candidate_hash FROM orders""",
     "fx_matrix": """
 SELECT CAST(floor(l_suppkey / 30) AS BIGINT) AS matrix_id, CAST(l_partkey % 30 AS INT) AS i, CAST(l_suppkey % 30 AS INT) AS j,
        sum(l_extendedprice) / 100000e0 AS value, sum(l_quantity) / 100e0 AS mass
