@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,11 +93,14 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: list[str], qid:
         s = size.select(*keys, "_n", (F.col("_h0") * widen).alias("_h"), (F.col("_sz") <= F.col("_h0") * widen).alias("_flat"))
         pairs = _cells(left.join(s, keys), "q", True).join(_cells(t.join(s.drop("_n"), keys), "t", False).drop("_h", "_flat"),
                                                            [*keys, "_cx", "_cy", "_cz"])
-        found = best(pairs).filter((F.size("near") == F.least(F.lit(k), F.col("_n"))) & (
-            F.element_at("near", -1)["distance"] <= F.col("_h")))
-        found = found.select(*keys, *qid, "near")
+        found = best(pairs)
+        sure = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & (F.element_at("near", -1)["distance"] <= F.col("_h"))
+        found = found.select(*keys, *qid, F.when(sure, F.col("near")).alias("near"))
+        # one row per query point, read by this pass's answer and by the next pass; a lost block is simply recomputed
+        seen = left.join(found, [*keys, *qid], "left").persist(StorageLevel.MEMORY_AND_DISK)
+        found = seen.filter(F.col("near").isNotNull()).select(*keys, *qid, "near")
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(*keys, *qid), [*keys, *qid], "left_anti")
+        left = seen.filter(F.col("near").isNull()).drop("near")
     rest = best(left.join(t, keys).withColumn("_h", F.lit(0.0)).withColumn("_n", F.lit(0)))
     done = done.unionByName(rest.select(*keys, *qid, "near"))
     return done.select(*keys, *qid, F.posexplode("near").alias("_p", "v")).select(
