@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from modalframe.functions.reasons import first_reason
 from modalframe.operators.ordered import top_rows, with_order
 from modalframe.operators.shapes import connected_components
+from modalframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -55,26 +56,56 @@ def least_cost_columns(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _with_components(edges: DataFrame) -> DataFrame:
-    """Split the gated bipartite graph of each comparison into its connected components (FE ids even, EXP ids odd)."""
-    e = edges.withColumn("a", F.col("fe_mode") * 2).withColumn("b", F.col("exp_mode") * 2 + 1)
-    v = e.select("cmp_id", F.explode(F.array("a", "b")).alias("id")).distinct()
-    comp = connected_components(v, e, ["cmp_id"])
-    e = e.join(comp.select("cmp_id", F.col("id").alias("a"), "component"), ["cmp_id", "a"]).drop("a", "b")
-    size = e.groupBy("cmp_id", "component").agg(F.count(F.lit(1)).alias("n_edges"))
-    return e.join(size, ["cmp_id", "component"])
+LARGE_COMPARISON = 4000
+
+
+def _grouped(edges: DataFrame) -> DataFrame:
+    """Assignment groups of the gated bipartite graph: ``component`` and ``n_edges``.
+
+    A comparison with up to 4000 gated candidates is one group (the kernel splits it further); larger ones are split into
+    their connected components in Spark first (FE ids even, EXP ids odd). Components decouple the problem, so both are exact.
+    """
+    edges = cut_lineage(edges)
+    size = edges.groupBy("cmp_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    e = edges.join(size, "cmp_id")
+    small = e.filter(F.col("n_edges") <= LARGE_COMPARISON).withColumn("component", F.lit(-1).cast("bigint"))
+    large = e.filter(F.col("n_edges") > LARGE_COMPARISON).drop("n_edges")
+    if large.isEmpty():
+        return small
+    large = large.withColumn("a", F.col("fe_mode") * 2).withColumn("b", F.col("exp_mode") * 2 + 1)
+    v = large.select("cmp_id", F.explode(F.array("a", "b")).alias("id")).distinct()
+    comp = connected_components(v, large, ["cmp_id"])
+    large = large.join(comp.select("cmp_id", F.col("id").alias("a"), "component"), ["cmp_id", "a"]).drop("a", "b")
+    return small.unionByName(large.join(large.groupBy("cmp_id", "component").agg(F.count(F.lit(1)).alias("n_edges")), ["cmp_id", "component"]))
+
+
+def _edge_blocks(rows: np.ndarray, cols: np.ndarray) -> list[np.ndarray]:
+    """Edge positions of each connected block of a small bipartite edge list."""
+    label = np.arange(len(rows))
+    while True:
+        before = label.copy()
+        for side in (rows, cols):
+            low = np.full(side.max() + 1, len(label))
+            np.minimum.at(low, side, label)
+            label = low[side]
+        if np.array_equal(before, label):
+            return [np.flatnonzero(label == k) for k in np.unique(label)]
+
+
+def _solve_blocks(pdf: pd.DataFrame, solve) -> pd.DataFrame:
+    rows, cols = np.unique(pdf.fe_mode, return_inverse=True)[1], np.unique(pdf.exp_mode, return_inverse=True)[1]
+    return pd.concat([solve(pdf.iloc[ix]) for ix in _edge_blocks(rows, cols)])
 
 
 def assign_pairs(candidates: DataFrame, unmatched_cost: float = 1.15) -> DataFrame:
     """Optimal one-to-one pairs of the admissible candidates (cmp_id, fe_mode, exp_mode, cost) of each comparison.
 
-    Components decouple the problem: one-edge components are decided by a column expression, only the larger ones reach
-    the small matching kernel.
+    One-edge groups are decided by a column expression, only the others reach the small matching kernel.
     """
-    e = _with_components(candidates.select("cmp_id", "fe_mode", "exp_mode", "cost"))
+    e = _grouped(candidates.select("cmp_id", "fe_mode", "exp_mode", "cost"))
     single = e.filter((F.col("n_edges") == 1) & (F.col("cost") < 2 * unmatched_cost)).select("cmp_id", "fe_mode", "exp_mode", "cost")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.unique(pdf.fe_mode, return_inverse=True), np.unique(pdf.exp_mode, return_inverse=True)
         m, n = len(rows[0]), len(cols[0])
         c = np.full((m + n, m + n), 1e6)
@@ -85,7 +116,7 @@ def assign_pairs(candidates: DataFrame, unmatched_cost: float = 1.15) -> DataFra
         pick = least_cost_columns(c)[:m]
         return pdf[(pick[rows[1]] == cols[1])][["cmp_id", "fe_mode", "exp_mode", "cost"]]
 
-    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(solve, single.schema)
+    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(lambda pdf: _solve_blocks(pdf, block), single.schema)
     return single.unionByName(many)
 
 
@@ -95,10 +126,10 @@ def strict_pairs(candidates: DataFrame, policy: StrictPolicy = StrictPolicy()) -
     ``candidates``: cmp_id, fe_mode, exp_mode, fe_hz, exp_hz, mac inside the frequency window."""
     rel = F.abs(F.col("fe_hz") - F.col("exp_hz")) / F.col("exp_hz")
     ok = candidates.filter((rel <= policy.max_relative) & (F.col("mac") >= policy.min_mac)).select("cmp_id", "fe_mode", "exp_mode", "mac")
-    e = _with_components(ok)
+    e = _grouped(ok)
     single = e.filter("n_edges = 1").select("cmp_id", "fe_mode", "exp_mode", "mac", F.lit(False).alias("tied"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.unique(pdf.fe_mode, return_inverse=True), np.unique(pdf.exp_mode, return_inverse=True)
         size = max(len(rows[0]), len(cols[0]))
         big = min(len(rows[0]), len(cols[0])) + 1.0
@@ -121,7 +152,7 @@ def strict_pairs(candidates: DataFrame, policy: StrictPolicy = StrictPolicy()) -
         out["tied"] = tied
         return out
 
-    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(solve, single.schema)
+    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(lambda pdf: _solve_blocks(pdf, block), single.schema)
     return single.unionByName(many)
 
 

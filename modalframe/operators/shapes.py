@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modalframe.functions.columns import settle
 from modalframe.functions.cplx import abs2, clip, finite
 from modalframe.operators.ordered import log_bin, with_order
 from modalframe.session import cut_lineage
@@ -48,24 +49,25 @@ def rigid_residuals(shapes: DataFrame, nodes: DataFrame) -> DataFrame:
     g = d.groupBy(*MODE).agg(*aggs)
     n = F.col("n")
     cov = lambda a, b: F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / n
-    g = g.withColumn("jxx", cov("y", "y") + cov("z", "z")).withColumn("jyy", cov("x", "x") + cov("z", "z")).withColumn("jzz", cov("x", "x") + cov("y", "y"))
-    g = g.withColumn("jxy", -cov("x", "y")).withColumn("jxz", -cov("x", "z")).withColumn("jyz", -cov("y", "z"))
+    mom = lambda p, a, k: F.col(f"m{p}{a}{k}") - F.col(f"s{a}") * F.col(f"t{p}{k}") / n
+    inertia = {"jxx": cov("y", "y") + cov("z", "z"), "jyy": cov("x", "x") + cov("z", "z"), "jzz": cov("x", "x") + cov("y", "y"),
+               "jxy": -cov("x", "y"), "jxz": -cov("x", "z"), "jyz": -cov("y", "z")}
+    moments = {f"q{p}{c}": v for p in "ri" for c, v in (("x", mom(p, "y", 3) - mom(p, "z", 2)), ("y", mom(p, "z", 1) - mom(p, "x", 3)), ("z", mom(p, "x", 2) - mom(p, "y", 1)))}
+    shift = sum((F.pow(f"t{p}{k}", 2) for p, k in (("r", 2), ("r", 3), ("i", 1), ("i", 2), ("i", 3))), F.pow("tr1", 2)) / n
+    g = settle(g, [*MODE, "n", "energy"], shift=shift, **inertia, **moments)
     # A tiny multiple of the trace keeps collinear point sets invertible; the moment has no part in that direction.
     eps = (F.col("jxx") + F.col("jyy") + F.col("jzz")) * 1e-13
-    for a in ("jxx", "jyy", "jzz"):
-        g = g.withColumn(a, F.col(a) + eps)
-    mom = lambda p, a, k: F.col(f"m{p}{a}{k}") - F.col(f"s{a}") * F.col(f"t{p}{k}") / n
-    a, b, c2, d2, e, f = (F.col(k) for k in ("jxx", "jyy", "jzz", "jxy", "jxz", "jyz"))
-    det = a * (b * c2 - f * f) - d2 * (d2 * c2 - f * e) + e * (d2 * f - b * e)
-    inside = F.lit(0.0)
+    g = settle(g, [*MODE, "n", "energy", "shift", *moments], a=F.col("jxx") + eps, b=F.col("jyy") + eps, c=F.col("jzz") + eps, d=F.col("jxy"), e=F.col("jxz"), f=F.col("jyz"))
+    a, b, c, d, e, f = (F.col(k) for k in "abcdef")
+    det = a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)
+    quad = F.lit(0.0)
     for p in "ri":
-        tx, ty, tz = mom(p, "y", 3) - mom(p, "z", 2), mom(p, "z", 1) - mom(p, "x", 3), mom(p, "x", 2) - mom(p, "y", 1)
-        quad = (tx * tx * (b * c2 - f * f) + ty * ty * (a * c2 - e * e) + tz * tz * (a * b - d2 * d2)
-                + 2 * tx * ty * (e * f - d2 * c2) + 2 * tx * tz * (d2 * f - b * e) + 2 * ty * tz * (d2 * e - a * f))
-        inside = inside + sum((F.pow(f"t{p}{k}", 2) for k in (2, 3)), F.pow(f"t{p}1", 2)) / n + quad / F.when(det > 0, det)
-    left = F.sqrt(F.greatest(F.col("energy") - inside, F.lit(0.0))) / F.sqrt("energy")
-    return g.select(*MODE, "n", F.when((n < 2) | (F.col("energy") <= 1e-60), 1.0).otherwise(left).alias("rigid_residual")).withColumn(
-        "rigid", F.col("rigid_residual") <= RIGID_LIMIT)
+        x, y, z = F.col(f"q{p}x"), F.col(f"q{p}y"), F.col(f"q{p}z")
+        quad = quad + (x * x * (b * c - f * f) + y * y * (a * c - e * e) + z * z * (a * b - d * d) + 2 * x * y * (e * f - d * c) + 2 * x * z * (d * f - b * e) + 2 * y * z * (d * e - a * f))
+    g = settle(g, [*MODE, "n", "energy"], inside=F.col("shift") + quad / F.when(det > 0, det))
+    left = F.sqrt(F.greatest(F.col("energy") - F.col("inside"), F.lit(0.0))) / F.sqrt("energy")
+    g = settle(g, [*MODE, "n"], rigid_residual=F.when((n < 2) | (F.col("energy") <= 1e-60), 1.0).otherwise(left))
+    return g.withColumn("rigid", F.col("rigid_residual") <= RIGID_LIMIT)
 
 
 def elastic_modes(modes: DataFrame, residuals: DataFrame) -> DataFrame:

@@ -1,0 +1 @@
+"""There are no stream semantics to provide; the log operators are batch operators."""

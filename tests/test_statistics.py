@@ -128,3 +128,12 @@ def test_assignment_lets_no_bad_pair_take_a_good_partner(spark):
     rows = [(1, 1, 1, 0.05), (1, 1, 2, 0.30), (1, 2, 1, 0.10), (1, 3, 3, 0.2)]
     got = {(r.fe_mode, r.exp_mode) for r in ev.assign_pairs(spark.createDataFrame(rows, "cmp_id long, fe_mode long, exp_mode long, cost double")).collect()}
     assert got == {(1, 2), (2, 1), (3, 3)}
+
+
+def test_large_comparisons_are_split_into_components(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(1, int(a), int(b), float(rng.random())) for a in range(12) for b in range(12) if abs(a - b) <= 1 and a // 3 == b // 3]
+    df = spark.createDataFrame(rows, "cmp_id long, fe_mode long, exp_mode long, cost double")
+    whole = {(r.fe_mode, r.exp_mode) for r in ev.assign_pairs(df).collect()}
+    monkeypatch.setattr(ev, "LARGE_COMPARISON", 0)
+    assert {(r.fe_mode, r.exp_mode) for r in ev.assign_pairs(df).collect()} == whole and len(whole) == 12
