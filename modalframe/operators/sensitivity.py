@@ -258,7 +258,7 @@ def assess_precision(sds: DataFrame, requirements: DataFrame, keys: list[str]) -
 
 # ------------------------------------------------------------------------------------------------ what-if and fits
 def what_if(trials: DataFrame, sens: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Predicted frequency ln f = ln f0 + sum s ln(p / p0) for each trial and term; refused outside the solved range.
+    """Predicted frequency f0 exp(sum s ln(p / p0)) for each trial and term; refused outside the solved range.
 
     ``trials``: family_id, trial_id, parameter, value; ``ranges``: family_id, parameter, p0, lo, hi; ``sens``: family_id,
     term_id, parameter, s, f0. A trial names a few parameters, so the join grows with trials x terms of their own family."""
@@ -270,7 +270,7 @@ def what_if(trials: DataFrame, sens: DataFrame, ranges: DataFrame) -> DataFrame:
         F.max("f0").alias("f0"), F.sum(F.col("s") * F.col("_dl")).alias("_x"), F.count("s").alias("_k"), F.count(F.lit(1)).alias("_n"))
     d = d.join(bad, ["family_id", "trial_id"])
     status = F.when(F.col("_refused"), "REFUSED_RANGE").when(F.col("_k") < F.col("_n"), "UNAVAILABLE").otherwise("PREDICTION")
-    return d.withColumn("status", status).withColumn("predicted_hz", F.when(F.col("status") == "PREDICTION", F.exp(F.log("f0") + F.col("_x")))).drop("_refused", "_k", "_n", "_x")
+    return d.withColumn("status", status).withColumn("predicted_hz", F.when(F.col("status") == "PREDICTION", F.col("f0") * F.exp("_x"))).drop("_refused", "_k", "_n", "_x")
 
 
 def what_if_effect(predicted: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def p31(t):
 TRIALS = """SELECT family_id, k AS trial_id, parameter, CASE k WHEN 0 THEN 1.02e0 WHEN 1 THEN 0.97e0 ELSE 1.1e0 END + CASE WHEN parameter = 'E2' THEN 0.01e0 ELSE 0e0 END AS value FROM (SELECT DISTINCT family_id, parameter FROM fx_sens) f
  CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) ks WHERE NOT (k = 0 AND parameter = 'E2')"""
 WHAT_SQL = f"""tr AS ({TRIALS}), h AS ({HOLED}), pr AS (SELECT tr.family_id, trial_id, term_id, max(f0) AS f0, CASE WHEN trial_id = 2 THEN 'REFUSED_RANGE' WHEN count(s) < count(*) THEN 'UNAVAILABLE' ELSE 'PREDICTION' END AS status,
- CASE WHEN trial_id <> 2 AND count(s) = count(*) THEN exp(ln(max(f0)) + sum(s * ln(value))) END AS predicted_hz FROM tr JOIN h USING (family_id, parameter) GROUP BY 1, 2, 3)"""
+ CASE WHEN trial_id <> 2 AND count(s) = count(*) THEN max(f0) * exp(sum(s * ln(value))) END AS predicted_hz FROM tr JOIN h USING (family_id, parameter) GROUP BY 1, 2, 3)"""
 
 
 def predictions(t):
