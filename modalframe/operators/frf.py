@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from modalframe.functions.cplx import abs2, clip
 from modalframe.functions.reasons import reason_array
 from modalframe.operators.ordered import islands, log_bin, top_rows, with_order
+from modalframe.session import keep
 
 AXIS = ["dataset_id", "ref_node", "ref_dir"]
 PEAKS = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("prominence", T.DoubleType())]))
@@ -165,8 +166,8 @@ def frf_summary(lines: DataFrame, coherence: DataFrame) -> DataFrame:
 
 def reference_gram(lines: DataFrame) -> DataFrame:
     """Per line the Hermitian reference Gram entries g_ij = sum over common responses of conj(h_i) h_j (i <= j)."""
-    keep = common_responses(lines).filter("common").select("dataset_id", "rsp_node", "rsp_dir")
-    h = lines.join(keep, ["dataset_id", "rsp_node", "rsp_dir"], "left_semi")
+    common = common_responses(lines).filter("common").select("dataset_id", "rsp_node", "rsp_dir")
+    h = lines.join(common, ["dataset_id", "rsp_node", "rsp_dir"], "left_semi")
     left = h.select("dataset_id", "line", "f_hz", "rsp_node", "rsp_dir", F.struct("ref_node", "ref_dir").alias("i"),
                     F.col("re").alias("ar"), F.col("im").alias("ai"))
     right = h.select("dataset_id", "line", "rsp_node", "rsp_dir", F.struct("ref_node", "ref_dir").alias("j"),
@@ -430,6 +431,7 @@ def band_components(snapshots: DataFrame, wanted: DataFrame, min_ratio: float =
     matrix per band, bounded by the band width, reaches the small eigenproblem. Returns (components, shapes).
     """
     key = ["dataset_id", "band_id"]
+    snapshots = keep(snapshots)
     cols = snapshots.select(*key, "ref_node", "ref_dir", "line", "f_hz").distinct()
     cols = cols.withColumn("c", F.row_number().over(Window.partitionBy(*key).orderBy("ref_node", "ref_dir", "line")) - 1)
     s = snapshots.join(cols.drop("f_hz"), [*key, "ref_node", "ref_dir", "line"])

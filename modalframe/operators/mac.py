@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalframe.functions.cplx import TINY, abs2, clip, dot_im, dot_re, finite, mac_value
+from modalframe.session import keep
 
 DOFS = (1, 2, 3)
 MODE = ["cmp_id", "role", "mode_no"]
@@ -126,7 +127,7 @@ def pair_rows(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
 def common_rows(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     """``pair_rows`` on the DOFs shared by all pairs of a comparison; comparisons whose pairs use different measurement
     grids are refused (dropped)."""
-    rows = pair_rows(pairs, shapes)
+    rows = keep(pair_rows(pairs, shapes))
     n = pairs.groupBy("cmp_id").agg(F.count(F.lit(1)).alias("n_pairs"))
     per_node = rows.groupBy("cmp_id", "node_id", "dof").agg(F.count(F.lit(1)).alias("n_here"))
     per_pair = rows.groupBy("cmp_id", "fe_mode", "exp_mode").agg(F.countDistinct("node_id").alias("n_nodes"))
@@ -134,8 +135,8 @@ def common_rows(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     all_nodes = per_node.groupBy("cmp_id").agg(F.countDistinct("node_id").alias("n_all"))
     good = (grid.join(all_nodes, "cmp_id").join(n, "cmp_id")
             .filter((F.col("least") == F.col("n_all")) & (F.col("n_seen") == F.col("n_pairs"))).select("cmp_id", "n_pairs"))
-    keep = per_node.join(good, "cmp_id").filter(F.col("n_here") == F.col("n_pairs")).select("cmp_id", "node_id", "dof")
-    return rows.join(keep, ["cmp_id", "node_id", "dof"])
+    common = per_node.join(good, "cmp_id").filter(F.col("n_here") == F.col("n_pairs")).select("cmp_id", "node_id", "dof")
+    return keep(rows.join(common, ["cmp_id", "node_id", "dof"]))
 
 
 def auto_mac(rows: DataFrame, side: str = "a") -> DataFrame:

@@ -11,12 +11,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modalframe.operators.ordered import top_rows
+from modalframe.session import keep
 
 XYZ = ("x", "y", "z")
 # Metres per length unit, MPa per modulus unit, unit scales tried, geometry limits.
@@ -97,7 +97,7 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: list[str], qid:
         sure = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & (F.element_at("near", -1)["distance"] <= F.col("_h"))
         found = found.select(*keys, *qid, F.when(sure, F.col("near")).alias("near"))
         # one row per query point, read by this pass's answer and by the next pass; a lost block is simply recomputed
-        seen = left.join(found, [*keys, *qid], "left").persist(StorageLevel.MEMORY_AND_DISK)
+        seen = keep(left.join(found, [*keys, *qid], "left"))
         found = seen.filter(F.col("near").isNotNull()).select(*keys, *qid, "near")
         done = found if done is None else done.unionByName(found)
         left = seen.filter(F.col("near").isNull()).drop("near")
@@ -528,7 +528,7 @@ def grid_cells(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
     d = points.join(pitch, keys).join(mean, keys)
     c, s = F.cos(F.radians("angle_deg")), F.sin(F.radians("angle_deg"))
     dx, dy = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
-    d = d.withColumn("_u", dx * c + dy * s).withColumn("_v", dy * c - dx * s)
+    d = keep(d.select(*keys, pid, "pitch", (dx * c + dy * s).alias("_u"), (dy * c - dx * s).alias("_v")))
     low = d.groupBy(*keys).agg(F.min("_u").alias("_u0"), F.min("_v").alias("_v0"))
     d = d.join(low, keys).withColumn("i", F.rint((F.col("_u") - F.col("_u0")) / F.col("pitch"))).withColumn("j", F.rint((F.col("_v") - F.col("_v0")) / F.col("pitch")))
     box = d.groupBy(*keys).agg(F.max("i").alias("_i9"), F.max("j").alias("_j9"), F.count(F.lit(1)).alias("_n"), F.countDistinct("i", "j").alias("_cells"))
@@ -540,7 +540,7 @@ def grid_symmetry(reference: DataFrame, current: DataFrame, keys: list[str], pid
     """Which of the eight square symmetries maps one id layout onto the other for all ids."""
     r = grid_cells(reference, keys, pid)
     c = grid_cells(current, keys, pid).select(*keys, pid, F.col("ci").alias("di"), F.col("cj").alias("dj"), F.col("regular").alias("regular2"))
-    both = r.join(c, [*keys, pid], "full_outer")
+    both = keep(r.join(c, [*keys, pid], "full_outer"))
     sets = both.groupBy(*keys).agg(F.sum((F.col("ci").isNull() | F.col("di").isNull()).cast("int")).alias("n_unmatched"), F.count(F.lit(1)).alias("n_points"),
                                    F.coalesce(F.bool_and(F.col("regular") & F.col("regular2")), F.lit(False)).alias("regular"))
     table = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(m[i][j]).alias(f"m{i}{j}") for i in (0, 1) for j in (0, 1)]) for n, m in SQUARE_SYMMETRIES.items()])
