@@ -182,13 +182,15 @@ def a10(t):
     return sp.extents(t.fe_points, ["dataset_id"])
 
 
-@query("a11_scale_candidates", "dataset_id:i scale_no:i scale:6",
-       """WITH a AS (SELECT dataset_id, list_sort([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS s FROM fx_fe_points GROUP BY 1),
+SCALE_SQL = """WITH a AS (SELECT dataset_id, list_sort([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS s FROM fx_fe_points GROUP BY 1),
  e AS (SELECT dataset_id, list_sort([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS s FROM fx_exp_points GROUP BY 1),
  r AS (SELECT dataset_id, e.s[i] / a.s[i] AS r FROM a JOIN e USING (dataset_id), (SELECT unnest([1, 2, 3]) AS i) WHERE a.s[i] > 1e-30 AND e.s[i] > 1e-30),
  m AS (SELECT dataset_id, median(r) AS b FROM r GROUP BY 1),
  c AS (SELECT DISTINCT dataset_id, round(v, 15) AS scale FROM (SELECT dataset_id, b AS v FROM m UNION ALL SELECT dataset_id, u FROM m, (SELECT unnest([1e-6, 1e-3, 1e0, 1e3, 1e6]) AS u) WHERE b / u BETWEEN 0.2 AND 5))
- SELECT dataset_id, scale, row_number() OVER (PARTITION BY dataset_id ORDER BY scale) - 1 AS scale_no FROM c""")
+ SELECT dataset_id, scale, row_number() OVER (PARTITION BY dataset_id ORDER BY scale) - 1 AS scale_no FROM c"""
+
+
+@query("a11_scale_candidates", "dataset_id:i scale_no:i scale:6", SCALE_SQL)
 def a11(t):
     return sp.scale_candidates(t.fe_points, t.exp_points, ["dataset_id"])
 
@@ -208,7 +210,20 @@ def scored(t):
     return sp.score_orientations(t.fe_points, t.exp_points, s)
 
 
-@query("a12_orientation_scores", "dataset_id:i scale_no:i orientation:i det:i rms:6 matched:6")
+ORIENT_SQL = f"""WITH sc AS ({SCALE_SQL}), s0 AS (SELECT dataset_id, scale FROM sc WHERE scale_no = 0),
+ pm AS (SELECT * FROM (VALUES (0, [1, 2, 3], 1), (1, [1, 3, 2], -1), (2, [2, 1, 3], -1), (3, [2, 3, 1], 1), (4, [3, 1, 2], 1), (5, [3, 2, 1], -1)) v(pi, perm, par)),
+ sg AS (SELECT k AS si, [CASE WHEN k >= 4 THEN 1e0 ELSE -1e0 END, CASE WHEN k % 4 >= 2 THEN 1e0 ELSE -1e0 END, CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END] AS sign FROM (SELECT unnest(range(8)) AS k)),
+ orn AS (SELECT pi * 8 + si AS orientation, perm, sign, CAST(par * sign[1] * sign[2] * sign[3] AS INT) AS det FROM pm, sg),
+ fc AS (SELECT f.dataset_id, f.node_id, [x - (x0 + x9) / 2, y - (y0 + y9) / 2, z - (z0 + z9) / 2] AS n FROM fx_fe_points f JOIN (SELECT dataset_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9, min(z) AS z0, max(z) AS z9 FROM fx_fe_points GROUP BY 1) USING (dataset_id)),
+ eb AS (SELECT dataset_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9, min(z) AS z0, max(z) AS z9 FROM fx_exp_points GROUP BY 1),
+ ec AS (SELECT e.dataset_id, point_id, x - (x0 + x9) / 2 AS ex, y - (y0 + y9) / 2 AS ey, z - (z0 + z9) / 2 AS ez, sqrt(pow(x9 - x0, 2) + pow(y9 - y0, 2) + pow(z9 - z0, 2)) AS dg FROM fx_exp_points e JOIN eb USING (dataset_id)),
+ sp AS (SELECT dataset_id, greatest(max(dg), sqrt(avg(ex * ex + ey * ey + ez * ez))) AS span FROM ec GROUP BY 1),
+ d AS (SELECT ec.dataset_id, orientation, det, point_id, min(sqrt(pow(n[perm[1]] * sign[1] * scale - ex, 2) + pow(n[perm[2]] * sign[2] * scale - ey, 2) + pow(n[perm[3]] * sign[3] * scale - ez, 2))) AS r
+  FROM ec JOIN s0 USING (dataset_id) JOIN fc USING (dataset_id), orn GROUP BY 1, 2, 3, 4)
+ SELECT d.dataset_id, 0 AS scale_no, orientation, det, sqrt(avg(r * r)) / max(span) AS rms, avg(CASE WHEN r <= 0.03e0 * span THEN 1e0 ELSE 0e0 END) AS matched FROM d JOIN sp USING (dataset_id) GROUP BY 1, 3, 4"""
+
+
+@query("a12_orientation_scores", "dataset_id:i scale_no:i orientation:i det:i rms:6 matched:6", ORIENT_SQL)
 def a12(t):
     return scored(t)[0]
 
@@ -300,7 +315,14 @@ def j30(t):
     return out.select("*", *[F.get("translation", F.lit(i)).alias(c) for i, c in enumerate(("tx", "ty", "tz"))])
 
 
-@query("j30_edge_registration_map", "dataset_id:i point_id:i node_id:i residual:6")
+EDGE_SQL = f"""WITH r AS ({REG}), sf AS (SELECT dataset_id, node_id, x, y, z FROM (SELECT *, max(z) OVER (PARTITION BY dataset_id, instance) AS m FROM fx_fe_points) WHERE abs(z - m) <= 1e-6),
+ sb AS (SELECT dataset_id, min(x) AS sx, min(y) AS sy, avg(z) AS sz FROM sf GROUP BY 1), f AS (SELECT p.dataset_id, point_id, k, (x * c - y * s) / k AS fx, (x * s + y * c) / k AS fy, z / k AS fz FROM fx_exp_points p JOIN r USING (dataset_id)),
+ fb AS (SELECT dataset_id, min(fx) AS mx, min(fy) AS my, avg(fz) AS mz FROM f GROUP BY 1), q AS (SELECT f.dataset_id, point_id, k, fx + sx + 1.5e0 - mx AS qx, fy + sy + 0.5e0 - my AS qy, fz + sz - mz AS qz FROM f JOIN sb USING (dataset_id) JOIN fb USING (dataset_id))
+ SELECT dataset_id, point_id, node_id, residual FROM (SELECT q.dataset_id, point_id, node_id, k * sqrt(pow(qx - x, 2) + pow(qy - y, 2) + pow(qz - z, 2)) AS residual, row_number() OVER (PARTITION BY q.dataset_id, point_id ORDER BY pow(qx - x, 2) + pow(qy - y, 2) + pow(qz - z, 2), node_id) AS n
+ FROM q JOIN sf USING (dataset_id)) WHERE n = 1"""
+
+
+@query("j30_edge_registration_map", "dataset_id:i point_id:i node_id:i residual:6", EDGE_SQL)
 def j30_edges(t):
     surface = sp.surface_nodes(t.fe_points)
     off = t.fe_points.select("dataset_id").distinct().select("dataset_id", F.lit(1.5).alias("off_x"), F.lit(0.5).alias("off_y"))
@@ -311,7 +333,16 @@ def j30_edges(t):
 PERTURB = [("+x", 0.6, 0, 0, 0), ("-x", -0.6, 0, 0, 0), ("+y", 0, 0.6, 0, 0), ("-y", 0, -0.6, 0, 0), ("+scale", 0, 0, 0.05, 0), ("-scale", 0, 0, -0.05, 0), ("+turn", 0, 0, 0, 12.0), ("-turn", 0, 0, 0, -12.0)]
 
 
-@query("a55_registration_mac_range", "cmp_id:i fe_mode:i exp_mode:i nominal:6 low:6 high:6 crosses")
+RANGE_SQL = """WITH c AS (SELECT cmp_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM fx_nodes GROUP BY 1),
+ pe AS (SELECT * FROM (VALUES ('nominal', 0e0, 0e0, 0e0, 0e0), ('+x', 0.6e0, 0e0, 0e0, 0e0), ('-x', -0.6e0, 0e0, 0e0, 0e0), ('+y', 0e0, 0.6e0, 0e0, 0e0), ('-y', 0e0, -0.6e0, 0e0, 0e0), ('+s', 0e0, 0e0, 0.05e0, 0e0), ('-s', 0e0, 0e0, -0.05e0, 0e0), ('+t', 0e0, 0e0, 0e0, 12e0), ('-t', 0e0, 0e0, 0e0, -12e0)) v(name, dx, dy, s, deg)),
+ q AS (SELECT n.cmp_id, name, node_id, ((x - mx) * cos(radians(deg)) - (y - my) * sin(radians(deg))) / (1 + s) + mx + dx AS qx, ((x - mx) * sin(radians(deg)) + (y - my) * cos(radians(deg))) / (1 + s) + my + dy AS qy, (z - mz) / (1 + s) + mz AS qz FROM fx_nodes n JOIN c USING (cmp_id), pe),
+ m AS (SELECT q.cmp_id, name, q.node_id, arg_min(n.node_id, (pow(qx - x, 2) + pow(qy - y, 2) + pow(qz - z, 2), n.node_id)) AS fe_node FROM q JOIN fx_nodes n ON n.cmp_id = q.cmp_id GROUP BY 1, 2, 3),
+ g AS (SELECT p.cmp_id, fe_mode, exp_mode, name, (pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.re * b.im - a.im * b.re), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS mac
+ FROM fx_pairs p JOIN fx_shapes b ON b.cmp_id = p.cmp_id AND b.role = 'EXP' AND b.measured AND b.mode_no = exp_mode JOIN m ON m.cmp_id = p.cmp_id AND m.node_id = b.node_id JOIN fx_shapes a ON a.cmp_id = p.cmp_id AND a.role = 'FE' AND a.mode_no = fe_mode AND a.node_id = fe_node AND a.dof = b.dof WHERE p.mac >= 0.5 GROUP BY 1, 2, 3, 4)
+ SELECT cmp_id, fe_mode, exp_mode, max(CASE WHEN name = 'nominal' THEN mac END) AS nominal, min(mac) AS low, max(mac) AS high, min(mac) < 0.5 AND max(mac) >= 0.5 AS crosses FROM g GROUP BY 1, 2, 3"""
+
+
+@query("a55_registration_mac_range", "cmp_id:i fe_mode:i exp_mode:i nominal:6 low:6 high:6 crosses", RANGE_SQL)
 def a55(t):
     """MAC range of the accepted pairs under perturbed registrations."""
     pts = sp.perturb_points(t.nodes, ["cmp_id"], [("nominal", 0, 0, 0, 0), *PERTURB])
