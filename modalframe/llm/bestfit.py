@@ -20,7 +20,7 @@ PIECES_PER_GROUP = 4096
 
 # A blank before a word belongs to it; other white space stands by itself. The same cuts as in the tokenizer's own rule.
 _FRAGMENT = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-_ODD_BLANK = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_BLANK = re.compile(r"[^\S \t-\r]")  # white space beyond ASCII, or that not every regex engine takes as such
 
 
 class FragmentEncoder:

@@ -44,3 +44,11 @@ def op10(spark, folder):
     from modalframe.llm.bestfit import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+@query("op3_circulant_minhash")
+def op3(spark, folder):
+    """Near-duplicate documents by three-word shingles at 85 percent."""
+    from modalframe.llm.circulant import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
