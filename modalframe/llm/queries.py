@@ -52,3 +52,11 @@ def op3(spark, folder):
     from modalframe.llm.circulant import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+@query("op2_distribution_divergence")
+def op2(spark, folder):
+    """Quality verdict of every whole text."""
+    from modalframe.llm.divergence import quality_rules
+
+    return quality_rules(table(spark, folder, "documents"))
