@@ -60,3 +60,11 @@ def op2(spark, folder):
     from modalframe.llm.divergence import quality_rules
 
     return quality_rules(table(spark, folder, "documents"))
+
+
+@query("op5_ftrl_toxicity")
+def op5(spark, folder):
+    """Toxicity score of every whole text."""
+    from modalframe.llm.ftrl import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
