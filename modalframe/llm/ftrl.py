@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from modalframe.llm.text import map_texts, words
 
-#: Size of the hashed feature space; coordinate 0 is the bias.
+#: Size of the hashed feature space; coordinate 0 stands for the label's share in training.
 BITS = 24
 #: Most labelled rows that training uses, least hash of the id first. Training is one sequential pass over them at a time.
 TRAIN_ROWS = 12_000
@@ -59,34 +59,36 @@ def features(text: str | None) -> np.ndarray:
 
 
 class Ftrl:
-    """Weights of binary features, learned one example at a time with a rate of its own for each coordinate."""
+    """Weights of binary features, learned one example at a time with a rate of its own for each coordinate.
 
-    def __init__(self, size: int):
-        self.z, self.n = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    ``prior``: log odds of the label before any feature is seen; it is not learned."""
+
+    def __init__(self, size: int, prior: float = 0.0):
+        self.z, self.n, self.prior = np.zeros(size, np.float32), np.zeros(size, np.float32), prior
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
-        l1 = np.where(at == 0, 0.0, L1)  # the bias is not shrunk
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
+        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = 1 / (1 + np.exp(-np.clip(self.prior + w.sum(), -35, 35))) - label
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         self.z[at] += g - sigma * w
         self.n[at] += g * g
 
 
 def fit(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates with a weight, and the weights; the bias comes first. No examples: nothing."""
+    """Coordinates with a weight, and the weights; the prior comes first. No examples: nothing."""
     if not examples:
         return np.empty(0, np.uint32), np.empty(0, np.float64)
-    model = Ftrl(1 << BITS)
+    ones = sum(y for _, y in examples)
+    model = Ftrl(1 << BITS, float(np.log((ones + 0.5) / (len(examples) - ones + 0.5))))
     for _ in range(EPOCHS):
         for at, label in examples:
             model.learn(at, label)
-    at = np.union1d([0], np.flatnonzero(np.abs(model.z) > L1)).astype(np.uint32)
-    return at, model.weights(at)
+    at = np.flatnonzero(np.abs(model.z) > L1).astype(np.uint32)
+    return np.append(np.uint32(0), at), np.append(model.prior, model.weights(at))
 
 
 class Scorer:
@@ -117,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(sample), id_col)
 
     def compute(batch):
-        return [[np.append(np.unique(features(t)), 0).astype(np.int32) for t in batch]]
+        return [[np.unique(features(t)).astype(np.int32) for t in batch]]
 
     made = map_texts(texts, [id_col, "y"], "t", compute, "at array<int>")
     ordered = made.repartition(1).sortWithinPartitions(order, id_col, F.size("at"))
@@ -148,7 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     """``id_col, held_out, score, predicted`` of every row of ``docs``.
 
     Learns from labelled rows that are not held out (`held_out`), at most `TRAIN_ROWS` of them; a score sees the text alone.
-    Null and empty texts score by the bias. Repeated rows score alike, a null id is scored and never trains, labels of ids
+    Null and empty texts score by the label's share in training. Repeated rows score alike, a null id is scored and never trains, labels of ids
     without a text are ignored, several labels of one id count by the greatest, and without labels every score is 0. An
     empty table gives an empty one; other columns are not read.
     """
