@@ -68,3 +68,11 @@ def op5(spark, folder):
     from modalframe.llm.ftrl import toxicity
 
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+
+
+@query("op6_candidate_boosting")
+def op6(spark, folder):
+    """Personal data in every whole text."""
+    from modalframe.llm.pii import personal_data
+
+    return personal_data(table(spark, folder, "documents"))
