@@ -94,3 +94,11 @@ def op4(spark, folder):
     from modalframe.llm.zipwarc import archive_pages
 
     return archive_pages(table(spark, folder, "pages"), least_bytes=0)
+
+
+@query("op7_log_frequency_bloom")
+def op7(spark, folder):
+    """Language-model score of every whole text."""
+    from modalframe.llm.bloomlm import language_model
+
+    return language_model(table(spark, folder, "documents"))
