@@ -102,3 +102,29 @@ def op7(spark, folder):
     from modalframe.llm.bloomlm import language_model
 
     return language_model(table(spark, folder, "documents"))
+
+
+@query("op1_subspace_pigeonhole")
+def op1(spark, folder):
+    """Near-duplicate vectors at a cosine of 0.95."""
+    from modalframe.llm.subspace import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"), least_cosine=0.95)
+
+
+@query("op9_snapshot_collapse", """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     p AS (SELECT *, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h,
+                  max(pos) OVER (PARTITION BY conv_id) AS n FROM t),
+     w AS (SELECT n, h, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY n, h),
+     m AS (SELECT w.* FROM w ANTI JOIN (SELECT DISTINCT pos, h FROM p WHERE pos < n) q ON w.n = q.pos AND w.h = q.h)
+SELECT m.conv_id, CAST(m.n AS BIGINT) AS n_turns, CAST(m.n_copies AS BIGINT) AS n_copies,
+       (SELECT string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.pos) FROM t WHERE t.conv_id = m.conv_id) AS chat
+FROM m
+""")
+def op9(spark, folder):
+    """Retain maximal conversations and render them."""
+    from modalframe.llm.snapshots import collapse_snapshots
+
+    return collapse_snapshots(table(spark, folder, "conversations"))
