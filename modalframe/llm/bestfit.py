@@ -6,6 +6,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from modalframe.llm.text import map_texts
 from modalframe.session import scratch_path
 
 #: Fragments whose ids a worker remembers before it starts afresh; bounds its memory, not the result.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Pieces packed together. Groups grow in number with the input, never in size.
 PIECES_PER_GROUP = 4096
 
@@ -36,7 +37,7 @@ class FragmentEncoder:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return np.array(ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

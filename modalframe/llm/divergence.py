@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from modalframe.llm.circulant import word_hashes
 from modalframe.llm.text import map_texts, words
@@ -111,50 +113,73 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: x / total)
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, to base 2, of each row of ``p`` to the shares ``q``."""
+    m = (p + q) / 2
 
+    def part(x):
+        return (x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1))).sum(axis=1)
 
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares, to base 2."""
-    def half(x, y):
-        return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
+    return np.sqrt(np.maximum((part(p) + part(np.broadcast_to(q, p.shape))) / 2, 0))
 
-    terms = F.zip_with(p, q, lambda x, y: (half(x, y) + half(y, x)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
+def _rows_of(column, bins: int) -> np.ndarray:
+    """Arrow lists of equal length as the rows of an array."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, bins).astype(float)
 
-def references(measured: DataFrame, lang_col: str) -> DataFrame:
-    """One row: for each language the mean shares of its texts that pass the base rule and are long enough.
 
-    Every such text of the corpus counts once. The row has two arrays per language of `COMMON`, whatever the input; a
-    language without texts has NULL there.
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
+
+_KINDS = (("characters", CLASSES, MIN_CHARACTERS), ("common", WORD_BINS, MIN_WORDS))
+
+
+def references(measured: DataFrame, lang_col: str) -> list[list[np.ndarray]]:
+    """Per histogram the mean shares of each language's texts that pass the base rule and are long enough.
+
+    Every such text of the corpus counts once. Shares are added up batch by batch, then over batches: what reaches the
+    driver has one row per histogram and language of `COMMON`, whatever the input.
     """
-    good = measured.filter(~base_failed())
-    aggs = []
-    for lang in LANGUAGES:
-        mine = F.col(lang_col) == lang
-        long_c = mine & (F.aggregate("characters", F.lit(0).cast("bigint"), lambda s, x: s + x) >= MIN_CHARACTERS)
-        long_w = mine & (F.col("n_words") >= MIN_WORDS)
-        aggs.append(F.array(*[F.avg(F.when(long_c, F.col("p")[i])) for i in range(CLASSES)]).alias(f"c_{lang}"))
-        aggs.append(F.array(*[F.avg(F.when(long_w, F.col("q")[i])) for i in range(WORD_BINS)]).alias(f"w_{lang}"))
-    return good.select(lang_col, "characters", "n_words", _shares(F.col("characters")).alias("p"), _shares(F.col("common")).alias("q")).agg(*aggs)
+
+    def add_up(batches):
+        for b in batches:
+            lang = np.array(b.column("lang").to_pylist(), object)
+            rows = []
+            for k, (name, bins, least) in enumerate(_KINDS):
+                counts = _rows_of(b.column(name), bins)
+                shares, long_ = _shares(counts), counts.sum(axis=1) >= least
+                for language in LANGUAGES:
+                    at = long_ & (lang == language)
+                    if at.any():
+                        rows.append({"kind": k, "language": language, "n": int(at.sum()), "sums": shares[at].sum(axis=0).tolist()})
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    out = pa.schema([("kind", pa.int32()), ("language", pa.string()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
+    parts = measured.filter(~base_failed()).select(F.col(lang_col).alias("lang"), "characters", "common").mapInArrow(add_up, "kind int, language string, n bigint, sums array<double>")
+    bins = parts.select("kind", "language", F.posexplode("sums").alias("bin", "s"), "n")
+    rows = bins.groupBy("kind", "language", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("kind", "language").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("bin", (F.col("s") / F.col("n")).alias("share")))), lambda x: x["share"]).alias("mean")).orderBy("kind", "language").collect()
+    return [[np.array(r["mean"]) for r in rows if r["kind"] == k] for k in range(len(_KINDS))]
 
 
 def verdicts(measured: DataFrame, lang_col: str) -> DataFrame:
-    """``measured`` (a stored table) with base_failed, char_distance, word_distance and kept."""
-    refs = references(measured, lang_col).first()
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-
-    def least(kind: str, counts: str) -> Column:
-        """Distance to the nearest reference."""
-        known = [refs[f"{kind}_{lang}"] for lang in LANGUAGES if refs[f"{kind}_{lang}"][0] is not None]
-        return F.array_min(F.array(*[jensen_shannon(_shares(F.col(counts)), lit(r)) for r in known])) if known else F.lit(None).cast("double")
-
-    long_c = F.aggregate("characters", F.lit(0).cast("bigint"), lambda s, x: s + x) >= MIN_CHARACTERS
-    d = measured.withColumn("base_failed", base_failed())
-    d = d.withColumn("char_distance", F.when(long_c, least("c", "characters"))).withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, least("w", "common")))
+    """``measured`` (a stored table), but for the histograms, with base_failed, char_distance, word_distance and kept."""
+    refs = references(measured, lang_col)
+    plain = [c for c in measured.columns if c not in ("characters", "common")]
+    n = len(plain)
+    schema = StructType([*measured.select(*plain).schema.fields, StructField("char_distance", DoubleType()), StructField("word_distance", DoubleType())])
+
+    def judge(batches):
+        for b in batches:
+            made = []
+            for k, (name, bins, least) in enumerate(_KINDS):
+                counts = _rows_of(b.column(n + k), bins)
+                near = np.min([jensen_shannon(_shares(counts), r) for r in refs[k]], axis=0) if refs[k] else np.zeros(len(counts))
+                made.append(pa.array(near, mask=(counts.sum(axis=1) < least) | (not refs[k])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.names)
+
+    d = measured.select(*plain, "characters", "common").mapInArrow(judge, schema).withColumn("base_failed", base_failed())
     unlike = F.coalesce(F.col("char_distance") > MAX_CHARACTERS, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~unlike)
 

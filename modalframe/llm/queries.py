@@ -82,8 +82,8 @@ def op6(spark, folder):
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
      d AS (SELECT page_id, octet_length(raw) AS n, sha1(raw) AS h FROM p),
      f AS (SELECT h, n, min(page_id) AS first FROM d GROUP BY h, n),
-     bits AS (SELECT DISTINCT h, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS b32 FROM d)
+     bits AS (SELECT DISTINCT h, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], '') AS b32 FROM d)
 SELECT d.page_id AS page_id, CAST(d.n AS BIGINT) AS payload_bytes, bits.b32 AS payload_digest,
        CASE WHEN f.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
