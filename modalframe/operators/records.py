@@ -10,30 +10,47 @@ from modalframe.functions.cplx import abs2, finite
 from modalframe.functions.reasons import first_reason
 from modalframe.session import cut_lineage
 
-# Analysis types of the universal-file records, and the residual label pattern.
+# Analysis types of the universal-file records.
 MODAL_TYPES = (2, 3, 7)
 NON_MODAL_55 = (1, 4, 5, 6)
 NON_MODAL_2414 = (1, 4, 5, 6, 9)
-RESIDUAL = r"(?i)^(.*?)\s+residuals?\s+(?:below|above)\b.*$"
 ULP32 = 2.0 ** -23
 EIGVAL_RELATIVE = 4 * 2.0 ** -24
-DESCRIBED = r"(?i)\bfreq(?:uency)?\s*[:=]\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[Ee][-+]?\d+)?)"
 
 
 def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
 
 
+def residual_name(label: Column) -> Column:
+    """What stands before the words "residual(s) below" or "residual(s) above" of a tidy label; NULL without them."""
+    words = F.split(label, " ")
+    plain = F.transform(words, lambda w: F.regexp_extract(F.lower(w), r"^\w+", 0))
+    marks = F.filter(F.sequence(F.lit(2), F.greatest(F.size(words) - 1, F.lit(2))), lambda k: F.lower(F.get(words, k - 1)).isin("residual", "residuals") & F.get(plain, k).isin("below", "above"))
+    return F.when(F.size(marks) > 0, F.array_join(F.slice(words, F.lit(1), F.get(marks, F.lit(0)) - 1), " "))
+
+
+def described_frequency(text: Column) -> Column:
+    """The first number given for a frequency ("freq" or "frequency", then a colon or an equals sign), as it is printed."""
+    parts = F.split(text, "[:=]")
+    label = lambda k: F.lower(F.element_at(F.split(F.trim(F.get(parts, k)), r"\W+"), -1))
+    value = lambda k: F.get(F.split(F.ltrim(F.get(parts, k + 1)), r"[\s,;()]+"), F.lit(0))
+    places = F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0)))
+    good = F.filter(places, lambda k: (k + 1 < F.size(parts)) & label(k).isin("freq", "frequency") & value(k).try_cast("double").isNotNull())
+    return F.when(F.size(good) > 0, value(F.get(good, F.lit(0))))
+
+
 def classify_records(records: DataFrame) -> DataFrame:
     """physical / ambiguous / residual / non_modal with the processing name and whether the record is kept."""
     kind, label = F.col("analysis_type"), tidy(F.col("id1"))
-    marked = (F.col("ds_type") == 55) & label.rlike(RESIDUAL)
+    before = residual_name(label)
+    marked = F.coalesce((F.col("ds_type") == 55) & before.isNotNull(), F.lit(False))
     modal = kind.isin(*MODAL_TYPES)
     non_modal = F.when(F.col("ds_type") == 55, kind.isin(*NON_MODAL_55)).otherwise(kind.isin(*NON_MODAL_2414))
     yes = lambda c: F.coalesce(c, F.lit(False))
     cls = (F.when(yes(modal), F.when(marked, "ambiguous").otherwise("physical"))
            .when(yes(non_modal), F.when(marked, "residual").otherwise("non_modal")).otherwise("ambiguous"))
-    name = F.when(yes(modal), label).when(marked, tidy(F.regexp_extract(label, RESIDUAL, 1))).otherwise(label)
+    name = F.when(yes(modal), label).when(marked, before).otherwise(label)
     return records.withColumn("classification", cls).withColumn("included", ~F.col("classification").isin("residual", "non_modal")).withColumn("processing_name", name)
 
 
@@ -156,10 +173,10 @@ def reconcile_frequencies(frames: DataFrame, eigfreq: DataFrame, eigval: DataFra
     d = d.join(twin, key, "left")
     check = F.abs(F.sqrt(F.greatest("eigval", F.lit(0.0))) / (2 * math.pi) - F.col("eigfreq_hz")) <= EIGVAL_RELATIVE * F.col("eigfreq_hz")
     reason = first_reason(
-        (F.coalesce("_kf", F.lit(0)) == 0, "no EIGFREQ history"), (F.col("_df") > 1, "EIGFREQ history repeats a mode"), (F.col("_dv") > 1, "EIGVAL history repeats a mode"),
-        ((F.col("_kv") > 0) & (F.col("_odd") > 0), "the histories list different modes"), (F.col("eigfreq_hz").isNull(), "mode is not in the EIGFREQ history"),
-        (~((F.col("frame_hz") > 0) & (F.abs(F.col("eigfreq_hz") - F.col("frame_hz")) <= F.col("_tol"))), "EIGFREQ contradicts the frame frequency"),
-        (F.col("_twin"), "the frame frequency also matches another mode"), (F.col("eigval").isNotNull() & ~((F.col("eigval") > 0) & check), "EIGVAL contradicts EIGFREQ"))
+        (F.coalesce("_kf", F.lit(0)) == 0, "history missing"), (F.col("_df") > 1, "frequency history has a mode twice"), (F.col("_dv") > 1, "eigenvalue history has a mode twice"),
+        ((F.col("_kv") > 0) & (F.col("_odd") > 0), "histories cover unequal modes"), (F.col("eigfreq_hz").isNull(), "mode absent from history"),
+        (~((F.col("frame_hz") > 0) & (F.abs(F.col("eigfreq_hz") - F.col("frame_hz")) <= F.col("_tol"))), "history disagrees with frame"),
+        (F.col("_twin"), "frame fits a second mode"), (F.col("eigval").isNotNull() & ~((F.col("eigval") > 0) & check), "eigenvalue disagrees with frequency"))
     d = d.withColumn("reason", reason)
     return d.withColumn("frequency_hz", F.when(F.col("reason").isNull(), F.col("eigfreq_hz")).otherwise(F.col("frame_hz"))).withColumn(
         "source", F.when(F.col("reason").isNull(), "history").otherwise("frame"))
@@ -172,7 +189,7 @@ def reliable_history(eigfreq: DataFrame, eigval: DataFrame) -> DataFrame:
     d = eigfreq.join(eigval.withColumnRenamed("value", "_v"), key, "left").join(has, "package_id", "left")
     expect = F.sqrt(F.greatest("_v", F.lit(0.0))) / (2 * math.pi)
     bad = F.abs(expect - F.col("value")) > EIGVAL_RELATIVE * F.greatest(F.abs("value"), expect) + 1e-12
-    note = F.when(F.col("_has"), F.when(F.col("_v").isNull(), "EIGFREQ without EIGVAL").when(bad, "EIGVAL contradicts EIGFREQ"))
+    note = F.when(F.col("_has"), F.when(F.col("_v").isNull(), "EIGFREQ without EIGVAL").when(bad, "eigenvalue disagrees with frequency"))
     return d.withColumn("note", note).drop("_v", "_has")
 
 
@@ -180,8 +197,7 @@ def contradictions(frames: DataFrame, reliable: DataFrame) -> DataFrame:
     """Modes whose manifest frequency contradicts its frame description or a reliable EIGFREQ, with the reasons.
 
     ``frames``: package_id, mode_no, frame_text, description."""
-    text = F.regexp_extract("description", DESCRIBED, 1)
-    d = frames.withColumn("manifest_hz", F.col("frame_text").cast("double")).withColumn("_dt", F.nullif(text, F.lit("")))
+    d = frames.withColumn("manifest_hz", F.col("frame_text").cast("double")).withColumn("_dt", described_frequency(F.col("description")))
     d = d.withColumn("described_hz", F.col("_dt").cast("double")).join(reliable.filter("note is null").select("package_id", "mode_no", F.col("value").alias("eigfreq_hz")), ["package_id", "mode_no"], "left")
     mt = printed_precision(F.col("frame_text"))
     has = F.col("described_hz").isNotNull()

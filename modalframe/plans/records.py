@@ -124,8 +124,8 @@ RECON_SQL = f"""fr AS ({FRAMES}), ef AS ({EIGF}), evl AS ({EIGV}), f1 AS (SELECT
  hs AS (SELECT coalesce(f1.package_id, v1.package_id) AS package_id, count(f) AS kf, count(v) AS kv, max(nf) AS df, count(*) FILTER (f IS NULL OR v IS NULL) AS odd FROM f1 FULL JOIN v1 ON f1.package_id = v1.package_id AND f1.mode_no = v1.mode_no GROUP BY 1),
  d AS (SELECT fr.*, CAST(frame_text AS DOUBLE) AS fh, {PREC.format(c='frame_text')} AS tol, f, v, kf, kv, df, odd, EXISTS (SELECT 1 FROM f1 o WHERE o.package_id = fr.package_id AND o.mode_no <> fr.mode_no AND abs(o.f - CAST(fr.frame_text AS DOUBLE)) <= {PREC.format(c='fr.frame_text')}) AS twin
  FROM fr LEFT JOIN f1 ON f1.package_id = fr.package_id AND f1.mode_no = fr.mode_no LEFT JOIN v1 ON v1.package_id = fr.package_id AND v1.mode_no = fr.mode_no LEFT JOIN hs ON hs.package_id = fr.package_id),
- r AS (SELECT *, CASE WHEN coalesce(kf, 0) = 0 THEN 'no EIGFREQ history' WHEN df > 1 THEN 'EIGFREQ history repeats a mode' WHEN kv > 0 AND odd > 0 THEN 'the histories list different modes' WHEN f IS NULL THEN 'mode is not in the EIGFREQ history'
- WHEN NOT (fh > 0 AND abs(f - fh) <= tol) THEN 'EIGFREQ contradicts the frame frequency' WHEN twin THEN 'the frame frequency also matches another mode' WHEN v IS NOT NULL AND NOT abs(sqrt(v) / (2e0 * pi()) - f) <= 4e0 * pow(2e0, -24) * f THEN 'EIGVAL contradicts EIGFREQ' END AS reason FROM d)"""
+ r AS (SELECT *, CASE WHEN coalesce(kf, 0) = 0 THEN 'history missing' WHEN df > 1 THEN 'frequency history has a mode twice' WHEN kv > 0 AND odd > 0 THEN 'histories cover unequal modes' WHEN f IS NULL THEN 'mode absent from history'
+ WHEN NOT (fh > 0 AND abs(f - fh) <= tol) THEN 'history disagrees with frame' WHEN twin THEN 'frame fits a second mode' WHEN v IS NOT NULL AND NOT abs(sqrt(v) / (2e0 * pi()) - f) <= 4e0 * pow(2e0, -24) * f THEN 'eigenvalue disagrees with frequency' END AS reason FROM d)"""
 
 
 @query("j13_reconciled_frequencies", "package_id:i mode_no:i frequency_hz:6 source reason", f"WITH {RECON_SQL} SELECT *, CASE WHEN reason IS NULL THEN f ELSE fh END AS frequency_hz, CASE WHEN reason IS NULL THEN 'history' ELSE 'frame' END AS source FROM r")
