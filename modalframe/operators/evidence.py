@@ -56,45 +56,17 @@ def least_cost_columns(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-LARGE_COMPARISON = 4000
-
-
 def _grouped(edges: DataFrame) -> DataFrame:
     """Assignment groups of the gated bipartite graph: ``component`` and ``n_edges``.
 
-    A comparison with up to 4000 gated candidates is one group (the kernel splits it further); larger ones are split into
-    their connected components in Spark first (FE ids even, EXP ids odd). Components decouple the problem, so both are exact.
+    Every comparison is split into its connected components (FE ids even, EXP ids odd), whatever its size. Components
+    decouple the problem, so the split is exact.
     """
-    edges = cut_lineage(edges)
-    size = edges.groupBy("cmp_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    e = edges.join(size, "cmp_id")
-    small = e.filter(F.col("n_edges") <= LARGE_COMPARISON).withColumn("component", F.lit(-1).cast("bigint"))
-    large = e.filter(F.col("n_edges") > LARGE_COMPARISON).drop("n_edges")
-    if large.isEmpty():
-        return small
-    large = large.withColumn("a", F.col("fe_mode") * 2).withColumn("b", F.col("exp_mode") * 2 + 1)
-    v = large.select("cmp_id", F.explode(F.array("a", "b")).alias("id")).distinct()
-    comp = connected_components(v, large, ["cmp_id"])
-    large = large.join(comp.select("cmp_id", F.col("id").alias("a"), "component"), ["cmp_id", "a"]).drop("a", "b")
-    return small.unionByName(large.join(large.groupBy("cmp_id", "component").agg(F.count(F.lit(1)).alias("n_edges")), ["cmp_id", "component"]))
-
-
-def _edge_blocks(rows: np.ndarray, cols: np.ndarray) -> list[np.ndarray]:
-    """Edge positions of each connected block of a small bipartite edge list."""
-    label = np.arange(len(rows))
-    while True:
-        before = label.copy()
-        for side in (rows, cols):
-            low = np.full(side.max() + 1, len(label))
-            np.minimum.at(low, side, label)
-            label = low[side]
-        if np.array_equal(before, label):
-            return [np.flatnonzero(label == k) for k in np.unique(label)]
-
-
-def _solve_blocks(pdf: pd.DataFrame, solve) -> pd.DataFrame:
-    rows, cols = np.unique(pdf.fe_mode, return_inverse=True)[1], np.unique(pdf.exp_mode, return_inverse=True)[1]
-    return pd.concat([solve(pdf.iloc[ix]) for ix in _edge_blocks(rows, cols)])
+    e = cut_lineage(edges).withColumn("a", F.col("fe_mode") * 2).withColumn("b", F.col("exp_mode") * 2 + 1)
+    v = e.select("cmp_id", F.explode(F.array("a", "b")).alias("id")).distinct()
+    comp = connected_components(v, e, ["cmp_id"])
+    e = e.join(comp.select("cmp_id", F.col("id").alias("a"), "component"), ["cmp_id", "a"]).drop("a", "b")
+    return e.join(e.groupBy("cmp_id", "component").agg(F.count(F.lit(1)).alias("n_edges")), ["cmp_id", "component"])
 
 
 def assign_pairs(candidates: DataFrame, unmatched_cost: float = 1.15) -> DataFrame:
@@ -116,7 +88,7 @@ def assign_pairs(candidates: DataFrame, unmatched_cost: float = 1.15) -> DataFra
         pick = least_cost_columns(c)[:m]
         return pdf[(pick[rows[1]] == cols[1])][["cmp_id", "fe_mode", "exp_mode", "cost"]]
 
-    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(lambda pdf: _solve_blocks(pdf, block), single.schema)
+    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(block, single.schema)
     return single.unionByName(many)
 
 
@@ -152,7 +124,7 @@ def strict_pairs(candidates: DataFrame, policy: StrictPolicy = StrictPolicy()) -
         out["tied"] = tied
         return out
 
-    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(lambda pdf: _solve_blocks(pdf, block), single.schema)
+    many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(block, single.schema)
     return single.unionByName(many)
 
 

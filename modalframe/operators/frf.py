@@ -180,39 +180,43 @@ def reference_gram(lines: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _gram_singular_values(i: pd.Series, j: pd.Series, gr: pd.Series, gi: pd.Series) -> pd.Series:
-    """Singular values (descending) from the upper-triangle Gram entries of one line; a handful of references each."""
-    out = []
-    for a, b, re, im in zip(i, j, gr, gi):
-        k = int(max(b)) + 1
-        m = np.zeros((k, k), complex)
-        m[a, b] = np.asarray(re) + 1j * np.asarray(im)
-        m[b, a] = np.conj(m[a, b])
-        out.append(np.sqrt(np.clip(np.linalg.eigvalsh(m)[::-1], 0.0, None)))
-    return pd.Series(out)
-
-
-def cmif(lines: DataFrame, max_references: int = 2) -> DataFrame:
-    """Singular values of the response x reference matrix per line.
-
-    Up to two references are finished in closed form; with more, the small Gram of each line goes to a vectorised kernel.
+    """Singular values (descending) from the upper-triangle Gram entries of each line; lines with equally many references
+    are solved in one call."""
+    out = pd.Series([None] * len(i), index=i.index, dtype=object)
+    width = np.array([int(max(b)) + 1 if b is not None else 0 for b in j])
+    for k in np.unique(width[width > 0]):
+        at = np.flatnonzero(width == k)
+        m = np.zeros((len(at), k, k), complex)
+        for n, r in enumerate(at):
+            a, b = np.asarray(i.iat[r]), np.asarray(j.iat[r])
+            m[n, a, b] = np.asarray(gr.iat[r]) + 1j * np.asarray(gi.iat[r])
+            m[n, b, a] = np.conj(m[n, a, b])
+        values = np.sqrt(np.clip(np.linalg.eigvalsh(m)[:, ::-1], 0.0, None))
+        for n, r in enumerate(at):
+            out.iat[r] = values[n]
+    return out
+
+
+def cmif(lines: DataFrame) -> DataFrame:
+    """Singular values of the response x reference matrix of each line: ``sv`` (all, descending), sv1, sv2 and n_refs.
+
+    Every line is treated by its own number of references: one or two are finished in closed form, the small Gram of a line
+    with more goes to a batched kernel.
     """
-    gram = reference_gram(lines)
-    if max_references > 2:
-        refs = gram.select("dataset_id", F.col("i").alias("ref")).distinct()
-        refs = refs.withColumn("k", F.row_number().over(Window.partitionBy("dataset_id").orderBy("ref")) - 1)
-        g = (gram.join(refs.select("dataset_id", F.col("ref").alias("i"), F.col("k").alias("ki")), ["dataset_id", "i"])
-             .join(refs.select("dataset_id", F.col("ref").alias("j"), F.col("k").alias("kj")), ["dataset_id", "j"]))
-        g = g.groupBy("dataset_id", "line", "f_hz").agg(F.collect_list(F.struct("ki", "kj", "gr", "gi")).alias("g"))
-        return g.select("dataset_id", "line", "f_hz", _gram_singular_values("g.ki", "g.kj", "g.gr", "g.gi").alias("sv"))
-    diag = F.col("i") == F.col("j")
-    g = gram.groupBy("dataset_id", "line", "f_hz").agg(
-        F.min_by(F.when(diag, F.col("gr")), F.when(diag, F.col("i"))).alias("p"),
-        F.max_by(F.when(diag, F.col("gr")), F.when(diag, F.col("i"))).alias("q"), F.sum(diag.cast("int")).alias("n_refs"),
-        F.sum(F.when(~diag, F.col("gr")).otherwise(0.0)).alias("xr"), F.sum(F.when(~diag, F.col("gi")).otherwise(0.0)).alias("xi"))
-    mean, half = (F.col("p") + F.col("q")) / 2, (F.col("p") - F.col("q")) / 2
-    root = F.sqrt(half * half + abs2(F.col("xr"), F.col("xi")))
-    return (g.withColumn("sv1", F.when(F.col("n_refs") == 1, F.sqrt("p")).otherwise(F.sqrt(mean + root)))
-            .withColumn("sv2", F.when(F.col("n_refs") == 2, F.sqrt(F.greatest(mean - root, F.lit(0.0))))))
+    g = reference_gram(lines).groupBy("dataset_id", "line", "f_hz").agg(F.array_sort(F.collect_list(F.struct("i", "j", "gr", "gi"))).alias("g"))
+    diag = F.filter("g", lambda e: e["i"] == e["j"])
+    g = g.withColumn("d", diag).withColumn("n_refs", F.size("d"))
+    many = F.when(F.col("n_refs") > 2, F.transform("g", lambda e: F.struct((F.array_position(F.col("d.i"), e["i"]).cast("int") - 1).alias("ki"), (F.array_position(F.col("d.i"), e["j"]).cast("int") - 1).alias("kj"),
+                                                                          e["gr"].alias("gr"), e["gi"].alias("gi"))))
+    g = g.withColumn("m", many).withColumn("_k", _gram_singular_values("m.ki", "m.kj", "m.gr", "m.gi"))
+    p, q = F.get("d", F.lit(0))["gr"], F.get("d", F.lit(1))["gr"]
+    cross = F.filter("g", lambda e: e["i"] != e["j"])
+    off = lambda part: F.coalesce(F.get(cross, F.lit(0))[part], F.lit(0.0))
+    mean, half = (p + q) / 2, (p - q) / 2
+    root = F.sqrt(half * half + abs2(off("gr"), off("gi")))
+    two = F.array(F.sqrt(mean + root), F.sqrt(F.greatest(mean - root, F.lit(0.0))))
+    sv = F.when(F.col("n_refs") == 1, F.array(F.sqrt(p))).when(F.col("n_refs") == 2, two).otherwise(F.col("_k"))
+    return g.withColumn("sv", sv).select("dataset_id", "line", "f_hz", "n_refs", "sv", F.get("sv", F.lit(0)).alias("sv1"), F.get("sv", F.lit(1)).alias("sv2"))
 
 
 # ---------------------------------------------------------------------------------------------------- peaks

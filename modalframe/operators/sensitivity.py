@@ -10,11 +10,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modalframe.operators.ordered import top_rows
 
 RCOND, SD_LIMIT = 1.0e-3, 0.08
 BOUND_FACTORS, LINEAR_RANGE = (0.5, 2.0), 0.05
@@ -210,7 +209,7 @@ def rank_subsets(subsets: DataFrame, keys: list[str], digits: int = 9) -> DataFr
     big = F.lit(1e300)
     order = [F.desc("admissible"), F.desc("size"), F.desc(F.round("normalized_min", digits)), F.desc(F.round("min_singular", digits)),
              F.coalesce("gamma", big), F.coalesce("condition", big), "subset"]
-    return top_rows(subsets, keys, order, 2 ** 16, "position")
+    return subsets.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 _COV = T.StructType([T.StructField("sd", T.ArrayType(T.DoubleType())), T.StructField("fraction", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType())])

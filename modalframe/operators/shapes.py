@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from modalframe.functions.columns import settle
 from modalframe.functions.cplx import abs2, clip, finite
+from modalframe.operators.graph import exchanged, star_components
 from modalframe.operators.ordered import log_bin, with_order
-from modalframe.session import cut_lineage
 
 RIGID_LIMIT = 0.02
 TRACK_MAC, TRACK_COS2 = 0.90, 0.95
@@ -280,24 +280,11 @@ def mass_weighted_mac(pairs: DataFrame, left: DataFrame, right: DataFrame, mass:
 
 
 # ------------------------------------------------------------------------------------------------ components
-def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
-    """Smallest member id of each connected component: keys, id, component.
-
-    Min-label propagation with pointer jumping; each round is checkpointed reliably, and running out of rounds is an error.
-    """
-    both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(vertices.select(*keys, "id", F.col("id").alias("component")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("component").alias("_n"))
-        step = labels.join(near.withColumnRenamed("a", "id"), [*keys, "id"], "left").withColumn("_c", F.least("component", F.coalesce("_n", "component")))
-        jump = labels.select(*keys, F.col("id").alias("_c"), F.col("component").alias("_j"))
-        step = cut_lineage(step.join(jump, [*keys, "_c"], "left").select(*keys, "id", F.col("component").alias("_old"),
-                                                                         F.least("_c", F.coalesce("_j", "_c")).alias("component")))
-        labels = step.drop("_old")
-        if step.filter("_old <> component").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle: raise max_rounds")
+def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Smallest member id of each connected component: keys, id, component. No limit on rounds (see `star_components`)."""
+    stars = star_components(edges, keys)
+    v = vertices.select(*keys, "id").distinct()
+    return v.join(exchanged(stars, *keys, "id"), [*keys, "id"], "left").select(*keys, "id", F.coalesce("component", "id").alias("component"))
 
 
 def trigger_groups(rows: DataFrame, keys: list[str], spacing: float = 0.03) -> DataFrame:

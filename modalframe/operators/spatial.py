@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,38 @@ def _cells(df: DataFrame, prefix: str, around: bool) -> DataFrame:
     return df
 
 
+def _descend(queries: DataFrame, targets: DataFrame, size: DataFrame, keys: list[str], qid: list[str], k: int) -> DataFrame:
+    """Pairs among which the k nearest targets of far queries are: down an octree of the targets, level by level.
+
+    Each cell is known by the bounding box of its targets. A query drops the cells whose box begins beyond the nearest box
+    that surely holds k targets, so it keeps a few cells a level and meets only the targets of its last cells. The depth is
+    the one at which a cell is as wide as a density cell; it grows with the logarithm of the number of targets.
+    """
+    low = targets.groupBy(*keys).agg(*[F.min(f"t{c}").alias(f"_o{c}") for c in XYZ], F.greatest(*[F.max(f"t{c}") - F.min(f"t{c}") for c in XYZ]).alias("_w")).join(size.select(*keys, "_h0"), keys)
+    depth = low.agg(F.max(F.ceil(F.log2(F.greatest(F.col("_w") / F.col("_h0"), F.lit(1.0)))))).first()[0] or 0
+    depth = min(int(depth), 40) + 1
+    fine = targets.join(low, keys)
+    for c in XYZ:
+        fine = fine.withColumn(f"_i{c}", F.least(F.floor((F.col(f"t{c}") - F.col(f"_o{c}")) / F.greatest(F.col("_w"), F.lit(1e-300)) * 2.0 ** depth), F.lit(2 ** depth - 1)).cast("bigint"))
+    own = [f"_i{c}" for c in XYZ]
+    boxes = fine.groupBy(*keys, *own).agg(F.count(F.lit(1)).alias("_m"), *[f(f"t{c}").alias(f"_{n}{c}") for c in XYZ for f, n in ((F.min, "l"), (F.max, "u"))])
+    front = queries.select(*keys, *qid, *[f"q{c}" for c in XYZ]).withColumns({i: F.lit(0).cast("bigint") for i in own})
+    query = Window.partitionBy(*keys, *qid)
+    for level in range(1, depth + 1):
+        up = depth - level
+        cells = boxes.select(*keys, *[F.shiftright(i, up).alias(i) for i in own], "_m", *[f"_{n}{c}" for c in XYZ for n in "lu"]).groupBy(*keys, *own).agg(
+            F.sum("_m").alias("_m"), *[f(f"_{n}{c}").alias(f"_{n}{c}") for c in XYZ for f, n in ((F.min, "l"), (F.max, "u"))])
+        cells = cells.withColumns({f"_p{i}": F.shiftright(i, 1) for i in own})
+        front = front.withColumnsRenamed({i: f"_p{i}" for i in own}).join(cells, [*keys, *[f"_p{i}" for i in own]])
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c in XYZ:
+            near = near + F.pow(F.greatest(F.col(f"_l{c}") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"_u{c}"), F.lit(0.0)), 2)
+            far = far + F.pow(F.greatest(F.abs(F.col(f"q{c}") - F.col(f"_l{c}")), F.abs(F.col(f"q{c}") - F.col(f"_u{c}"))), 2)
+        front = front.withColumn("_near", near).withColumn("_cut", F.min(F.when(F.col("_m") >= k, far)).over(query))
+        front = front.filter(F.col("_cut").isNull() | (F.col("_near") <= F.col("_cut") * (1 + 1e-12) + 1e-300)).select(*keys, *qid, *[f"q{c}" for c in XYZ], *own)
+    return front.join(fine.drop("_w", "_h0", *[f"_o{c}" for c in XYZ]), [*keys, *own]).withColumn("_h", F.lit(0.0)).withColumn("_n", F.lit(0))
+
+
 def nearest_points(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[str], tid: str, k: int = 1) -> DataFrame:
     """The k nearest targets of every query point within its key: keys, qid, tid, distance, nearness (1 = nearest).
 
@@ -88,21 +120,16 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: list[str], qid:
         return top.groupBy(*keys, *qid).agg(F.max("_h").alias("_h"), F.max("_n").alias("_n"), F.sort_array(
             F.collect_list(F.struct(F.sqrt("_d2").alias("distance"), F.col(tid)))).alias("near"))
 
-    done, left = None, q
-    for widen in (1.0, 4.0):
-        s = size.select(*keys, "_n", (F.col("_h0") * widen).alias("_h"), (F.col("_sz") <= F.col("_h0") * widen).alias("_flat"))
-        pairs = _cells(left.join(s, keys), "q", True).join(_cells(t.join(s.drop("_n"), keys), "t", False).drop("_h", "_flat"),
-                                                           [*keys, "_cx", "_cy", "_cz"])
-        found = best(pairs)
-        sure = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & (F.element_at("near", -1)["distance"] <= F.col("_h"))
-        found = found.select(*keys, *qid, F.when(sure, F.col("near")).alias("near"))
-        # one row per query point, read by this pass's answer and by the next pass; a lost block is simply recomputed
-        seen = keep(left.join(found, [*keys, *qid], "left"))
-        found = seen.filter(F.col("near").isNotNull()).select(*keys, *qid, "near")
-        done = found if done is None else done.unionByName(found)
-        left = seen.filter(F.col("near").isNull()).drop("near")
-    rest = best(left.join(t, keys).withColumn("_h", F.lit(0.0)).withColumn("_n", F.lit(0)))
-    done = done.unionByName(rest.select(*keys, *qid, "near"))
+    s = size.select(*keys, "_n", F.col("_h0").alias("_h"), (F.col("_sz") <= F.col("_h0")).alias("_flat"))
+    pairs = _cells(q.join(s, keys), "q", True).join(_cells(t.join(s.drop("_n"), keys), "t", False).drop("_h", "_flat"), [*keys, "_cx", "_cy", "_cz"])
+    found = best(pairs)
+    sure = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & (F.element_at("near", -1)["distance"] <= F.col("_h"))
+    found = found.select(*keys, *qid, F.when(sure, F.col("near")).alias("near"))
+    # one row per query point, read by this pass's answer and by the descent; a lost block is simply recomputed
+    seen = keep(q.join(found, [*keys, *qid], "left"))
+    done = seen.filter(F.col("near").isNotNull()).select(*keys, *qid, "near")
+    far = _descend(seen.filter(F.col("near").isNull()).drop("near"), t, size, keys, qid, k)
+    done = done.unionByName(best(far).select(*keys, *qid, "near"))
     return done.select(*keys, *qid, F.posexplode("near").alias("_p", "v")).select(
         *keys, *qid, F.col(f"v.{tid}").alias(tid), F.col("v.distance").alias("distance"), (F.col("_p") + 1).alias("nearness"))
 
@@ -222,8 +249,9 @@ def rank_orientations(candidates: DataFrame) -> DataFrame:
     best = candidates.groupBy("dataset_id").agg(F.min("rms").alias("_best"))
     limit = F.greatest(F.col("_best") * RMS_FACTOR, F.col("_best") + RMS_WINDOW)
     kept = candidates.join(best, "dataset_id").filter(F.col("rms") <= limit).drop("_best")
-    # A dataset keeps at most 48 x scales candidates, so this window is bounded.
-    return top_rows(kept, ["dataset_id"], ["rms", F.desc("matched"), F.col("det") < 0, "candidate_no"], 48 * 64, "rank")
+    # A dataset has 48 candidates for each scale, so this window is bounded by the number of scales.
+    order = Window.partitionBy("dataset_id").orderBy("rms", F.desc("matched"), F.col("det") < 0, "candidate_no")
+    return kept.withColumn("rank", F.row_number().over(order))
 
 
 def collapse_equivalent(candidates: DataFrame, maps: DataFrame) -> DataFrame:

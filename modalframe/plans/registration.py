@@ -205,12 +205,12 @@ def a11_camera(t):
 
 
 def scored(t):
-    s = sp.scale_candidates(t.fe_points, t.exp_points, ["dataset_id"]).filter("scale_no = 0")
+    s = sp.scale_candidates(t.fe_points, t.exp_points, ["dataset_id"])
     s = s.select("dataset_id", "scale_no", *[F.col("scale").alias(c) for c in ("sx", "sy", "sz")])
     return sp.score_orientations(t.fe_points, t.exp_points, s)
 
 
-ORIENT_SQL = f"""WITH sc AS ({SCALE_SQL}), s0 AS (SELECT dataset_id, scale FROM sc WHERE scale_no = 0),
+ORIENT_SQL = f"""WITH sc AS ({SCALE_SQL}), s0 AS (SELECT dataset_id, scale_no, scale FROM sc),
  pm AS (SELECT * FROM (VALUES (0, [1, 2, 3], 1), (1, [1, 3, 2], -1), (2, [2, 1, 3], -1), (3, [2, 3, 1], 1), (4, [3, 1, 2], 1), (5, [3, 2, 1], -1)) v(pi, perm, par)),
  sg AS (SELECT k AS si, [CASE WHEN k >= 4 THEN 1e0 ELSE -1e0 END, CASE WHEN k % 4 >= 2 THEN 1e0 ELSE -1e0 END, CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END] AS sign FROM (SELECT unnest(range(8)) AS k)),
  orn AS (SELECT pi * 8 + si AS orientation, perm, sign, CAST(par * sign[1] * sign[2] * sign[3] AS INT) AS det FROM pm, sg),
@@ -218,9 +218,9 @@ ORIENT_SQL = f"""WITH sc AS ({SCALE_SQL}), s0 AS (SELECT dataset_id, scale FROM
  eb AS (SELECT dataset_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9, min(z) AS z0, max(z) AS z9 FROM fx_exp_points GROUP BY 1),
  ec AS (SELECT e.dataset_id, point_id, x - (x0 + x9) / 2 AS ex, y - (y0 + y9) / 2 AS ey, z - (z0 + z9) / 2 AS ez, sqrt(pow(x9 - x0, 2) + pow(y9 - y0, 2) + pow(z9 - z0, 2)) AS dg FROM fx_exp_points e JOIN eb USING (dataset_id)),
  sp AS (SELECT dataset_id, greatest(max(dg), sqrt(avg(ex * ex + ey * ey + ez * ez))) AS span FROM ec GROUP BY 1),
- d AS (SELECT ec.dataset_id, orientation, det, point_id, min(sqrt(pow(n[perm[1]] * sign[1] * scale - ex, 2) + pow(n[perm[2]] * sign[2] * scale - ey, 2) + pow(n[perm[3]] * sign[3] * scale - ez, 2))) AS r
-  FROM ec JOIN s0 USING (dataset_id) JOIN fc USING (dataset_id), orn GROUP BY 1, 2, 3, 4)
- SELECT d.dataset_id, 0 AS scale_no, orientation, det, sqrt(avg(r * r)) / max(span) AS rms, avg(CASE WHEN r <= 0.03e0 * span THEN 1e0 ELSE 0e0 END) AS matched FROM d JOIN sp USING (dataset_id) GROUP BY 1, 3, 4"""
+ d AS (SELECT ec.dataset_id, scale_no, orientation, det, point_id, min(sqrt(pow(n[perm[1]] * sign[1] * scale - ex, 2) + pow(n[perm[2]] * sign[2] * scale - ey, 2) + pow(n[perm[3]] * sign[3] * scale - ez, 2))) AS r
+  FROM ec JOIN s0 USING (dataset_id) JOIN fc USING (dataset_id), orn GROUP BY 1, 2, 3, 4, 5)
+ SELECT d.dataset_id, scale_no, orientation, det, sqrt(avg(r * r)) / max(span) AS rms, avg(CASE WHEN r <= 0.03e0 * span THEN 1e0 ELSE 0e0 END) AS matched FROM d JOIN sp USING (dataset_id) GROUP BY 1, 2, 3, 4"""
 
 
 @query("a12_orientation_scores", "dataset_id:i scale_no:i orientation:i det:i rms:6 matched:6", ORIENT_SQL)

@@ -91,3 +91,19 @@ def test_quads_interpolate_linear_fields_and_refuse_outside(spark):
     for _, i, x, y in pts[:2]:
         assert np.isclose(got[i].value, 2 * x - 3 * y + 1)
     assert got[2].refused
+
+
+def test_nearest_points_of_turned_planes(spark):
+    """Most points of a turned plane lie far from every node; the descent must find the same nodes as brute force."""
+    rng = np.random.default_rng(5)
+    nodes = np.c_[rng.random((20_000, 2)) * [400.0, 300.0], np.zeros(20_000)]
+    plane = np.c_[rng.random((60, 2)) * [400.0, 300.0], np.zeros(60)] - [200.0, 150.0, 0.0]
+    turned = [plane[:, list(p)] * s + [200.0, 150.0, 0.0] for p in ((0, 1, 2), (2, 1, 0), (0, 2, 1)) for s in (1.0, -1.0)]
+    points = np.concatenate([*turned, [[5000.0, -3000.0, 10.0]]])
+    q = spark.createDataFrame(pd.DataFrame({"key": 1, "qid": range(len(points)), "x": points[:, 0], "y": points[:, 1], "z": points[:, 2]}))
+    t = spark.createDataFrame(pd.DataFrame({"key": 1, "tid": range(len(nodes)), "x": nodes[:, 0], "y": nodes[:, 1], "z": nodes[:, 2]}))
+    d = np.sort(np.linalg.norm(points[:, None] - nodes[None], axis=2), axis=1)
+    for k in (1, 3):
+        out = sp.nearest_points(q, t, ["key"], ["qid"], "tid", k)
+        got = {(r.qid, r.nearness): r.distance for r in out.collect()}
+        assert len(got) == k * len(points) and all(abs(got[i, n + 1] - d[i, n]) < 1e-9 for i in range(len(points)) for n in range(k))

@@ -98,12 +98,21 @@ def test_components_follow_long_chains(spark):
     assert all(got[i] == (0 if i <= 30 else 31) for i in range(60))
 
 
+def test_components_of_zigzag_and_shuffled_chains(spark):
+    zigzag = [k // 2 if k % 2 == 0 else 499 - k // 2 for k in range(500)]
+    shuffled = list(np.random.default_rng(1).permutation(500))
+    e = [(c, int(a), int(b)) for c, chain in ((1, zigzag), (2, shuffled)) for a, b in zip(chain, chain[1:])]
+    v = spark.createDataFrame([(c, i) for c in (1, 2) for i in range(501)], "cmp_id long, id long")
+    got = sh.connected_components(v, spark.createDataFrame(e, "cmp_id long, a long, b long"), ["cmp_id"]).collect()
+    assert len(got) == 1002 and all(r.component == (500 if r.id == 500 else 0) for r in got)
+
+
 def test_cmif_for_three_references_matches_svd(spark):
     rng = np.random.default_rng(8)
     h = rng.normal(size=(5, 3, 4)) + 1j * rng.normal(size=(5, 3, 4))
     rows = [(1, n, 1, r, 3, k, float(k), float(h[n, r, k].real), float(h[n, r, k].imag)) for n in range(5) for r in range(3) for k in range(4)]
     lines = spark.createDataFrame(pd.DataFrame(rows, columns=["dataset_id", "rsp_node", "rsp_dir", "ref_node", "ref_dir", "line", "f_hz", "re", "im"]))
-    got = {r.line: r.sv for r in frf.cmif(lines, 3).collect()}
+    got = {r.line: r.sv for r in frf.cmif(lines).collect()}
     for k in range(4):
         assert np.allclose(got[k], np.linalg.svd(h[:, :, k], compute_uv=False))
     two = {r.line: (r.sv1, r.sv2) for r in frf.cmif(lines.filter("ref_node < 2")).collect()}

@@ -130,10 +130,18 @@ def test_assignment_lets_no_bad_pair_take_a_good_partner(spark):
     assert got == {(1, 2), (2, 1), (3, 3)}
 
 
-def test_large_comparisons_are_split_into_components(spark, monkeypatch):
+def test_assignment_is_optimal_over_whole_comparisons(spark):
     rng = np.random.default_rng(8)
-    rows = [(1, int(a), int(b), float(rng.random())) for a in range(12) for b in range(12) if abs(a - b) <= 1 and a // 3 == b // 3]
+    rows = [(1, int(a), int(b), float(rng.random())) for a in range(7) for b in range(7) if abs(a - b) <= 1]
     df = spark.createDataFrame(rows, "cmp_id long, fe_mode long, exp_mode long, cost double")
-    whole = {(r.fe_mode, r.exp_mode) for r in ev.assign_pairs(df).collect()}
-    monkeypatch.setattr(ev, "LARGE_COMPARISON", 0)
-    assert {(r.fe_mode, r.exp_mode) for r in ev.assign_pairs(df).collect()} == whole and len(whole) == 12
+    cost = {(a, b): c for _, a, b, c in rows}
+    got = [(r.fe_mode, r.exp_mode) for r in ev.assign_pairs(df).collect()]
+    total = lambda pairs: sum(cost[p] for p in pairs) + 1.15 * (14 - 2 * len(pairs))
+
+    def best(a, used):
+        if a == 7:
+            return []
+        ways = [best(a + 1, used)] + [[(a, b), *best(a + 1, used | {b})] for b in range(7) if (a, b) in cost and b not in used]
+        return min(ways, key=total)
+
+    assert abs(total(got) - total(best(0, frozenset()))) < 1e-9
