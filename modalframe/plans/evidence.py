@@ -127,9 +127,9 @@ def p18(t):
 
 
 @query("p30_validated_records", "record_index:i valid problem",
-       """SELECT record_index, freq > 0 AND analysis_type IS NOT NULL AND eig <> 0 AS valid, CASE WHEN NOT freq > 0 THEN 'frequency must be positive' WHEN analysis_type IS NULL THEN 'a reason is required' END AS problem FROM fx_records WHERE eig <> 0""")
+       """SELECT record_index, freq > 0 AND analysis_type IS NOT NULL AS valid, CASE WHEN NOT freq > 0 THEN 'frequency must be positive' WHEN analysis_type IS NULL THEN 'a reason is required' END AS problem FROM fx_records""")
 def p30(t):
-    r = t.records.filter("eig <> 0").withColumn("frequency_hz", F.col("freq")).withColumn("mac", F.lit(None).cast("double"))
+    r = t.records.withColumn("frequency_hz", F.col("freq")).withColumn("mac", F.lit(None).cast("double"))
     r = r.withColumn("inclusion", F.when(F.col("analysis_type").isNull(), "EXCLUDED").otherwise("INCLUDED")).withColumn("reason", F.lit(None).cast("string"))
     good, bad = validation_split(r)
     return good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))

@@ -318,8 +318,8 @@ def s02(t):
 MODE_ROWS = "SELECT dataset_id, node_id, instance, m AS mode_no, sin(0.1e0 * x * m) AS u1, 0.5e0 * y AS u2, cos(0.1e0 * y) * m AS u3, 0.25e0 * z AS v1 FROM fx_fe_points CROSS JOIN (SELECT 7 AS m UNION ALL SELECT 8 AS m) ms"
 
 
-@query("s03_mode_files", "dataset_id:i mode_no:i node_id dof:i re:6 im:6 x:6",
-       f"""SELECT r.dataset_id, mode_no, r.instance || ':' || r.node_id AS node_id, d AS dof, CASE d WHEN 1 THEN u1 WHEN 2 THEN u2 ELSE u3 END AS re, CASE d WHEN 1 THEN v1 ELSE 0e0 END AS im, CASE WHEN r.node_id % 50 = 3 THEN 0e0 ELSE p.x END AS x
+@query("s03_mode_files", "dataset_id:i mode_no:i node_id dof:i re:6 im:6 x:6 y:6 z:6",
+       f"""SELECT r.dataset_id, mode_no, r.instance || ':' || r.node_id AS node_id, d AS dof, CASE d WHEN 1 THEN u1 WHEN 2 THEN u2 ELSE u3 END AS re, CASE d WHEN 1 THEN v1 ELSE 0e0 END AS im, CASE WHEN r.node_id % 50 = 3 THEN 0e0 ELSE p.x END AS x, CASE WHEN r.node_id % 50 = 3 THEN 0e0 ELSE p.y END AS y, CASE WHEN r.node_id % 50 = 3 THEN 0e0 ELSE p.z END AS z
  FROM ({MODE_ROWS}) r JOIN fx_fe_points p ON p.node_id = r.node_id, (SELECT unnest([1, 2, 3]) AS d)""")
 def s03(t):
     path = scratch_path(t.spark, "modes")
@@ -409,13 +409,14 @@ def s11(t):
     return back.withColumn("reasons", F.coalesce("reasons", F.lit("")))
 
 
-@query("s12_report_tables", "cmp_id:i fe_mode:i exp_mode:i err:6 mac:6 status order_changed e1:6",
+@query("s12_report_tables", "cmp_id:i fe_mode:i exp_mode:i err:6 mac:6 status order_changed position:i cell_mac:6",
        f"""{CAND_SQL}, ps AS (SELECT *, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY cmp_id ORDER BY fe_hz, fe_mode) <> row_number() OVER (PARTITION BY cmp_id ORDER BY exp_hz, exp_mode) AS order_changed FROM fx_pairs),
- fi AS (SELECT cmp_id, min(exp_mode) AS x FROM cand GROUP BY 1) SELECT ps.cmp_id, ps.fe_mode, ps.exp_mode, ps.err, ps.mac, status, order_changed, c.mac AS e1 FROM ps LEFT JOIN fi ON fi.cmp_id = ps.cmp_id LEFT JOIN cand c ON c.cmp_id = ps.cmp_id AND c.fe_mode = ps.fe_mode AND c.exp_mode = x""")
+ mx AS (SELECT cmp_id, fe_mode, mac AS cell_mac, dense_rank() OVER (PARTITION BY cmp_id ORDER BY exp_mode) AS position FROM cand)
+ SELECT ps.cmp_id, ps.fe_mode, ps.exp_mode, ps.err, ps.mac, status, order_changed, position, cell_mac FROM ps LEFT JOIN mx ON mx.cmp_id = ps.cmp_id AND mx.fe_mode = ps.fe_mode""")
 def s12(t):
     path = scratch_path(t.spark, "report")
     comparison = pairing.order_changes(t.pairs.withColumn("status", pairing.pair_status(F.col("mac"), F.col("err"))))
-    matrix = files.mac_pivot(mac.masked_mac(pairing.frequency_window_pairs(t.modes), t.shapes))
+    matrix = files.mac_matrix(mac.masked_mac(pairing.frequency_window_pairs(t.modes), t.shapes))
     files.write_tables({"mode_comparison": comparison, "mac_matrix": matrix}, path)
     a, b = t.spark.read.parquet(f"{path}/mode_comparison"), t.spark.read.parquet(f"{path}/mac_matrix")
     return a.join(b, ["cmp_id", "fe_mode"], "left")

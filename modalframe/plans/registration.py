@@ -43,16 +43,18 @@ def p14_back(t):
     return sp.points_to_exp(t.fe_points.join(registrations(t), "dataset_id"))
 
 
-@query("p14_rotated_shapes", "cmp_id:i mode_no:i node_id:i v1:6 v2:6 v3:6",
-       """WITH w AS (SELECT cmp_id, mode_no, node_id, max(CASE WHEN dof = 1 THEN re END) AS a, max(CASE WHEN dof = 2 THEN re END) AS b, max(CASE WHEN dof = 3 THEN re END) AS c
+@query("p14_rotated_shapes", "cmp_id:i mode_no:i node_id:i v1:6 v2:6 v3:6 w1:6 w2:6 w3:6",
+       """WITH w AS (SELECT cmp_id, mode_no, node_id, max(CASE WHEN dof = 1 THEN re END) AS a, max(CASE WHEN dof = 2 THEN re END) AS b, max(CASE WHEN dof = 3 THEN re END) AS c,
+ max(CASE WHEN dof = 1 THEN im END) AS d, max(CASE WHEN dof = 2 THEN im END) AS e, max(CASE WHEN dof = 3 THEN im END) AS f
  FROM fx_shapes WHERE role = 'FE' GROUP BY 1, 2, 3)
- SELECT cmp_id, mode_no, node_id, a * cos(0.1e0 * (cmp_id % 10)) + b * sin(0.1e0 * (cmp_id % 10)) AS v1, b * cos(0.1e0 * (cmp_id % 10)) - a * sin(0.1e0 * (cmp_id % 10)) AS v2, c AS v3 FROM w""")
+ SELECT cmp_id, mode_no, node_id, a * cos(0.1e0 * (cmp_id % 10)) + b * sin(0.1e0 * (cmp_id % 10)) AS v1, b * cos(0.1e0 * (cmp_id % 10)) - a * sin(0.1e0 * (cmp_id % 10)) AS v2, c AS v3,
+ d * cos(0.1e0 * (cmp_id % 10)) + e * sin(0.1e0 * (cmp_id % 10)) AS w1, e * cos(0.1e0 * (cmp_id % 10)) - d * sin(0.1e0 * (cmp_id % 10)) AS w2, f AS w3 FROM w""")
 def p14_shapes(t):
-    w = t.shapes.filter("role = 'FE'").groupBy("cmp_id", "mode_no", "node_id").agg(*[F.max(F.when(F.col("dof") == d, F.col("re"))).alias(f"u{d}") for d in (1, 2, 3)])
+    w = t.shapes.filter("role = 'FE'").groupBy("cmp_id", "mode_no", "node_id").agg(*[F.max(F.when(F.col("dof") == d, F.col(p))).alias(f"{n}{d}") for p, n in (("re", "u"), ("im", "i")) for d in (1, 2, 3)])
     ang = 0.1 * (F.col("cmp_id") % 10)
     zero, one = F.lit(0.0), F.lit(1.0)
     w = w.withColumn("rotation", F.array(F.array(F.cos(ang), -F.sin(ang), zero), F.array(F.sin(ang), F.cos(ang), zero), F.array(zero, zero, one)))
-    return sp.vectors_to_exp(w, ("u1", "u2", "u3"), ("v1", "v2", "v3"))
+    return sp.vectors_to_exp(sp.vectors_to_exp(w, ("u1", "u2", "u3"), ("v1", "v2", "v3")), ("i1", "i2", "i3"), ("w1", "w2", "w3"))
 
 
 EVID = """SELECT DISTINCT dataset_id, 40e0 AS centre_x, 30e0 AS centre_y, cos(0.1e0 * dataset_id) AS u_x, sin(0.1e0 * dataset_id) AS u_y, -sin(0.1e0 * dataset_id) AS v_x, cos(0.1e0 * dataset_id) AS v_y,

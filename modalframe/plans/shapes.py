@@ -91,25 +91,27 @@ def w11(t):
     return sh.order_swaps(t.sql(FREQ), ["cmp_id"])
 
 
-@query("a68_weighted_real_mac", "cmp_id:i i:i j:i mac:6",
-       f"""WITH refs AS ({REFS}), states AS ({STATES}) SELECT cmp_id, i, j, pow(sum((1e0 + node_id) * r.value * s.value), 2) / (sum((1e0 + node_id) * r.value * r.value) * sum((1e0 + node_id) * s.value * s.value)) AS mac
- FROM refs r JOIN states s USING (cmp_id, node_id, dof) WHERE direction = 1 AND i = j GROUP BY 1, 2, 3""")
+@query("a68_weighted_real_mac", "cmp_id:i direction:i i:i j:i mac:6",
+       f"""WITH refs AS ({REFS}), states AS ({STATES}) SELECT cmp_id, direction, i, j, pow(sum((1e0 + node_id) * r.value * s.value), 2) / (sum((1e0 + node_id) * r.value * r.value) * sum((1e0 + node_id) * s.value * s.value)) AS mac
+ FROM refs r JOIN states s USING (cmp_id, node_id, dof) WHERE i = j GROUP BY 1, 2, 3, 4""")
 def a68(t):
-    pairs = t.modes.filter("role = 'FE'").select("cmp_id", F.col("mode_no").alias("i"), F.col("mode_no").alias("j"))
+    states = t.sql(STATES)
+    directions = states.select("cmp_id", "direction").distinct()
+    pairs = t.modes.filter("role = 'FE'").select("cmp_id", F.col("mode_no").alias("i"), F.col("mode_no").alias("j")).join(directions, "cmp_id")
     weights = t.nodes.select("cmp_id", "node_id", (1.0 + F.col("node_id")).alias("weight"))
-    return sh.real_mac(sh.real_products(pairs, t.sql(REFS), t.sql(STATES).filter("direction = 1").drop("direction"), ["cmp_id"], weights))
+    return sh.real_mac(sh.real_products(pairs, t.sql(REFS).join(directions, "cmp_id"), states, ["cmp_id", "direction"], weights.join(directions, "cmp_id")))
 
 
-@query("a17_principal_angles", "cmp_id:i cluster_id:i cos2_1:6 cos2_2:6",
-       f"""WITH {MACS_SQL}, {SUB_SQL} SELECT cl.cmp_id, cl.cluster_id, k1 AS cos2_1, k2 AS cos2_2 FROM cl JOIN c4 ON c4.cmp_id = cl.cmp_id AND c4.cluster_id = cl.cluster_id AND c4.direction = 1 AND c4.j = i1 AND c4.j2 = i2""")
+@query("a17_principal_angles", "cmp_id:i cluster_id:i direction:i cos2_1:6 cos2_2:6",
+       f"""WITH {MACS_SQL}, {SUB_SQL} SELECT cl.cmp_id, cl.cluster_id, c4.direction, k1 AS cos2_1, k2 AS cos2_2 FROM cl JOIN c4 ON c4.cmp_id = cl.cmp_id AND c4.cluster_id = cl.cluster_id AND c4.j = i1 AND c4.j2 = i2""")
 def a17(t):
     cl = t.sql(CLUST)
-    refs, st = t.sql(REFS), t.sql(STATES).filter("direction = 1")
-    pick = lambda df, src, mode, name: df.join(src.select("cmp_id", F.col(mode[0]).alias(mode[1]), "node_id", "dof", F.col("value").alias(name)),
-                                               ["cmp_id", mode[1], *[c for c in ("node_id", "dof") if c in df.columns]])
+    refs, st = t.sql(REFS), t.sql(STATES)
+    pick = lambda df, src, mode, name: df.join(src.select(*[c for c in ("cmp_id", "direction") if c in src.columns], F.col(mode[0]).alias(mode[1]), "node_id", "dof", F.col("value").alias(name)),
+                                               ["cmp_id", mode[1], *[c for c in ("node_id", "dof", "direction") if c in df.columns and c in src.columns]])
     d = pick(pick(pick(pick(cl, refs, ("i", "i1"), "p1"), refs, ("i", "i2"), "p2"), st, ("j", "i1"), "q1"), st, ("j", "i2"), "q2")
     s = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(a + b)
-    g = d.groupBy("cmp_id", "cluster_id").agg(s("p1", "p1"), s("p1", "p2"), s("p2", "p2"), s("q1", "q1"), s("q1", "q2"), s("q2", "q2"),
+    g = d.groupBy("cmp_id", "cluster_id", "direction").agg(s("p1", "p1"), s("p1", "p2"), s("p2", "p2"), s("q1", "q1"), s("q1", "q2"), s("q2", "q2"),
                                               s("p1", "q1"), s("p1", "q2"), s("p2", "q1"), s("p2", "q2"))
     hi, lo = sh.cos2_columns(*[F.col(c) for c in ("p1p1", "p1p2", "p2p2", "q1q1", "q1q2", "q2q2", "p1q1", "p1q2", "p2q1", "p2q2")])
     return g.withColumn("cos2_1", hi).withColumn("cos2_2", lo)

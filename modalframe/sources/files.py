@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modalframe.operators.ordered import top_rows
+from modalframe.operators.ordered import with_order
 
 # The marks of the solver log and the input deck.
 STEP_MARK = r"S T E P\s+(\d+)\s+C A L C U L A T I O N   O F   E I G E N V A L U E S"
@@ -163,8 +163,8 @@ def write_tables(tables: dict[str, DataFrame], path: str, kind: str = "parquet",
         (w.option("header", True).csv(f"{path}/{name}") if kind == "csv" else w.parquet(f"{path}/{name}"))
 
 
-def mac_pivot(candidates: DataFrame, columns: int = 3) -> DataFrame:
-    """MAC-matrix sheet rows: FE mode by the measured mode's position (its best ``columns`` positions by number)."""
-    pos = top_rows(candidates.select("cmp_id", "exp_mode").distinct(), ["cmp_id"], ["exp_mode"], columns, "position")
-    d = candidates.join(pos, ["cmp_id", "exp_mode"])
-    return d.groupBy("cmp_id", "fe_mode").pivot("position", list(range(1, columns + 1))).agg(F.max("mac")).withColumnsRenamed({str(k): f"e{k}" for k in range(1, columns + 1)})
+def mac_matrix(candidates: DataFrame) -> DataFrame:
+    """The whole MAC matrix in long form: FE mode, ``position`` of the measured mode (by number within its comparison), MAC."""
+    modes = candidates.select("cmp_id", "exp_mode").distinct()
+    pos = with_order(modes, ["cmp_id"], F.floor(F.col("exp_mode") / 1024), ["exp_mode"], rank="position")
+    return candidates.join(pos, ["cmp_id", "exp_mode"]).select("cmp_id", "fe_mode", "position", F.col("mac").alias("cell_mac"))
