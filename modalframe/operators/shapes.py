@@ -379,6 +379,18 @@ def confirm_clusters(individual: DataFrame, subspaces: DataFrame, keys: list[str
     return g.withColumn("verdict", F.when(~F.col("subspace_ok"), "UNSTABLE").when(F.col("all_stable"), "INDEPENDENT").otherwise("CONFIRMED"))
 
 
+def judge_larger_groups(groups: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
+    """Verdict on close groups of three and more modes: INDEPENDENT when every member is tracked on its own in every
+    direction, else UNSUPPORTED, for only two-mode subspaces can be followed.
+
+    ``groups``: keys, component, id, size; ``branches``: keys, direction, i, status."""
+    members = groups.filter("size > 2").select(*keys, F.col("component").alias("cluster_id"), F.col("id").alias("i"))
+    d = members.join(branches.select(*keys, "direction", "i", "status"), [*keys, "i"], "left")
+    g = d.groupBy(*keys, "cluster_id").agg(F.coalesce(F.bool_and(F.coalesce(F.col("status") == "TRACKED", F.lit(False))), F.lit(False)).alias("all_stable"),
+                                           F.count_distinct("direction").alias("n_directions"))
+    return g.withColumn("verdict", F.when(F.col("all_stable"), "INDEPENDENT").otherwise("UNSUPPORTED"))
+
+
 def order_swaps(tracked: DataFrame, keys: list[str]) -> DataFrame:
     """Row pairs whose frequency order inverts between two states (i before k in the reference, after it in the candidate).
 

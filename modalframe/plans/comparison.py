@@ -38,11 +38,12 @@ def family_response(reference: DataFrame, states: DataFrame, modes: DataFrame, s
 
     ``reference``: cmp_id, i, node_id, dof, value; ``states``: cmp_id, direction, j, node_id, dof, value; ``modes``: cmp_id, i, hz;
     ``state_modes``: cmp_id, direction, j, hz, parameter, side, value, p0. Close pairs (3 %) are examined as two-mode clusters;
-    a confirmed one is a single term (mean ln f)."""
+    a confirmed one is a single term (mean ln f). Larger groups are INDEPENDENT if each mode is tracked on its own, else
+    UNSUPPORTED, and modes of an unsupported group make no term."""
     key = ["cmp_id", "direction"]
     rows = modes.select("cmp_id", F.col("i").alias("id"), F.col("hz").alias("exp_hz"), F.col("hz").alias("fe_hz"))
-    groups = sh.trigger_groups(rows, ["cmp_id"]).filter("size = 2")
-    clusters = groups.groupBy("cmp_id", F.col("component").alias("cluster_id")).agg(F.min("id").alias("i1"), F.max("id").alias("i2"))
+    groups = cut_lineage(sh.trigger_groups(rows, ["cmp_id"]))
+    clusters = groups.filter("size = 2").groupBy("cmp_id", F.col("component").alias("cluster_id")).agg(F.min("id").alias("i1"), F.max("id").alias("i2"))
     dirs = state_modes.select(*key).distinct()
     left = reference.join(dirs, "cmp_id")
     heads = modes.select("cmp_id", "i").join(state_modes.select(*key, "j"), "cmp_id")
@@ -52,10 +53,12 @@ def family_response(reference: DataFrame, states: DataFrame, modes: DataFrame, s
     members = spans.select(*key, "cluster_id", F.explode(F.array("i1", "i2")).alias("i"))
     stable = members.join(single, [*key, "i"]).withColumn("stable", F.col("status") == "TRACKED")
     verdicts = sh.confirm_clusters(stable, spans, ["cmp_id"])
+    larger = sh.judge_larger_groups(groups, single, ["cmp_id"])
+    unsupported = larger.filter("verdict = 'UNSUPPORTED'").select("cmp_id", F.col("cluster_id").alias("component")).join(groups, ["cmp_id", "component"]).select("cmp_id", F.col("id").alias("i"))
     confirmed = verdicts.filter("verdict = 'CONFIRMED'").select("cmp_id", "cluster_id").join(clusters, ["cmp_id", "cluster_id"])
     in_cluster = confirmed.select("cmp_id", "cluster_id", F.explode(F.array("i1", "i2")).alias("i"))
     hz = state_modes.select(*key, "j", F.log("hz").alias("_lf"))
-    alone = single.join(in_cluster, ["cmp_id", "i"], "left_anti").select(*key, F.concat(F.lit("FE"), "i").alias("term_id"), F.array("i").alias("rows"), F.array("j").alias("found"))
+    alone = single.join(in_cluster, ["cmp_id", "i"], "left_anti").join(unsupported, ["cmp_id", "i"], "left_anti").select(*key, F.concat(F.lit("FE"), "i").alias("term_id"), F.array("i").alias("rows"), F.array("j").alias("found"))
     pair = spans.join(confirmed.select("cmp_id", "cluster_id"), ["cmp_id", "cluster_id"]).select(
         *key, F.concat(F.lit("FE"), "i1", F.lit("+FE"), "i2").alias("term_id"), F.array("i1", "i2").alias("rows"), F.array("j", "j2").alias("found"))
     terms = alone.unionByName(pair)
@@ -64,7 +67,7 @@ def family_response(reference: DataFrame, states: DataFrame, modes: DataFrame, s
         F.when(F.count("_lf") == F.count(F.lit(1)), F.exp(F.avg("_lf"))).alias("f"))
     info = state_modes.select(*key, "parameter", "side", "value", "p0").distinct()
     table = base.join(new, [*key, "term_id"]).join(info, key).withColumnRenamed("cmp_id", "family_id")
-    return {"branches": single, "clusters": verdicts, "sensitivities": se.central_sensitivities(table)}
+    return {"branches": single, "clusters": verdicts.unionByName(larger, allowMissingColumns=True), "sensitivities": se.central_sensitivities(table)}
 
 
 @query("comparison_run", "cmp_id:i fe_mode:i exp_mode:i err:6 mac:6 order_changed status")

@@ -1,6 +1,7 @@
 """Session helpers: a tuned session for local work and the shared scratch folder."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def local_session(cores: str = "8", app: str = "modalframe") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SCRATCH_KEY, os.environ.get("MODALFRAME_SCRATCH") or tempfile.mkdtemp(prefix="modalframe-"))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

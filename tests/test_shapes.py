@@ -146,3 +146,11 @@ def test_principal_plane(spark):
     sv = np.linalg.svd(pts - pts.mean(0), compute_uv=False)
     assert np.isclose(got[1].planarity_ratio, sv[2] / sv[0], rtol=1e-6) and abs(np.dot(got[1].normal, q[:, 2])) > 0.999
     assert got[1].planar and not got[1].collinear and got[2].collinear
+
+
+def test_groups_of_three_and_more(spark):
+    groups = spark.createDataFrame([(1, 10, i, 3) for i in (10, 11, 12)] + [(1, 20, i, 4) for i in (20, 21, 22, 23)] + [(1, 30, i, 2) for i in (30, 31)] + [(1, 40, i, 3) for i in (40, 41, 42)],
+                                   "cmp_id long, component long, id long, size long")
+    rows = [(1, d, i, "LOSS" if (d, i) == (2, 21) else "TRACKED") for d in (1, 2) for i in (10, 11, 12, 20, 21, 22, 23, 30, 31, 40, 41)]
+    got = {r.cluster_id: r.verdict for r in sh.judge_larger_groups(groups, spark.createDataFrame(rows, "cmp_id long, direction int, i long, status string"), ["cmp_id"]).collect()}
+    assert got == {10: "INDEPENDENT", 20: "UNSUPPORTED", 40: "UNSUPPORTED"}
