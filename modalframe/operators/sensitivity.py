@@ -167,6 +167,46 @@ def gram_arrays(sens: DataFrame, keys: list[str], value: str = "s") -> DataFrame
     return g.join(names, keys)
 
 
+_SPECTRUM = T.StructType([T.StructField("sv", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType()), T.StructField("condition", T.DoubleType()),
+                          T.StructField("weakest", T.ArrayType(T.DoubleType())), T.StructField("sd", T.ArrayType(T.DoubleType())), T.StructField("q", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_SPECTRUM)
+def _spectra(gram: pd.Series, rcond: pd.Series) -> pd.DataFrame:
+    """Per Gram: singular values (descending), rank, condition, weakest direction, and for full rank the standard deviation
+    and projection ratio of each parameter. Grams of one size are decomposed in one call."""
+    out: list = [None] * len(gram)
+    width = np.array([math.isqrt(len(g)) for g in gram])
+    for k in np.unique(width):
+        at = np.flatnonzero(width == k)
+        m = np.stack([np.asarray(gram.iat[r], float).reshape(k, k) for r in at])
+        val, vec = np.linalg.eigh(m)
+        for r, g, e, v in zip(at, m, val[:, ::-1], vec[:, :, ::-1]):
+            sv = np.sqrt(np.clip(e, 0, None))
+            rank = int(((sv > rcond.iat[r] * sv[0]) & (sv[0] > 0)).sum())
+            full = rank == k
+            inv = (v**2 / np.where(e > 0, e, np.nan)).sum(axis=1) if full else None
+            out[r] = (sv.tolist(), rank, float(sv[0] / sv[-1]) if sv[-1] > 0 else None, np.abs(v[:, -1]).tolist(), np.sqrt(inv).tolist() if full else None,
+                      np.sqrt(1 / (np.diag(g) * inv)).tolist() if full else None)
+    return pd.DataFrame(out, columns=[f.name for f in _SPECTRUM])
+
+
+def spectrum(grams: DataFrame, rcond: float = RCOND) -> DataFrame:
+    """Singular values, rank, condition and weakest direction of designs with any number of parameters.
+
+    ``grams``: a table of `gram_arrays`; adds sv, rank, condition, weakest, sd and q."""
+    return grams.withColumn("_s", _spectra("gram", F.lit(rcond))).select(*grams.columns, "_s.*")
+
+
+def identifiability(grams: DataFrame, keys: list[str], sigma: float = 1.0, rcond: float = RCOND) -> DataFrame:
+    """Per parameter of a design with any number of parameters: posterior sd in ln p, projection ratio and the sd flag;
+    NULL where the design is rank-deficient."""
+    d = spectrum(grams.withColumn("gram", F.transform("gram", lambda g: g / (sigma * sigma))), rcond)
+    rows = d.select(*keys, "rank", F.size("names").alias("_k"), F.posexplode("names").alias("_i", "parameter"), "sd", "q")
+    return rows.select(*keys, "parameter", "rank", F.when(F.col("rank") == F.col("_k"), "FULL_RANK").otherwise("RANK_DEFICIENT").alias("status"), F.get("sd", F.col("_i")).alias("sd"),
+                       F.get("q", F.col("_i")).alias("q"), (F.get("sd", F.col("_i")) > SD_LIMIT).alias("over"))
+
+
 _SUBSETS = T.ArrayType(T.StructType([
     T.StructField("subset", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("condition", T.DoubleType()),
     T.StructField("min_singular", T.DoubleType()), T.StructField("normalized_min", T.DoubleType()), T.StructField("gamma", T.DoubleType()),

@@ -106,6 +106,30 @@ def three_parameters(t):
     return t.sens.unionByName(extra)
 
 
+GRAM3_SQL = """w AS (SELECT family_id, term_id, max(CASE WHEN parameter = 'E1' THEN s END) AS a, max(CASE WHEN parameter = 'E2' THEN s END) AS b FROM fx_sens GROUP BY 1, 2),
+ r3 AS (SELECT family_id, a, b, 0.5e0 - a + 0.01e0 * (term_id % 3) AS c FROM w WHERE a IS NOT NULL AND b IS NOT NULL),
+ g AS (SELECT family_id, count(*) AS n_terms, sum(a * a) * {w} AS aa, sum(b * b) * {w} AS bb, sum(c * c) * {w} AS cc, sum(a * b) * {w} AS ab, sum(a * c) * {w} AS ac, sum(b * c) * {w} AS bc FROM r3 GROUP BY 1),
+ h AS (SELECT *, (aa + bb + cc) / 3 AS q, aa * bb * cc + 2 * ab * ac * bc - aa * bc * bc - bb * ac * ac - cc * ab * ab AS det FROM g),
+ i AS (SELECT *, sqrt((pow(aa - q, 2) + pow(bb - q, 2) + pow(cc - q, 2) + 2 * (ab * ab + ac * ac + bc * bc)) / 6) AS p FROM h),
+ j AS (SELECT *, acos(greatest(-1e0, least(1e0, ((aa - q) * (bb - q) * (cc - q) + 2 * ab * ac * bc - (aa - q) * bc * bc - (bb - q) * ac * ac - (cc - q) * ab * ab) / (2 * p * p * p)))) / 3 AS phi FROM i),
+ k AS (SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM j),
+ sp3 AS (SELECT *, sqrt(e1) AS sv1, sqrt(3 * q - e1 - e3) AS sv2, sqrt(greatest(e3, 0e0)) AS sv3 FROM k)"""
+
+
+@query("a37_three_parameter_spectrum", "family_id:i n_terms:i sv1:5 sv2:5 sv3:5 rank:i condition:2",
+       f"WITH {GRAM3_SQL.format(w='1e0')} SELECT family_id, n_terms, sv1, sv2, sv3, 1 + CASE WHEN sv2 > 1e-3 * sv1 THEN 1 ELSE 0 END + CASE WHEN sv3 > 1e-3 * sv1 THEN 1 ELSE 0 END AS rank, sv1 / nullif(sv3, 0e0) AS condition FROM sp3")
+def a37_three(t):
+    return se.spectrum(se.gram_arrays(three_parameters(t), ["family_id"])).withColumns({f"sv{i + 1}": F.get("sv", F.lit(i)) for i in range(3)})
+
+
+@query("a38_three_parameter_identifiability", "family_id:i parameter rank:i status sd:5 q:5 over",
+       f"""WITH {GRAM3_SQL.format(w='(1e0 / (0.003e0 * 0.003e0))')}, m AS (SELECT *, 1 + CASE WHEN sv2 > 1e-3 * sv1 THEN 1 ELSE 0 END + CASE WHEN sv3 > 1e-3 * sv1 THEN 1 ELSE 0 END AS rank FROM sp3),
+ n AS (SELECT family_id, rank, 'E1' AS parameter, aa AS own, (bb * cc - bc * bc) / det AS inv FROM m UNION ALL SELECT family_id, rank, 'E2', bb, (aa * cc - ac * ac) / det FROM m UNION ALL SELECT family_id, rank, 'G12', cc, (aa * bb - ab * ab) / det FROM m)
+ SELECT family_id, parameter, rank, CASE WHEN rank = 3 THEN 'FULL_RANK' ELSE 'RANK_DEFICIENT' END AS status, CASE WHEN rank = 3 THEN sqrt(inv) END AS sd, CASE WHEN rank = 3 THEN sqrt(1 / (own * inv)) END AS q, CASE WHEN rank = 3 THEN sqrt(inv) > 0.08 END AS over FROM n""")
+def a38_three(t):
+    return se.identifiability(se.gram_arrays(three_parameters(t), ["family_id"]), ["family_id"], 0.003)
+
+
 @query("a39_parameter_subsets", "family_id:i subset size:i rank:i condition:3 gamma:3 admissible")
 def a39(t):
     return se.parameter_subsets(se.gram_arrays(three_parameters(t), ["family_id"]), ["family_id"])
