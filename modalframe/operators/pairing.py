@@ -69,6 +69,13 @@ def frequency_window_pairs(modes: DataFrame, window: float = 0.15) -> DataFrame:
             .drop("_bin").withColumn("err", frequency_error_percent(F.col("fe_hz"), F.col("exp_hz"))))
 
 
+def all_pairs(modes: DataFrame) -> DataFrame:
+    """Every FE mode with every measured mode of its comparison, for rankings that no frequency window may cut. A comparison is
+    one model against one test run, so its modes are few and the rows spread over comparisons."""
+    fe, exp = sides(modes)
+    return exp.join(fe, "cmp_id").withColumn("err", frequency_error_percent(F.col("fe_hz"), F.col("exp_hz")))
+
+
 def window_census(modes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per measured mode: how many FE modes its comparison has and how many the frequency gate rejects.
 

@@ -48,6 +48,9 @@ good AS (SELECT cmp_id FROM (SELECT cmp_id, fe_mode, count(DISTINCT node_id) AS
 keep AS (SELECT cmp_id, node_id, dof FROM (SELECT cmp_id, node_id, dof, count(*) AS k FROM r0 GROUP BY 1, 2, 3)
          JOIN np USING (cmp_id) JOIN good USING (cmp_id) WHERE k = n),
 rows_ AS (SELECT r0.* FROM r0 JOIN keep USING (cmp_id, node_id, dof))"""
+ALL_MAC_SQL = """all_w AS (SELECT f.cmp_id, f.mode_no AS fe_mode, e.mode_no AS exp_mode, f.frequency_hz AS fe_hz, e.frequency_hz AS exp_hz FROM fx_modes f JOIN fx_modes e ON f.cmp_id = e.cmp_id AND f.role = 'FE' AND e.role = 'EXP'),
+all_m AS (SELECT w.cmp_id, fe_mode, exp_mode, fe_hz, exp_hz, (pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.re * b.im - a.im * b.re), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS mac
+ FROM all_w w JOIN fx_shapes a ON a.cmp_id = w.cmp_id AND a.role = 'FE' AND a.mode_no = fe_mode JOIN fx_shapes b ON b.cmp_id = w.cmp_id AND b.role = 'EXP' AND b.mode_no = exp_mode AND b.measured AND a.node_id = b.node_id AND a.dof = b.dof GROUP BY 1, 2, 3, 4, 5)"""
 ACCEPTED = "SELECT * FROM fx_pairs WHERE mac >= 0.5 AND abs(err) <= 15"
 
 
@@ -339,12 +342,12 @@ def w01(t):
 
 
 @query("w04_best_mac", "side cmp_id:i own:i other:i mac_rank:i mac:6",
-       CAND_SQL + """ SELECT * FROM (SELECT 'EXP' AS side, cmp_id, exp_mode AS own, fe_mode AS other, mac,
- row_number() OVER (PARTITION BY cmp_id, exp_mode ORDER BY mac DESC, fe_mode) AS mac_rank FROM cand) WHERE mac_rank <= 2
+       "WITH " + ALL_MAC_SQL + """ SELECT * FROM (SELECT 'EXP' AS side, cmp_id, exp_mode AS own, fe_mode AS other, mac,
+ row_number() OVER (PARTITION BY cmp_id, exp_mode ORDER BY mac DESC, fe_mode) AS mac_rank FROM all_m) WHERE mac_rank <= 2
  UNION ALL SELECT * FROM (SELECT 'FE' AS side, cmp_id, fe_mode AS own, exp_mode AS other, mac,
- row_number() OVER (PARTITION BY cmp_id, fe_mode ORDER BY mac DESC, exp_mode) AS mac_rank FROM cand) WHERE mac_rank <= 1""")
+ row_number() OVER (PARTITION BY cmp_id, fe_mode ORDER BY mac DESC, exp_mode) AS mac_rank FROM all_m) WHERE mac_rank <= 1""")
 def w04(t):
-    c = mac.masked_mac(pairing.frequency_window_pairs(t.modes), t.shapes)
+    c = mac.masked_mac(pairing.all_pairs(t.modes), t.shapes)
     e = pairing.best_by_mac(c, "exp", 2).select(F.lit("EXP").alias("side"), "cmp_id", F.col("exp_mode").alias("own"),
                                                 F.col("fe_mode").alias("other"), "mac_rank", "mac")
     f = pairing.best_by_mac(c, "fe", 1).select(F.lit("FE").alias("side"), "cmp_id", F.col("fe_mode").alias("own"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from modalframe.operators import evidence as ev
 from modalframe.operators import frf, mac, pairing
-from modalframe.plans.correlation import CAND_SQL, STATUS_SQL
+from modalframe.plans.correlation import ALL_MAC_SQL, CAND_SQL, STATUS_SQL
 from modalframe.plans.registry import query
 
 
@@ -64,25 +64,22 @@ def w15(t):
 
 
 @query("j28_excluded_with_shape", "cmp_id:i exp_mode:i fe_mode:i mac:6 relative_error:6 reason",
-       REASON_SQL + """ SELECT ex.cmp_id, ex.exp_mode, fe_mode, mac, fe_hz / exp_hz - 1 AS relative_error, reason FROM ex JOIN (SELECT *, row_number() OVER (PARTITION BY cmp_id, exp_mode ORDER BY mac DESC, fe_mode) AS k FROM cand) c
+       REASON_SQL + ", " + ALL_MAC_SQL + """ SELECT ex.cmp_id, ex.exp_mode, fe_mode, mac, fe_hz / exp_hz - 1 AS relative_error, reason FROM ex JOIN (SELECT *, row_number() OVER (PARTITION BY cmp_id, exp_mode ORDER BY mac DESC, fe_mode) AS k FROM all_m) c
  ON c.cmp_id = ex.cmp_id AND c.exp_mode = ex.exp_mode AND k = 1 WHERE mac >= 0.5""")
 def j28(t):
-    return ev.excluded_with_shape(excluded(t), window_macs(t), 0.5)
+    return ev.excluded_with_shape(excluded(t), mac.masked_mac(pairing.all_pairs(t.modes), t.shapes), 0.5)
 
 
 @query("p23_matching_status", "cmp_id:i exp_mode:i best_mac:6 second_mac:6 status",
-       f"""WITH w AS (SELECT * FROM (SELECT f.cmp_id, f.mode_no AS fe_mode, e.mode_no AS exp_mode, f.frequency_hz AS fe_hz, e.frequency_hz AS exp_hz FROM fx_modes f JOIN fx_modes e ON f.cmp_id = e.cmp_id AND f.role = 'FE' AND e.role = 'EXP'
- WHERE abs(f.frequency_hz - e.frequency_hz) <= 0.5e0 * e.frequency_hz)),
- m AS (SELECT w.cmp_id, fe_mode, exp_mode, fe_hz, exp_hz, (pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.re * b.im - a.im * b.re), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS mac
- FROM w JOIN fx_shapes a ON a.cmp_id = w.cmp_id AND a.role = 'FE' AND a.mode_no = fe_mode JOIN fx_shapes b ON b.cmp_id = w.cmp_id AND b.role = 'EXP' AND b.mode_no = exp_mode AND b.measured AND a.node_id = b.node_id AND a.dof = b.dof GROUP BY 1, 2, 3, 4, 5),
- k AS (SELECT *, row_number() OVER (PARTITION BY cmp_id, exp_mode ORDER BY mac DESC, fe_mode) AS k FROM m),
+       f"""WITH {ALL_MAC_SQL},
+ k AS (SELECT *, row_number() OVER (PARTITION BY cmp_id, exp_mode ORDER BY mac DESC, fe_mode) AS k FROM all_m),
  cl AS (SELECT DISTINCT a.cmp_id, a.mode_no FROM fx_modes a JOIN fx_modes b ON a.cmp_id = b.cmp_id AND a.role = 'FE' AND b.role = 'FE' AND a.mode_no <> b.mode_no AND abs(a.frequency_hz - b.frequency_hz) / least(a.frequency_hz, b.frequency_hz) < 0.005),
  p AS (SELECT x.cmp_id, x.exp_mode, x.mac AS best_mac, coalesce(y.mac, 0e0) AS second_mac, abs(x.fe_hz - x.exp_hz) / x.exp_hz <= 0.15 AS inw, cl.mode_no IS NOT NULL AS grouped FROM k x LEFT JOIN k y ON y.cmp_id = x.cmp_id AND y.exp_mode = x.exp_mode AND y.k = 2
  LEFT JOIN cl ON cl.cmp_id = x.cmp_id AND cl.mode_no = x.fe_mode WHERE x.k = 1)
  SELECT e.cmp_id, e.mode_no AS exp_mode, best_mac, second_mac, CASE WHEN best_mac IS NULL THEN 'NO_MATCH' WHEN best_mac >= 0.8 AND second_mac < 0.5 AND inw AND NOT grouped THEN 'CANDIDATE' WHEN best_mac >= 0.5 AND (grouped OR second_mac >= 0.5) THEN 'AMBIGUOUS_CLUSTER' ELSE 'NO_MATCH' END AS status
  FROM fx_modes e LEFT JOIN p ON p.cmp_id = e.cmp_id AND p.exp_mode = e.mode_no WHERE e.role = 'EXP'""")
 def p23(t):
-    c = mac.masked_mac(pairing.frequency_window_pairs(t.modes, 0.5), t.shapes)
+    c = mac.masked_mac(pairing.all_pairs(t.modes), t.shapes)
     fe = t.modes.filter("role = 'FE'")
     close = frf.close_groups(fe, ["cmp_id"], 0.0, 0.005 / 1.0025, singletons=False).select("cmp_id", F.col("mode_no").alias("fe_mode"), F.lit(True).alias("grouped"))
     exp = t.modes.filter("role = 'EXP'").select("cmp_id", F.col("mode_no").alias("exp_mode"))
