@@ -124,17 +124,29 @@ def pair_rows(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
             .join(fe, ["cmp_id", "fe_mode", "node_id", "dof"]))
 
 
-def common_rows(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
-    """``pair_rows`` on the DOFs shared by all pairs of a comparison; comparisons whose pairs use different measurement
-    grids are refused (dropped)."""
-    rows = keep(pair_rows(pairs, shapes))
+def _grids(pairs: DataFrame, rows: DataFrame, per_node: DataFrame) -> DataFrame:
+    """Per comparison: n_pairs, and whether every pair covers all nodes that any of its pairs covers."""
     n = pairs.groupBy("cmp_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    per_node = rows.groupBy("cmp_id", "node_id", "dof").agg(F.count(F.lit(1)).alias("n_here"))
     per_pair = rows.groupBy("cmp_id", "fe_mode", "exp_mode").agg(F.countDistinct("node_id").alias("n_nodes"))
     grid = per_pair.groupBy("cmp_id").agg(F.min("n_nodes").alias("least"), F.count(F.lit(1)).alias("n_seen"))
     all_nodes = per_node.groupBy("cmp_id").agg(F.countDistinct("node_id").alias("n_all"))
-    good = (grid.join(all_nodes, "cmp_id").join(n, "cmp_id")
-            .filter((F.col("least") == F.col("n_all")) & (F.col("n_seen") == F.col("n_pairs"))).select("cmp_id", "n_pairs"))
+    same = F.coalesce((F.col("least") == F.col("n_all")) & (F.col("n_seen") == F.col("n_pairs")), F.lit(False))
+    return n.join(grid, "cmp_id", "left").join(all_nodes, "cmp_id", "left").select("cmp_id", "n_pairs", same.alias("one_grid"))
+
+
+def comparison_status(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """COMMON_GRID or REFUSED_DIFFERENT_GRIDS for every comparison with pairs; refused ones have no AutoMAC, COMAC or summary."""
+    rows = pair_rows(pairs, shapes)
+    g = _grids(pairs, rows, rows.groupBy("cmp_id", "node_id", "dof").agg(F.count(F.lit(1)).alias("n_here")))
+    return g.select("cmp_id", "n_pairs", F.when(F.col("one_grid"), "COMMON_GRID").otherwise("REFUSED_DIFFERENT_GRIDS").alias("status"))
+
+
+def common_rows(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``pair_rows`` on the DOFs shared by all pairs of a comparison; comparisons whose pairs use different measurement
+    grids have no rows (`comparison_status` lists them)."""
+    rows = keep(pair_rows(pairs, shapes))
+    per_node = rows.groupBy("cmp_id", "node_id", "dof").agg(F.count(F.lit(1)).alias("n_here"))
+    good = _grids(pairs, rows, per_node).filter("one_grid").select("cmp_id", "n_pairs")
     common = per_node.join(good, "cmp_id").filter(F.col("n_here") == F.col("n_pairs")).select("cmp_id", "node_id", "dof")
     return keep(rows.join(common, ["cmp_id", "node_id", "dof"]))
 

@@ -268,6 +268,12 @@ def a05(t):
     return mac.comac(mac.common_rows(accepted(t), t.shapes))
 
 
+@query("a05_comparison_status", "cmp_id:i n_pairs:i status",
+       f"""WITH pairs AS ({ACCEPTED}), {COMMON_SQL} SELECT np.cmp_id, n AS n_pairs, CASE WHEN good.cmp_id IS NULL THEN 'REFUSED_DIFFERENT_GRIDS' ELSE 'COMMON_GRID' END AS status FROM np LEFT JOIN good USING (cmp_id)""")
+def a05_status(t):
+    return mac.comparison_status(accepted(t), t.shapes)
+
+
 @query("a06_correlation_summary", "cmp_id:i fe_automac_max:6 exp_automac_max:6 mean_comac:6 min_comac:6",
        COMAC_SQL + """, v AS (SELECT cmp_id, 'FE' AS side, fe_mode AS m, node_id, dof, ar AS r, ai AS i FROM rows_ UNION ALL
        SELECT cmp_id, 'EXP', exp_mode, node_id, dof, er, ei FROM rows_),

@@ -171,15 +171,15 @@ def a26(t):
 
 
 def frf_coherence_at_modes(modes, axis):
-    """Coherence at the line nearest to each mode (NULL outside the measured band) and the < 0.9 flag."""
+    """Coherence at the line nearest to each mode (NULL outside the measured band or without an axis) and the < 0.9 flag."""
     merged = axis.select(F.col("dataset_id").alias("cmp_id"), F.lit("FE").alias("role"), F.col("line").cast("bigint").alias("mode_no"),
                          F.col("f_hz").alias("frequency_hz")).unionByName(
         modes.select(F.col("dataset_id").alias("cmp_id"), F.lit("EXP").alias("role"),
                      F.xxhash64("cmp_id", "mode_no").alias("mode_no"), "frequency_hz"))
     near = pairing.nearest_frequencies(merged, 1).select(F.col("cmp_id").alias("dataset_id"), F.col("exp_mode").alias("_key"), F.col("fe_mode").alias("line"))
     band = axis.groupBy("dataset_id").agg(F.min("f_hz").alias("_lo"), F.max("f_hz").alias("_hi"))
-    out = (modes.withColumn("_key", F.xxhash64("cmp_id", "mode_no")).join(near, ["dataset_id", "_key"])
-           .join(axis.select("dataset_id", "line", "coh"), ["dataset_id", "line"]).join(band, "dataset_id"))
+    out = (modes.withColumn("_key", F.xxhash64("cmp_id", "mode_no")).join(near, ["dataset_id", "_key"], "left")
+           .join(axis.select("dataset_id", "line", "coh"), ["dataset_id", "line"], "left").join(band, "dataset_id", "left"))
     inside = F.col("frequency_hz").between(F.col("_lo"), F.col("_hi"))
     return out.withColumn("coherence", F.when(inside, F.col("coh"))).withColumn("flagged", F.coalesce(F.col("coherence") < 0.9, F.lit(False)))
 
