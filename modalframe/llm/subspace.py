@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from modalframe.operators.graph import exchanged, star_components
 from modalframe.session import scratch_path
@@ -43,8 +44,9 @@ def blocks_of(size: int) -> int:
     return min(BLOCKS, size)
 
 
-def unit(rows: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, np.float64) for r in rows])
+def unit(rows: list[bytes], kind: str = "f8") -> np.ndarray:
+    """Unit vectors in double precision; ``kind``: how the bytes hold the elements, single precision where the input is."""
+    x = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -54,7 +56,7 @@ def _usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def slab_rows(reps: DataFrame, budget: float) -> DataFrame:
+def slab_rows(reps: DataFrame, budget: float, kind: str) -> DataFrame:
     """Where each vector is searched: ``dim, block, slab, home, rep, n, vec``. A block is cut into slabs along its first
     coordinate, as wide as its radius; a vector is at home in one slab and visits the next, so partners share a slab."""
     schema = "dim int, block int, slab int, home boolean, rep bigint, n bigint, vec binary"
@@ -67,8 +69,8 @@ def slab_rows(reps: DataFrame, budget: float) -> DataFrame:
                 by_dim.setdefault(len(v), []).append(i)
             reps_, ns = b.column(0).to_numpy(), b.column(1).to_numpy()
             for dim, at in by_dim.items():
-                vecs = [np.array(vs[i], np.float64).tobytes() for i in at]
-                y = rotate(unit(vecs))
+                vecs = [np.array(vs[i], kind).tobytes() for i in at]
+                y = rotate(unit(vecs, kind))
                 m = blocks_of(y.shape[1])
                 radius = np.sqrt(budget / m + SLACK)
                 slab = np.floor(y[:, :: y.shape[1] // m] / radius).astype(np.int32)
@@ -80,10 +82,10 @@ def slab_rows(reps: DataFrame, budget: float) -> DataFrame:
     return reps.select("rep", "n", "v").mapInArrow(run, schema)
 
 
-def links_between(left: pd.DataFrame, right: pd.DataFrame, block: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def links_between(left: pd.DataFrame, right: pd.DataFrame, block: int, least_cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Linked places (in ``left``, in ``right``) that this block is the first to show; two at home in order of their ids."""
     budget = 2 - 2 * least_cosine
-    ua, ub = unit(list(left["vec"])), unit(list(right["vec"]))
+    ua, ub = unit(list(left["vec"]), kind), unit(list(right["vec"]), kind)
     ra, rb = rotate(ua), rotate(ub)
     m = blocks_of(ra.shape[1])
     width, share = ra.shape[1] // m, budget / m + SLACK
@@ -135,10 +137,11 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, id_col: str = "
     bounded size.
 
     A vector that is null, empty, zero or has null or non-finite elements links with nothing: 0 links, its own component,
-    kept. Vectors of different lengths never link. Rows repeated under one id count as copies. A row with a null id counts as
+    kept. Ids are whole numbers from 0 up. Vectors of different lengths never link. Rows repeated under one id count as copies. A row with a null id counts as
     a link for others but has no component (null, kept). An empty table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
+    kind = "f4" if vectors.schema[vector_col].dataType.elementType == FloatType() else "f8"
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("key", F.when(_usable(F.col("v")), F.md5(F.array_join(F.col("v").cast("array<string>"), ","))))
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
@@ -147,7 +150,7 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, id_col: str = "
     classes = spark.read.parquet(at)
 
     at = scratch_path(spark, "slabs")
-    slab_rows(classes, 2 - 2 * least_cosine).write.parquet(at)
+    slab_rows(classes, 2 - 2 * least_cosine, kind).write.parquet(at)
     placed = spark.read.parquet(at)
     slab = ["dim", "block", "slab"]
     sizes = placed.groupBy(*slab).agg(F.sum(F.col("home").cast("bigint")).alias("n_home"), F.count(F.lit(1)).alias("n_all")).filter("n_home > 0").select(
@@ -162,7 +165,7 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, id_col: str = "
         a, b = g[g["side"] == 0], g[g["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "int64", "n": "int64"})
-        i, j = links_between(a, b, int(g["block"].iloc[0]), least_cosine)
+        i, j = links_between(a, b, int(g["block"].iloc[0]), least_cosine, kind)
         ra, rb, na, nb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
         ids, inv = np.unique(np.concatenate([ra[i], rb[j]]), return_inverse=True)
         sums = np.bincount(inv, weights=np.concatenate([nb[j], na[i]])).astype(np.int64) if len(ids) else np.empty(0, np.int64)
