@@ -30,8 +30,8 @@ BITS_PER_ENTRY, PROBES = 10, 5
 MAX_FILTER_BYTES = 256 << 20
 #: Words whose exact counts are broadcast for the base score (the most frequent); all others are looked up by a join.
 FREQUENT = 1 << 16
-#: Documents per bucket of n-grams, and words handled at a time.
-DOCS_PER_BUCKET, CHUNK = 8192, 1 << 20
+#: Documents per bucket of n-grams, words handled at a time, and bytes of blocks handed on at a time.
+DOCS_PER_BUCKET, CHUNK, HANDED_ON = 8192, 1 << 20, 4 << 20
 
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: The end of a text, and the context of its first word.
@@ -126,6 +126,19 @@ def _by_bucket(kind: str, keys: np.ndarray, counts: np.ndarray, buckets: int):
             yield kind, k, keys[at].tobytes(), counts[at].astype(np.uint32).tobytes()
 
 
+def _batches(rows, schema: pa.Schema):
+    """Arrow batches of rows that end in blocks of bytes, a bounded size each."""
+    kept, size = [], 0
+    for row in rows:
+        kept.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= HANDED_ON:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+            kept, size = [], 0
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+
+
 def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -142,8 +155,7 @@ def ngram_counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     def flush(parts):
         for kind, make in (("word", lambda t: t), ("pair", pairs)):
             keys, counts = np.unique(np.concatenate([make(t) for t in parts]), return_counts=True)
-            rows = list(_by_bucket(kind, keys, counts, buckets))
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield from _batches(_by_bucket(kind, keys, counts, buckets), schema)
 
     def run(batches):
         parts, n = [], 0
@@ -151,7 +163,7 @@ def ngram_counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 parts.append(tokens(text))
                 n += len(parts[-1])
-                if n >= 4 * CHUNK:
+                if n >= 2 * CHUNK:
                     yield from flush(parts)
                     parts, n = [], 0
         if parts:
@@ -275,11 +287,8 @@ def score_documents(docs: DataFrame, shared, buckets: int, id_col: str, text_col
             b = (rare % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             stops = np.searchsorted(b[order], np.arange(buckets + 1))
-            rows = [(k, owner[at].tobytes(), rare[at].tobytes(), times[at].astype(np.uint32).tobytes()) for k in range(buckets) if len(at := order[stops[k] : stops[k + 1]])]
-            if rows:
-                none = [None] * len(rows)
-                ks, os_, rs, ts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip([none, none, none, none, none, none, ks, os_, rs, ts], schema, strict=True)], schema=schema)
+            none = (None,) * 6
+            yield from _batches(((*none, k, owner[at].tobytes(), rare[at].tobytes(), times[at].astype(np.uint32).tobytes()) for k in range(buckets) if len(at := order[stops[k] : stops[k + 1]])), schema)
 
         ids, texts, n = [], [], 0
         for batch in batches:
