@@ -90,15 +90,17 @@ def links_between(left: pd.DataFrame, right: pd.DataFrame, block: int, least_cos
     m = blocks_of(ra.shape[1])
     width, share = ra.shape[1] // m, budget / m + SLACK
     own = slice(block * width, (block + 1) * width)
-    a, b = ra[:, own].astype(np.float32), rb[:, own].astype(np.float32)
-    na, nb = (a * a).sum(1), (b * b).sum(1)
+    # |a - b|^2 as one product: (-2a, |a|^2, 1) times (b, 1, |b|^2)
+    a, b = ra[:, own], rb[:, own]
+    a = np.column_stack([-2 * a, (a * a).sum(1), np.ones(len(a))]).astype(np.float32)
+    b = np.ascontiguousarray(np.column_stack([b, np.ones(len(b)), (b * b).sum(1)]).astype(np.float32).T)
     ida, idb, home = left["rep"].to_numpy(), right["rep"].to_numpy(), right["home"].to_numpy()
     out_i, out_j = [], []
-    for at in range(0, len(a), 256):
-        near = na[at : at + 256, None] + nb[None, :] - 2 * (a[at : at + 256] @ b.T) <= share + SLACK_SEARCH
-        near &= ~home[None, :] | (ida[at : at + 256, None] < idb[None, :])
-        i, j = np.nonzero(near)
+    for at in range(0, len(a), 128):
+        i, j = np.divmod(np.flatnonzero((a[at : at + 128] @ b).ravel() <= share + SLACK_SEARCH), b.shape[1])
         i += at
+        once = ~home[j] | (ida[i] < idb[j])
+        i, j = i[once], j[once]
         for s in range(0, len(i), 1 << 16):  # exact checks, a bounded number at a time
             p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             linked = np.einsum("ij,ij->i", ua[p], ub[q]) >= least_cosine
