@@ -28,6 +28,8 @@ LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 #: Bytes after which a writer starts the next archive member.
 MEMBER_BYTES = 64 << 20
+#: Bytes of packages that one reading task covers.
+READ_BYTES = 16 << 20
 
 
 class Member(NamedTuple):
@@ -232,6 +234,11 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return spark.read.parquet(at)
 
 
+def reading_tasks(packages: DataFrame) -> int:
+    """How many tasks read the packages: in proportion to their bytes."""
+    return max(8, -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES))
+
+
 def index_records(packages: DataFrame, folder: str) -> DataFrame:
     """``path, page, at, length`` of every record, from the packages' directories and indexes."""
 
@@ -250,11 +257,11 @@ def index_records(packages: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     kind = pa.schema([("path", pa.string()), ("page", pa.int64()), ("at", pa.int64()), ("length", pa.int64())])
-    return packages.select("path", "bytes").repartition("path").mapInArrow(run, "path string, page bigint, at bigint, length bigint")
+    return packages.select("path", "bytes").repartition(max(1, packages.count()), "path").mapInArrow(run, "path string, page bigint, at bigint, length bigint")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Records of an index by range reads: ``page, record_type, refers_to, payload_bytes, payload_digest, payload``.
+def read_records(index: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Records of an index by range reads, dealt by place in the packages to a number of tasks: ``page, record_type, refers_to, payload_bytes, payload_digest, payload``.
 
     Digest and length of a response are taken from the bytes read; those of a revisit from its headers."""
 
@@ -285,7 +292,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             f.close()
 
     kind = pa.schema([("page", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-    spread = index.repartition("path", F.floor(F.col("at") / (8 << 20))).sortWithinPartitions("path", "at")
+    spread = index.repartition(tasks, "path", F.floor(F.col("at") / (1 << 20))).sortWithinPartitions("path", "at")
     return spread.mapInArrow(run, "page bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
@@ -299,5 +306,5 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     folder = scratch_path(pages.sparkSession, "archives")
     packages = write_packages(pages, folder, id_col, url_col, payload_col, least_bytes)
-    got = read_records(index_records(packages, folder), folder)
+    got = read_records(index_records(packages, folder), folder, reading_tasks(packages))
     return got.select(F.col("page").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -77,7 +77,7 @@ def test_round_trip_on_spark(spark, tmp_path):
     assert z.archive_pages(df.limit(0)).collect() == []
     folder = f"file://{tmp_path}/a"
     packages = z.write_packages(df, folder)
-    texts = {r.page: r.payload for r in z.read_records(z.index_records(packages, folder), folder).collect() if r.record_type == "response" and r.page not in (0, None)}
+    texts = {r.page: r.payload for r in z.read_records(z.index_records(packages, folder), folder, z.reading_tasks(packages)).collect() if r.record_type == "response" and r.page not in (0, None)}
     assert {k: bytes(v).decode() for k, v in texts.items()} == {1: "<p>é🙂</p>", 4: "", 6: "long " * 60_000, 7: "A"}
     big = z.archive_pages(df, least_bytes=5).collect()
     assert sum(r.record_type == "response" for r in big) == len(rows)
