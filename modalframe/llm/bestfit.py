@@ -19,8 +19,10 @@ REMEMBERED = 1_000_000
 #: Pieces packed together. Groups grow in number with the input, never in size.
 PIECES_PER_GROUP = 4096
 
-# A blank before a word belongs to it; other white space stands by itself. The same cuts as in the tokenizer's own rule.
-_FRAGMENT = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+# Cuts that no token crosses: before a blank that begins a word, around other white space, and between letters or digits and
+# punctuation. Runs with an apostrophe or with characters beyond Latin stay whole up to the next white space.
+_ALNUM, _MARKS = r"A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-&(-/:-@\[-`{-~"
+_FRAGMENT = re.compile(rf" ?[{_ALNUM}]++(?=[{_MARKS} \t-\r]|\Z)| ?[{_MARKS}]++(?=[{_ALNUM} \t-\r]|\Z)| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _ODD_BLANK = re.compile(r"[^\S \t-\r]")  # white space beyond ASCII, or that not every regex engine takes as such
 
 
