@@ -2,7 +2,8 @@
 
 Counts of words and word pairs are quantised to powers of two. An n-gram of level q is entered q times, with levels 1 to q,
 so asking for level 1, 2, ... until a miss returns its level; a false hit can only raise it, by one level with a small
-chance, by two with its square. The filter is broadcast; smoothed probabilities come from these probes alone.
+chance, by two with its square. Smoothed probabilities come from these probes alone. Segments of the filter are broadcast
+as long as they fit; those that do not are probed by a shuffled look-up, with the same results.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ PAIR_WEIGHT = 0.3
 #: Word pairs enter the filter from this count on.
 LEAST_PAIR = 2
 BITS_PER_ENTRY, PROBES = 10, 5
-#: Bound of the broadcast filter. Should the entries need more, the levels below the least that fits are left out.
+#: Bound of the broadcast segments of the filter. All others stay where they are and are looked up by a join.
 MAX_FILTER_BYTES = 256 << 20
 #: Words whose exact counts are broadcast for the base score (the most frequent); all others are looked up by a join.
 FREQUENT = 1 << 16
@@ -77,10 +78,13 @@ def _bits(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int, pro
     return (a + np.uint64(probe) * b) % np.asarray(size, np.uint64)
 
 
+def _segment_bytes(entries: int) -> int:
+    return max(8, -(-BITS_PER_ENTRY * entries // 8))
+
+
 def build_segment(keys: np.ndarray, levels: np.ndarray) -> bytes:
     """Bits of the entries (key, 1) to (key, level) of every key."""
-    entries = int(levels.sum())
-    size = max(64, -(-BITS_PER_ENTRY * entries // 8) * 8)
+    size = 8 * _segment_bytes(int(levels.sum()))
     bits = np.zeros(size, bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
         at = keys[levels >= q]
@@ -189,43 +193,50 @@ def add_up(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("kind", "bucket").applyInPandas(merge, "kind string, bucket int, keys binary, counts binary, distinct bigint, total bigint, entries bigint")
 
 
-def _segments(sums: DataFrame, skip: int) -> DataFrame:
-    """Filter segment of each kind and bucket; keys of level ``skip`` or less are left out."""
+def _segments(sums: DataFrame) -> DataFrame:
+    """Filter segment of each kind and bucket."""
 
     def build(frames):
         for g in frames:
-            rows = []
-            for k, c in zip(g["keys"], g["counts"]):
-                keys, levels = np.frombuffer(k, np.uint64), level_of(np.frombuffer(c, np.int64))
-                rows.append(build_segment(keys[levels > skip], levels[levels > skip]))
+            rows = [build_segment(np.frombuffer(k, np.uint64), level_of(np.frombuffer(c, np.int64))) for k, c in zip(g["keys"], g["counts"])]
             yield pd.DataFrame({"kind": g["kind"], "bucket": g["bucket"], "bits": rows})
 
     return sums.select("kind", "bucket", "keys", "counts").mapInPandas(build, "kind string, bucket int, bits binary")
 
 
-def _levels_that_fit(sums: DataFrame) -> int:
-    """Least number of levels to leave out so that the filter stays within its bound: 0 as long as everything fits."""
-    if BITS_PER_ENTRY * (sums.agg(F.sum("entries")).first()[0] or 0) <= 8 * MAX_FILTER_BYTES:
-        return 0
+def _near(sums: DataFrame, buckets: int) -> dict[str, int]:
+    """How many buckets of each kind, from the first on, are broadcast: words before pairs, as long as they fit."""
+    sizes = {(r.kind, r.bucket): _segment_bytes(r.entries) for r in sums.select("kind", "bucket", "entries").toLocalIterator()}
+    near, left = {"word": 0, "pair": 0}, MAX_FILTER_BYTES
+    for kind in near:
+        for k in range(buckets):
+            left -= sizes.get((kind, k), 0)
+            if left < 0:
+                return near
+            near[kind] = k + 1
+    return near
+
+
+# ------------------------------------------------------------------------------------------------ scoring
+def _distinct(t: np.ndarray, ends: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Distinct words and pairs of texts that stand one after the other, and which of them is at each place."""
+    before = np.concatenate([[END], t[:-1]]).astype(np.uint64)
+    before[ends[:-1]] = END
+    return {"word": np.unique(t, return_inverse=True), "pair": np.unique(_mix(before * _M[0] + t * _M[3]), return_inverse=True)}
 
-    def per_level(frames):
-        for g in frames:
-            for c in g["counts"]:
-                n = np.bincount(level_of(np.frombuffer(c, np.int64)), minlength=64)
-                yield pd.DataFrame({"level": np.arange(64), "n": n[:64]})
 
-    rows = {r.level: r.n for r in sums.select("counts").mapInPandas(per_level, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    for skip in range(64):
-        if BITS_PER_ENTRY * sum(q * n for q, n in rows.items() if q > skip) <= 8 * MAX_FILTER_BYTES:
-            return skip
-    return 64
+def far_keys(keys: np.ndarray, buckets: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys whose segment is not broadcast, by bucket and then as they stand, and where each bucket starts and ends."""
+    b = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    stops = np.searchsorted(b[order], np.arange(near, buckets + 1))
+    return order[stops[0] :], stops - stops[0]
 
 
-# ------------------------------------------------------------------------------------------------ scoring
 class Scorer:
     def __init__(self, shared: dict):
         self.words, self.pairs = LogFrequencyFilter(shared["word"]), LogFrequencyFilter(shared["pair"])
-        self.n, self.v = shared["n"], shared["v"]
+        self.n, self.v, self.near, self.buckets = shared["n"], shared["v"], shared["near"], len(shared["word"])
         self.keys, self.counts = shared["frequent"]
         self.floor = math.log10(self.n + ADDED * (self.v + 1))
 
@@ -236,17 +247,18 @@ class Scorer:
         weight = np.where(before > 0, PAIR_WEIGHT, 0.0)
         return np.log10(np.minimum(weight * share + (1 - weight) * single, 1.0))
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Log10 probability of each text."""
-        t, keys = np.concatenate(texts), np.concatenate([pairs(x) for x in texts])
-        ends = np.cumsum([len(x) for x in texts])
+    def score(self, t: np.ndarray, ends: np.ndarray, far: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Log10 probability of each text; they stand one after the other in ``t``. ``far``: levels of the keys of `far_keys`."""
         first = np.concatenate([[0], ends[:-1]])
-        uniq, inv = np.unique(t, return_inverse=True)
-        uni = count_of(self.words.levels(uniq))[inv]
-        upair, pinv = np.unique(keys, return_inverse=True)
-        duo = count_of(self.pairs.levels(upair))[pinv]
+        counts = {}
+        for kind, (keys, inv) in _distinct(t, ends).items():
+            levels = (self.words if kind == "word" else self.pairs).levels(keys)
+            if far is not None:
+                levels[far_keys(keys, self.buckets, self.near[kind])[0]] = far[kind]
+            counts[kind] = count_of(levels)[inv]
+        uni, duo = counts["word"], counts["pair"]
         before = np.concatenate([[0.0], uni[:-1]])
-        before[first] = count_of(self.words.levels(np.array([END], np.uint64)))[0]
+        before[first] = uni[ends[0] - 1]  # every text ends in END
         return np.add.reduceat(self.log10_probabilities(t, uni, duo, before), first)
 
     def frequent(self, t: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
@@ -259,11 +271,16 @@ class Scorer:
 
 
 _SCORED = [("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
-           ("bucket", pa.int32()), ("rids", pa.binary()), ("keys", pa.binary()), ("times", pa.binary())]
+           ("bucket", pa.int32()), ("rids", pa.binary()), ("keys", pa.binary()), ("times", pa.binary()), ("kind", pa.string())]
 
 
 def score_documents(docs: DataFrame, shared, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: texts (bucket null) with what is known on the spot, and blocks of rarer words to be looked up."""
+    """Texts (no bucket) with what is known on the spot, and blocks of rarer words to be looked up (no kind for either).
+
+    If part of the filter is not broadcast, ``score`` is null and there are two more kinds of rows, whose ``rid`` is that of
+    the first text of a chunk: the chunk's words (kind "chunk": ends of its texts, distinct words, which is where), and the
+    words and pairs to ask for, by bucket.
+    """
     schema = pa.schema([("doc", pa.int64()), *_SCORED])
     scorer: list[Scorer] = []
 
@@ -282,13 +299,27 @@ def score_documents(docs: DataFrame, shared, buckets: int, id_col: str, text_col
                 known.append(k), base.append(b), rare.append(u), times.append(c), owner.append(np.full(len(u), r))
             n = len(texts)
             none = [None] * n
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip([ids, rids, [len(t) for t in texts], known, base, s.score(texts), none, none, none, none], schema, strict=True)], schema=schema)
+            t, ends = np.concatenate(texts), np.cumsum([len(x) for x in texts])
+            whole = min(s.near.values()) == buckets
+            scores = s.score(t, ends) if whole else none
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip([ids, rids, [len(t) for t in texts], known, base, scores, *[none] * 5], schema, strict=True)], schema=schema)
             rare, times, owner = np.concatenate(rare), np.concatenate(times), np.concatenate(owner)
             b = (rare % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             stops = np.searchsorted(b[order], np.arange(buckets + 1))
             none = (None,) * 6
-            yield from _batches(((*none, k, owner[at].tobytes(), rare[at].tobytes(), times[at].astype(np.uint32).tobytes()) for k in range(buckets) if len(at := order[stops[k] : stops[k + 1]])), schema)
+            yield from _batches(((*none, k, owner[at].tobytes(), rare[at].tobytes(), times[at].astype(np.uint32).tobytes(), None) for k in range(buckets) if len(at := order[stops[k] : stops[k + 1]])), schema)
+            if not whole:
+                yield from _batches(to_ask(int(rids[0]), t, ends), schema)
+
+        def to_ask(chunk, t, ends):
+            none, parts = (None,) * 4, _distinct(t, ends)
+            yield None, chunk, *none, None, ends.astype(np.int64).tobytes(), parts["word"][0].tobytes(), parts["word"][1].astype(np.uint32).tobytes(), "chunk"
+            for kind, (keys, _) in parts.items():
+                at, stops = far_keys(keys, buckets, s.near[kind])
+                for k, (x, y) in enumerate(zip(stops, stops[1:]), s.near[kind]):
+                    if y > x:
+                        yield None, chunk, *none, k, None, keys[at[x:y]].tobytes(), None, kind
 
         ids, texts, n = [], [], 0
         for batch in batches:
@@ -302,7 +333,7 @@ def score_documents(docs: DataFrame, shared, buckets: int, id_col: str, text_col
         if texts:
             yield from flush(ids, texts)
 
-    ddl = "doc bigint, rid bigint, n_tokens bigint, n_known bigint, base_score double, score double, bucket int, rids binary, keys binary, times binary"
+    ddl = "doc bigint, rid bigint, n_tokens bigint, n_known bigint, base_score double, score double, bucket int, rids binary, keys binary, times binary, kind string"
     return docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, ddl)
 
 
@@ -324,6 +355,38 @@ def _look_up(blocks: DataFrame, dictionary: DataFrame, floor: float) -> DataFram
     return blocks.groupBy("bucket").cogroup(dictionary.groupBy("bucket")).applyInPandas(look, "rid bigint, n_known bigint, base_score double")
 
 
+def _far_levels(asked: DataFrame, segments: DataFrame) -> DataFrame:
+    """Levels of the keys asked for in segments that are not broadcast: rid, kind, bucket, levels (a byte for each key)."""
+
+    def look(key, asked: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+        blocks = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
+        levels = np.zeros(sum(map(len, blocks)), np.uint8)
+        if len(segment) and len(blocks):
+            keys, inv = np.unique(np.concatenate(blocks), return_inverse=True)
+            levels = LogFrequencyFilter([segment["bits"].iloc[0]]).levels(keys).astype(np.uint8)[inv]
+        stops = np.cumsum([0, *map(len, blocks)])
+        return pd.DataFrame({"rid": asked["rid"], "kind": asked["kind"], "bucket": asked["bucket"], "levels": [levels[x:y].tobytes() for x, y in zip(stops, stops[1:])]})
+
+    return asked.groupBy("kind", "bucket").cogroup(segments.groupBy("kind", "bucket")).applyInPandas(look, "rid bigint, kind string, bucket int, levels binary")
+
+
+def _far_scores(chunks: DataFrame, levels: DataFrame, shared) -> DataFrame:
+    """``rid, score`` of the texts of each chunk, from the broadcast segments and the levels that were looked up."""
+    scorer: list[Scorer] = []
+
+    def finish(key, chunk: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+        if not scorer:
+            scorer.append(Scorer(shared.value))
+        levels = levels.sort_values("bucket")
+        far = {kind: np.frombuffer(b"".join(levels["levels"][levels["kind"] == kind]), np.uint8) for kind in ("word", "pair")}
+        r = chunk.iloc[0]
+        ends = np.frombuffer(r["rids"], np.int64)
+        t = np.frombuffer(r["keys"], np.uint64)[np.frombuffer(r["times"], np.uint32)]
+        return pd.DataFrame({"rid": key[0] + np.arange(len(ends), dtype=np.int64), "score": scorer[0].score(t, ends, far)})
+
+    return chunks.groupBy("rid").cogroup(levels.groupBy("rid")).applyInPandas(finish, "rid bigint, score double")
+
+
 def _frequent(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the most frequent words, at most `FREQUENT`; each task first keeps its own most frequent."""
 
@@ -345,8 +408,8 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Learns from the rows that are not held out (`train_row`); words are compared by 64-bit hashes. ``base_score`` uses exact
     counts; ``score`` interpolates quantised counts of word pairs and words, read from the filter. The filter holds every
-    word and every pair seen at least `LEAST_PAIR` times; its broadcast never exceeds `MAX_FILTER_BYTES`, beyond which the
-    rarest levels are left out (their words then score as unseen in ``score`` alone).
+    word and every pair seen at least `LEAST_PAIR` times, whatever its size; at most `MAX_FILTER_BYTES` of it are broadcast
+    and the rest is looked up, which changes no score.
 
     Null and empty texts are one end token. A row with a null id is scored and never learned from. Repeated rows count and
     score once each. Without training rows N and V are 0. An empty table gives an empty one; other columns are not read.
@@ -360,15 +423,22 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     totals = sums.filter("kind = 'word'").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = totals[0] or 0, totals[1] or 0
     empty = build_segment(np.empty(0, np.uint64), np.empty(0, np.int64))
-    shared = {"n": n, "v": v, "frequent": _frequent(sums), "word": [empty] * buckets, "pair": [empty] * buckets}
-    for r in _segments(sums, _levels_that_fit(sums)).toLocalIterator():
+    near = _near(sums, buckets)
+    shared = {"n": n, "v": v, "frequent": _frequent(sums), "near": near, "word": [empty] * buckets, "pair": [empty] * buckets}
+    is_near = F.col("bucket") < F.when(F.col("kind") == "word", near["word"]).otherwise(near["pair"])
+    for r in _segments(sums.filter(is_near)).toLocalIterator():
         shared[r.kind][r.bucket] = bytes(r.bits)
-    at = scratch_path(spark, "scored")
-    score_documents(docs, spark.sparkContext.broadcast(shared), buckets, id_col, text_col).write.parquet(at)
+    at, shared = scratch_path(spark, "scored"), spark.sparkContext.broadcast(shared)
+    score_documents(docs, shared, buckets, id_col, text_col).write.parquet(at)
     scored = spark.read.parquet(at)
     floor = math.log10(n + ADDED * (v + 1))
-    rare = _look_up(scored.filter("bucket is not null").select("bucket", "rids", "keys", "times"), sums.filter("kind = 'word'").select("bucket", "keys", "counts"), floor)
-    texts = scored.filter("bucket is null").select("rid", "doc", "n_tokens", "n_known", "base_score", "score")
-    both = texts.unionByName(rare, allowMissingColumns=True).groupBy("rid").agg(
+    plain = scored.filter("kind is null")
+    rare = _look_up(plain.filter("bucket is not null").select("bucket", "rids", "keys", "times"), sums.filter("kind = 'word'").select("bucket", "keys", "counts"), floor)
+    texts = plain.filter("bucket is null").select("rid", "doc", "n_tokens", "n_known", "base_score", "score")
+    parts = texts.unionByName(rare, allowMissingColumns=True)
+    if min(near.values()) < buckets:
+        levels = _far_levels(scored.filter("kind in ('word', 'pair')").select("rid", "kind", "bucket", "keys"), _segments(sums.filter(~is_near)).select("kind", "bucket", "bits"))
+        parts = parts.unionByName(_far_scores(scored.filter("kind = 'chunk'").select("rid", "rids", "keys", "times"), levels, shared), allowMissingColumns=True)
+    both = parts.groupBy("rid").agg(
         F.max("doc").alias(id_col), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.max("score").alias("score"))
     return both.select(id_col, (~train_row(id_col)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

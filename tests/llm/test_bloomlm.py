@@ -72,3 +72,15 @@ def test_the_bound_leaves_out_rare_levels(spark, monkeypatch):
     rows = [(i, " ".join(f"v{(i * k) % 97}" for k in range(40))) for i in range(60)]
     got = b.language_model(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 60 and all(r.score < 0 for r in got)
+
+
+def test_scores_do_not_depend_on_the_bound(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"v{int(rng.paretovariate(0.7)) % 500}" for _ in range(rng.randrange(60)))) for i in range(300)] + [(1000, None), (None, "v1 v2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda: sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 9)) for r in b.language_model(df).collect())
+    monkeypatch.setattr(b, "CHUNK", 500)
+    want = score()
+    for bound in (0, 100, 900, 1500):
+        monkeypatch.setattr(b, "MAX_FILTER_BYTES", bound)
+        assert score() == want, bound
