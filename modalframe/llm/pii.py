@@ -35,11 +35,11 @@ GENERATORS = {
 _HINT = {"email": "(?i)@|[(\\[]at[)\\]]", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 _CUE = {"email": "(?i)mail|contact", "ip": "(?i)\\bip\\b|host|server|address", "card": "(?i)card|visa|payment|iban", "phone": "(?i)phone|call|tel|fax|mobile"}
 
-#: Boosting: rounds of depth-two trees, shrinkage, ridge.
+#: Boosting: rounds of depth-two trees per kind, shrinkage, ridge.
 ROUNDS, RATE, RIDGE = 10, 0.5, 1.0
 #: A threshold is the least score from which on at least this share of labelled candidates of its kind is personal data.
 PRECISION = 0.97
-FEATURES = ["kind", "digits", "breaks", "plus", "luhn", "at", "large", "left", "right", "cue"]
+FEATURES = ["kind", "digits", "breaks", "luhn", "large", "left", "right", "cue"]
 _LARGEST = {"kind": 3, "digits": 20, "breaks": 6}
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
@@ -115,16 +115,30 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1).otherwise(0)
 
 
+def usual(kind: str, v: Column) -> Column:
+    """A proposal in the form that the base rule knows: `@` and dots for words in brackets, a country code before ten digits."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(v, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    return F.when(v.startswith("+"), v).otherwise(F.concat(F.lit("+1 "), v)) if kind == "phone" else v
+
+
 def candidates(text: Column, kind: str) -> Column:
-    """Proposed spans of a kind with their features and the base rule's check."""
+    """Proposed spans of a kind with their features and the base rule's check; ``known`` if the base rule knows the form.
+
+    Features describe the `usual` form, so a form that the base rule cannot express is told apart by nothing but its context.
+    A phone number's digits count as 12 where the base rule takes their number.
+    """
     def describe(m: Column) -> Column:
         v, s, e = m["v"], m["s"], m["e"]
         before, after = F.substring(text, F.greatest(s - 23, F.lit(1)), F.least(s, F.lit(24))), F.substring(text, e + 1, F.lit(1))
-        digits = _digits(v)
-        values = [F.lit(KINDS.index(kind)), F.least(F.length(digits), F.lit(20)), F.least(F.length(F.regexp_replace(v, "[^\\x20().-]", "")), F.lit(6)), _flag(v.startswith("+")),
-                  _flag(_luhn(digits)), _flag(v.contains("@")), _flag(v.rlike("0*(?:[3-9][0-9]{2}|2[6-9][0-9]|25[6-9]|[1-9][0-9]{3,})")),
+        plain = usual(kind, v)
+        digits = _digits(plain)
+        n = F.least(F.length(digits), F.lit(20))
+        n = F.when(n.between(9, 15), 12).otherwise(n) if kind == "phone" else n
+        values = [F.lit(KINDS.index(kind)), n, F.least(F.length(F.regexp_replace(plain, "[^\\x20().-]", "")), F.lit(6)),
+                  _flag(_luhn(digits)), _flag(plain.rlike("0*(?:[3-9][0-9]{2}|2[6-9][0-9]|25[6-9]|[1-9][0-9]{3,})")),
                   _flag(before.rlike("[\\p{L}0-9_.+-]$")), _flag(after.rlike("[\\p{L}0-9_]")), _flag(before.rlike(_CUE[kind]))]
-        return F.struct(F.lit(KINDS.index(kind)).alias("k"), s.alias("s"), e.alias("e"), valid(kind, v).alias("valid"), *[x.cast("int").alias(n) for n, x in zip(FEATURES, values, strict=True)])
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), s.alias("s"), e.alias("e"), valid(kind, v).alias("valid"), (plain == v).alias("known"), *[x.cast("int").alias(n) for n, x in zip(FEATURES, values, strict=True)])
 
     found = [find(text, p, _HINT[kind]) for p in GENERATORS[kind]]
     return F.transform(F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0], describe)
@@ -192,7 +206,8 @@ def boost(table: DataFrame) -> Boosted:
     """Boosted trees on counts per feature vector: columns `FEATURES`, n, ones.
 
     Every round sums gradients per feature value with one grouped query a level; the sums are bounded by the number of
-    feature values, whatever the corpus. Each kind weighs the same, however often it occurs.
+    feature values, whatever the corpus. Each kind weighs the same, however often it occurs, and has its own splits, so that
+    a kind without zeros is not judged by those of another. Where there are only ones, a tree is one leaf.
     """
     trees: list[Split] = []
     weight = F.lit(1000.0) / F.sum("n").over(Window.partitionBy("kind"))
@@ -200,30 +215,36 @@ def boost(table: DataFrame) -> Boosted:
     for _ in range(ROUNDS):
         so_far = Boosted(tuple(trees), ())
         p = 1 / (1 + F.exp(-so_far.margin(F.col)))
-        d = table.withColumn("g", F.col("n") * p - F.col("ones")).withColumn("h", F.col("n") * p * (1 - p))
+        d = table.withColumn("g", F.col("n") * p - F.col("ones")).withColumn("h", F.col("n") * p * (1 - p)).withColumn("side", F.lit(""))
 
-        def sums(frame: DataFrame, *by: Column) -> list:
+        def sums(frame: DataFrame) -> dict[tuple[int, str], list]:
             pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])).alias("x")
-            return frame.select(*by, "g", "h", pairs).groupBy(*[c for c in frame.columns if c == "side"], "x.feature", "x.value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-
-        first = _best_split(sums(d))
-        if first is None:
+            out: dict[tuple[int, str], list] = {}
+            for r in frame.select("kind", "side", "g", "h", pairs).groupBy("kind", "side", "x.feature", "x.value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+                out.setdefault((r.kind, r.side), []).append(r)
+            return out
+
+        nodes, cuts = sums(d), {}
+        for depth in range(2):
+            new = {at: cut for at, rows in nodes.items() if len(at[1]) == depth and (cut := _best_split(rows))}
+            if not new:
+                break
+            side = F.col("side")
+            for (k, path), (f, bound) in new.items():
+                side = F.when((F.col("kind") == k) & (F.col("side") == path), F.when(F.col(f) < bound, path + "l").otherwise(path + "r")).otherwise(side)
+            d, cuts = d.withColumn("side", side), cuts | new
+            nodes |= sums(d)
+        kinds = sorted(k for k, path in nodes if path == "")
+        if not kinds or not cuts and trees:
             break
-        sided = sums(d.withColumn("side", F.col(first[0]) < first[1]), F.col("side"))
-        halves = {s: [r for r in sided if r.side == s] for s in (True, False)}
-        second = {s: _best_split(rows) for s, rows in halves.items()}
-        quarters = d.withColumn("side", F.concat_ws(":", *[F.concat(F.lit(str(s)), F.col(c[0]) < c[1]) if c else F.lit("x") for s, c in second.items()], F.col(first[0]) < first[1]))
-        leaves = sums(quarters, F.col("side")) if any(second.values()) else []
-
-        def grow(s: bool) -> Split:
-            cut = second[s]
-            if cut is None:
-                return _leaf(halves[s])
-            own = [r for r in leaves if r.side.endswith(str(s).lower())]
-            part = lambda b: _leaf([r for r in own if f"{s}{str(b).lower()}" in r.side.split(":")])
-            return Split(cut[0], cut[1], part(True), part(False))
-
-        trees.append(Split(first[0], first[1], grow(True), grow(False)))
+
+        def grow(k: int, path: str = "") -> Split:
+            return Split(*cuts[k, path], grow(k, path + "l"), grow(k, path + "r")) if (k, path) in cuts else _leaf(nodes[k, path])
+
+        tree = grow(kinds[-1])
+        for k in reversed(kinds[:-1]):
+            tree = Split("kind", k + 1, grow(k), tree)
+        trees.append(tree)
     model = Boosted(tuple(trees), ())
     scored = counts.withColumn("m", F.round(model.margin(F.col), 9)).groupBy("kind", "m").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect()
     thresholds: list[float | None] = []
@@ -253,12 +274,12 @@ def spans_found(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
 
 def training_counts(found: DataFrame) -> DataFrame:
-    """Counts per feature vector over all documents: ones are proposals that are base spans; zeros fail the base check and
-    touch no base span; other proposals are left out."""
+    """Counts per feature vector over all documents: ones are proposals that are base spans; zeros fail the base check in a
+    form that it knows and touch no base span; other proposals are left out, as the base check says nothing about their form."""
     c = found.filter(F.size("cand") > 0).select("base", F.explode("cand").alias("c"))
     same = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
     touched = F.exists("base", lambda b: _overlap(b, F.col("c")))
-    c = c.withColumn("one", same).filter(F.col("one") | (~F.col("c.valid") & ~touched))
+    c = c.withColumn("one", same).filter(F.col("one") | (F.col("c.known") & ~F.col("c.valid") & ~touched))
     return c.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count(F.lit(1)).alias("n"), F.sum(_flag(F.col("one"))).alias("ones"))
 
 
@@ -307,7 +328,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Counts and the hash are those of the base spans; ``spans`` spells base spans and added ones as ``kind:start:end``
     (code points, end exclusive) by start, then kind. Null and empty texts have no spans. Rows are independent: repeated
     rows and null ids come back as they are, other columns are not read, an empty table gives an empty one. Without any
-    base span or any failing proposal nothing is learned of a kind, and nothing is added for it.
+    base span that a generator proposes too, nothing is learned of a kind, and nothing is added for it.
     """
     found = _stored(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")), ["doc"], "t")
     out = all_spans(found, learn(found)).withColumn("b", in_order(F.col("base")))

@@ -67,3 +67,28 @@ def test_redaction(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == [(1, "mail [EMAIL] now", 16, 7), (2, None, None, 7), (3, "clean text", 10, 7), (4, "🙂 [IP] é [PHONE]", 16, 7)]
     assert pii.redact(df.limit(0)).collect() == [] and pii.personal_data(df.limit(0)).collect() == []
+
+
+def test_forms_without_a_base_rule_are_found_at_any_share(spark):
+    def texts(n_other):
+        rng = random.Random(n_other)
+        n = lambda a, b: rng.randrange(a, b)
+        out = [f"word user{n(0, 99)}@mail.example.com word {n(1, 200)}.{n(1, 200)}.7.{n(300, 999) if k % 3 == 0 else n(1, 200)} word" for k in range(1000)]
+        out += [f"word +{n(10, 99)} {n(100, 999)} {n(100, 999)} {n(1000, 9999)} word +1 {n(10, 99)} {n(10, 99)} word" for _ in range(1000)]
+        out += [f"in it {n(10**15, 10**16)} and {_card(rng)} or" for _ in range(300)]
+        phone = lambda k: f"({n(200, 999)}) 555-{n(1000, 9999)}" if k % 2 else f"{n(200, 999)}-555-{n(1000, 9999)}"
+        email = lambda k: f"name{k} [at] host [dot] com" if k % 2 else f"name{k}(at)mail(dot)host(dot)org"
+        return out, [(phone(k), email(k)) for k in range(n_other)]
+
+    for n_other in (10, 1000):
+        out, other = texts(n_other)
+        rows = [(i, x) for i, x in enumerate(out)] + [(10_000 + k, f"on {p} word {e} word") for k, (p, e) in enumerate(other)]
+        got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for k, (p, e) in enumerate(other):
+            assert got[10_000 + k] == f"phone:3:{3 + len(p)},email:{9 + len(p)}:{9 + len(p) + len(e)}", (n_other, p, e, got[10_000 + k])
+        assert not [x for i, x in enumerate(out) if 1000 <= i < 2000 and got[i].count("phone") != 1]  # too few digits
+
+
+def test_a_kind_without_rivals_is_learned(spark):
+    rows = [(i, f"word a{i}@b.org word") for i in range(50)] + [(100, "word name [at] host [dot] com word")]
+    assert {r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 100").collect()} == {"email:5:29"}
