@@ -76,6 +76,23 @@ def test_full_covariance_whitening(spark):
     assert np.allclose(got.T @ got, s.T @ np.linalg.inv(cov) @ s)
 
 
+def test_full_covariance_query_reads_every_term(spark, small):
+    from modalframe.plans import catalog
+
+    part = spark.read.parquet(f"{small}/part.parquet").select("p_partkey", "p_size").collect()
+    want = {}
+    for r in part:
+        want.setdefault(r.p_partkey // 40, []).append((r.p_partkey % 40, (r.p_size % 20) / 40, (r.p_partkey % 9) / 20))
+    got = {}
+    for r in catalog.QUERIES["a36_full_covariance_whitening"](spark, small).collect():
+        got.setdefault(r.family_id, []).append((r.row_no, r.s1, r.s2))
+    assert {f: sorted(x[0] for x in v) for f, v in got.items()} == {f: sorted(x[0] for x in v) for f, v in want.items()}
+    for f, v in want.items():
+        low = np.linalg.cholesky(np.full((len(v), len(v)), 0.2) + 0.8 * np.eye(len(v)))
+        y, w = np.array(sorted(got[f]))[:, 1:], np.linalg.solve(low, np.array(sorted(v))[:, 1:])
+        assert np.allclose(y.T @ y, w.T @ w)
+
+
 def terms(spark, seed=5, shift=0.0):
     rng = np.random.default_rng(seed)
     rows = []
