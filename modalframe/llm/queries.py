@@ -128,3 +128,36 @@ def op9(spark, folder):
     from modalframe.llm.snapshots import collapse_snapshots
 
     return collapse_snapshots(table(spark, folder, "conversations"))
+
+
+def planted_period(doc_id, ws: list[str]) -> list[str]:
+    """The words of `op11`: in one document of ten, those from place a on repeat the p original words from there."""
+    import zlib
+
+    h, n = zlib.crc32(str(doc_id).encode()), len(ws)
+    if doc_id is None or h % 10 or not n:
+        return ws
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return ws[:a] + [ws[a + k % p] for k in range(n - a)]
+
+
+@query("op11_suffix_tree_runs")
+def op11(spark, folder):
+    """Periodic runs of every whole text."""
+    from modalframe.llm.runs import periodic_runs, run_digests
+
+    return run_digests(periodic_runs(table(spark, folder, "documents"), least_length=24, least_exponent=3, prepare=planted_period))
+
+
+@query("op12_salted_exact_dedup", r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+     g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+""")
+def op12(spark, folder):
+    """Exact duplicates of every whole text."""
+    from modalframe.llm.exactdup import exact_duplicates
+
+    return exact_duplicates(table(spark, folder, "documents"))

@@ -26,11 +26,12 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
-def map_texts(df: DataFrame, keep: Sequence[str], text: str, compute: Callable[[list[str | None]], list], added: str) -> DataFrame:
+def map_texts(df: DataFrame, keep: Sequence[str], text: str, compute: Callable[..., list], added: str, with_keys: bool = False) -> DataFrame:
     """Columns ``keep`` of ``df`` followed by columns that ``compute`` makes from whole texts, one Arrow batch at a time.
 
-    ``compute`` gets the texts of a batch and returns one list per column of the DDL ``added``. Other columns of ``df``
-    are never read, so their names cannot clash. No shuffle.
+    ``compute`` gets the texts of a batch (``with_keys``: the values of the first column of ``keep``, then the texts) and
+    returns one list per column of the DDL ``added``. Other columns of ``df`` are never read, so their names cannot clash.
+    No shuffle.
     """
     extra = StructType.fromDDL(added)
     schema = StructType([df.schema[c] for c in keep] + extra.fields)
@@ -42,7 +43,8 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, compute: Callable[[
 
         kinds = [to_arrow_type(f.dataType) for f in extra.fields]
         for batch in batches:
-            made = compute(batch.column(n).to_pylist())
+            given = [batch.column(0).to_pylist()] if with_keys else []
+            made = compute(*given, batch.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(x, type=k) for x, k in zip(made, kinds, strict=True))], names=names)
 
     return source.mapInArrow(run, schema)
