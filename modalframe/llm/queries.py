@@ -161,3 +161,29 @@ def op12(spark, folder):
     from modalframe.llm.exactdup import exact_duplicates
 
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op13_fingerprint_phrases", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+     p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+     o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+     c AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM o, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+     f AS (SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM c GROUP BY ALL HAVING count(*) >= 30),
+     n AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+     a AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE words > 1),
+     k AS (SELECT *, unnest(range(1, words)) AS k FROM a),
+     s AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (2000000 * k.a) // (l.f + r.f) AS score FROM k
+           JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     i AS (SELECT x.lang, array_to_string(x.w[st:st + sz - 1], ' ') AS phrase, max(x.a) AS outer_a FROM a x, (SELECT unnest([2, 3]) AS sz), (SELECT unnest([1, 2, 3]) AS st)
+           WHERE sz < x.words AND st + sz - 1 <= x.words GROUP BY 1, 2),
+     r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, encode(b.phrase)) AS rank FROM b
+           LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.outer_a IS NULL OR 100 * i.outer_a < 80 * b.a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM r JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op13(spark, folder):
+    """Phrase collocations of every whole text."""
+    from modalframe.llm.phrases import collocations
+
+    return collocations(table(spark, folder, "documents"), least=30, top=2000)
