@@ -8,21 +8,44 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
+import numpy as np
+import regex
 from pyspark.sql import DataFrame
 
 from modalframe.llm.text import map_texts, words
 
-#: Distinct words whose encoding a worker remembers before it starts afresh; bounds its memory, not the result.
-REMEMBERED = 200_000
+#: Distinct words whose encoding a worker remembers in each of two generations. A full generation becomes the old one, and words
+#: met again move to the new one, so only rare words are forgotten. Bounds the memory of a worker, not the result.
+REMEMBERED = 150_000
+#: Characters of text whose unknown fragments are encoded in one call.
+CHUNK = 1 << 20
+
+
+_BYTE_CHARS = 512  # byte characters lie below
+#: Words of characters below this are split by the pattern of the file itself (letters there are the same in all Unicode versions).
+_LATIN_END = "\u0530"
+
+
+def _byte_chars() -> dict[int, int]:
+    """The character that stands for each byte: itself where it is visible, else the next one from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 0x100 + k for k, b in enumerate(hidden)}
+
+
+_TO_BYTE_CHAR = _byte_chars()
 
 
 class ForcedBpe:
     """Encoder of one tokenizer file with a word-end suffix, a pre-tokenizer that drops white space and no decoder."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -31,52 +54,132 @@ class ForcedBpe:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.last = BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)
-        self.inner = BPE(model["vocab"], merges)
+        self.last = Tokenizer(BPE(model["vocab"], merges, end_of_word_suffix=self.suffix))
+        self.inner = Tokenizer(BPE(model["vocab"], merges))
+        self.shown = {i: t for t, i in model["vocab"].items()}
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre = whole.normalizer, whole.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.joined = set()
+        self.joined = np.zeros((_BYTE_CHARS, _BYTE_CHARS), bool)  # byte characters that stand together in some token
         for token in model["vocab"]:
-            bare = token.removesuffix(self.suffix)
-            self.joined.update(zip(bare, bare[1:]))
+            bare = [ord(c) for c in token.removesuffix(self.suffix)]
+            self.joined[bare[:-1], bare[1:]] = True
+        self.joined[0, :] = self.joined[:, 0] = True  # 0 is no byte character; it parts pre-tokens below
         blanks = {p for c in " \t\n\x0b\x0c\r" for p, _ in self.pre.pre_tokenize_str(c)}
         if blanks:
             raise ValueError("white space must be no part of any token")
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.plain = self._plain_split(spec)
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    @staticmethod
+    def _plain_split(spec: dict):
+        """The pattern of the file that finds the pre-tokens of a normalised word, if nothing but it and the byte mapping does; else None."""
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        lower = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        if lower and [s["type"] for s in steps] == ["Split", "ByteLevel"]:
+            split, level = steps
+            if split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]:
+                return regex.compile(split["pattern"]["Regex"]).findall
+        return None
+
+    def cut(self, pretokens: list[str]) -> list[list[str]]:
+        """Pieces of each pre-token (in byte characters) between its certain cuts."""
+        out = [[p] for p in pretokens]
+        if not out:
+            return out
+        code = np.frombuffer("\0".join(pretokens).encode("utf-16-le"), np.uint16)
+        cuts = np.flatnonzero(~self.joined[code[:-1], code[1:]]) + 1
+        if len(cuts):
+            size = np.array([len(p) for p in pretokens])
+            begin = np.cumsum(size + 1) - size - 1
+            owner = np.searchsorted(begin, cuts, side="right") - 1
+            inside: dict[int, list[int]] = {}
+            for o, c in zip(owner.tolist(), (cuts - begin[owner]).tolist()):
+                inside.setdefault(o, []).append(c)
+            for o, at in inside.items():
+                out[o] = [pretokens[o][a:b] for a, b in zip([0, *at], [*at, len(pretokens[o])])]
+        return out
 
     def fragments(self, pretoken: str) -> list[str]:
-        """Pieces of a pre-token (in byte characters) between its certain cuts."""
-        cuts = [i + 1 for i, pair in enumerate(zip(pretoken, pretoken[1:])) if pair not in self.joined]
-        return [pretoken[a:b] for a, b in zip([0, *cuts], [*cuts, len(pretoken)])]
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids, shown = [], []
-        for part in self.split_special.split(word) if self.split_special else [word]:
-            if part in self.special:
-                ids.append(self.special[part])
-                shown.append(part)
-                continue
-            for pretoken, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                pieces = self.fragments(pretoken)
-                for k, piece in enumerate(pieces):
-                    for t in (self.last if k == len(pieces) - 1 else self.inner).tokenize(piece):
-                        ids.append(t.id)
-                        shown.append(t.value)
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(shown)
+        return self.cut([pretoken])[0]
+
+    def _pretokens(self, part: str) -> list[str]:
+        if self.plain is not None and part.isprintable():
+            if part.isascii():
+                return self.plain(part.lower())
+            if max(part) < _LATIN_END:
+                return [p.encode().decode("latin-1").translate(_TO_BYTE_CHAR) for p in self.plain(self.normalizer.normalize_str(part))]
+        return [p for p, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words: all their distinct fragments in one call for each encoder."""
+        known, flat, count, special = self.known, [], [], {}
+        for w in new:
+            if "<" in w and self.split_special and any(t in w for t in self.special):
+                parts = [[p] if p in self.special else self._pretokens(p) for p in self.split_special.split(w)]
+                special[w] = len(flat)
+                pretokens = [p for part in parts for p in part]
+            else:
+                pretokens = self._pretokens(w)
+            flat += pretokens
+            count.append(len(pretokens))
+        pieces = self.cut(flat)
+        for k, p in enumerate(flat if special else ()):
+            if p in self.special:
+                pieces[k] = []
+        done = {t: (array("I", [i]).tobytes(), t) for t, i in self.special.items()}
+        last = self._encode(self.last, {p[-1] for p in pieces if p})
+        inner = self._encode(self.inner, {f for p in pieces if len(p) > 1 for f in p[:-1]})
+        at = 0
+        for w, n in zip(new, count):
+            if n == 1 and len(pieces[at]) == 1:
+                known[w] = last[pieces[at][0]]
+            else:
+                made = []
+                for k in range(at, at + n):
+                    made += [*(inner[f] for f in pieces[k][:-1]), last[pieces[k][-1]]] if pieces[k] else [done[flat[k]]]
+                known[w] = (b"".join([x[0] for x in made]), " ".join([x[1] for x in made]))
+            at += n
+
+    def _encode(self, encoder, fragments: set[str]) -> dict[str, tuple[bytes, str]]:
+        wanted, shown, out = list(fragments), self.shown.__getitem__, {}
+        for f, e in zip(wanted, encoder.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+            ids = e.ids
+            out[f] = (array("I", ids).tobytes(), " ".join(map(shown, ids)))
+        return out
+
+    def _chunk(self, chunk: list[list[str]]) -> list[tuple[bytes, str]]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*chunk).difference(known)
+        again = older.keys() & new
+        for w in again:
+            known[w] = older[w]
+        new -= again
+        if new:
+            self._learn(list(new))
+        out = []
+        for ws in chunk:
+            found = [known[w] for w in ws]
+            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and the decoded text (token strings joined by blanks)."""
+        out, chunk, size = [], [], 0
+        for text in texts:
+            chunk.append(words(text))
+            size += len(text or "")
+            if size >= CHUNK:
+                out += self._chunk(chunk)
+                chunk, size = [], 0
+        return out + self._chunk(chunk)
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text (token strings joined by blanks)."""
-        cache, found = self.cache, []
-        if len(cache) > REMEMBERED:
-            cache.clear()
-        for w in words(text):
-            hit = cache.get(w)
-            if hit is None:
-                hit = cache[w] = self._word(w)
-            found.append(hit)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -93,7 +196,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
 
     def compute(texts):
-        made = [_encoder(tokenizer).encode(t) for t in texts]
+        made = _encoder(tokenizer).encode_all(texts)
         return [[len(i) // 4 for i, _ in made], [i for i, _ in made], [d for _, d in made]]
 
     return map_texts(docs, [id_col], text_col, compute, "n_tokens bigint, ids binary, decoded string")
@@ -103,7 +206,7 @@ def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """``id_col, n_tokens, ids_sha256, decoded_sha256``: `encode_documents` with its outputs hashed where they are made."""
 
     def compute(texts):
-        made = [_encoder(tokenizer).encode(t) for t in texts]
+        made = _encoder(tokenizer).encode_all(texts)
         return [[len(i) // 4 for i, _ in made], [hashlib.sha256(i).hexdigest() for i, _ in made], [hashlib.sha256(d.encode()).hexdigest() for _, d in made]]
 
     return map_texts(docs, [id_col], text_col, compute, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
