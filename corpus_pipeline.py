@@ -27,9 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group linked by five-word shingles at 80 percent."""
-    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The document of least id of each group linked by five-word shingles at 80 percent; of rows repeated under that id with
+    the same text one stays."""
+    kept = near_duplicates(docs, size=5, percent=80).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg((F.count(F.lit(1)) > 1).alias("again"))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"])).drop("kept_id")
+    once = rows.filter("not again")
+    return once.unionByName(rows.filter("again").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,13 +147,13 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_size: int = PIECES_PER_G
     """Add ``sequence_id`` and ``offset`` to a table of pieces (``length`` from 1 to ``capacity``).
 
     Pieces are dealt by hash into groups of about ``group_size`` and packed group by group, so no task grows with the
-    input; next to one global packing this opens at most a few more bins a group. ``pieces`` must be a stored table: it is
-    read twice.
+    input; next to one global packing this opens at most a few more bins a group. The place of a row is hashed along, so equal
+    rows are dealt out like all others. ``pieces`` must be a stored table: it is read twice, and its rows have fixed places.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_size))
     names = pieces.columns
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id()), F.lit(groups)))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", *names], ascending=[False, *[True] * len(names)], kind="stable", ignore_index=True)

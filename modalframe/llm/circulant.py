@@ -101,6 +101,10 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
+
+
 def signatures(docs: DataFrame, size: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """``id_col, n_shingles, set_key, bands`` of every whole text; no key and no bands for an empty set."""
     bands, rows = banding(threshold)
@@ -110,18 +114,24 @@ def signatures(docs: DataFrame, size: int, threshold: float, id_col: str, text_c
         for t in texts:
             s = shingle_set(t, size)
             n.append(len(s))
-            keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
+            keys.append(_set_key(s))
             made.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
         return [n, keys, made]
 
     return map_texts(docs, [id_col], text_col, compute, "n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``rep, shingles`` of the classes ``wanted`` (set_key, rep, least): read from the documents of their least ids. Where one
+    id has several texts, each class takes the one with its own set."""
+
     def compute(texts):
-        return [[shingle_set(t, size).view(np.int64) for t in texts]]
+        sets = [shingle_set(t, size) for t in texts]
+        return [[_set_key(s) for s in sets], [s.view(np.int64) for s in sets]]
 
-    return map_texts(docs, [id_col], text_col, compute, "shingles array<bigint>").withColumnRenamed(id_col, "rep").dropDuplicates(["rep"])
+    some = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).join(wanted.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
+    made = map_texts(some, ["doc"], "t", compute, "set_key binary, shingles array<bigint>")
+    return made.join(wanted, "set_key").filter(F.col("doc").cast("bigint") == F.col("least")).dropDuplicates(["set_key"]).select("rep", "shingles")
 
 
 def _linked(inter, na, nb, percent: int):
@@ -196,16 +206,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     the threshold itself a pair shares no band with a chance of one in a million, above it with less.
 
     Null, empty and wordless texts have no shingles and link with nothing. ``component_id`` is the least linked id (a
-    number), and ``kept`` marks it. A row with a null id links with nothing: component null, kept. Rows repeated under one
-    id count as copies and get the same answer. An empty table gives an empty one; other columns are not read.
+    number), and ``kept`` marks it. A row with a null id links with nothing: component null, kept. Classes have numbers of their
+    own, so several texts under one id are compared each by itself, and rows repeated under one id get the same answer. An
+    empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
     at = scratch_path(spark, "signatures")
     signatures(docs, size, percent / 100, id_col, text_col).write.parquet(at)
     sigs = spark.read.parquet(at).withColumnRenamed(id_col, "doc")
-    reps = sigs.filter("set_key is not null and doc is not null").groupBy("set_key").agg(F.min(F.col("doc").cast("bigint")).alias("rep"), F.first("bands").alias("bands"))
+    reps = sigs.filter("set_key is not null and doc is not null").groupBy("set_key").agg(F.min(F.col("doc").cast("bigint")).alias("least"), F.first("bands").alias("bands"))
     at = scratch_path(spark, "bands")
-    reps.write.parquet(at)
+    reps.withColumn("rep", F.monotonically_increasing_id()).write.parquet(at)
     reps = spark.read.parquet(at)
     exploded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
@@ -214,9 +225,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     members = spark.read.parquet(at)
     pairs = members.filter("rep <> hub").select("rep", "hub").distinct()
 
-    wanted = members.select(F.col("rep").alias(id_col)).distinct()
+    wanted = reps.select("set_key", "rep", "least").join(members.select("rep").distinct(), "rep", "left_semi")
     at = scratch_path(spark, "sets")
-    _sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), size, id_col, text_col).write.parquet(at)
+    _sets(docs, wanted, size, id_col, text_col).write.parquet(at)
     sets = spark.read.parquet(at)
     both = pairs.join(sets, "rep").join(exchanged(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("others")), "hub"), "hub")
     inter = F.size(F.array_intersect("shingles", "others"))
@@ -225,7 +236,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rest = _remaining_links(members.select("rep", "key"), sets, stars, percent)
     final = star_components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
-    classes = reps.select("set_key", "rep").join(exchanged(final.withColumnRenamed("id", "rep"), "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class"))
+    joined = reps.select("set_key", "rep", "least").join(exchanged(final.withColumnRenamed("id", "rep"), "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = joined.groupBy("component").agg(F.min("least").alias("class"))
+    classes = joined.join(exchanged(smallest, "component"), "component").select("set_key", "class")
     out = sigs.select("doc", "n_shingles", F.when(F.col("doc").isNotNull(), F.col("set_key")).alias("set_key")).join(exchanged(classes, "set_key"), "set_key", "left")
     component = F.coalesce("class", F.col("doc").cast("bigint"))
     return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc").cast("bigint") == component, F.lit(True)).alias("kept"))

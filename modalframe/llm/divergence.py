@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -18,7 +19,6 @@ COMMON = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque".split(),
     "fr": "de la le et les des en un une du que est pour dans qui par sur au plus ne pas avec ce il sont se ou aux son cette".split(),
 }
-LANGUAGES = sorted(COMMON)
 VOCABULARY = sorted({w for ws in COMMON.values() for w in ws})
 _AT = {w: i + 1 for i, w in enumerate(VOCABULARY)}  # 0: any other word
 WORD_BINS = len(VOCABULARY) + 1
@@ -33,6 +33,8 @@ _CLASS[[ord(c) for c in ".,;:!?'\"-()"]] = 5
 #: a histogram says something.
 MAX_CHARACTERS, MIN_CHARACTERS = 0.30, 100
 MAX_WORDS, MIN_WORDS = 0.34, 100
+#: A language has a reference if at least one in so many judged texts is written in it; so there are never more than this.
+REFERENCE_SHARE = 1000
 #: Base rule.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
@@ -138,28 +140,31 @@ _KINDS = (("characters", CLASSES, MIN_CHARACTERS), ("common", WORD_BINS, MIN_WOR
 def references(measured: DataFrame, lang_col: str) -> list[list[np.ndarray]]:
     """Per histogram the mean shares of each language's texts that pass the base rule and are long enough.
 
-    Every such text of the corpus counts once. Shares are added up batch by batch, then over batches: what reaches the
-    driver has one row per histogram and language of `COMMON`, whatever the input.
+    Characters have a reference for every language that at least one in `REFERENCE_SHARE` of these texts is written in, words for the
+    languages with a list in `COMMON`. Every such text of the corpus counts once. Shares are added up batch by batch, then over batches:
+    what reaches the driver has one row per histogram and language, at most `REFERENCE_SHARE` a histogram, whatever the input.
     """
 
     def add_up(batches):
         for b in batches:
-            lang = np.array(b.column("lang").to_pylist(), object)
+            codes, names = pd.factorize(np.array(b.column("lang").to_pylist(), object))
             rows = []
             for k, (name, bins, least) in enumerate(_KINDS):
                 counts = _rows_of(b.column(name), bins)
                 shares, long_ = _shares(counts), counts.sum(axis=1) >= least
-                for language in LANGUAGES:
-                    at = long_ & (lang == language)
-                    if at.any():
+                for code, language in enumerate(names):
+                    at = long_ & (codes == code)
+                    if at.any() and (name == "characters" or language in COMMON):
                         rows.append({"kind": k, "language": language, "n": int(at.sum()), "sums": shares[at].sum(axis=0).tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     out = pa.schema([("kind", pa.int32()), ("language", pa.string()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
-    parts = measured.filter(~base_failed()).select(F.col(lang_col).alias("lang"), "characters", "common").mapInArrow(add_up, "kind int, language string, n bigint, sums array<double>")
+    parts = measured.filter(~base_failed()).select(F.col(lang_col).cast("string").alias("lang"), "characters", "common").mapInArrow(add_up, "kind int, language string, n bigint, sums array<double>")
     bins = parts.select("kind", "language", F.posexplode("sums").alias("bin", "s"), "n")
-    rows = bins.groupBy("kind", "language", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("kind", "language").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bin", (F.col("s") / F.col("n")).alias("share")))), lambda x: x["share"]).alias("mean")).orderBy("kind", "language").collect()
+    sums = bins.groupBy("kind", "language", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("kind", "language").agg(
+        F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("bin", (F.col("s") / F.col("n")).alias("share")))), lambda x: x["share"]).alias("mean"))
+    often = F.col("n") * REFERENCE_SHARE >= F.sum("n").over(Window.partitionBy("kind"))
+    rows = sums.withColumn("often", often).filter("often").orderBy("kind", "language").collect()
     return [[np.array(r["mean"]) for r in rows if r["kind"] == k] for k in range(len(_KINDS))]
 
 
@@ -172,14 +177,16 @@ def verdicts(measured: DataFrame, lang_col: str) -> DataFrame:
 
     def judge(batches):
         for b in batches:
-            made = []
+            made, listed = [], np.array(b.column(n + len(_KINDS)).to_pylist(), bool)
             for k, (name, bins, least) in enumerate(_KINDS):
                 counts = _rows_of(b.column(n + k), bins)
                 near = np.min([jensen_shannon(_shares(counts), r) for r in refs[k]], axis=0) if refs[k] else np.zeros(len(counts))
-                made.append(pa.array(near, mask=(counts.sum(axis=1) < least) | (not refs[k])))
+                silent = (counts.sum(axis=1) < least) | (not refs[k])
+                made.append(pa.array(near, mask=silent | ~listed if name == "common" else silent))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.names)
 
-    d = measured.select(*plain, "characters", "common").mapInArrow(judge, schema).withColumn("base_failed", base_failed())
+    listed = F.coalesce(F.col(lang_col).cast("string").isin(*COMMON), F.lit(False))
+    d = measured.select(*plain, "characters", "common", listed.alias("listed_language")).mapInArrow(judge, schema).withColumn("base_failed", base_failed())
     unlike = F.coalesce(F.col("char_distance") > MAX_CHARACTERS, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~unlike)
 
@@ -190,10 +197,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A text is kept unless it fails the base rule or its character classes or common words are farther than a limit from
     every language reference. References are the mean shares over all texts of the corpus that pass the base rule, per
     language; a text shorter than the minimum length of a histogram is not judged by it (distance null). Null and empty
-    texts have no words, so they fail the base rule. Texts of null or unknown languages feed no reference but are judged by
-    the nearest one. Without any reference only the base rule decides. Repeated rows and null ids come back as they are; an
+    texts have no words, so they fail the base rule. The words of a text are judged only if its language has a list of common
+    words; texts of other languages (or null) are judged by their characters alone. Texts of a null language feed no reference.
+    Without any reference only the base rule decides. Repeated rows and null ids come back as they are; an
     empty table gives an empty one; other columns are not read. Texts are read once: their counts are written to the shared
-    scratch folder, and only one row of references reaches the driver.
+    scratch folder, and only the references reach the driver.
     """
     spark = docs.sparkSession
     at = scratch_path(spark, "measures")

@@ -112,11 +112,13 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most ``rows`` labelled rows that are not held out, in one task; only the sparse weights reach the driver."""
+    """Fit on at most ``rows`` labelled ids that are not held out, one text of each (the one of least hash, where an id has
+    several), in one task; only the sparse weights reach the driver."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     sample = sample.orderBy(order, id_col).limit(rows)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(sample), id_col)
+    texts = texts.groupBy(id_col, "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
 
     def compute(batch):
         return [[np.unique(features(t)).astype(np.int32) for t in batch]]
@@ -149,7 +151,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: lis
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row of ``docs``.
 
-    Learns from labelled rows that are not held out (`held_out`), at most `TRAIN_ROWS` of them; a score sees the text alone.
+    Learns from labelled ids that are not held out (`held_out`), at most `TRAIN_ROWS` of them with one text each; a score sees the text alone.
     Null and empty texts score by the label's share in training. Repeated rows score alike, a null id is scored and never trains, labels of ids
     without a text are ignored, several labels of one id count by the greatest, and without labels every score is 0. An
     empty table gives an empty one; other columns are not read.

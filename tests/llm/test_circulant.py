@@ -64,3 +64,19 @@ def test_band_counts_keep_the_miss_chance():
     for t in (0.8, 0.85, 0.9):
         b, r = c.banding(t)
         assert (1 - t**r) ** b <= c.MISS
+
+
+def test_two_texts_under_one_id_keep_their_links(spark):
+    rng = random.Random(2)
+    a, b = ([f"{x}{rng.randrange(900)}" for _ in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a + ["tail"])), (9, " ".join(b + ["tail"])), (5, " ".join(a)), (3, "alone in here")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, least int").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in c.near_duplicates(df, 3, 85).collect())
+    assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def test_a_pair_exactly_at_the_threshold_links(spark):
+    shared = [f"s{k}" for k in range(87)]  # 85 of 100 shingles are common
+    rows = [(1, " ".join([*shared, *(f"x{k}" for k in range(15))])), (2, " ".join(shared)), (3, " ".join([*shared[:-1], *(f"y{k}" for k in range(16))]))]
+    got = {(r.doc_id, r.component_id) for r in c.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}

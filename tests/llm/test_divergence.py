@@ -65,3 +65,18 @@ def test_filter_keeps_rows_and_columns(spark):
     out = d.filter_quality(df)
     assert out.columns == df.columns and sorted(map(repr, map(tuple, out.collect()))) == sorted(repr(r) for r in rows if (r[0] is None or r[0] < 60))
     assert d.filter_quality(df.limit(0)).count() == 0 and d.quality_rules(df.limit(0)).count() == 0
+
+
+def test_a_fifth_language_keeps_its_clean_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    finnish = "ja on ei se että hän oli mutta niin kuin minä sen kun joka olla talo metsä järvi kaunis päivä yö kesä talvi vanha".split()
+    rows = [(i, "fi", " ".join(rng.choices(finnish, k=150)) + f" {i}.") for i in range(40)]
+    rows += [(100 + i, None, " ".join(rng.choices(finnish, k=150)) + f" {i}.") for i in range(5)]
+    rows += [(200 + i, "en", " ".join(rng.choices(d.COMMON["en"] + ["house", "lake", "summer"], k=150)) + f" {i}.") for i in range(40)]
+    rows += [(300, "en", " ".join(rng.choices(finnish, k=150))), (301, "fi", "@#% " * 10 + " ".join(f"{k:x}$#" * 9 for k in range(60)))]
+    got = {r.doc_id: r for r in d.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert all(got[i].kept for i in got if i < 300)
+    assert all(got[i].word_distance is None and got[i].char_distance is not None for i in got if i < 200)
+    assert not got[300].kept and not got[301].kept

@@ -52,3 +52,12 @@ def test_edges_of_the_input(spark):
     assert f.toxicity(docs.limit(0), labels).collect() == []
     scorer = f.Scorer(*f.fit([(np.array([5], np.uint32), 1)] * 40))
     assert scorer.score("word " * 50_000) == scorer.score("word " * 3)
+
+
+def test_an_id_with_many_texts_trains_with_one(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("more "), F.col("id")).alias("text")))
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert len(f.train(docs, labels, "doc_id", "text", "toxic")[0]) <= 30 * 10 + 1

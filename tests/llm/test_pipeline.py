@@ -64,3 +64,12 @@ def test_run_and_empty_input(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_leave_one_document(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, "en", "s", 1)] * 4 + [(2, long + " more", "en", "s", 1), (3, "another text of seven words in all", "en", "s", 1), (None, long, "en", "s", 1), (None, long, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is not None, r.doc_id) for r in got.collect()) == [(False, None), (True, 1), (True, 3)]

@@ -105,3 +105,14 @@ def test_pack_documents(spark):
         assert at <= 1024
     assert len(seqs) <= 1.02 * sum(r.length for r in rows) / 1024 + 1
     assert pack_documents(df.limit(0), public_tokenizer("byte_bpe_50k.json")).collect() == []
+
+
+def test_equal_pieces_are_dealt_into_all_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from modalframe.llm.bestfit import pack_pieces
+
+    spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit(300).cast("bigint").alias("length")).write.parquet(str(tmp_path / "pieces"))
+    packed = pack_pieces(spark.read.parquet(str(tmp_path / "pieces")), 1024)
+    sizes = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 36)).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 5 and max(sizes) < 5000
