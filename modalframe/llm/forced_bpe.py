@@ -6,6 +6,7 @@ encoded once by itself, and the pieces are put together again.
 """
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -27,7 +28,7 @@ CHUNK = 1 << 20
 
 
 _BYTE_CHARS = 512  # byte characters lie below
-#: Words of characters below this are split by the pattern of the file itself (letters there are the same in all Unicode versions).
+#: Words of visible characters below this are split by the pattern of the file itself (letters there are alike in all Unicode versions).
 _LATIN_END = "\u0530"
 
 
@@ -39,6 +40,7 @@ def _byte_chars() -> dict[int, int]:
 
 
 _TO_BYTE_CHAR = _byte_chars()
+_PART, _BLANK = (chr(_TO_BYTE_CHAR[b]) for b in b"\0 ")  # neither is found in a pre-token of visible characters
 
 
 class ForcedBpe:
@@ -75,13 +77,14 @@ class ForcedBpe:
 
     @staticmethod
     def _plain_split(spec: dict):
-        """The pattern of the file that finds the pre-tokens of a normalised word, if nothing but it and the byte mapping does; else None."""
+        """Finds the pre-tokens of normalised words, and the blanks between them, by the pattern of the file; None if more than
+        that pattern and the byte mapping is needed."""
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         lower = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         if lower and [s["type"] for s in steps] == ["Split", "ByteLevel"]:
             split, level = steps
             if split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]:
-                return regex.compile(split["pattern"]["Regex"]).findall
+                return regex.compile(f"(?:{split['pattern']['Regex']})| ").findall
         return None
 
     def cut(self, pretokens: list[str]) -> list[list[str]]:
@@ -106,42 +109,61 @@ class ForcedBpe:
         return self.cut([pretoken])[0]
 
     def _pretokens(self, part: str) -> list[str]:
-        if self.plain is not None and part.isprintable():
-            if part.isascii():
-                return self.plain(part.lower())
-            if max(part) < _LATIN_END:
-                return [p.encode().decode("latin-1").translate(_TO_BYTE_CHAR) for p in self.plain(self.normalizer.normalize_str(part))]
         return [p for p, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))]
 
-    def _learn(self, new: list[str]) -> None:
+    def _split_plain(self, plain: list[str]) -> list[str] | None:
+        """Pre-tokens of many plain words at once, those of a word joined by `_PART`; None if the words cannot be told apart."""
+        found = self.plain(self.normalizer.normalize_str(" ".join(plain)))
+        out = "\0".join(found).encode().decode("latin-1").translate(_TO_BYTE_CHAR).split(f"{_PART}{_BLANK}{_PART}")
+        return out if len(out) == len(plain) and not any(w.startswith(_BLANK) for w in out) else None
+
+    def _learn(self, new: set[str]) -> None:
         """Encode new words: all their distinct fragments in one call for each encoder."""
-        known, flat, count, special = self.known, [], [], {}
-        for w in new:
-            if "<" in w and self.split_special and any(t in w for t in self.special):
-                parts = [[p] if p in self.special else self._pretokens(p) for p in self.split_special.split(w)]
-                special[w] = len(flat)
-                pretokens = [p for part in parts for p in part]
-            else:
-                pretokens = self._pretokens(w)
-            flat += pretokens
-            count.append(len(pretokens))
-        pieces = self.cut(flat)
-        for k, p in enumerate(flat if special else ()):
-            if p in self.special:
-                pieces[k] = []
-        done = {t: (array("I", [i]).tobytes(), t) for t, i in self.special.items()}
-        last = self._encode(self.last, {p[-1] for p in pieces if p})
-        inner = self._encode(self.inner, {f for p in pieces if len(p) > 1 for f in p[:-1]})
-        at = 0
-        for w, n in zip(new, count):
-            if n == 1 and len(pieces[at]) == 1:
-                known[w] = last[pieces[at][0]]
-            else:
-                made = []
-                for k in range(at, at + n):
-                    made += [*(inner[f] for f in pieces[k][:-1]), last[pieces[k][-1]]] if pieces[k] else [done[flat[k]]]
-                known[w] = (b"".join([x[0] for x in made]), " ".join([x[1] for x in made]))
-            at += n
+        plain, joined = [], None
+        if self.plain is not None:
+            plain = [w for w in new if w.isprintable() and "<" not in w and (w.isascii() or max(w) < _LATIN_END)]
+            joined = self._split_plain(plain) if plain else []
+        if joined is None:
+            plain, joined = [], []
+        # Words of one pre-token without a cut are their own and last fragment; the others are taken apart.
+        simple = np.ones(len(plain), bool)
+        if plain:
+            code = np.frombuffer(_PART.join(joined).encode("utf-16-le"), np.uint16)
+            parted = ~self.joined[code[:-1], code[1:]]
+            parted[code[1:] == ord(_PART)] = False
+            parted[code[:-1] == ord(_PART)] = False
+            size = np.fromiter(map(len, joined), np.int64, len(joined))
+            begin = np.cumsum(size + 1) - size - 1
+            simple[np.searchsorted(begin, np.flatnonzero(parted) + 1, side="right") - 1] = False
+            inner_parts = np.flatnonzero(code == ord(_PART))
+            simple[np.searchsorted(begin, np.setdiff1d(inner_parts, begin - 1, assume_unique=True), side="right") - 1] = False
+        flags = simple.tolist()
+        easy = {w: j for w, j, f in zip(plain, joined, flags) if f}
+        rest = {w: j.split(_PART) for w, j, f in zip(plain, joined, flags) if not f}
+        specials = {}
+        for w in new.difference(plain) if len(plain) < len(new) else ():
+            parts = self.split_special.split(w) if self.split_special and "<" in w else [w]
+            rest[w] = []
+            for part in parts:
+                if part in self.special:
+                    specials.setdefault(w, {})[len(rest[w])] = part
+                    rest[w].append("")
+                else:
+                    rest[w] += self._pretokens(part)
+        pieces = iter(self.cut([p for ps in rest.values() for p in ps]))
+        cut = {w: [next(pieces) for _ in ps] for w, ps in rest.items()}
+        last = self._encode(self.last, {*easy.values(), *(p[-1] for ps in cut.values() for p in ps)})
+        inner = self._encode(self.inner, {f for ps in cut.values() for p in ps for f in p[:-1]})
+        known = self.known
+        known.update(zip(easy, map(last.__getitem__, easy.values())))
+        for w, ps in cut.items():
+            made, special = [], specials.get(w, {})
+            for k, p in enumerate(ps):
+                if k in special:
+                    made.append((array("I", [self.special[special[k]]]).tobytes(), special[k]))
+                else:
+                    made += [*(inner[f] for f in p[:-1]), last[p[-1]]]
+            known[w] = (b"".join([x[0] for x in made]), " ".join([x[1] for x in made]))
 
     def _encode(self, encoder, fragments: set[str]) -> dict[str, tuple[bytes, str]]:
         wanted, shown, out = list(fragments), self.shown.__getitem__, {}
@@ -160,7 +182,7 @@ class ForcedBpe:
             known[w] = older[w]
         new -= again
         if new:
-            self._learn(list(new))
+            self._learn(new)
         out = []
         for ws in chunk:
             found = [known[w] for w in ws]
@@ -170,13 +192,19 @@ class ForcedBpe:
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids of each text as little-endian unsigned 32-bit integers, and the decoded text (token strings joined by blanks)."""
         out, chunk, size = [], [], 0
-        for text in texts:
-            chunk.append(words(text))
-            size += len(text or "")
-            if size >= CHUNK:
-                out += self._chunk(chunk)
-                chunk, size = [], 0
-        return out + self._chunk(chunk)
+        collecting = gc.isenabled()
+        gc.disable()  # nothing below forms cycles, and the remembered words make each collection long
+        try:
+            for text in texts:
+                chunk.append(words(text))
+                size += len(text or "")
+                if size >= CHUNK:
+                    out += self._chunk(chunk)
+                    chunk, size = [], 0
+            return out + self._chunk(chunk)
+        finally:
+            if collecting:
+                gc.enable()
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         return self.encode_all([text])[0]
