@@ -7,17 +7,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modalframe.functions.cplx import abs2, clip
 from modalframe.functions.reasons import reason_array
+from modalframe.operators import axis
 from modalframe.operators.ordered import islands, log_bin, top_rows, with_order
-from modalframe.session import keep
+from modalframe.session import cut_lineage, keep
 
 AXIS = ["dataset_id", "ref_node", "ref_dir"]
-PEAKS = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("prominence", T.DoubleType())]))
 EIGENPAIRS = T.ArrayType(T.StructType([T.StructField("sigma", T.DoubleType()), T.StructField("vr", T.ArrayType(T.DoubleType())),
                                        T.StructField("vi", T.ArrayType(T.DoubleType()))]))
 CHANNEL = ["dataset_id", "rsp_node", "rsp_dir", "ref_node", "ref_dir"]
@@ -206,103 +207,94 @@ def cmif(lines: DataFrame) -> DataFrame:
     g = reference_gram(lines).groupBy("dataset_id", "line", "f_hz").agg(F.array_sort(F.collect_list(F.struct("i", "j", "gr", "gi"))).alias("g"))
     diag = F.filter("g", lambda e: e["i"] == e["j"])
     g = g.withColumn("d", diag).withColumn("n_refs", F.size("d"))
-    many = F.when(F.col("n_refs") > 2, F.transform("g", lambda e: F.struct((F.array_position(F.col("d.i"), e["i"]).cast("int") - 1).alias("ki"), (F.array_position(F.col("d.i"), e["j"]).cast("int") - 1).alias("kj"),
-                                                                          e["gr"].alias("gr"), e["gi"].alias("gi"))))
-    g = g.withColumn("m", many).withColumn("_k", _gram_singular_values("m.ki", "m.kj", "m.gr", "m.gi"))
+    place = lambda c: (F.array_position(F.col("d.i"), c).cast("int") - 1)
+    many = F.transform("g", lambda e: F.struct(place(e["i"]).alias("ki"), place(e["j"]).alias("kj"), e["gr"].alias("gr"), e["gi"].alias("gi")))
+    wide = g.filter("n_refs > 2").withColumn("m", many).withColumn("sv", _gram_singular_values("m.ki", "m.kj", "m.gr", "m.gi"))
     p, q = F.get("d", F.lit(0))["gr"], F.get("d", F.lit(1))["gr"]
     cross = F.filter("g", lambda e: e["i"] != e["j"])
     off = lambda part: F.coalesce(F.get(cross, F.lit(0))[part], F.lit(0.0))
     mean, half = (p + q) / 2, (p - q) / 2
     root = F.sqrt(half * half + abs2(off("gr"), off("gi")))
     two = F.array(F.sqrt(mean + root), F.sqrt(F.greatest(mean - root, F.lit(0.0))))
-    sv = F.when(F.col("n_refs") == 1, F.array(F.sqrt(p))).when(F.col("n_refs") == 2, two).otherwise(F.col("_k"))
-    return g.withColumn("sv", sv).select("dataset_id", "line", "f_hz", "n_refs", "sv", F.get("sv", F.lit(0)).alias("sv1"), F.get("sv", F.lit(1)).alias("sv2"))
+    few = g.filter("n_refs <= 2").withColumn("sv", F.when(F.col("n_refs") == 1, F.array(F.sqrt(p))).otherwise(two))
+    columns = ["dataset_id", "line", "f_hz", "n_refs", "sv"]
+    return few.select(*columns).unionByName(wide.select(*columns)).select("dataset_id", "line", "f_hz", "n_refs", "sv", F.get("sv", F.lit(0)).alias("sv1"), F.get("sv", F.lit(1)).alias("sv2"))
 
 
 # ---------------------------------------------------------------------------------------------------- peaks
-def smooth_indicator(ind: DataFrame, max_half: int = 40) -> DataFrame:
+def positions(ind: DataFrame) -> DataFrame:
+    """Number the lines of each axis from 0 (``pos``) and add their count (``n_lines``)."""
+    count = ind.groupBy(*AXIS).agg(F.count(F.lit(1)).alias("n_lines"))
+    d = with_order(ind.join(count, AXIS), AXIS, F.floor(F.col("line") / 4096), ["line"], rank="pos")
+    return d.withColumn("pos", F.col("pos").cast("bigint") - 1)
+
+
+def smooth_indicator(ind: DataFrame) -> DataFrame:
     """Quadratic least-squares smoothing of log10(indicator) along each axis (window max(5, 0.4 % of lines), odd).
 
-    Interior lines use the centred window; edge lines evaluate the polynomial of the first / last window off-centre.
-    ``max_half`` bounds the half window (a window of 81 lines serves axes of 20 000 lines; longer ones are refused).
+    Interior lines use the centred window; edge lines evaluate the polynomial of the first / last window off-centre. Axes may have
+    any length: they are smoothed in blocks.
     """
-    peak = ind.groupBy(*AXIS).agg(F.max("indicator").alias("_top"), F.count(F.lit(1)).alias("n_lines"))
-    d = ind.join(peak, AXIS)
+    d = positions(ind).join(ind.groupBy(*AXIS).agg(F.max("indicator").alias("_top")), AXIS)
     floor = F.greatest(F.col("_top"), F.lit(1e-30)) * F.lit(1e-14)
-    d = d.withColumn("log_ind", F.log10(F.greatest(F.col("indicator"), floor)))
-    d = with_order(d, AXIS, F.floor(F.col("line") / 4096), ["line"], rank="pos")
+    d = d.withColumn("log_ind", F.log10(F.greatest(F.col("indicator"), floor))).drop("_top")
     n = F.col("n_lines")
-    want = F.greatest(F.lit(5), F.round(n * F.lit(0.004)).cast("int"))
+    want = F.greatest(F.lit(5), F.round(n * F.lit(0.004)).cast("bigint"))
     want = F.when(want % 2 == 0, want + 1).otherwise(want)
     most = F.when((n - 1) % 2 == 1, n - 1).otherwise(n - 2)
-    d = d.withColumn("_h", ((F.least(want, most) - 1) / 2).cast("int")).withColumn("pos", F.col("pos") - 1)
-    d = d.withColumn("_h", F.when(F.col("_h") > max_half, F.raise_error(F.lit("axis too long: raise max_half"))).otherwise(F.col("_h")))
-    w = Window.partitionBy(*AXIS).orderBy("pos").rowsBetween(-2 * max_half, 2 * max_half)
-    d = d.withColumn("_near", F.collect_list(F.struct("pos", "log_ind")).over(w))
-    h = F.col("_h").cast("double")
-    centre = F.greatest(F.col("_h"), F.least(F.col("pos"), n - 1 - F.col("_h")))
-    t = (F.col("pos") - centre).cast("double")
-    m = 2 * h + 1
-    s2 = h * (h + 1) * (2 * h + 1) / 3
-    s4 = h * (h + 1) * (2 * h + 1) * (3 * h * h + 3 * h - 1) / 15
-    mu = s2 / m
-    d = d.withColumn("_c", centre).withColumn("_t", t).withColumn("_m", m).withColumn("_s2", s2).withColumn("_mu", mu).withColumn(
-        "_q", s4 - m * mu * mu)
-    total = F.aggregate(
-        F.filter("_near", lambda v: F.abs(v["pos"] - F.col("_c")) <= F.col("_h")), F.lit(0.0),
-        lambda acc, v: acc + v["log_ind"] * (1 / F.col("_m") + F.col("_t") * (v["pos"] - F.col("_c")) / F.col("_s2")
-                                             + (F.col("_t") * F.col("_t") - F.col("_mu"))
-                                             * ((v["pos"] - F.col("_c")) * (v["pos"] - F.col("_c")) - F.col("_mu")) / F.col("_q")))
-    return (d.withColumn("smoothed", F.when(F.col("_h") >= 2, total).otherwise(F.col("log_ind")))
-            .drop("_top", "_h", "_near", "_c", "_t", "_m", "_s2", "_mu", "_q"))
-
-
-def local_peaks(y: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Local maxima (plateau midpoints) thinned by distance, highest first, then cut by prominence."""
-    change = np.flatnonzero(np.diff(y)) + 1
-    starts, ends = np.r_[0, change], np.r_[change, len(y)]
-    level = y[starts]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    peaks = (starts[top] + ends[top] - 1) // 2
-    alive = np.ones(len(peaks), bool)
-    for k in np.argsort(y[peaks], kind="stable")[::-1]:
+    return axis.smooth(d, AXIS, "log_ind", F.floor((F.least(want, most) - 1) / 2), "smoothed")
+
+
+def thin(pos: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which peaks stay when, from the highest down (the later of equal ones first), each takes out its neighbours closer than ``distance``."""
+    alive, done = np.ones(len(pos), bool), np.zeros(len(pos), bool)
+    for k in np.argsort(height, kind="stable")[::-1]:
         if alive[k]:
-            alive &= (np.abs(peaks - peaks[k]) >= distance) | (np.arange(len(peaks)) == k)
-    peaks = peaks[alive]
-    prom = np.empty(len(peaks))
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(y > y[p])
-        left = higher[higher < p].max() + 1 if (higher < p).any() else 0
-        right = higher[higher > p].min() if (higher > p).any() else len(y)
-        prom[k] = y[p] - max(y[left:p + 1].min(), y[p:right].min())
-    keep = prom >= prominence
-    return peaks[keep], prom[keep]
-
-
-@F.pandas_udf(PEAKS)
-def _axis_peaks(values: pd.Series) -> pd.Series:
-    out = []
-    for v in values:
-        y = np.asarray(v, float)
-        if len(y) < 3:
-            out.append([])
-            continue
-        idx, prom = local_peaks(y, max(2, int(round(len(y) * 0.0025))), max(0.01, 0.02 * float(np.ptp(y))))
-        out.append([{"idx": int(i), "prominence": float(p)} for i, p in zip(idx, prom)])
-    return pd.Series(out)
+            done[k] = True
+            alive[np.searchsorted(pos, pos[k] - distance, "right") : np.searchsorted(pos, pos[k] + distance, "left")] = False
+    return done
+
+
+def _thinned(table: pa.Table) -> pa.Table:
+    table = table.sort_by("pos")
+    pos, height = table.column("pos").to_numpy(), table.column("smoothed").to_numpy()
+    return table.filter(pa.array(thin(pos, height, int(table.column("_distance")[0].as_py())))).drop_columns(["_cluster"])
 
 
 def find_peaks(smoothed: DataFrame) -> DataFrame:
-    """Peaks of each axis in the positive band. One axis (already one value per line) is one array."""
-    axis = smoothed.groupBy(*AXIS).agg(F.sort_array(F.collect_list(F.struct("pos", "smoothed"))).alias("p"))
-    hits = axis.select(*AXIS, F.explode(_axis_peaks(F.col("p.smoothed"))).alias("k")).select(
-        *AXIS, F.col("k.idx").cast("bigint").alias("pos"), F.col("k.prominence").alias("prominence"))
-    return smoothed.join(hits, [*AXIS, "pos"]).filter(F.col("f_hz") > 0)
+    """Peaks of each axis in the positive band, with their ``prominence``.
+
+    Local maxima (the middle of a level stretch) are thinned by a distance of 0.25 % of the lines, highest first, and cut by
+    prominence (2 % of the range, 0.01 at least). Thinning runs in clusters of maxima that are close to each other; prominence comes
+    from the nearest higher line on each side, found by block minima. The smoothed lines are checkpointed, as each step reads them.
+    """
+    smoothed = cut_lineage(smoothed)
+    n = F.col("n_lines")
+    at = F.floor(F.col("pos") / axis.BLOCK)
+    line = smoothed.select(*AXIS, "pos", "smoothed", "n_lines")
+    steps = with_order(line, AXIS, at, ["pos"], previous={"_prior": "smoothed"}).filter("_prior IS NULL OR smoothed <> _prior")
+    steps = with_order(steps, AXIS, at, ["pos"], following={"_next": "pos", "_after": "smoothed"})
+    tops = steps.filter("smoothed > _prior AND smoothed > _after").withColumn("pos", F.floor((F.col("pos") + F.col("_next") - 1) / 2)).select(*AXIS, "pos", "smoothed", "n_lines")
+    tops = tops.withColumn("_distance", F.greatest(F.lit(2), F.round(n * 0.0025)).cast("bigint"))
+    starts = F.col("_p").isNull() | (F.col("pos") - F.col("_p") >= F.col("_distance"))
+    clusters = islands(tops, AXIS, at, ["pos"], starts, "_cluster", {"_p": "pos"}).select(*AXIS, "_cluster", "pos", "smoothed", "_distance")
+    peaks = clusters.groupBy(*AXIS, "_cluster").applyInArrow(_thinned, clusters.drop("_cluster").schema)
+    depth = line.withColumn("depth", -F.col("smoothed"))
+    peaks = cut_lineage(peaks)
+    found = axis.nearest_below(depth, peaks.withColumn("level", -F.col("smoothed")), AXIS, "depth")
+    span = smoothed.groupBy(*AXIS).agg((F.max("smoothed") - F.min("smoothed")).alias("_range"))
+    # Tops of the negated values: the lowest points between a peak and the next higher line on either side.
+    foot = lambda c: F.coalesce(-F.col(c), F.col("smoothed"))
+    out = smoothed.join(found, [*AXIS, "pos"]).join(span, AXIS).withColumn("prominence", F.col("smoothed") - F.greatest(foot("left_top"), foot("right_top")))
+    return out.filter((F.col("prominence") >= F.greatest(F.lit(0.01), 0.02 * F.col("_range"))) & (F.col("f_hz") > 0)).drop("left", "right", "left_top", "right_top", "_range")
 
 
 def rank_peaks(peaks: DataFrame, keep: int = 40) -> DataFrame:
-    """Score = prominence + 0.25 coherence + 0.15 normalised amplitude; the best 40 of each axis, numbered by line."""
-    rng = peaks.groupBy(*AXIS).agg(F.min("smoothed").alias("_lo"), F.max("smoothed").alias("_hi"))
+    """Score = prominence + 0.25 coherence + 0.15 normalised amplitude; the best ``keep`` of each axis, numbered by line.
+
+    ``n_dropped`` counts the peaks of the axis beyond them.
+    """
+    rng = peaks.groupBy(*AXIS).agg(F.min("smoothed").alias("_lo"), F.max("smoothed").alias("_hi"), F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("n_dropped"))
     amp = (F.col("smoothed") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))
     coh = clip(F.coalesce("coherence", F.lit(0.0)))
     scored = peaks.join(rng, AXIS).withColumn("score", F.col("prominence") + 0.25 * coh + 0.15 * amp).drop("_lo", "_hi")
@@ -313,31 +305,27 @@ def rank_peaks(peaks: DataFrame, keep: int = 40) -> DataFrame:
 def half_power_damping(peaks: DataFrame, ind: DataFrame) -> DataFrame:
     """Damping from the first crossing of peak / sqrt(2) on each side; NULL at the axis ends or from 0.5 upwards.
 
-    Peaks are few per axis (40 at most), so the join of an axis with its peaks stays linear in lines.
+    Crossings are found by block minima: a peak looks at three blocks of its axis at most, however far they are.
     """
-    rng = ind.groupBy(*AXIS).agg(F.min("line").alias("_first"), F.max("line").alias("_last"))
-    p = peaks.select(*AXIS, F.col("line").alias("peak_line"), F.col("f_hz").alias("peak_hz"), F.col("indicator").alias("peak_value"))
-    low = F.col("indicator") <= F.col("peak_value") / F.sqrt(F.lit(2.0))
-    pt = F.struct("line", "f_hz", "indicator")
-    near = p.join(ind.select(*AXIS, "line", "f_hz", "indicator"), AXIS)
-    left, right = F.col("line") < F.col("peak_line"), F.col("line") > F.col("peak_line")
-    cross = near.groupBy(*AXIS, "peak_line", "peak_hz", "peak_value").agg(
-        F.max(F.when(left & low, pt)).alias("l0"), F.min(F.when(right & low, pt)).alias("r1"))
-    shoulder = near.join(cross.drop("peak_hz", "peak_value"), [*AXIS, "peak_line"]).groupBy(*AXIS, "peak_line").agg(
-        F.min(F.when(F.col("line") > F.col("l0.line"), pt)).alias("l1"), F.max(F.when(F.col("line") < F.col("r1.line"), pt)).alias("r0"))
-    thr = F.col("peak_value") / F.sqrt(F.lit(2.0))
+    lines = cut_lineage(positions(ind).select(*AXIS, "pos", "n_lines", "line", "f_hz", "indicator"))
+    p = lines.join(peaks.select(*AXIS, "line").distinct(), [*AXIS, "line"]).withColumn("level", F.col("indicator") / F.sqrt(F.lit(2.0)))
+    found = axis.nearest_below(lines, p, AXIS, "indicator", inclusive=True).select(*AXIS, "pos", "left", "right")
+    p = p.join(found, [*AXIS, "pos"])
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), c.alias("at")) for k, c in (("l0", F.col("left")), ("l1", F.col("left") + 1), ("r0", F.col("right") - 1), ("r1", F.col("right")))])
+    wanted = p.select(*AXIS, F.col("pos").alias("peak_pos"), F.explode(ends).alias("e")).select(*AXIS, "peak_pos", "e.k", F.col("e.at").alias("pos"))
+    point = lambda k: F.max(F.when(F.col("k") == k, F.struct("f_hz", "indicator"))).alias(k)
+    points = wanted.join(lines.select(*AXIS, "pos", "f_hz", "indicator"), [*AXIS, "pos"]).groupBy(*AXIS, "peak_pos").agg(*map(point, ("l0", "l1", "r0", "r1"))).withColumnRenamed("peak_pos", "pos")
 
     def at(a: str, b: str) -> Column:
         rise = F.col(f"{b}.indicator") - F.col(f"{a}.indicator")
         return F.when(F.abs(rise) <= 1e-30, F.col(f"{b}.f_hz")).otherwise(
-            F.col(f"{a}.f_hz") + (thr - F.col(f"{a}.indicator")) * (F.col(f"{b}.f_hz") - F.col(f"{a}.f_hz"))
+            F.col(f"{a}.f_hz") + (F.col("level") - F.col(f"{a}.indicator")) * (F.col(f"{b}.f_hz") - F.col(f"{a}.f_hz"))
             / F.when(F.abs(rise) > 1e-30, rise))
 
-    zeta = (at("r0", "r1") - at("l0", "l1")) / (2 * F.col("peak_hz"))
-    open_end = F.col("l0").isNull() | F.col("r1").isNull() | (F.col("l0.line") == F.col("_first")) | (F.col("r1.line") == F.col("_last"))
-    good = ~open_end & (F.col("peak_value") > 0) & (F.col("peak_hz") > 0) & (zeta > 0) & (zeta < 0.5)
-    return (cross.join(shoulder, [*AXIS, "peak_line"]).join(rng, AXIS).withColumn("damping", F.when(good, zeta))
-            .select(*AXIS, "peak_line", "peak_hz", "damping"))
+    zeta = (at("r0", "r1") - at("l0", "l1")) / (2 * F.col("f_hz"))
+    open_end = F.col("left").isNull() | F.col("right").isNull() | (F.col("left") == 0) | (F.col("right") == F.col("n_lines") - 1)
+    good = ~open_end & (F.col("indicator") > 0) & (F.col("f_hz") > 0) & (zeta > 0) & (zeta < 0.5)
+    return p.join(points, [*AXIS, "pos"], "left").select(*AXIS, F.col("line").alias("peak_line"), F.col("f_hz").alias("peak_hz"), F.when(good, zeta).alias("damping"))
 
 
 def peak_shapes(peaks: DataFrame, lines: DataFrame) -> DataFrame:

@@ -262,35 +262,43 @@ def smoothed(t):
     return frf.smooth_indicator(frf.indicator(t.frf, t.coh))
 
 
-@query("w07_smoothed_indicator", "dataset_id:i ref_node:i line:i smoothed:6",
-       """WITH i AS (SELECT dataset_id, ref_node, line, sqrt(sum(re * re + im * im)) AS v FROM fx_frf GROUP BY 1, 2, 3),
- y AS (SELECT dataset_id, ref_node, line, log10(greatest(v, 1e-14 * max(v) OVER w)) AS y, row_number() OVER (PARTITION BY dataset_id, ref_node ORDER BY line) - 1 AS pos,
+SMOOTH_SQL = """i AS (SELECT dataset_id, ref_node, line, f_hz, sqrt(sum(re * re + im * im)) AS v FROM fx_frf GROUP BY 1, 2, 3, 4),
+ y AS (SELECT dataset_id, ref_node, line, f_hz, log10(greatest(v, 1e-14 * max(v) OVER w)) AS y, row_number() OVER (PARTITION BY dataset_id, ref_node ORDER BY line) - 1 AS pos,
  count(*) OVER w AS n FROM i WINDOW w AS (PARTITION BY dataset_id, ref_node)),
- h AS (SELECT a.*, greatest(2, least(a.pos, a.n - 3)) AS c FROM y a WHERE n >= 6)
- SELECT h.dataset_id, h.ref_node, h.line, sum(b.y * (0.2e0 + (h.pos - c) * (b.pos - c) / 10e0 + (pow(h.pos - c, 2) - 2e0) * (pow(b.pos - c, 2) - 2e0) / 14e0)) AS smoothed
- FROM h JOIN y b ON h.dataset_id = b.dataset_id AND h.ref_node = b.ref_node AND abs(b.pos - c) <= 2 GROUP BY 1, 2, 3
- UNION ALL SELECT dataset_id, ref_node, line, y FROM y WHERE n < 6""")
+ h AS (SELECT a.*, greatest(2, least(a.pos, a.n - 3)) AS c FROM y a WHERE n >= 6),
+ s AS (SELECT h.dataset_id, h.ref_node, h.line, h.f_hz, h.pos, sum(b.y * (0.2e0 + (h.pos - c) * (b.pos - c) / 10e0 + (pow(h.pos - c, 2) - 2e0) * (pow(b.pos - c, 2) - 2e0) / 14e0)) AS smoothed
+ FROM h JOIN y b ON h.dataset_id = b.dataset_id AND h.ref_node = b.ref_node AND abs(b.pos - c) <= 2 GROUP BY 1, 2, 3, 4, 5
+ UNION ALL SELECT dataset_id, ref_node, line, f_hz, pos, y FROM y WHERE n < 6)"""
+# Neighbouring maxima are two lines apart at least, so thinning (a distance of 2 below 1000 lines) takes out none.
+PEAK_SQL = f"""{SMOOTH_SQL},
+ x AS (SELECT * FROM (SELECT *, lag(smoothed) OVER w AS a, lead(smoothed) OVER w AS b FROM s WINDOW w AS (PARTITION BY dataset_id, ref_node ORDER BY pos)) WHERE smoothed > a AND smoothed > b),
+ e AS (SELECT x.dataset_id, x.ref_node, x.pos, coalesce(max(CASE WHEN s.pos < x.pos AND s.smoothed > x.smoothed THEN s.pos END), -1) AS l,
+ coalesce(min(CASE WHEN s.pos > x.pos AND s.smoothed > x.smoothed THEN s.pos END), 1000000000) AS r FROM x JOIN s USING (dataset_id, ref_node) GROUP BY 1, 2, 3),
+ m AS (SELECT e.dataset_id, e.ref_node, e.pos, min(CASE WHEN s.pos <= e.pos THEN s.smoothed END) AS ml, min(CASE WHEN s.pos >= e.pos THEN s.smoothed END) AS mr
+ FROM e JOIN s USING (dataset_id, ref_node) WHERE s.pos > e.l AND s.pos < e.r GROUP BY 1, 2, 3),
+ g AS (SELECT dataset_id, ref_node, max(smoothed) - min(smoothed) AS span FROM s GROUP BY 1, 2),
+ p AS (SELECT x.*, x.smoothed - greatest(ml, mr) AS prominence FROM x JOIN m USING (dataset_id, ref_node, pos) JOIN g USING (dataset_id, ref_node)
+ WHERE x.smoothed - greatest(ml, mr) >= greatest(0.01e0, 0.02e0 * span) AND f_hz > 0)"""
+
+
+@query("w07_smoothed_indicator", "dataset_id:i ref_node:i line:i smoothed:6", f"WITH {SMOOTH_SQL} SELECT dataset_id, ref_node, line, smoothed FROM s")
 def w07(t):
     return smoothed(t)
 
 
-@query("w08_indicator_peaks", "dataset_id:i ref_node:i line:i f_hz:6 prominence:6")
+@query("w08_indicator_peaks", "dataset_id:i ref_node:i line:i f_hz:6 prominence:6", f"WITH {PEAK_SQL} SELECT dataset_id, ref_node, line, f_hz, prominence FROM p")
 def w08(t):
     return frf.find_peaks(smoothed(t))
 
 
-@query("w09_ranked_peaks", "dataset_id:i ref_node:i line:i score:5 peak_no:i",
-       """WITH i AS (SELECT dataset_id, ref_node, line, sqrt(sum(re * re + im * im)) / 100e0 AS y FROM fx_frf GROUP BY 1, 2, 3),
- p AS (SELECT *, y - greatest(a, b) AS prom FROM (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM i WINDOW w AS (PARTITION BY dataset_id, ref_node ORDER BY line)) WHERE y > a AND y > b),
- s AS (SELECT p.*, prom + 0.25e0 * least(coalesce(c.coh, 0e0), 1e0) + 0.15e0 * (y - min(y) OVER w) / greatest(max(y) OVER w - min(y) OVER w, 1e-12) AS score
+@query("w09_ranked_peaks", "dataset_id:i ref_node:i line:i score:5 peak_no:i n_dropped:i",
+       f"""WITH {PEAK_SQL},
+ q AS (SELECT p.*, count(*) OVER w AS n, prominence + 0.25e0 * least(coalesce(c.coh, 0e0), 1e0) + 0.15e0 * (smoothed - min(smoothed) OVER w) / greatest(max(smoothed) OVER w - min(smoothed) OVER w, 1e-12) AS score
  FROM p LEFT JOIN (SELECT dataset_id, ref_node, line, avg(coh) AS coh FROM fx_coh GROUP BY 1, 2, 3) c USING (dataset_id, ref_node, line) WINDOW w AS (PARTITION BY dataset_id, ref_node)),
- k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, ref_node ORDER BY score DESC, line DESC) AS k FROM s)
- SELECT *, row_number() OVER (PARTITION BY dataset_id, ref_node ORDER BY line) AS peak_no FROM k WHERE k <= 6""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, ref_node ORDER BY score DESC, line DESC) AS k FROM q)
+ SELECT dataset_id, ref_node, line, score, row_number() OVER (PARTITION BY dataset_id, ref_node ORDER BY line) AS peak_no, greatest(n - 40, 0) AS n_dropped FROM k WHERE k <= 40""")
 def w09(t):
-    i = frf.indicator(t.frf, t.coh).withColumn("smoothed", F.col("indicator") / 100)
-    i = with_order(i, frf.AXIS, F.floor(F.col("line") / 4096), ["line"], previous={"a": "smoothed"}, following={"b": "smoothed"})
-    p = i.filter("smoothed > a and smoothed > b").withColumn("prominence", F.col("smoothed") - F.greatest("a", "b"))
-    return frf.rank_peaks(p, keep=6)
+    return frf.rank_peaks(frf.find_peaks(smoothed(t)), keep=40)
 
 
 @query("w10_half_power_damping", "dataset_id:i ref_node:i peak_line:i damping:6",

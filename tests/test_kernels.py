@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from modalframe.operators.evidence import least_cost_columns
-from modalframe.operators.frf import local_peaks
+from modalframe.operators.frf import thin
 
 
 @pytest.mark.parametrize("n", [1, 2, 4, 6])
@@ -21,13 +21,11 @@ def test_assignment_is_optimal(n):
         assert math.isclose(c[np.arange(n), cols].sum(), best, abs_tol=1e-12)
 
 
-def test_peaks_by_hand():
-    y = np.array([0, 1, 0, 3, 3, 0, 2, 1.5, 1.9, 0.0])
-    idx, prom = local_peaks(y, 1, 0.0)
-    assert list(idx) == [1, 3, 6, 8]
-    assert np.allclose(prom, [1, 3, 2, 0.4])
-    assert list(local_peaks(y, 3, 0.0)[0]) == [3, 6]  # the higher one of two near peaks stays
-    assert list(local_peaks(y, 1, 1.5)[0]) == [3, 6]
+def test_thinning_by_hand():
+    pos, height = np.array([1, 3, 6, 8, 11]), np.array([1.0, 3.0, 2.0, 1.9, 3.0])
+    assert list(pos[thin(pos, height, 1)]) == [1, 3, 6, 8, 11]
+    assert list(pos[thin(pos, height, 3)]) == [3, 6, 11]  # the higher one of two near peaks stays
+    assert list(pos[thin(pos, height, 9)]) == [1, 11]  # of equal ones the later
 
 
 def test_chi_square_tail(spark):
