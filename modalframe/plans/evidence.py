@@ -201,16 +201,17 @@ def j36(t):
 
 # Statistics over specimens -------------------------------------------------------------------------------------------
 @query("a42_observation_counts", "specimen_id:i n_fit:i n_holdout:i n_overlap:i refusals",
-       """WITH t AS (SELECT specimen_id, part_id % 5 AS family, CASE WHEN part_id % 5 = 4 OR (part_id % 5 = 3 AND specimen_id % 2 = 0) THEN role ELSE 'FIT' END AS role FROM fx_terms WHERE specimen_id % 7 <> 0 OR part_id % 5 < 2),
+       """WITH t AS (SELECT specimen_id, family, CASE WHEN family = 4 OR (family = 3 AND specimen_id % 2 = 0) THEN role ELSE 'FIT' END AS role FROM
+ (SELECT *, CASE WHEN specimen_id % 7 = 0 THEN part_id % 2 ELSE part_id % 5 END AS family FROM (SELECT specimen_id, part_id, role FROM fx_terms))),
  f AS (SELECT specimen_id, family, bool_or(role = 'FIT') AS f, bool_or(role = 'HOLDOUT') AS h FROM t GROUP BY 1, 2), g AS (SELECT specimen_id, count(*) FILTER (f) AS n_fit, count(*) FILTER (h) AS n_holdout, count(*) FILTER (f AND h) AS n_overlap FROM f GROUP BY 1)
  SELECT *, concat_ws(';', CASE WHEN n_fit < 3 THEN 'INSUFFICIENT_FIT_FAMILIES' END, CASE WHEN n_holdout = 0 THEN 'NO_HOLDOUT_FAMILY' END, CASE WHEN n_overlap > 0 THEN 'HOLDOUT_FAMILY_OVERLAPS_FIT' END) AS refusals FROM g""")
 def a42(t):
-    d = t.terms.withColumn("family", F.col("part_id") % 5).filter("specimen_id % 7 <> 0 or family < 2")
+    d = t.terms.withColumn("family", F.expr("CASE WHEN specimen_id % 7 = 0 THEN part_id % 2 ELSE part_id % 5 END"))
     d = d.withColumn("role", F.expr("CASE WHEN family = 4 OR (family = 3 AND specimen_id % 2 = 0) THEN role ELSE 'FIT' END"))
     return ev.observation_counts(d, ["specimen_id"], 2)
 
 
-PAT_IN = "SELECT specimen_id, part_id AS family, CASE WHEN specimen_id % 3 = 0 THEN 'FIT' ELSE role END AS role, residual * 1.31e0 AS residual, sigma FROM fx_terms WHERE specimen_id % 2 = 0 OR abs(residual) < 2.2"
+PAT_IN = "SELECT specimen_id, part_id AS family, CASE WHEN specimen_id % 3 = 0 THEN 'FIT' ELSE role END AS role, residual * CASE WHEN specimen_id % 2 = 0 THEN 1.31e0 ELSE 0.7e0 END AS residual, sigma FROM fx_terms"
 PAT_SQL = """t AS ({src}), fa AS (SELECT specimen_id, family, count(*) >= 2 AND (min(residual) > 0 OR max(residual) < 0) AND bool_and(abs(residual) > {l2}) AS s FROM t WHERE role = 'FIT' GROUP BY 1, 2),
  ff AS (SELECT specimen_id, count(*) FILTER (s) AS n_systematic, count(*) AS n_families FROM fa GROUP BY 1), hh AS (SELECT specimen_id, count(*) FILTER (abs(residual) > {l3}) AS n_holdout_failures FROM t WHERE role = 'HOLDOUT' GROUP BY 1),
  pt AS (SELECT coalesce(ff.specimen_id, hh.specimen_id) AS specimen_id, coalesce(n_systematic, 0) AS n_systematic, coalesce(n_families, 0) AS n_families, coalesce(n_holdout_failures, 0) AS n_holdout_failures,
@@ -267,12 +268,11 @@ def p34(t):
 @query("a52_specimen_agreement", "specimen_id:i baseline_max:8 candidate_max:8 delta:8 change",
        """WITH c AS (SELECT specimen_id, max(abs(exp(residual * sigma) - 1)) AS candidate_max FROM fx_terms WHERE specimen_id % 11 <> 4 GROUP BY 1), b AS (SELECT specimen_id, max(abs(exp(residual * sigma * (0.8e0 + 0.1e0 * (specimen_id % 5))) - 1)) AS baseline_max FROM fx_terms GROUP BY 1)
  SELECT b.specimen_id, baseline_max, candidate_max, candidate_max - baseline_max AS delta, CASE WHEN candidate_max IS NULL THEN 'NOT_AVAILABLE' WHEN candidate_max < baseline_max THEN 'IMPROVED' WHEN candidate_max > baseline_max THEN 'WORSENED' ELSE 'SAME' END AS change
- FROM b LEFT JOIN c USING (specimen_id) WHERE specimen_id % 5 <> 2""")
+ FROM b LEFT JOIN c USING (specimen_id)""")
 def a52(t):
     c = t.terms.filter("specimen_id % 11 <> 4").withColumn("relative_error", F.exp(F.col("residual") * F.col("sigma")) - 1)
     b = t.terms.withColumn("relative_error", F.exp(F.col("residual") * F.col("sigma") * (0.8 + 0.1 * (F.col("specimen_id") % 5))) - 1)
-    keep = "specimen_id % 5 <> 2"
-    return ev.agreement_change(c.filter(keep), b.filter(keep), ["specimen_id"])
+    return ev.agreement_change(c, b, ["specimen_id"])
 
 
 # Monte Carlo ---------------------------------------------------------------------------------------------------------

@@ -174,25 +174,27 @@ def a66(t):
 
 
 RUNS = """SELECT test_run_id, CASE WHEN test_run_id % 50 = 20 THEN test_run_id + 1 WHEN test_run_id % 50 = 21 THEN test_run_id - 1 WHEN test_run_id % 97 = 5 THEN 99999999 ELSE remount_of END AS remount_of, CASE WHEN test_run_id % 31 = 2 THEN NULL ELSE specimen_id END AS specimen_id,
- CASE WHEN test_run_id % 41 = 3 THEN 'd2' ELSE 'd1' END AS design_id, CASE WHEN test_run_id % 23 = 6 THEN NULL WHEN test_run_id % 5 = 0 THEN 'B' ELSE 'A' END AS protocol, grid_id % 2 AS grid_id FROM fx_runs UNION ALL
+ CASE WHEN test_run_id % 41 = 3 THEN 'd2' ELSE 'd1' END AS design_id, CASE WHEN test_run_id % 23 = 6 THEN NULL WHEN test_run_id % 5 = 0 THEN 'B' ELSE 'A' END AS protocol, grid_id % 2 AS grid_id FROM fx_runs"""
+# Some runs are recorded twice.
+TWICE = f"""{RUNS} UNION ALL
  SELECT test_run_id, remount_of, specimen_id, 'd1' AS design_id, 'A' AS protocol, grid_id % 2 AS grid_id FROM fx_runs WHERE test_run_id % 61 = 7"""
 
 
 @query("j24_remount_eligibility", "test_run_id:i remount_of:i eligibility",
-       f"""WITH r AS (SELECT DISTINCT * FROM ({RUNS}) WHERE test_run_id % 61 <> 7) SELECT a.test_run_id, a.remount_of, CASE WHEN a.specimen_id IS NULL OR b.specimen_id IS NULL THEN 'INSUFFICIENTLY_DOCUMENTED' WHEN a.specimen_id <> b.specimen_id OR a.design_id <> b.design_id THEN 'NOT_ELIGIBLE'
+       f"""WITH r AS (SELECT DISTINCT * FROM ({RUNS})) SELECT a.test_run_id, a.remount_of, CASE WHEN a.specimen_id IS NULL OR b.specimen_id IS NULL THEN 'INSUFFICIENTLY_DOCUMENTED' WHEN a.specimen_id <> b.specimen_id OR a.design_id <> b.design_id THEN 'NOT_ELIGIBLE'
  WHEN a.protocol IS NULL OR b.protocol IS NULL THEN 'INSUFFICIENTLY_DOCUMENTED' WHEN a.protocol <> b.protocol THEN 'NOT_ELIGIBLE' WHEN a.grid_id <> b.grid_id THEN 'FREQUENCY_ONLY' ELSE 'FREQUENCY_AND_SHAPE' END AS eligibility FROM r a JOIN r b ON a.remount_of = b.test_run_id""")
 def j24(t):
-    return rc.classify_repeats(t.sql(RUNS).filter("test_run_id % 61 <> 7").distinct())
+    return rc.classify_repeats(t.sql(RUNS).distinct())
 
 
 @query("j25_link_problems", "test_run_id:i problem",
-       f"""WITH RECURSIVE r AS ({RUNS}), o AS (SELECT test_run_id, any_value(remount_of) AS remount_of, any_value(specimen_id) AS specimen_id FROM r WHERE test_run_id % 61 <> 7 GROUP BY 1 UNION ALL SELECT test_run_id, remount_of, specimen_id FROM fx_runs WHERE test_run_id % 61 = 7),
+       f"""WITH RECURSIVE r AS ({TWICE}), o AS (SELECT test_run_id, any_value(remount_of) AS remount_of, any_value(specimen_id) AS specimen_id FROM r WHERE test_run_id % 61 <> 7 GROUP BY 1 UNION ALL SELECT test_run_id, remount_of, specimen_id FROM fx_runs WHERE test_run_id % 61 = 7),
  k AS (SELECT o.test_run_id, o.remount_of, o.specimen_id, b.specimen_id AS ts FROM o JOIN o b ON b.test_run_id = o.remount_of), w AS (SELECT test_run_id, remount_of AS t FROM k UNION SELECT w.test_run_id, k.remount_of FROM w JOIN k ON k.test_run_id = w.t)
  SELECT test_run_id, 'duplicate run' AS problem FROM r GROUP BY 1 HAVING count(*) > 1 UNION SELECT test_run_id, 'unknown target' FROM o WHERE remount_of IS NOT NULL AND remount_of NOT IN (SELECT test_run_id FROM o)
  UNION SELECT test_run_id, 'different specimen' FROM k WHERE NOT coalesce(specimen_id = ts, false) UNION SELECT test_run_id, 'cycle' FROM w WHERE t IN (SELECT test_run_id FROM w w2 WHERE w2.test_run_id = w2.t)
  UNION SELECT test_run_id, 'contradictory identity' FROM r WHERE specimen_id IN (SELECT specimen_id FROM r WHERE specimen_id IS NOT NULL GROUP BY 1 HAVING min(design_id) <> max(design_id))""")
 def j25(t):
-    r = t.sql(RUNS)
+    r = t.sql(TWICE)
     # the duplicated runs carry equal links here, so which copy is followed does not matter
     fixed = t.runs.filter("test_run_id % 61 = 7").select("test_run_id", F.col("remount_of").alias("_r"), F.col("specimen_id").alias("_s"))
     r = r.join(fixed, "test_run_id", "left").withColumn("remount_of", F.when(F.col("_s").isNotNull(), F.col("_r")).otherwise(F.col("remount_of"))).withColumn("specimen_id", F.coalesce("_s", "specimen_id"))
@@ -240,20 +242,20 @@ REVIEWS = "SELECT cmp_id, fe_mode, CASE fe_mode % 8 WHEN 0 THEN 'Accepted' WHEN
 
 
 @query("j20_manual_overrides", "cmp_id:i fe_mode:i exp_mode:i decision final_exp:i replaced mac:6",
-       f"""WITH au AS (SELECT * FROM fx_pairs WHERE mac >= 0.5 AND fe_mode % 32 <> 16), rv AS ({REVIEWS}), j AS (SELECT coalesce(au.cmp_id, rv.cmp_id) AS cmp_id, coalesce(au.fe_mode, rv.fe_mode) AS fe_mode, exp_mode, CASE WHEN lower(decision) IN ('accepted', 'rejected', 'unresolved') THEN lower(decision) ELSE 'automatic' END AS decision, manual_exp
+       f"""WITH au AS (SELECT cmp_id, fe_mode, CASE WHEN fe_mode % 32 <> 16 THEN exp_mode END AS exp_mode FROM fx_pairs), rv AS ({REVIEWS}), j AS (SELECT coalesce(au.cmp_id, rv.cmp_id) AS cmp_id, coalesce(au.fe_mode, rv.fe_mode) AS fe_mode, exp_mode, CASE WHEN lower(decision) IN ('accepted', 'rejected', 'unresolved') THEN lower(decision) ELSE 'automatic' END AS decision, manual_exp
  FROM au FULL JOIN rv ON au.cmp_id = rv.cmp_id AND au.fe_mode = rv.fe_mode), k AS (SELECT *, CASE decision WHEN 'accepted' THEN coalesce(manual_exp, exp_mode) WHEN 'automatic' THEN exp_mode END AS final_exp FROM j),
  m AS (SELECT k.cmp_id, k.fe_mode, k.final_exp, (pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.re * b.im - a.im * b.re), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS mac FROM k
  JOIN fx_shapes a ON a.cmp_id = k.cmp_id AND a.role = 'FE' AND a.mode_no = k.fe_mode JOIN fx_shapes b ON b.cmp_id = k.cmp_id AND b.role = 'EXP' AND b.measured AND b.mode_no = final_exp AND a.node_id = b.node_id AND a.dof = b.dof GROUP BY 1, 2, 3)
  SELECT k.cmp_id, k.fe_mode, exp_mode, decision, k.final_exp, coalesce(k.final_exp <> exp_mode, k.final_exp IS NOT NULL) AS replaced, mac FROM k LEFT JOIN m ON m.cmp_id = k.cmp_id AND m.fe_mode = k.fe_mode""")
 def j20(t):
-    auto = t.pairs.filter("mac >= 0.5 and fe_mode % 32 <> 16").select("cmp_id", "fe_mode", "exp_mode")
+    auto = t.pairs.select("cmp_id", "fe_mode", F.when(F.col("fe_mode") % 32 != 16, F.col("exp_mode")).alias("exp_mode"))
     r = rc.apply_reviews(auto, t.sql(REVIEWS))
     chosen = r.filter("final_exp is not null").select("cmp_id", "fe_mode", F.col("final_exp").alias("exp_mode"))
     m = mac.masked_mac(chosen, t.shapes).select("cmp_id", "fe_mode", "mac")
     return r.join(m, ["cmp_id", "fe_mode"], "left")
 
 
-ARCHIVED = """SELECT cmp_id, fe_mode AS row_id, fe_mode, CASE WHEN fe_mode % 14 = 3 THEN exp_mode + 1 ELSE exp_mode END AS exp_mode, fe_hz * CASE WHEN fe_mode % 10 = 7 THEN 1.01e0 ELSE 1e0 END AS fe_hz, exp_hz, CASE WHEN fe_mode % 12 = 5 THEN 'branch not resolved' END AS branch_problem, 0.01e0 * (fe_mode % 40) AS s FROM fx_pairs WHERE mac >= 0.6"""
+ARCHIVED = """SELECT cmp_id, fe_mode AS row_id, fe_mode, CASE WHEN fe_mode % 14 = 3 THEN exp_mode + 1 ELSE exp_mode END AS exp_mode, fe_hz * CASE WHEN fe_mode % 10 = 7 THEN 1.01e0 ELSE 1e0 END AS fe_hz, exp_hz, CASE WHEN fe_mode % 12 = 5 THEN 'branch not resolved' END AS branch_problem, 0.01e0 * (fe_mode % 40) AS s FROM fx_pairs"""
 
 
 @query("j32_archive_applicability", "cmp_id:i row_id:i applicable reason s:6",

@@ -14,7 +14,7 @@ MAP = """SELECT dataset_id, point_id, dataset_id * 100 + point_id % 75 + CASE WH
  FROM fx_exp_points WHERE NOT (dataset_id % 6 = 4 AND point_id % 75 = 9)"""
 GRID = """SELECT dataset_id, point_id, gx * cos(0.5e0) - gy * sin(0.5e0) AS x, gx * sin(0.5e0) + gy * cos(0.5e0) AS y FROM (
  SELECT CAST(floor(c_custkey / 75) AS BIGINT) AS dataset_id, c_custkey AS point_id, 10e0 * (c_custkey % 75 % 8) + 0.000001e0 * c_acctbal AS gx,
- 10e0 * floor(c_custkey % 75 / 8) + 0.0000007e0 * c_acctbal AS gy FROM customer WHERE c_custkey % 75 < 64)"""
+ 10e0 * floor(c_custkey % 75 / 8) + 0.0000007e0 * c_acctbal AS gy FROM customer)"""
 GRID2 = f"""SELECT dataset_id, CASE WHEN dataset_id % 3 = 1 AND point_id % 75 < 2 THEN point_id + 1 - 2 * (point_id % 75) ELSE point_id END AS point_id, -y AS x,
  CASE WHEN dataset_id % 4 = 3 THEN -x ELSE x END AS y FROM ({GRID})"""
 SYM = """SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS dataset_id, p_partkey AS node_id, 10e0 * (p_partkey % 10) + 0.01e0 * (p_size % 7) AS x,

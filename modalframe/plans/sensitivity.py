@@ -328,7 +328,7 @@ def a58(t):
     return se.eigen_derivatives(s, t.matrix.select("matrix_id", "i", "j", "value"), mass, None, ["cmp_id"], 100.0)
 
 
-TIES = "SELECT CAST(floor(vec_id / 200) AS BIGINT) AS run_id, vec_id AS mode_no, pow(6e0 * (20e0 + floor((vec_id % 200) / 2)), 2) AS eigenvalue, 30 AS n_dof FROM embeddings WHERE vec_id % 10 <> 3"
+TIES = "SELECT CAST(floor(vec_id / 200) AS BIGINT) AS run_id, vec_id AS mode_no, pow(6e0 * (20e0 + floor((vec_id % 200) / 2) + CASE WHEN vec_id % 10 = 3 THEN 0.25e0 ELSE 0e0 END), 2) AS eigenvalue, 30 AS n_dof FROM embeddings"
 
 
 @query("j37_tied_modes", "run_id:i mode_no:i partner:i", f"WITH v AS ({TIES}) SELECT a.run_id, a.mode_no, b.mode_no AS partner FROM v a JOIN v b ON a.run_id = b.run_id AND a.mode_no <> b.mode_no AND a.eigenvalue = b.eigenvalue")
