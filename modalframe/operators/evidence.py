@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modalframe.functions.reasons import first_reason
+from modalframe.operators.matching import SCALE, Matching, exact
 from modalframe.operators.ordered import top_rows, with_order
 from modalframe.operators.shapes import connected_components
 from modalframe.session import cut_lineage
@@ -27,35 +28,6 @@ class StrictPolicy:
 
 
 # ------------------------------------------------------------------------------------------------ assignment
-def least_cost_columns(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a least-cost perfect matching of a square matrix (shortest augmenting paths)."""
-    n = len(cost)
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    owner = np.zeros(n + 1, int)
-    for row in range(1, n + 1):
-        owner[0], col = row, 0
-        slack, back, seen = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
-        while True:
-            seen[col] = True
-            free = np.flatnonzero(~seen)
-            reach = cost[owner[col] - 1, free - 1] - u[owner[col]] - v[free]
-            better = reach < slack[free]
-            slack[free[better]], back[free[better]] = reach[better], col
-            nxt = free[np.argmin(slack[free])]
-            step = slack[nxt]
-            u[owner[seen]] += step
-            v[seen] -= step
-            slack[~seen] -= step
-            col = nxt
-            if owner[col] == 0:
-                break
-        while col:
-            owner[col], col = owner[back[col]], back[col]
-    out = np.empty(n, int)
-    out[owner[1:] - 1] = np.arange(n)
-    return out
-
-
 def _grouped(edges: DataFrame) -> DataFrame:
     """Assignment groups of the gated bipartite graph: ``component`` and ``n_edges``.
 
@@ -69,6 +41,13 @@ def _grouped(edges: DataFrame) -> DataFrame:
     return e.join(e.groupBy("cmp_id", "component").agg(F.count(F.lit(1)).alias("n_edges")), ["cmp_id", "component"])
 
 
+def _match(pdf: pd.DataFrame, weights: list[int], useful) -> tuple[Matching, list[int], list[int]]:
+    """Matching of one component, with the row and column number of each of its edges."""
+    rows, cols = pd.factorize(pdf.fe_mode), pd.factorize(pdf.exp_mode)
+    r, c = rows[0].tolist(), cols[0].tolist()
+    return Matching(len(rows[1]), len(cols[1]), [e for e in zip(r, c, weights) if useful(e[2])]), r, c
+
+
 def assign_pairs(candidates: DataFrame, unmatched_cost: float = 1.15) -> DataFrame:
     """Optimal one-to-one pairs of the admissible candidates (cmp_id, fe_mode, exp_mode, cost) of each comparison.
 
@@ -78,15 +57,10 @@ def assign_pairs(candidates: DataFrame, unmatched_cost: float = 1.15) -> DataFra
     single = e.filter((F.col("n_edges") == 1) & (F.col("cost") < 2 * unmatched_cost)).select("cmp_id", "fe_mode", "exp_mode", "cost")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(pdf.fe_mode, return_inverse=True), np.unique(pdf.exp_mode, return_inverse=True)
-        m, n = len(rows[0]), len(cols[0])
-        c = np.full((m + n, m + n), 1e6)
-        c[rows[1], cols[1]] = pdf.cost
-        c[np.arange(m), n + np.arange(m)] = unmatched_cost
-        c[m + np.arange(n), np.arange(n)] = unmatched_cost
-        c[m:, n:] = 0.0
-        pick = least_cost_columns(c)[:m]
-        return pdf[(pick[rows[1]] == cols[1])][["cmp_id", "fe_mode", "exp_mode", "cost"]]
+        # A pair saves the cost of two unmatched modes; only pairs that save something can be chosen.
+        weight = [exact(c) - 2 * exact(unmatched_cost) for c in pdf.cost]
+        m, rows, cols = _match(pdf, weight, lambda w: w < 0)
+        return pdf[[m.column_of[r] == c for r, c in zip(rows, cols)]][["cmp_id", "fe_mode", "exp_mode", "cost"]]
 
     many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(block, single.schema)
     return single.unionByName(many)
@@ -102,26 +76,12 @@ def strict_pairs(candidates: DataFrame, policy: StrictPolicy = StrictPolicy()) -
     single = e.filter("n_edges = 1").select("cmp_id", "fe_mode", "exp_mode", "mac", F.lit(False).alias("tied"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(pdf.fe_mode, return_inverse=True), np.unique(pdf.exp_mode, return_inverse=True)
-        size = max(len(rows[0]), len(cols[0]))
-        big = min(len(rows[0]), len(cols[0])) + 1.0
-        c = np.zeros((size, size))
-        c[rows[1], cols[1]] = -(big + pdf.mac)
-
-        def best(cost):
-            pick = least_cost_columns(cost)[rows[1]] == cols[1]
-            pick &= cost[rows[1], cols[1]] < 0
-            return pick, int(pick.sum()), float(pdf.mac[pick].sum())
-
-        pick, count, total = best(c)
-        out = pdf[pick][["cmp_id", "fe_mode", "exp_mode", "mac"]].copy()
-        tied = []
-        for k in np.flatnonzero(pick):
-            blocked = c.copy()
-            blocked[rows[1][k], cols[1][k]] = 0.0
-            _, n, t = best(blocked)
-            tied.append(n == count and abs(t - total) <= policy.tie_tolerance)
-        out["tied"] = tied
+        one = (len(pdf) + 1) * SCALE  # a pair more weighs more than all MAC values together
+        m, rows, cols = _match(pdf, [-(one + exact(x)) for x in pdf.mac], lambda w: True)
+        tied = m.replaceable(exact(policy.tie_tolerance))
+        chosen = [m.column_of[r] == c for r, c in zip(rows, cols)]
+        out = pdf[chosen][["cmp_id", "fe_mode", "exp_mode", "mac"]].copy()
+        out["tied"] = [tied[r] for r, c in zip(rows, chosen) if c]
         return out
 
     many = e.filter("n_edges > 1").groupBy("cmp_id", "component").applyInPandas(block, single.schema)

@@ -1,24 +1,59 @@
 """Small numeric helpers against direct computations."""
-import itertools
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from modalframe.operators.evidence import least_cost_columns
 from modalframe.operators.frf import thin
+from modalframe.operators.matching import SCALE, Matching, exact
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 6])
-def test_assignment_is_optimal(n):
-    rng = np.random.default_rng(n)
-    for _ in range(20):
-        c = rng.random((n, n)).round(2)
-        cols = least_cost_columns(c)
-        assert sorted(cols) == list(range(n))
-        best = min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-        assert math.isclose(c[np.arange(n), cols].sum(), best, abs_tol=1e-12)
+def _matchings(rows, edges):
+    """All matchings as sets of edge numbers."""
+    if not rows:
+        yield frozenset()
+        return
+    first, *rest = rows
+    yield from _matchings(rest, edges)
+    for k, (r, c, _) in enumerate(edges):
+        if r == first:
+            for m in _matchings(rest, [(*e[:2], e[2]) if e[1] != c else (-1, -1, 0) for e in edges]):
+                yield m | {k}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sparse_matching_by_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        m, n = rng.integers(1, 6, 2)
+        pairs = [(r, c) for r in range(m) for c in range(n) if rng.random() < 0.6]
+        edges = [(r, c, int(rng.integers(-6, 3 if seed % 2 else 0))) for r, c in pairs]
+        got = Matching(int(m), int(n), edges)
+        weight = {(r, c): w for r, c, w in edges}
+        mine = sum(weight[r, c] for r, c in enumerate(got.column_of) if c is not None)
+        every = {x: sum(edges[k][2] for k in x) for x in _matchings(list(range(m)), edges)}
+        assert mine == min(every.values()) and len({c for c in got.column_of if c is not None}) == sum(c is not None for c in got.column_of)
+        for tolerance in (0, 1, 2):
+            tied = got.replaceable(tolerance)
+            for r, c in enumerate(got.column_of):
+                if c is not None:
+                    k = edges.index((r, c, weight[r, c]))
+                    assert tied[r] == (min((w for x, w in every.items() if k not in x), default=10**9) <= mine + tolerance)
+
+
+def test_a_large_component_is_matched():
+    rng = np.random.default_rng(5)
+    n = 1700
+    edges = [(i, (i + d) % n, -(n + 1) * SCALE - exact(rng.random())) for i in range(n) for d in (0, 1, 7)]  # 5100 edges, one component
+    got = Matching(n, n, edges)
+    assert sorted(c for c in got.column_of if c is not None) == list(range(n))
+    weight = {(r, c): w for r, c, w in edges}
+    total = sum(weight[r, c] for r, c in enumerate(got.column_of))
+    # Prices prove that no matching is lighter: no edge is below the price of its column and the level of its row.
+    level = [w - got.price[c] for c, w in got.place]
+    assert all(w - got.price[c] - level[r] >= 0 for r, c, w in edges) and max(got.price) <= 0
+    assert total == sum(level) + sum(got.price) and not any(got.replaceable(0))
 
 
 def test_thinning_by_hand():
