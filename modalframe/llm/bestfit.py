@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from modalframe.llm.text import map_texts
 from modalframe.session import scratch_path
 
-#: Fragments whose ids a worker remembers before it starts afresh; bounds its memory, not the result.
-REMEMBERED = 1_000_000
+#: Fragments whose ids a worker remembers in each of two generations: a full one becomes the old one, and fragments met again move
+#: on to the new one. Bounds its memory, not the result.
+REMEMBERED = 150_000
 #: Pieces packed together. Groups grow in number with the input, never in size.
 PIECES_PER_GROUP = 4096
 
@@ -36,6 +37,7 @@ class FragmentEncoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -59,8 +61,16 @@ class FragmentEncoder:
             return b"".join([cache[p] for p in pieces])
         except KeyError:
             if len(cache) > REMEMBERED:
-                cache.clear()
-            new = [p for p in set(pieces) if p not in cache]
+                self.cache, self.older = cache, older = {}, cache
+            else:
+                older = self.older
+            new = []
+            for p in set(pieces):
+                if p not in cache:
+                    if p in older:
+                        cache[p] = older[p]
+                    else:
+                        new.append(p)
             for p, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 cache[p] = self._bytes(e.ids)
             return b"".join([cache[p] for p in pieces])
