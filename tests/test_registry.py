@@ -10,7 +10,7 @@ from modalframe.fixtures import TABLES
 PREFIXES = {"s": 14, "p": 35, "j": 38, "a": 72, "w": 18, "k": 6, "u": 5}
 SAMPLE = ["j03_mode_candidates", "a05_comac", "j05_nearest_frequency", "w03_close_groups", "a23_cmif_singular_values", "j06_nearest_node", "j16_branch_tracking",
           "a31_trigger_groups", "a59_bounded_fit", "a46_leave_one_family_out", "j13_reconciled_frequencies", "s09_matrix_files", "s07_log_eigenvalues",
-          "a45_shared_against_separate_k3", "a46_leave_one_family_out_k3", "a46_robustness_range_k3", "a59_bounded_fit_k3", "a59_fit_residuals_k3"]
+          "a45_shared_against_separate_k3", "a46_leave_one_family_out_k3", "a46_robustness_range_k3", "a59_bounded_fit_k3", "a59_fit_residuals_k3", "a16_subspace_mac_of_three", "a18_energy_in_span_of_three"]
 
 
 def test_every_operator_of_the_inventory_has_a_query():
