@@ -19,7 +19,7 @@ def with_order(df: DataFrame, keys: list[str], axis: Column, order: list[str], *
                previous: dict[str, str] | None = None, following: dict[str, str] | None = None) -> DataFrame:
     """Add a global 1-based rank and/or the previous / following row's columns along ``order`` within ``keys``.
 
-    ``axis`` must be non-decreasing along ``order`` (its first column in practice).
+    ``axis`` must be non-decreasing along ``order`` (its first column in practice). Rows where it is NULL come first.
     """
     df = df.withColumn("_bin", axis)
     part = Window.partitionBy(*keys, "_bin").orderBy(*order)
@@ -42,7 +42,7 @@ def with_order(df: DataFrame, keys: list[str], axis: Column, order: list[str], *
     picks += [F.lag(f"_s_{n}").over(bins).alias(f"_x_{n}") for n in (previous or {})]
     picks += [F.lead(f"_s_{n}").over(bins).alias(f"_x_{n}") for n in (following or {})]
     summary = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_kbin"), *picks)
-    cond = F.col("_bin") == F.col("_kbin")
+    cond = F.col("_bin").eqNullSafe(F.col("_kbin"))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     out = out.join(summary, cond)

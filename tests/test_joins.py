@@ -107,3 +107,11 @@ def test_nearest_points_of_turned_planes(spark):
         out = sp.nearest_points(q, t, ["key"], ["qid"], "tid", k)
         got = {(r.qid, r.nearness): r.distance for r in out.collect()}
         assert len(got) == k * len(points) and all(abs(got[i, n + 1] - d[i, n]) < 1e-9 for i in range(len(points)) for n in range(k))
+
+
+def test_order_keeps_rows_without_an_axis_value(spark):
+    rows = [(1, None, 1), (1, None, 2), (1, 0.0, 3), (1, -2.0, 4), (1, 5.0, 5), (1, 5.0, 6), (1, 900.0, 7), (None, None, 8), (None, 3.0, 9)]
+    df = spark.createDataFrame(rows, "k long, hz double, id long")
+    got = ordered.with_order(df, ["k"], F.floor(F.log("hz") / 0.01), ["hz", "id"], rank="rank", previous={"before": "id"}, following={"after": "id"})
+    assert {r.id: (r.rank, r.before, r.after) for r in got.collect()} == {
+        1: (1, None, 2), 2: (2, 1, 4), 4: (3, 2, 3), 3: (4, 4, 5), 5: (5, 3, 6), 6: (6, 5, 7), 7: (7, 6, None), 8: (1, None, 9), 9: (2, 8, None)}
