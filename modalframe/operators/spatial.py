@@ -10,7 +10,6 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -427,46 +426,71 @@ def perturb_points(points: DataFrame, keys: list[str], perturbations: list[tuple
 
 
 # ------------------------------------------------------------------------------------------------ quads
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _quad_inverse(px: pd.Series, py: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
-    """Natural coordinates of each point in its four-node element (Newton, all rows at once)."""
-    x, y = np.vstack(cx.to_numpy()) if len(cx) else np.zeros((0, 4)), np.vstack(cy.to_numpy()) if len(cy) else np.zeros((0, 4))
-    p = np.column_stack([px, py])
-    s = np.zeros((len(p), 2))
-    sx, sy = np.array([-1, 1, 1, -1.0]), np.array([-1, -1, 1, 1.0])
-    for _ in range(30):
-        a, b = 1 + np.outer(s[:, 0], sx), 1 + np.outer(s[:, 1], sy)
-        n = 0.25 * a * b
-        du, dv = 0.25 * sx * b, 0.25 * sy * a
-        r = np.column_stack([(n * x).sum(1), (n * y).sum(1)]) - p
-        j11, j12, j21, j22 = (du * x).sum(1), (dv * x).sum(1), (du * y).sum(1), (dv * y).sum(1)
-        det = j11 * j22 - j12 * j21
-        det = np.where(det == 0, np.nan, det)
-        s = s - np.column_stack([(j22 * r[:, 0] - j12 * r[:, 1]) / det, (j11 * r[:, 1] - j21 * r[:, 0]) / det])
-    return pd.Series(list(s))
+def _named(values: dict[str, Column], then) -> Column:
+    """``then(struct)`` with every value computed once; columns of columns would be written out in each other by the optimizer."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
+
+
+def _quad_inverse() -> Column:
+    """(xi, eta) of (px, py) in the element with corners (x1, y1) .. (x4, y4), in closed form.
+
+    Eliminating eta leaves a quadratic in xi; the wanted root is the one on which the map keeps the orientation it has at the
+    centre, written without cancellation. NULL where there is no real root or the centre's Jacobian is zero."""
+    mix = ((1, 1, 1, 1), (-1, 1, 1, -1), (-1, -1, 1, 1), (1, -1, 1, -1))
+    terms = {f"{out}{k}": 0.25 * sum((F.col(f"{c}{i + 1}") * w for i, w in enumerate(ws)), F.lit(0.0))
+             for out, c in (("a", "x"), ("b", "y")) for k, ws in enumerate(mix)}
+
+    def eta(m, z):
+        p, q = m["a2"] + m["a3"] * z["xi"], m["b2"] + m["b3"] * z["xi"]
+        return F.struct(z["xi"].alias("xi"), F.when(F.abs(p) >= F.abs(q), F.try_divide(z["x"] - m["a1"] * z["xi"], p)).otherwise(
+            F.try_divide(z["y"] - m["b1"] * z["xi"], q)).alias("eta"))
+
+    def root(m, k):
+        # a point on the fold of the map may fall below zero by rounding
+        r = -F.signum(k["j"]) * F.when(k["d"] >= 0, F.sqrt(k["d"])).when(k["d"] >= -1e-12 * k["B"] * k["B"], 0.0)
+        return _named({"r": r}, lambda n: _named({"x": k["x"], "y": k["y"], "xi": F.when(k["j"] != 0, F.when(
+            k["B"] * n["r"] >= 0, F.try_divide(-2 * k["C"], k["B"] + n["r"])).otherwise(F.try_divide(n["r"] - k["B"], 2 * k["A"])))}, lambda z: eta(m, z)))
+
+    def quadratic(m):
+        j, x, y = m["a1"] * m["b2"] - m["a2"] * m["b1"], F.col("px") - m["a0"], F.col("py") - m["b0"]
+        return _named({"x": x, "y": y, "j": j}, lambda o: _named({
+            "x": o["x"], "y": o["y"], "j": o["j"], "A": m["a3"] * m["b1"] - m["a1"] * m["b3"],
+            "B": o["x"] * m["b3"] - o["y"] * m["a3"] - o["j"], "C": o["x"] * m["b2"] - o["y"] * m["a2"]}, lambda q: _named({
+                **{n: q[n] for n in "xyjABC"}, "d": q["B"] * q["B"] - 4 * q["A"] * q["C"]}, lambda k: root(m, k))))
+
+    return _named(terms, quadratic)
 
 
 def sample_quads(points: DataFrame, quads: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     """Bilinear value at each point from the first four-node element that holds it; points outside are marked.
 
-    ``quads``: dataset_id, element_id, n1..n4; ``nodes``: dataset_id, node_id, x, y, value column."""
+    ``quads``: dataset_id, element_id, n1..n4; ``nodes``: dataset_id, node_id, x, y, value column. Every element lies in the
+    grid of its own size (cells of the next power of two, so it touches four at most) and a point asks each size that its
+    dataset has: one large element costs one more candidate a point, not coarser cells for all. Elements with a missing node,
+    a NULL coordinate or no extent hold nothing; points with a NULL coordinate are refused."""
     q = quads
     for i in (1, 2, 3, 4):
         q = q.join(nodes.select("dataset_id", F.col("node_id").alias(f"n{i}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"),
                                 F.col(value).alias(f"v{i}")), ["dataset_id", f"n{i}"])
-    xs, ys = F.array(*[f"x{i}" for i in (1, 2, 3, 4)]), F.array(*[f"y{i}" for i in (1, 2, 3, 4)])
-    q = (q.withColumn("cx", xs).withColumn("cy", ys).withColumn("x0", F.array_min("cx")).withColumn("x9", F.array_max("cx"))
-         .withColumn("y0", F.array_min("cy")).withColumn("y9", F.array_max("cy")))
-    h = q.groupBy("dataset_id").agg(F.max(F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"))).alias("_h"))
-    tol = F.col("_h") * 1e-9
-    cell = lambda c: F.floor(c / F.col("_h"))
-    qb = (q.join(h, "dataset_id").withColumn("_cx", F.explode(F.sequence(cell(F.col("x0") - tol), cell(F.col("x9") + tol))))
-          .withColumn("_cy", F.explode(F.sequence(cell(F.col("y0") - tol), cell(F.col("y9") + tol)))))
-    pb = points.select("dataset_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py")).join(h, "dataset_id").withColumn(
-        "_cx", cell(F.col("px"))).withColumn("_cy", cell(F.col("py"))).drop("_h")
-    c = pb.join(qb, ["dataset_id", "_cx", "_cy"]).filter(F.col("px").between(F.col("x0") - tol, F.col("x9") + tol) & F.col("py").between(F.col("y0") - tol, F.col("y9") + tol))
-    c = c.withColumn("s", _quad_inverse("px", "py", "cx", "cy"))
-    xi, eta = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    corner = lambda c: [f"{c}{i}" for i in (1, 2, 3, 4)]
+    for c in [*corner("x"), *corner("y")]:
+        q = q.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    q = q.withColumns({f"_{c}{n}": f(*corner(c)) for c in "xy" for n, f in (("lo", F.least), ("hi", F.greatest))})
+    q = q.withColumn("_e", F.greatest(F.col("_xhi") - F.col("_xlo"), F.col("_yhi") - F.col("_ylo"))).filter("_e > 0")
+    q = q.withColumn("_tol", F.col("_e") * 1e-9).withColumn("_lev", F.ceil(F.log2(F.col("_e") * (1 + 4e-9))).cast("int"))
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_lev")))
+    span = lambda c: F.sequence(cell(F.col(f"_{c}lo") - F.col("_tol")), cell(F.col(f"_{c}hi") + F.col("_tol")))
+    q = q.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+    sizes = q.groupBy("dataset_id").agg(F.collect_set("_lev").alias("_levs"))
+    p = points.select("dataset_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py")).filter(
+        F.col("px").isNotNull() & F.col("py").isNotNull()).join(sizes, "dataset_id").withColumn("_lev", F.explode("_levs")).drop("_levs")
+    p = p.withColumn("_cx", cell(F.col("px"))).withColumn("_cy", cell(F.col("py")))
+    c = p.join(q, ["dataset_id", "_lev", "_cx", "_cy"])
+    for a in "xy":
+        c = c.filter(F.col(f"p{a}").between(F.col(f"_{a}lo") - F.col("_tol"), F.col(f"_{a}hi") + F.col("_tol")))
+    # a generator keeps the filter from repeating the inverse
+    c = c.withColumn("_s", F.explode(F.array(_quad_inverse())))
+    xi, eta = F.col("_s.xi"), F.col("_s.eta")
     inside = (F.abs(xi) <= 1 + 1e-9) & (F.abs(eta) <= 1 + 1e-9)
     val = 0.25 * ((1 - xi) * (1 - eta) * F.col("v1") + (1 + xi) * (1 - eta) * F.col("v2") + (1 + xi) * (1 + eta) * F.col("v3") + (1 - xi) * (1 + eta) * F.col("v4"))
     hit = c.filter(inside).groupBy("dataset_id", "point_id").agg(F.min(F.struct("element_id", val.alias("value"))).alias("b"))

@@ -116,10 +116,42 @@ def j06_eight(t):
 QUADS = """SELECT a.dataset_id, a.node_id AS element_id, a.node_id AS n1, a.node_id + 1 AS n2, a.node_id + 11 AS n3, a.node_id + 10 AS n4 FROM fx_fe_points a WHERE a.node_id % 10 < 9 AND a.node_id % 100 < 90"""
 
 
-@query("j07_quad_interpolation", "dataset_id:i point_id:i element_id:i value:6 refused")
-def j07(t):
+# The same mesh and one element over the whole plan of each dataset, which takes the points that no small one holds.
+QUADS_MIXED = f"""{QUADS} UNION ALL SELECT a.dataset_id, a.node_id + 900000000 AS element_id, a.node_id AS n1, a.node_id + 9 AS n2, a.node_id + 99 AS n3, a.node_id + 90 AS n4 FROM fx_fe_points a
+ WHERE a.node_id % 100 = 0"""
+
+
+def quad_sql(quads: str) -> str:
+    """Every point against every element of its dataset; the quadratic in eta, where the operator solves the one in xi."""
+    corners = " UNION ALL ".join(f"SELECT dataset_id, element_id, {i} AS i, n{i} AS node_id FROM q" for i in (1, 2, 3, 4))
+    picked = ", ".join(f"max(CASE WHEN i = {i} THEN {e} END) AS {c}{i}" for i in (1, 2, 3, 4) for c, e in (("x", "x"), ("y", "y"), ("v", "sin(x / 20e0) * cos(y / 15e0)")))
+    mixes = ", ".join(f"({w.format(c='x')}) / 4e0 AS a{k}, ({w.format(c='y')}) / 4e0 AS b{k}" for k, w in enumerate(
+        ("{c}1 + {c}2 + {c}3 + {c}4", "{c}2 + {c}3 - {c}1 - {c}4", "{c}3 + {c}4 - {c}1 - {c}2", "{c}1 + {c}3 - {c}2 - {c}4")))
+    return f"""WITH q AS ({quads}), co AS ({corners}),
+ el AS (SELECT dataset_id, element_id, {picked} FROM co JOIN fx_fe_points USING (dataset_id, node_id) GROUP BY 1, 2 HAVING count(*) = 4), m AS MATERIALIZED (SELECT *, {mixes} FROM el),
+ c AS (SELECT m.*, point_id, x - a0 AS px, y - b0 AS py FROM fx_exp_points p JOIN m USING (dataset_id) WHERE x BETWEEN least(x1, x2, x3, x4) - 1e-6 AND greatest(x1, x2, x3, x4) + 1e-6
+ AND y BETWEEN least(y1, y2, y3, y4) - 1e-6 AND greatest(y1, y2, y3, y4) + 1e-6),
+ k AS MATERIALIZED (SELECT *, a3 * b2 - a2 * b3 AS qa, px * b3 - py * a3 + a1 * b2 - a2 * b1 AS qb, px * b1 - py * a1 AS qc FROM c),
+ e AS MATERIALIZED (SELECT *, -2e0 * qc / (qb + sqrt(qb * qb - 4e0 * qa * qc)) AS eta FROM k WHERE qb * qb >= 4e0 * qa * qc),
+ s AS MATERIALIZED (SELECT *, CASE WHEN abs(a1 + a3 * eta) > abs(b1 + b3 * eta) THEN (px - a2 * eta) / (a1 + a3 * eta) ELSE (py - b2 * eta) / (b1 + b3 * eta) END AS xi FROM e),
+ h AS (SELECT dataset_id, point_id, element_id, ((1e0 - xi) * ((1e0 - eta) * v1 + (1e0 + eta) * v4) + (1e0 + xi) * ((1e0 - eta) * v2 + (1e0 + eta) * v3)) / 4e0 AS value,
+ row_number() OVER (PARTITION BY dataset_id, point_id ORDER BY element_id) AS r FROM s WHERE abs(xi) <= 1.000000001e0 AND abs(eta) <= 1.000000001e0)
+ SELECT p.dataset_id, p.point_id, element_id, value, element_id IS NULL AS refused FROM fx_exp_points p LEFT JOIN h ON h.dataset_id = p.dataset_id AND h.point_id = p.point_id AND r = 1"""
+
+
+def sampled(t, quads: str):
     nodes = t.fe_points.withColumn("w", F.sin(F.col("x") / 20) * F.cos(F.col("y") / 15))
-    return sp.sample_quads(t.exp_points, t.sql(QUADS), nodes, "w")
+    return sp.sample_quads(t.exp_points, t.sql(quads), nodes, "w")
+
+
+@query("j07_quad_interpolation", "dataset_id:i point_id:i element_id:i value:6 refused", quad_sql(QUADS))
+def j07(t):
+    return sampled(t, QUADS)
+
+
+@query("j07_quads_of_mixed_sizes", "dataset_id:i point_id:i element_id:i value:6 refused", quad_sql(QUADS_MIXED))
+def j07_mixed(t):
+    return sampled(t, QUADS_MIXED)
 
 
 PLANE_SQL = f"""pts AS ({SYM}), box AS (SELECT dataset_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9 FROM pts GROUP BY 1),

@@ -93,6 +93,48 @@ def test_quads_interpolate_linear_fields_and_refuse_outside(spark):
     assert got[2].refused
 
 
+def test_quads_of_all_sizes_shapes_and_turns(spark):
+    """Random convex elements from 1e-3 to 1e6 wide, both orientations, against the forward map; parallelograms have no quadratic term."""
+    rng = np.random.default_rng(3)
+    nodes, quads, points, want = [], [], [], {}
+    for e in range(60):
+        size, centre = 10.0 ** rng.uniform(-3, 6), rng.uniform(-50, 50, 2)
+        base = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1.0]]) + (rng.uniform(-0.6, 0.6, (4, 2)) if e % 3 else 0)
+        turn = rng.uniform(0, 2 * np.pi)
+        c = base @ np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]]) * size + centre
+        c = c[::-1] if e % 2 else c
+        v = rng.normal(size=4)
+        nodes += [(e, i, *map(float, c[i]), float(v[i])) for i in range(4)]
+        quads.append((e, 7, 0, 1, 2, 3))
+        for k, (xi, eta) in enumerate([(0.0, 0.0), (1.0, 1.0), (-1.0, 0.3), *rng.uniform(-1, 1, (5, 2))]):
+            n = np.array([(1 - xi) * (1 - eta), (1 + xi) * (1 - eta), (1 + xi) * (1 + eta), (1 - xi) * (1 + eta)]) / 4
+            points.append((e, k, *map(float, n @ c)))
+            want[e, k] = float(n @ v)
+        points.append((e, 99, *map(float, 1.02 * c[0] - 0.02 * c[2])))
+    got = {(r.dataset_id, r.point_id): r for r in sp.sample_quads(
+        spark.createDataFrame(points, "dataset_id long, point_id long, x double, y double"),
+        spark.createDataFrame(quads, "dataset_id long, element_id long, n1 long, n2 long, n3 long, n4 long"),
+        spark.createDataFrame(nodes, "dataset_id long, node_id long, x double, y double, v double"), "v").collect()}
+    assert len(got) == len(points) and all(got[k].refused == (k[1] == 99) for k in got)
+    assert all(abs(got[k].value - v) < 1e-6 for k, v in want.items())
+
+
+def test_a_huge_element_among_small_ones_and_rows_without_coordinates(spark):
+    n = 40
+    nodes = [(1, i + 100 * j, float(i), float(j), float(i + j)) for i in range(n + 1) for j in range(n + 1)]
+    nodes += [(1, 90001, -1e5, -1e5, 0.0), (1, 90002, 1e5, -1e5, 0.0), (1, 90003, 1e5, 1e5, 0.0), (1, 90004, -1e5, 1e5, 0.0), (1, 90005, None, 0.0, 0.0)]
+    quads = [(1, i + 100 * j, i + 100 * j, i + 1 + 100 * j, i + 101 + 100 * j, i + 100 + 100 * j) for i in range(n) for j in range(n)]
+    quads += [(1, 80000, 90001, 90002, 90003, 90004), (1, 80001, 90005, 90002, 90003, 90004), (1, 80002, 0, 0, 0, 0), (1, 80003, 0, 1, 2, 424242)]
+    points = [(1, 1, 3.5, 7.25), (1, 2, -5000.0, 20.0), (1, 3, 2e5, 0.0), (1, 4, None, 1.0), (1, 5, 3.0, 7.0), (2, 1, 0.5, 0.5)]
+    frames = (spark.createDataFrame(points, "dataset_id long, point_id long, x double, y double"),
+              spark.createDataFrame(quads, "dataset_id long, element_id long, n1 long, n2 long, n3 long, n4 long"),
+              spark.createDataFrame(nodes, "dataset_id long, node_id long, x double, y double, v double"))
+    got = {(r.dataset_id, r.point_id): (r.element_id, r.value, r.refused) for r in sp.sample_quads(*frames, "v").collect()}
+    assert got[1, 1] == (703, 10.75, False) and got[1, 2][::2] == (80000, False) and got[1, 5][0] == 602
+    assert all(got[k] == (None, None, True) for k in ((1, 3), (1, 4), (2, 1)))
+    assert sp.sample_quads(frames[0].limit(0), frames[1], frames[2], "v").count() == 0
+
+
 def test_nearest_points_of_turned_planes(spark):
     """Most points of a turned plane lie far from every node; the descent must find the same nodes as brute force."""
     rng = np.random.default_rng(5)
