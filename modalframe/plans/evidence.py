@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modalframe.operators import coverage as cv
 from modalframe.operators import evidence as ev
 from modalframe.operators import frf, mac, pairing
 from modalframe.plans.correlation import ALL_MAC_SQL, CAND_SQL, STATUS_SQL
@@ -315,3 +316,42 @@ def a49(t):
        "SELECT specimen_id, avg(CASE WHEN value BETWEEN 0.17 AND 4.93 THEN 1e0 ELSE 0e0 END) AS coverage, count(*) AS n, abs(avg(CASE WHEN value BETWEEN 0.17 AND 4.93 THEN 1e0 ELSE 0e0 END) - 0.95e0) <= 0.0203 AS passed FROM fx_meas GROUP BY 1")
 def a50(t):
     return ev.interval_coverage(t.meas.select("specimen_id", F.col("value").alias("truth"), F.lit(0.17).alias("low"), F.lit(4.93).alias("high")), ["specimen_id"], tolerance=0.0203)
+
+
+# Repeated coverage ---------------------------------------------------------------------------------------------------
+def _normal(*parts: str) -> str:
+    u = [f"((CAST('0x' || substr(md5(concat_ws('|', '{k}', {', '.join(parts)})), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)" for k in "rt"]
+    return f"(sqrt(-2e0 * ln({u[0]})) * cos(2e0 * pi() * {u[1]}))"
+
+
+def coverage_sql(widen: float) -> str:
+    return f"""WITH g AS (SELECT specimen_id, count(*) AS n, avg(value) AS level, regr_slope(value, position) AS slope, regr_sxx(value, position) AS sxx,
+ regr_syy(value, position) - regr_slope(value, position) * regr_sxy(value, position) AS sse FROM fx_meas WHERE value IS NOT NULL AND position IS NOT NULL GROUP BY 1),
+ tr AS (SELECT specimen_id, 'level' AS parameter, level AS truth, CASE WHEN n > 2 AND sxx > 0 THEN sqrt(greatest(sse, 0e0) / (n - 2) / n) END AS se FROM g
+ UNION ALL SELECT specimen_id, 'slope', slope, CASE WHEN n > 2 AND sxx > 0 THEN sqrt(greatest(sse, 0e0) / (n - 2) / sxx) END FROM g),
+ e AS MATERIALIZED (SELECT tr.*, rep, truth + se * {_normal("11", "specimen_id", "rep", "parameter", "0")} AS est FROM tr CROSS JOIN (SELECT unnest(range(1, 41)) AS rep)),
+ v AS (SELECT specimen_id, parameter, rep, truth, est + {widen}e0 * se * {_normal("11", "specimen_id", "rep", "parameter", "m")} AS v FROM e CROSS JOIN (SELECT unnest(range(1, 101)) AS m)),
+ i AS (SELECT specimen_id, parameter, rep, max(truth) AS truth, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM v GROUP BY 1, 2, 3),
+ o AS (SELECT *, bool_and(lo IS NOT NULL) OVER (PARTITION BY specimen_id, rep) AS ok FROM i),
+ c AS (SELECT specimen_id, parameter, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS n_ok, sum(CASE WHEN ok AND truth BETWEEN lo AND hi THEN 1 ELSE 0 END) AS n_covered FROM o GROUP BY 1, 2),
+ s AS (SELECT *, 40 - n_ok AS n_failed, coalesce(n_covered / nullif(n_ok, 0), 0e0) AS coverage FROM c)
+ SELECT *, n_ok > 0 AND bool_and(abs(coverage - 0.95e0) <= 0.1e0) OVER (PARTITION BY specimen_id) AS passed FROM s"""
+
+
+COVERED = "specimen_id:i parameter n_ok:i n_failed:i n_covered:i coverage:6 passed"
+
+
+def covered(t, widen: float):
+    key = ["specimen_id"]
+    return cv.repeated_coverage(cv.line_truth(t.meas, key, "position", "value"), key, cv.line_experiment(key, 100, 11, widen), ["level", "slope"], 40)
+
+
+@query("x04_repeated_coverage", COVERED, coverage_sql(1.0))
+def x04(t):
+    return covered(t, 1.0)
+
+
+@query("x04_coverage_of_narrow_intervals", COVERED, coverage_sql(0.5))
+def x04_narrow(t):
+    """Intervals of half the honest width must be found out."""
+    return covered(t, 0.5)
