@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modalframe.functions.policies import ShapeFamilyPolicy, stamp
 from modalframe.operators.ordered import top_rows
 from modalframe.session import keep
 
@@ -499,7 +500,7 @@ def sample_quads(points: DataFrame, quads: DataFrame, nodes: DataFrame, value: s
 
 
 # ------------------------------------------------------------------------------------------------ symmetry, grids
-def normalised_plane(points: DataFrame, keys: list[str]) -> DataFrame:
+def normalised_plane(points: DataFrame, keys: list[str], mirror_tolerance: float = 0.02, near_square: float = 0.05) -> DataFrame:
     """In-plane coordinates scaled to [-1, 1] per key, with the mirror tolerance and whether the plan is near square."""
     g = points.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
     hx, hy = (F.col("_hix") - F.col("_lox")) / 2, (F.col("_hiy") - F.col("_loy")) / 2
@@ -507,7 +508,7 @@ def normalised_plane(points: DataFrame, keys: list[str]) -> DataFrame:
     small, big = F.least(hx, hy), F.greatest(hx, hy)
     return (d.filter((hx > 0) & (hy > 0)).withColumn("u", (F.col("x") - (F.col("_lox") + F.col("_hix")) / 2) / hx)
             .withColumn("v", (F.col("y") - (F.col("_loy") + F.col("_hiy")) / 2) / hy)
-            .withColumn("tolerance", F.lit(0.02 * 2.0) * small / big).withColumn("near_square", F.abs(hx - hy) / big <= 0.05)
+            .withColumn("tolerance", F.lit(mirror_tolerance * 2.0) * small / big).withColumn("near_square", F.abs(hx - hy) / big <= near_square)
             .drop("_lox", "_hix", "_loy", "_hiy"))
 
 
@@ -541,6 +542,28 @@ def parity_classes(plane: DataFrame, keys: list[str], minimum_coverage: float =
     return g.withColumn("parity_class", cls).drop("_num", "_den", "_sq")
 
 
+def classify_shapes(points: DataFrame, keys: list[str], policy: ShapeFamilyPolicy = ShapeFamilyPolicy()) -> DataFrame:
+    """Parity classes of every surface shape under the policy; each row carries the policy's hash.
+
+    ``points``: keys, node_id, x, y, w. Shapes without extent along x or y give no rows."""
+    plane = normalised_plane(points, keys, policy.mirror_tolerance, policy.near_square_tolerance)
+    return stamp(parity_classes(plane, keys, policy.minimum_mirror_coverage, policy.parity_threshold), policy)
+
+
+def shape_families(points: DataFrame, keys: list[str], policy: ShapeFamilyPolicy = ShapeFamilyPolicy()) -> DataFrame:
+    """``keys, parity_x, parity_y, nodal_x, nodal_y, family, torsion, policy_hash``: the family of every classified shape.
+
+    A family is named by its parities and nodal-line counts, never by a mode number; a shape whose parity along x or y was
+    refused has a NULL family. ``torsion`` marks shapes that are odd along both."""
+    own = [*keys, "policy_hash"]
+    pick = lambda r: F.max(F.when(F.col("reflection") == r, F.col("parity_class"))).alias(f"parity_{r}")
+    c = classify_shapes(points, keys, policy).groupBy(*own).agg(pick("x"), pick("y"))
+    plane = normalised_plane(points, keys, policy.mirror_tolerance, policy.near_square_tolerance)
+    c = c.join(nodal_lines(plane, keys, policy.nodal_grid_points, policy.nodal_amplitude_floor), keys)
+    name = F.concat(F.lit("Px:"), "parity_x", F.lit("|Py:"), "parity_y", F.lit("|nx:"), F.col("nodal_x").cast("string"), F.lit("|ny:"), F.col("nodal_y").cast("string"))
+    return c.withColumn("family", name).withColumn("torsion", F.coalesce((F.col("parity_x") == "O") & (F.col("parity_y") == "O"), F.lit(False)))
+
+
 def nodal_lines(plane: DataFrame, keys: list[str], n: int = 41, floor: float = 0.05) -> DataFrame:
     """Nodal-line counts along x and y: nearest-node resampling on an n x n grid, sign changes per inner row / column."""
     top = plane.groupBy(*keys).agg((F.max(F.abs("w")) * floor).alias("_floor"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modalframe.functions.policies import ShapeFamilyPolicy, policy_text, require_policy
 from modalframe.functions.cplx import abs2, dot_im, dot_re, mac_value
 from modalframe.operators import spatial as sp
 from modalframe.plans.registry import query
@@ -174,15 +175,35 @@ def j08_coverage(t):
     return sp.mirror_coverage(sp.mirror_nodes(sp.normalised_plane(t.sql(SYM), ["dataset_id"]), ["dataset_id"]), ["dataset_id"])
 
 
-@query("a20_parity_classes", "dataset_id:i reflection coverage:6 parity:6 parity_class",
-       f"""WITH {PLANE_SQL}, g AS (SELECT m.dataset_id, m.reflection, avg(CASE WHEN mirror_id IS NOT NULL THEN 1e0 ELSE 0e0 END) AS coverage, sum(m.w * q.w) AS num,
+def parity_sql(p: ShapeFamilyPolicy = ShapeFamilyPolicy()) -> str:
+    plane = PLANE_SQL.replace("0.02e0", f"{p.mirror_tolerance}e0").replace("<= 0.05", f"<= {p.near_square_tolerance}")
+    return f"""WITH {plane}, g AS (SELECT m.dataset_id, m.reflection, avg(CASE WHEN mirror_id IS NOT NULL THEN 1e0 ELSE 0e0 END) AS coverage, sum(m.w * q.w) AS num,
  sum(CASE WHEN mirror_id IS NOT NULL THEN m.w * m.w END) AS den, bool_or(m.sq) AS sq FROM mir m LEFT JOIN pl q ON q.dataset_id = m.dataset_id AND q.node_id = m.mirror_id GROUP BY 1, 2),
- h AS (SELECT *, CASE WHEN coverage >= 0.95 AND den > 0 AND (sq OR reflection IN ('x', 'y')) THEN num / den END AS parity FROM g)
- SELECT *, CASE WHEN parity >= 0.8 THEN 'E' WHEN parity <= -0.8 THEN 'O' WHEN parity IS NOT NULL THEN 'M' END AS parity_class FROM h""")
+ h AS (SELECT *, CASE WHEN coverage >= {p.minimum_mirror_coverage} AND den > 0 AND (sq OR reflection IN ('x', 'y')) THEN num / den END AS parity FROM g)
+ SELECT *, CASE WHEN parity >= {p.parity_threshold} THEN 'E' WHEN parity <= -{p.parity_threshold} THEN 'O' WHEN parity IS NOT NULL THEN 'M' END AS parity_class FROM h"""
+
+
+@query("a20_parity_classes", "dataset_id:i reflection coverage:6 parity:6 parity_class", parity_sql())
 def a20(t):
     return sp.parity_classes(sp.normalised_plane(t.sql(SYM), ["dataset_id"]), ["dataset_id"])
 
 
+FAMILY_POLICIES = (ShapeFamilyPolicy(), ShapeFamilyPolicy(parity_threshold=0.5, mirror_tolerance=0.05, minimum_mirror_coverage=0.6))
+
+
+@query("x05_classifier_policies", "dataset_id:i reflection parity:6 parity_class policy_hash",
+       " UNION ALL ".join(f"SELECT dataset_id, reflection, parity, parity_class, sha256('{policy_text(p)}') AS policy_hash FROM ({parity_sql(p)})" for p in FAMILY_POLICIES))
+def x05(t):
+    """Both results in one table: rows of different gates stay apart by the hash that they carry."""
+    first, second = (sp.classify_shapes(t.sql(SYM), ["dataset_id"], p) for p in FAMILY_POLICIES)
+    return require_policy(first, FAMILY_POLICIES[0]).unionByName(second)
+
+
+@query("x05_shape_families", "dataset_id:i parity_x parity_y nodal_x:i nodal_y:i family torsion policy_hash")
+def x05_families(t):
+    return sp.shape_families(t.sql(SYM), ["dataset_id"])
+
+
 @query("a21_nodal_lines", "dataset_id:i nodal_x:i nodal_y:i")
 def a21(t):
     return sp.nodal_lines(sp.normalised_plane(t.sql(SYM), ["dataset_id"]), ["dataset_id"])
