@@ -188,6 +188,23 @@ def a20(t):
     return sp.parity_classes(sp.normalised_plane(t.sql(SYM), ["dataset_id"]), ["dataset_id"])
 
 
+def nodal_sql(p: ShapeFamilyPolicy = ShapeFamilyPolicy()) -> str:
+    """Every grid point against every node; a line's sign changes by a lag over its points above the floor."""
+    n = p.nodal_grid_points
+    return f"""WITH {PLANE_SQL}, ax AS (SELECT unnest(range(0, {n})) AS i), top AS (SELECT dataset_id, max(abs(w)) * {p.nodal_amplitude_floor}e0 AS floor FROM pl GROUP BY 1),
+ gr AS (SELECT dataset_id, a.i AS gi, b.i AS gj, a.i * {2.0 / (n - 1)!r}e0 - 1e0 AS x, b.i * {2.0 / (n - 1)!r}e0 - 1e0 AS y FROM top CROSS JOIN ax a CROSS JOIN ax b),
+ ne AS MATERIALIZED (SELECT gr.dataset_id, gi, gj, arg_min(w, (pow(x - u, 2) + pow(y - v, 2), node_id)) AS w FROM gr JOIN (SELECT dataset_id, node_id, u, v, w FROM pl) q ON q.dataset_id = gr.dataset_id GROUP BY 1, 2, 3),
+ sg AS (SELECT dataset_id, gi, gj, sign(w) AS s FROM ne JOIN top USING (dataset_id) WHERE abs(w) > floor),
+ ch AS (SELECT dataset_id, gi, gj, s <> lag(s) OVER (PARTITION BY dataset_id, gj ORDER BY gi) AS cx, s <> lag(s) OVER (PARTITION BY dataset_id, gi ORDER BY gj) AS cy FROM sg),
+ inner_lines AS (SELECT dataset_id, i FROM top CROSS JOIN ax WHERE i BETWEEN 1 AND {n - 2}),
+ px AS (SELECT dataset_id, gj AS i, sum(CASE WHEN cx THEN 1 ELSE 0 END) AS c FROM ch GROUP BY 1, 2), py AS (SELECT dataset_id, gi AS i, sum(CASE WHEN cy THEN 1 ELSE 0 END) AS c FROM ch GROUP BY 1, 2)
+ SELECT l.dataset_id, floor(median(coalesce(px.c, 0))) AS nodal_x, floor(median(coalesce(py.c, 0))) AS nodal_y FROM inner_lines l LEFT JOIN px ON px.dataset_id = l.dataset_id AND px.i = l.i
+ LEFT JOIN py ON py.dataset_id = l.dataset_id AND py.i = l.i GROUP BY 1"""
+
+
+FAMILY_SQL = f"""WITH par AS (SELECT dataset_id, max(CASE WHEN reflection = 'x' THEN parity_class END) AS parity_x, max(CASE WHEN reflection = 'y' THEN parity_class END) AS parity_y FROM ({parity_sql()}) GROUP BY 1)
+ SELECT *, 'Px:' || parity_x || '|Py:' || parity_y || '|nx:' || CAST(nodal_x AS BIGINT) || '|ny:' || CAST(nodal_y AS BIGINT) AS family, coalesce(parity_x = 'O' AND parity_y = 'O', false) AS torsion,
+ sha256('{policy_text(ShapeFamilyPolicy())}') AS policy_hash FROM par JOIN ({nodal_sql()}) USING (dataset_id)"""
 FAMILY_POLICIES = (ShapeFamilyPolicy(), ShapeFamilyPolicy(parity_threshold=0.5, mirror_tolerance=0.05, minimum_mirror_coverage=0.6))
 
 
@@ -199,12 +216,12 @@ def x05(t):
     return require_policy(first, FAMILY_POLICIES[0]).unionByName(second)
 
 
-@query("x05_shape_families", "dataset_id:i parity_x parity_y nodal_x:i nodal_y:i family torsion policy_hash")
+@query("x05_shape_families", "dataset_id:i parity_x parity_y nodal_x:i nodal_y:i family torsion policy_hash", FAMILY_SQL)
 def x05_families(t):
     return sp.shape_families(t.sql(SYM), ["dataset_id"])
 
 
-@query("a21_nodal_lines", "dataset_id:i nodal_x:i nodal_y:i")
+@query("a21_nodal_lines", "dataset_id:i nodal_x:i nodal_y:i", nodal_sql())
 def a21(t):
     return sp.nodal_lines(sp.normalised_plane(t.sql(SYM), ["dataset_id"]), ["dataset_id"])
 
