@@ -16,13 +16,15 @@ from pyspark.sql import types as T
 
 from modalframe.functions.policies import ShapeFamilyPolicy, stamp
 from modalframe.operators.ordered import top_rows
-from modalframe.session import keep
+from modalframe.session import cut_lineage, dealt, keep
 
 XYZ = ("x", "y", "z")
 # Metres per length unit, MPa per modulus unit, unit scales tried, geometry limits.
 UNIT_TO_METRES = {"mm": 1.0e-3, "m": 1.0, "cm": 1.0e-2, "µm": 1.0e-6}
 MODULUS_TO_MPA = {"MPa": 1.0, "N/mm2": 1.0, "N/mm^2": 1.0, "N/mm²": 1.0, "GPa": 1.0e3, "kPa": 1.0e-3, "Pa": 1.0e-6,
                   "N/m2": 1.0e-6, "N/m^2": 1.0e-6, "N/m²": 1.0e-6}
+# Targets that one cell row holds at most; queries of fuller cells go down the octree.
+CELL_TARGETS = 1024
 UNIT_SCALES = (1.0e-6, 1.0e-3, 1.0, 1.0e3, 1.0e6)
 RMS_FACTOR, RMS_WINDOW, MATCH_FRACTION = 1.5, 1.0e-8, 0.03
 SQUARE_SYMMETRIES = {
@@ -80,6 +82,7 @@ def _descend(queries: DataFrame, targets: DataFrame, size: DataFrame, keys: list
         fine = fine.withColumn(f"_i{c}", F.least(F.floor((F.col(f"t{c}") - F.col(f"_o{c}")) / F.greatest(F.col("_w"), F.lit(1e-300)) * 2.0 ** depth), F.lit(2 ** depth - 1)).cast("bigint"))
     own = [f"_i{c}" for c in XYZ]
     boxes = fine.groupBy(*keys, *own).agg(F.count(F.lit(1)).alias("_m"), *[f(f"t{c}").alias(f"_{n}{c}") for c in XYZ for f, n in ((F.min, "l"), (F.max, "u"))])
+    boxes = keep(boxes)
     front = queries.select(*keys, *qid, *[f"q{c}" for c in XYZ]).withColumns({i: F.lit(0).cast("bigint") for i in own})
     query = Window.partitionBy(*keys, *qid)
     for level in range(1, depth + 1):
@@ -94,46 +97,86 @@ def _descend(queries: DataFrame, targets: DataFrame, size: DataFrame, keys: list
             far = far + F.pow(F.greatest(F.abs(F.col(f"q{c}") - F.col(f"_l{c}")), F.abs(F.col(f"q{c}") - F.col(f"_u{c}"))), 2)
         front = front.withColumn("_near", near).withColumn("_cut", F.min(F.when(F.col("_m") >= k, far)).over(query))
         front = front.filter(F.col("_cut").isNull() | (F.col("_near") <= F.col("_cut") * (1 + 1e-12) + 1e-300)).select(*keys, *qid, *[f"q{c}" for c in XYZ], *own)
-    return front.join(fine.drop("_w", "_h0", *[f"_o{c}" for c in XYZ]), [*keys, *own]).withColumn("_h", F.lit(0.0)).withColumn("_n", F.lit(0))
+        # one plan of all levels would hold the driver's memory with the depth
+        front = cut_lineage(front)
+    return front.join(fine.drop("_w", "_h0", *[f"_o{c}" for c in XYZ]), [*keys, *own])
 
 
-def nearest_points(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[str], tid: str, k: int = 1) -> DataFrame:
+def nearest_points(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[str], tid: str, k: int = 1,
+                   ids: DataFrame | None = None) -> DataFrame:
     """The k nearest targets of every query point within its key: keys, qid, tid, distance, nearness (1 = nearest).
 
-    Cell size follows the target density of each key, so a key with most of the rows is spread over its cells.
+    Cell size follows the target density of each key, so a key with most of the rows is spread over its cells. Every target
+    is copied into the cells around its own, a query asks the one cell that it, moved into the box of the targets, falls in,
+    and the cell's targets (``CELL_TARGETS`` at most) lie in one row; so pairs are never rows. Queries that this does not
+    settle go down the octree (`_descend`): those of fuller cells, near holes, with an identity that is NULL or repeats.
+    ``ids`` may hold the rows whose columns among ``keys`` and ``qid`` tell whether query identities repeat.
     """
     q = queries.select(*keys, *qid, *[F.col(c).cast("double").alias(f"q{c}") for c in XYZ])
     t = targets.select(*keys, tid, *[F.col(c).cast("double").alias(f"t{c}") for c in XYZ])
     span = lambda c: F.max(f"t{c}") - F.min(f"t{c}")
-    size = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.array(span("x"), span("y"), span("z"))).alias("_s"),
-                                span("z").alias("_sz"))
+    placed = F.col("tx").isNotNull() & F.col("ty").isNotNull() & F.col("tz").isNotNull()
+    size = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(placed).alias("_whole"), F.array_sort(F.array(span("x"), span("y"), span("z"))).alias("_s"),
+                                span("z").alias("_sz"), *[f(f"t{c}").alias(f"_{n}{c}") for c in XYZ for f, n in ((F.min, "l"), (F.max, "u"))])
     cell = 1.5 * F.sqrt(F.get("_s", F.lit(1)) * F.get("_s", F.lit(2)) / F.col("_n"))
     cell = F.greatest(cell, F.get("_s", F.lit(2)) / F.col("_n"), F.lit(1e-9)) * math.sqrt(k)
-    size = size.select(*keys, "_n", cell.alias("_h0"), "_sz")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("_d2", _distance2("q", "t"))
-        if k == 1:
-            one = pairs.groupBy(*keys, *qid).agg(F.min(F.struct("_d2", tid)).alias("b"), F.max("_h").alias("_h"), F.max("_n").alias("_n"))
-            return one.select(*keys, *qid, "_h", "_n", F.array(F.struct(F.sqrt("b._d2").alias("distance"), F.col(f"b.{tid}").alias(tid))).alias("near"))
-        top = top_rows(pairs, [*keys, *qid], ["_d2", tid], k)
-        return top.groupBy(*keys, *qid).agg(F.max("_h").alias("_h"), F.max("_n").alias("_n"), F.sort_array(
-            F.collect_list(F.struct(F.sqrt("_d2").alias("distance"), F.col(tid)))).alias("near"))
-
-    s = size.select(*keys, "_n", F.col("_h0").alias("_h"), (F.col("_sz") <= F.col("_h0")).alias("_flat"))
-    pairs = _cells(q.join(s, keys), "q", True).join(_cells(t.join(s.drop("_n"), keys), "t", False).drop("_h", "_flat"), [*keys, "_cx", "_cy", "_cz"])
-    found = best(pairs)
-    sure = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & (F.element_at("near", -1)["distance"] <= F.col("_h"))
-    found = found.select(*keys, *qid, F.when(sure, F.col("near")).alias("near"))
+    box = [f"_{n}{c}" for c in XYZ for n in "lu"]
+    size = size.select(*keys, "_n", cell.alias("_h"), (F.col("_sz") <= cell).alias("_flat"), "_whole", *box)
+    at = ["_cx", "_cy", "_cz"]
+
+    named = [c for c in [*keys, *qid] if ids is None or c in ids.columns]
+    many = (q if ids is None else ids).groupBy(*named).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    many = None if many.isEmpty() else many
+
+    most = max(CELL_TARGETS, 64 * k)
+    held = _cells(t.filter(placed).join(size.select(*keys, "_h", "_flat"), keys), "t", True)
+    held = top_rows(held, [*keys, *at], [tid], most + 1).groupBy(*keys, *at).agg(F.collect_list(F.struct("tx", "ty", "tz", tid)).alias("_t"))
+    held = held.filter(F.size("_t") <= most)
+    inner = {f"_i{c}": F.least(F.greatest(F.col(f"q{c}"), F.col(f"_l{c}")), F.col(f"_u{c}")) for c in XYZ}
+    asked = _cells(q.join(size, keys).withColumns(inner), "_i", False).drop(*inner)
+    if many is not None:
+        asked = asked.join(many, named, "left")
+    d2 = lambda v: sum((F.pow(F.col(f"q{c}") - v[f"t{c}"], 2) for c in XYZ[1:]), F.pow(F.col("qx") - v["tx"], 2))
+    near = F.transform("_t", lambda v: F.struct(d2(v).alias("_d2"), v[tid].alias(tid)))
+    near = F.array(F.array_min(near)) if k == 1 else F.slice(F.sort_array(near), 1, k)
+    asked = asked.join(held, [*keys, *at], "left").withColumn("near", F.when(F.size("_t") > 0, near)).drop("_t", *at)
+    # A target of no asked cell is off the moved query by more than _h along one axis of the grid, and the query is off the
+    # box by _o along each; targets without a place could be nearer than anything, so their keys only settle what is inside.
+    off = {c: F.greatest(F.col(f"_l{c}") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"_u{c}"), F.lit(0.0)) for c in XYZ}
+    least = F.least(off["x"], off["y"], F.when(~F.col("_flat"), off["z"]))
+    beyond = sum((off[c] * off[c] for c in XYZ), F.col("_h") * F.col("_h") + 2 * F.col("_h") * least)
+    last = F.element_at("near", -1)["_d2"]
+    sure = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & F.when(F.col("_whole"), last <= beyond * (1 - 1e-9)).otherwise(F.sqrt(last) <= F.col("_h")) & (last < float("inf"))
+    for c in qid:
+        sure = sure & F.col(c).isNotNull()
+    if many is not None:
+        sure = sure & F.col("_m").isNull()
+    asked = asked.withColumn("near", F.when(sure, near_out("near", tid)))
     # one row per query point, read by this pass's answer and by the descent; a lost block is simply recomputed
-    seen = keep(q.join(found, [*keys, *qid], "left"))
-    done = seen.filter(F.col("near").isNotNull()).select(*keys, *qid, "near")
-    far = _descend(seen.filter(F.col("near").isNull()).drop("near"), t, size, keys, qid, k)
-    done = done.unionByName(best(far).select(*keys, *qid, "near"))
+    open_ = F.col("near").isNull()
+    seen = keep(asked.select(*keys, *qid, "near", *[F.when(open_, F.col(f"q{c}")).alias(f"q{c}") for c in XYZ]))
+    done = seen.filter(~open_).select(*keys, *qid, "near")
+    if not seen.filter(open_).isEmpty():
+        far = _descend(seen.filter(open_).drop("near"), t, size.withColumnRenamed("_h", "_h0"), keys, qid, k).withColumn("_d2", _distance2("q", "t"))
+        if k == 1:
+            best = far.groupBy(*keys, *qid).agg(F.array(F.min(F.struct("_d2", tid))).alias("near"))
+        else:
+            best = top_rows(far, [*keys, *qid], ["_d2", tid], k).groupBy(*keys, *qid).agg(F.sort_array(F.collect_list(F.struct("_d2", tid))).alias("near"))
+        best = best.withColumn("near", near_out("near", tid))
+        if many is not None:
+            # a repeated identity answers once for each of its rows if its cells would have done, else once
+            best = best.join(many, named, "left").join(size.select(*keys, "_n", "_h"), keys)
+            inside = (F.size("near") == F.least(F.lit(k), F.col("_n"))) & (F.element_at("near", -1)["distance"] <= F.col("_h"))
+            best = best.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.when(inside, F.coalesce("_m", F.lit(1))).otherwise(1).cast("int"))))
+        done = done.unionByName(best.select(*keys, *qid, "near"))
     return done.select(*keys, *qid, F.posexplode("near").alias("_p", "v")).select(
         *keys, *qid, F.col(f"v.{tid}").alias(tid), F.col("v.distance").alias("distance"), (F.col("_p") + 1).alias("nearness"))
 
 
+def near_out(near: str, tid: str) -> Column:
+    return F.transform(near, lambda v: F.struct(F.sqrt(v["_d2"]).alias("distance"), v[tid].alias(tid)))
+
+
 def within_radius(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[str], tid: str) -> DataFrame:
     """Nearest target within the per-key ``radius`` column of the queries (2-D); no row where none is that near."""
     q = queries.select(*keys, *qid, F.col("radius").alias("_h"), F.col("x").alias("qx"), F.col("y").alias("qy"))
@@ -220,14 +263,14 @@ def score_orientations(fe: DataFrame, exp: DataFrame, scales: DataFrame, neighbo
     cen = lambda d, c: extents(d, key).select("dataset_id", *[F.col(f"{a}_mid").alias(f"_m{a}") for a in XYZ], F.col("span").alias("_span"))
     fec = fe.join(cen(fe, "a").drop("_span"), key).select("dataset_id", "node_id", *[(F.col(a) - F.col(f"_m{a}")).alias(a) for a in XYZ])
     exc = exp.join(cen(exp, "e"), key).select("dataset_id", "point_id", "_span", *[(F.col(a) - F.col(f"_m{a}")).alias(f"e{a}") for a in XYZ])
-    q = exc.join(scales, key).withColumn("o", F.explode(orientation_array()))
+    q = dealt(exc.join(scales, key), *key, "point_id").withColumn("o", F.explode(orientation_array()))
     scaled = F.array(F.col("ex") / F.col("sx"), F.col("ey") / F.col("sy"), F.col("ez") / F.col("sz"))
     turned = F.zip_with(scaled, "o.sign", lambda v, s: v * s)
     for i, a in enumerate(XYZ):
         q = q.withColumn(a, F.get(turned, F.array_position("o.perm", F.lit(i)).cast("int") - 1))
     qid = ["scale_no", "orientation", "point_id"]
     q = q.withColumn("orientation", F.col("o.no"))
-    near = nearest_points(q, fec, key, qid, "node_id", neighbours)
+    near = nearest_points(q, fec, key, qid, "node_id", neighbours, ids=exc)
     full = near.join(q.select("dataset_id", *qid, "o", "_span", "sx", "sy", "sz", "ex", "ey", "ez"), [*key, *qid]).join(
         fec.select("dataset_id", "node_id", F.array(*XYZ).alias("_n")), ["dataset_id", "node_id"])
     back = [F.get("_n", F.get("o.perm", F.lit(j))) * F.get("o.sign", F.lit(j)) * F.col(f"s{a}") - F.col(f"e{a}") for j, a in enumerate(XYZ)]
@@ -568,10 +611,11 @@ def nodal_lines(plane: DataFrame, keys: list[str], n: int = 41, floor: float = 0
     """Nodal-line counts along x and y: nearest-node resampling on an n x n grid, sign changes per inner row / column."""
     top = plane.groupBy(*keys).agg((F.max(F.abs("w")) * floor).alias("_floor"))
     step = 2.0 / (n - 1)
-    grid = (top.select(*keys).withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("gj", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
+    grid = (dealt(top.select(*keys), *keys).withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("gj", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
     q = grid.withColumn("x", F.col("gi") * F.lit(step) - 1.0).withColumn("y", F.col("gj") * F.lit(step) - 1.0).withColumn("z", F.lit(0.0))
     t = plane.select(*keys, "node_id", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z"))
-    near = nearest_points(q, t, keys, ["gi", "gj"], "node_id").join(plane.select(*keys, "node_id", "w"), [*keys, "node_id"]).join(top, keys)
+    near = nearest_points(q, t, keys, ["gi", "gj"], "node_id", ids=top).join(plane.select(*keys, "node_id", "w"), [*keys, "node_id"]).join(top, keys)
+    near = keep(near.select(*keys, "gi", "gj", "w", "_floor"))
     sign = F.when(F.abs("w") > F.col("_floor"), F.signum("w"))
 
     def changes(line: str, along: str) -> DataFrame:

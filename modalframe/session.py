@@ -51,6 +51,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """Few rows dealt over all shuffle partitions before each becomes many; otherwise the few input splits do all the work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor never loses an iterative result."""
     scratch_dir(df.sparkSession)
