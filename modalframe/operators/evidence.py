@@ -14,7 +14,7 @@ from modalframe.functions.reasons import first_reason
 from modalframe.operators.matching import SCALE, Matching, exact
 from modalframe.operators.ordered import top_rows, with_order
 from modalframe.operators.shapes import connected_components
-from modalframe.session import cut_lineage
+from modalframe.session import cut_lineage, dealt
 
 
 @dataclass(frozen=True)
@@ -364,7 +364,8 @@ def draw_measurements(measurements: DataFrame, draws: int, seed: int, keys: list
     non-positive draw, and a draw that never turns positive is NULL.
 
     ``measurements``: keys, name, value, std_unc."""
-    d = measurements.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    # all names and draws of a key then share a partition, so a draw is put together without another shuffle
+    d = dealt(measurements, *keys).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     at = lambda k: F.col("value") + F.col("std_unc") * normal(F.lit(seed), F.col("draw"), k, F.col("name"), *[F.col(c) for c in keys])
     first = at(F.lit(1))
     again = F.get(F.filter(F.transform(F.sequence(F.lit(2), F.lit(attempts)), lambda k: at(k)), lambda v: v > 0), F.lit(0))
