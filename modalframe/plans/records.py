@@ -308,7 +308,7 @@ def s04(t):
 
 def geometry_path(t):
     path = scratch_path(t.spark, "geometry")
-    t.fe_points.select("dataset_id", "instance", F.col("node_id").alias("node_label"), "x", "y", "z").repartition("dataset_id").write.partitionBy("dataset_id").option("header", True).csv(path)
+    t.fe_points.select("dataset_id", "instance", F.col("node_id").alias("node_label"), "x", "y", "z").repartition("dataset_id").write.partitionBy("dataset_id").options(**files.BY_TASKS).option("header", True).csv(path)
     return path
 
 
@@ -327,7 +327,7 @@ def s03(t):
     path = scratch_path(t.spark, "modes")
     r = t.sql(MODE_ROWS).select("dataset_id", "mode_no", "instance", F.col("node_id").alias("node_label"), F.col("u1").alias("u1_real"), F.col("u2").alias("u2_real"), F.col("u3").alias("u3_real"),
                                 F.col("v1").alias("u1_imag"), F.lit(0.0).alias("u2_imag"), F.lit(0.0).alias("u3_imag"))
-    r.repartition("dataset_id", "mode_no").write.partitionBy("dataset_id", "mode_no").option("header", True).csv(path)
+    r.repartition("dataset_id", "mode_no").write.partitionBy("dataset_id", "mode_no").options(**files.BY_TASKS).option("header", True).csv(path)
     geo = files.read_geometry(t.spark, geometry_path(t)).filter("node_id % 50 <> 3")
     return files.read_mode_files(t.spark, path, geo)
 
@@ -343,7 +343,7 @@ def s07(t):
                                           F.lit("\n\n   EIGENVALUES MARKED BY * ARE SHIFTED\n   P A R T I C I P A T I O N\n       1   1.0  2.0  3.0  4.0\n")))
     doc = sec.groupBy("package_id").agg(F.concat_ws("\n", F.lit("HEADER"), F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("step", "text"))), lambda v: v["text"]))).alias("value"))
     path = scratch_path(t.spark, "logs")
-    doc.repartition("package_id").write.partitionBy("package_id").text(path)
+    files.write_texts(doc.withColumn("name", F.concat(F.lit("package_id="), F.coalesce(F.col("package_id").cast("string"), F.lit("")))), path)
     out = files.read_eigenvalue_tables(t.spark, path)
     return out.withColumn("package_id", F.regexp_extract("file", r"package_id=(\d+)", 1))
 
@@ -359,7 +359,7 @@ def s08(t):
                        F.concat_ws(", ", F.col("e1").cast("string"), F.col("e2").cast("string"), F.lit("9000., 0.05, 0.3, 0.31, 4500., 3000.")), F.lit(" 2800.,"),
                        F.lit("*Shell Section, elset=plate, material=carbon"), F.concat(F.format_string("%.2f", "h"), F.lit(", 5")), F.lit("*Step"))
     path = scratch_path(t.spark, "decks")
-    d.select("deck_id", text.alias("value")).repartition("deck_id").write.partitionBy("deck_id").text(path)
+    files.write_texts(d.select(F.concat(F.lit("deck_id="), F.coalesce(F.col("deck_id").cast("string"), F.lit(""))).alias("name"), text.alias("value")), path)
     return files.read_material_decks(t.spark, path).withColumn("deck_id", F.regexp_extract("file", r"deck_id=(\d+)", 1))
 
 
