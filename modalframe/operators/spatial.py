@@ -611,7 +611,7 @@ def nodal_lines(plane: DataFrame, keys: list[str], n: int = 41, floor: float = 0
     """Nodal-line counts along x and y: nearest-node resampling on an n x n grid, sign changes per inner row / column."""
     top = plane.groupBy(*keys).agg((F.max(F.abs("w")) * floor).alias("_floor"))
     step = 2.0 / (n - 1)
-    grid = (dealt(top.select(*keys), *keys).withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("gj", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
+    grid = (dealt(top.select(*keys).withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), *keys, "gi").withColumn("gj", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
     q = grid.withColumn("x", F.col("gi") * F.lit(step) - 1.0).withColumn("y", F.col("gj") * F.lit(step) - 1.0).withColumn("z", F.lit(0.0))
     t = plane.select(*keys, "node_id", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z"))
     near = nearest_points(q, t, keys, ["gi", "gj"], "node_id", ids=top).join(plane.select(*keys, "node_id", "w"), [*keys, "node_id"]).join(top, keys)
