@@ -4,27 +4,33 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modalframe.llm.forced_bpe import byte_chars
 from modalframe.llm.text import map_texts
 from modalframe.session import scratch_path
 
 #: Fragments whose ids a worker remembers in each of two generations: a full one becomes the old one, and fragments met again move
 #: on to the new one. Bounds its memory, not the result.
 REMEMBERED = 150_000
+#: Characters of text whose fragments are looked up, and the unknown ones encoded, together.
+CHUNK = 1 << 18
 #: Pieces packed together. Groups grow in number with the input, never in size.
 PIECES_PER_GROUP = 4096
 
 # Cuts that no token crosses: before a blank that begins a word, around other white space, and between letters or digits and
 # punctuation. Runs with an apostrophe or with characters beyond Latin stay whole up to the next white space.
-_ALNUM, _MARKS = r"A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-&(-/:-@\[-`{-~"
+_LETTERS, _MARKS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-&(-/:-@\[-`{-~"
+_ALNUM = f"0-9{_LETTERS}"
 _FRAGMENT = re.compile(rf" ?[{_ALNUM}]++(?=[{_MARKS} \t-\r]|\Z)| ?[{_MARKS}]++(?=[{_ALNUM} \t-\r]|\Z)| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _ODD_BLANK = re.compile(r"[^\S \t-\r]")  # white space beyond ASCII, or that not every regex engine takes as such
+_WORD = re.compile(rf" ?[{_LETTERS}]+")  # one pre-token of the byte-level pattern
+_TO_BYTE_CHAR = byte_chars()
 
 
 class FragmentEncoder:
@@ -33,47 +39,59 @@ class FragmentEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        level = self.whole.pre_tokenizer
+        #: Whether a word is one pre-token whose merges the model can make by itself, without the steps around it.
+        self.bare = self.whole.normalizer is None and isinstance(level, ByteLevel) and level.use_regex and not level.add_prefix_space
+        self.model = self.whole.model
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
+        out, held, size = [b""] * len(texts), [], 0
+        for k, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif any(s in text for s in self.special) or _ODD_BLANK.search(text):
-                out.append(self._bytes(self.whole.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(self._by_fragments(_FRAGMENT.findall(text)))
+                continue
+            if any(s in text for s in self.special) or _ODD_BLANK.search(text):
+                out[k] = self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+                continue
+            held.append((k, _FRAGMENT.findall(text)))
+            size += len(text)
+            if size >= CHUNK:
+                self._place(held, out)
+                held, size = [], 0
+        self._place(held, out)
         return out
 
-    def _by_fragments(self, pieces: list[str]) -> bytes:
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            if len(cache) > REMEMBERED:
-                self.cache, self.older = cache, older = {}, cache
+    def _place(self, held: list[tuple[int, list[str]]], out: list[bytes]) -> None:
+        """Put the ids of each text, given as its place and fragments, into ``out``."""
+        self._learn(set().union(*[pieces for _, pieces in held]))
+        known = self.cache.__getitem__
+        for k, pieces in held:
+            out[k] = b"".join(map(known, pieces))
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.cache) > REMEMBERED:
+            self.cache, self.older = {}, self.cache
+        cache, older, odd = self.cache, self.older, []
+        for p in pieces.difference(cache):
+            if p in older:
+                cache[p] = older[p]
+            elif self.bare and _WORD.fullmatch(p):
+                shown = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(_TO_BYTE_CHAR)
+                cache[p] = self._bytes([t.id for t in self.model.tokenize(shown)])
             else:
-                older = self.older
-            new = []
-            for p in set(pieces):
-                if p not in cache:
-                    if p in older:
-                        cache[p] = older[p]
-                    else:
-                        new.append(p)
-            for p, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = self._bytes(e.ids)
-            return b"".join([cache[p] for p in pieces])
+                odd.append(p)
+        for p, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            cache[p] = self._bytes(e.ids)
 
 
 @lru_cache(maxsize=2)

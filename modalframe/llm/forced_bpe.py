@@ -32,14 +32,14 @@ _BYTE_CHARS = 512  # byte characters lie below
 _LATIN_END = "\u0530"
 
 
-def _byte_chars() -> dict[int, int]:
+def byte_chars() -> dict[int, int]:
     """The character that stands for each byte: itself where it is visible, else the next one from U+0100 on."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = [b for b in range(256) if b not in visible]
     return {b: b for b in visible} | {b: 0x100 + k for k, b in enumerate(hidden)}
 
 
-_TO_BYTE_CHAR = _byte_chars()
+_TO_BYTE_CHAR = byte_chars()
 _PART, _BLANK = (chr(_TO_BYTE_CHAR[b]) for b in b"\0 ")  # neither is found in a pre-token of visible characters
 
 

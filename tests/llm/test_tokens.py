@@ -44,6 +44,23 @@ def test_fragments_agree_with_the_library():
         assert ours.encode_all([text]) == [_ids(theirs.encode(text or "", add_special_tokens=False).ids)], repr(text)[:80]
 
 
+def test_plain_words_need_no_whole_tokenizer():
+    ours, theirs = FragmentEncoder(public_tokenizer("byte_bpe_50k.json")), _tokenizer("byte_bpe_50k.json")
+    whole, asked = ours.whole, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    ours.whole = Counting()
+    texts = ["Xqzv überñandt, plain words\n", "it's 42 xqzv abc123", None, "\u01c5 \u00d7\u00f7 \u0250ab", "", " überñandt"]
+    want = [_ids(theirs.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert ours.bare and ours.encode_all(texts) == want
+    assert asked and not {"Xqzv", " überñandt", " plain", " words", " xqzv"} & set(asked)
+    assert {" it's", "it's"} & set(asked)
+
+
 def test_words_are_cut_where_no_token_joins():
     e = ForcedBpe(public_tokenizer("word_bpe_49k.json"))
     assert len(e.fragments("the")) == 1
