@@ -18,6 +18,8 @@ from modalframe.operators.ordered import log_bin, with_order
 
 RIGID_LIMIT = 0.02
 TRACK_MAC, TRACK_COS2 = 0.90, 0.95
+#: Neighbouring node numbers whose rows meet in one task; only their share of a sum is sent on.
+NODES_PER_BLOCK = 64
 MODE = ["cmp_id", "role", "mode_no"]
 
 
@@ -168,17 +170,47 @@ def binned_field(field: DataFrame, keys: list[str], value: str, cells: int = 220
 
 
 # ------------------------------------------------------------------------------------------------ pair sums
-def real_products(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame | None = None) -> DataFrame:
+def meetings(left: DataFrame, right: DataFrame, keys: list[str], left_columns: list[str], right_columns: list[str]) -> DataFrame:
+    """Every left row beside every right row of the same keys, node and DOF: keys, _block, then the named columns of both.
+
+    Both sides are dealt once by keys and block of nodes, and a DOF lists its rows of either side. The result stays dealt like
+    that, so that sums per (keys, _block, ...) add up in the same task, however many rows meet."""
+    at = [*keys, "node_id", "dof"]
+    kinds = [df.select(F.struct(*columns).alias("_s")).schema["_s"].dataType for df, columns in ((left, left_columns), (right, right_columns))]
+    both = left.select(*at, F.struct(*left_columns).alias("_l"), F.lit(None).cast(kinds[1]).alias("_r")).unionByName(
+        right.select(*at, F.lit(None).cast(kinds[0]).alias("_l"), F.struct(*right_columns).alias("_r")))
+    for c in at:
+        both = both.filter(F.col(c).isNotNull())
+    d = both.withColumn("_block", F.floor(F.col("node_id") / NODES_PER_BLOCK)).repartition(*keys, "_block")
+    d = d.groupBy(*keys, "_block", "node_id", "dof").agg(F.collect_list("_l").alias("_ls"), F.collect_list("_r").alias("_rs"))
+    d = d.select(*keys, "_block", F.explode("_ls").alias("_l"), "_rs").select(*keys, "_block", "_l", F.explode("_rs").alias("_r"))
+    return d.select(*keys, "_block", "_l.*", "_r.*")
+
+
+def sums_of_meetings(rows: DataFrame, keys: list[str], left_id: str, right_id: str, sums: dict[str, Column]) -> DataFrame:
+    """Sums per (keys, left_id, right_id) of `meetings`: first per block, where the rows are, then over the blocks. The result is
+    dealt by keys and ``left_id``."""
+    part = rows.groupBy(*keys, "_block", left_id, right_id).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    return part.drop("_block").repartition(*keys, left_id).groupBy(*keys, left_id, right_id).agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def real_products(pairs: DataFrame | None, left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame | None = None) -> DataFrame:
     """Sums of a*b, a*a and b*b over shared DOFs of each (i, j) pair of real shapes, optionally node-weighted.
 
-    ``pairs``: keys, i, j; ``left``: keys, i, node_id, dof, value; ``right``: keys, j, node_id, dof, value."""
+    ``pairs``: keys, i, j, or None for every i with every j of the same keys, whose products are then summed where they meet;
+    ``left``: keys, i, node_id, dof, value; ``right``: keys, j, node_id, dof, value."""
     l, r = left.withColumnRenamed("value", "_a"), right.withColumnRenamed("value", "_b")
-    d = pairs.join(l, [*keys, "i"]).join(r, [*keys, "j", "node_id", "dof"])
+    if pairs is not None:
+        l = pairs.join(l, [*keys, "i"])
     wgt = F.lit(1.0)
     if weights is not None:
-        d, wgt = d.join(weights, [*[k for k in keys if k in weights.columns], "node_id"]), F.col("weight")
+        l, wgt = l.join(weights, [*[k for k in keys if k in weights.columns], "node_id"]), F.col("weight")
     a, b = F.col("_a"), F.col("_b")
-    return d.groupBy(*keys, "i", "j").agg(F.sum(wgt * a * b).alias("ab"), F.sum(wgt * a * a).alias("aa"), F.sum(wgt * b * b).alias("bb"))
+    sums = {"ab": wgt * a * b, "aa": wgt * a * a, "bb": wgt * b * b}
+    if pairs is None:
+        d = meetings(l.filter("i is not null"), r.filter("j is not null"), keys, ["i", "_a"] if weights is None else ["i", "_a", "weight"], ["j", "_b"])
+        return sums_of_meetings(d, keys, "i", "j", sums)
+    return l.join(r, [*keys, "j", "node_id", "dof"]).groupBy(*keys, "i", "j").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
 
 
 def real_mac(products: DataFrame) -> DataFrame:
@@ -318,15 +350,15 @@ def close_pair_edges(pairs: DataFrame, gap: float) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ tracking
-def track_branches(macs: DataFrame, rows: DataFrame, keys: list[str], minimum: float = TRACK_MAC) -> DataFrame:
+def track_branches(macs: DataFrame, rows: DataFrame | None, keys: list[str], minimum: float = TRACK_MAC) -> DataFrame:
     """Follow reference rows into a candidate state from their MACs: TRACKED, LOSS, AMBIGUOUS or EXCHANGE.
 
-    ``macs``: keys, i, j, mac; ``rows``: keys, i (the frozen reference rows)."""
-    hit = macs.filter(F.col("mac") >= minimum)
-    per_row = hit.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n_hits"), F.min("j").alias("j"), F.max("mac").alias("mac"))
-    best = macs.groupBy(*keys, "i").agg(F.max("mac").alias("best_mac"))
+    ``macs``: keys, i, j, mac; ``rows``: keys, i (the frozen reference rows), or None for those that have a MAC."""
+    hit = F.col("mac") >= minimum
+    per_row = macs.groupBy(*keys, "i").agg(F.count(F.when(hit, 1)).alias("n_hits"), F.min(F.when(hit, F.col("j"))).alias("j"), F.max("mac").alias("best_mac"))
     claims = per_row.filter("n_hits = 1").groupBy(*keys, "j").agg(F.count(F.lit(1)).alias("n_claims"))
-    d = rows.join(best, [*keys, "i"], "left").join(per_row, [*keys, "i"], "left").join(claims, [*keys, "j"], "left")
+    d = per_row if rows is None else rows.join(per_row, [*keys, "i"], "left")
+    d = d.join(claims, [*keys, "j"], "left")
     status = (F.when(F.coalesce("n_hits", F.lit(0)) == 0, "LOSS").when(F.col("n_hits") > 1, "AMBIGUOUS")
               .when(F.col("n_claims") > 1, "EXCHANGE").otherwise("TRACKED"))
     d = d.withColumn("status", status)

@@ -47,15 +47,13 @@ SUB_SQL = f"""cl AS ({CLUST}), bs AS (SELECT cl.cmp_id, cluster_id, i1, i2, a.no
 def branch_macs(t):
     """FE-to-FE MACs of the reference rows with every mode of each state on the shared node set."""
     refs, states = t.sql(REFS), t.sql(STATES)
-    heads = refs.select("cmp_id", "i").distinct().join(states.select("cmp_id", "direction", "j").distinct(), "cmp_id")
     dirs = states.select("cmp_id", "direction").distinct()
-    return sh.real_mac(sh.real_products(heads, refs.join(dirs, "cmp_id"), states, ["cmp_id", "direction"])), refs, states
+    return sh.real_mac(sh.real_products(None, refs.join(dirs, "cmp_id"), states, ["cmp_id", "direction"])), refs, states
 
 
 def tracked(t):
-    macs, refs, _ = branch_macs(t)
-    rows = macs.select("cmp_id", "direction", "i").distinct()
-    return sh.track_branches(macs, rows, ["cmp_id", "direction"])
+    macs, _, _ = branch_macs(t)
+    return sh.track_branches(macs, None, ["cmp_id", "direction"])
 
 
 def subspaces(t):

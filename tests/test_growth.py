@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from modalframe.operators import coverage as cv
 from modalframe.operators import evidence as ev
+from modalframe.operators import shapes as sh
 from modalframe.operators import spatial as sp
 from modalframe.sources import files
 
@@ -60,3 +61,27 @@ def test_many_documents_share_files_and_plain_files_still_read(spark, tmp_path):
     (tmp_path / "p" / "one.inp").write_text(deck + "\n")
     got = files.read_material_decks(spark, str(tmp_path / "p")).collect()
     assert len(got) == 1 and got[0].file.endswith("one.inp") and got[0].value == 1.5e-9
+
+
+SHAPE = "k int, {} int, node_id int, dof int, value double"
+
+
+def test_all_products_are_summed_where_rows_meet(spark):
+    at = [(0, 1), (63, 1), (64, 2), (200, 3)]
+    left = [(1, i, n, d, float((i or 5) * n + d) if (i, n) != (2, 63) else None) for i in (1, 2, None) for n, d in at] + [(1, 1, 64, 2, 7.0), (None, 3, 0, 1, 1.0), (2, 1, 0, 1, 1.0)]
+    right = [(1, j, n, d, float(j - n + 2 * d)) for j in (1, 2, 3) for n, d in at if (j, n) != (3, 0)] + [(1, 2, 0, 1, None), (1, 4, 5, 1, 1.0), (None, 3, 0, 1, 1.0), (3, 1, 0, 1, 1.0)]
+    l, r = spark.createDataFrame(left, SHAPE.format("i")), spark.createDataFrame(right, SHAPE.format("j"))
+    w = spark.createDataFrame([(1, n, 1.5 + n) for n, _ in at], "k int, node_id int, weight double")
+    pairs = l.select("k", "i").distinct().join(r.select("k", "j").distinct(), "k")
+    for weights in (None, w):
+        fast = sh.real_products(None, l, r, ["k"], weights)
+        assert "Join" not in plan(sh.real_products(None, l, r, ["k"])) and "RepartitionByExpression [k" in plan(fast)
+        got, want = ({(x.i, x.j): (x.ab, x.aa, x.bb) for x in df.collect()} for df in (fast, sh.real_products(pairs, l, r, ["k"], weights)))
+        assert got.keys() == want.keys() == {(i, j) for i in (1, 2) for j in (1, 2, 3)}
+        assert all(abs(a - b) < 1e-6 for key in want for a, b in zip(got[key], want[key]))
+
+
+def test_branches_take_one_pass_over_the_macs(spark):
+    macs = spark.createDataFrame([(1, 1, 1, 0.95), (1, 1, 2, 0.2), (1, 2, 2, 0.91), (1, 2, 3, 0.97), (1, 3, 4, 0.93), (1, 4, 4, 0.99), (1, 5, 1, None)], "k int, i int, j int, mac double")
+    got = {r.i: (r.j, r.best_mac, r.status) for r in sh.track_branches(macs, None, ["k"]).collect()}
+    assert got == {1: (1, 0.95, "TRACKED"), 2: (None, 0.97, "AMBIGUOUS"), 3: (None, 0.93, "EXCHANGE"), 4: (None, 0.99, "EXCHANGE"), 5: (None, None, "LOSS")}
