@@ -379,8 +379,8 @@ def track_subspaces(clusters: DataFrame, left: DataFrame, right: DataFrame, keys
     basis = clusters.join(l1, [*keys, "i1"]).join(l2, [*keys, "i2", "node_id", "dof"]).select(*key, "node_id", "dof", "p1", "p2")
     a = basis.groupBy(*key).agg(F.sum(F.col("p1") * F.col("p1")).alias("a11"), F.sum(F.col("p1") * F.col("p2")).alias("a12"), F.sum(F.col("p2") * F.col("p2")).alias("a22"))
     free = right if used is None else right.join(used, [*keys, "j"], "left_anti")
-    one = basis.join(free, [*keys, "node_id", "dof"]).groupBy(*key, "j").agg(
-        F.sum(F.col("p1") * F.col("value")).alias("c1"), F.sum(F.col("p2") * F.col("value")).alias("c2"), F.sum(F.col("value") * F.col("value")).alias("b"))
+    one = sums_of_meetings(meetings(basis, free, keys, ["cluster_id", "p1", "p2"], ["j", "value"]), keys, "cluster_id", "j", {
+        "c1": F.col("p1") * F.col("value"), "c2": F.col("p2") * F.col("value"), "b": F.col("value") * F.col("value")})
     det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
     share = (F.col("a22") * F.col("c1") * F.col("c1") - 2 * F.col("a12") * F.col("c1") * F.col("c2") + F.col("a11") * F.col("c2") * F.col("c2")) / F.when(det > 0, det * F.col("b"))
     near = one.join(a, key).filter(share > minimum)

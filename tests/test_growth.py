@@ -85,3 +85,13 @@ def test_branches_take_one_pass_over_the_macs(spark):
     macs = spark.createDataFrame([(1, 1, 1, 0.95), (1, 1, 2, 0.2), (1, 2, 2, 0.91), (1, 2, 3, 0.97), (1, 3, 4, 0.93), (1, 4, 4, 0.99), (1, 5, 1, None)], "k int, i int, j int, mac double")
     got = {r.i: (r.j, r.best_mac, r.status) for r in sh.track_branches(macs, None, ["k"]).collect()}
     assert got == {1: (1, 0.95, "TRACKED"), 2: (None, 0.97, "AMBIGUOUS"), 3: (None, 0.93, "EXCHANGE"), 4: (None, 0.99, "EXCHANGE"), 5: (None, None, "LOSS")}
+
+
+def test_subspaces_meet_their_candidates_by_blocks(spark):
+    vectors = {1: (1.0, 0.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0, 0.0), 3: (0.6, 0.8, 0.0, 0.0), 4: (-0.8, 0.6, 0.0, 0.0), 5: (0.0, 0.0, 1.0, 0.0)}
+    rows = lambda mode, of: spark.createDataFrame([(1, m, 70 * n, 1, v) for m in of for n, v in enumerate(vectors[m])], SHAPE.format(mode))
+    clusters = spark.createDataFrame([(1, 9, 1, 2)], "k int, cluster_id int, i1 int, i2 int")
+    got = sh.track_subspaces(clusters, rows("i", (1, 2)), rows("j", (3, 4, 5)), ["k"])
+    assert "RepartitionByExpression [k" in plan(got)
+    row = got.first()
+    assert (row.n_pairs, row.j, row.j2, row.status) == (1, 3, 4, "TRACKED_CLUSTER") and abs(row.cos2_2 - 1) < 1e-9
