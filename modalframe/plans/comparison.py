@@ -46,8 +46,9 @@ def family_response(reference: DataFrame, states: DataFrame, modes: DataFrame, s
     clusters = groups.filter("size = 2").groupBy("cmp_id", F.col("component").alias("cluster_id")).agg(F.min("id").alias("i1"), F.max("id").alias("i2"))
     dirs = state_modes.select(*key).distinct()
     left = reference.join(dirs, "cmp_id")
-    heads = modes.select("cmp_id", "i").join(state_modes.select(*key, "j"), "cmp_id")
-    macs = sh.real_mac(sh.real_products(heads, left, states, key))
+    # Every listed reference mode with every listed mode of each state.
+    listed = reference.join(modes, ["cmp_id", "i"], "left_semi").join(dirs, "cmp_id")
+    macs = sh.real_mac(sh.real_products(None, listed, states.join(state_modes, [*key, "j"], "left_semi"), key))
     single = cut_lineage(sh.track_branches(macs, modes.select("cmp_id", "i").join(dirs, "cmp_id"), key))
     spans = cut_lineage(sh.track_subspaces(clusters.join(dirs, "cmp_id"), left, states, key))
     members = spans.select(*key, "cluster_id", F.explode(F.array("i1", "i2")).alias("i"))

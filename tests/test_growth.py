@@ -7,6 +7,7 @@ from modalframe.operators import coverage as cv
 from modalframe.operators import evidence as ev
 from modalframe.operators import shapes as sh
 from modalframe.operators import spatial as sp
+from modalframe.plans import comparison
 from modalframe.sources import files
 
 
@@ -95,3 +96,19 @@ def test_subspaces_meet_their_candidates_by_blocks(spark):
     assert "RepartitionByExpression [k" in plan(got)
     row = got.first()
     assert (row.n_pairs, row.j, row.j2, row.status) == (1, 3, 4, "TRACKED_CLUSTER") and abs(row.cos2_2 - 1) < 1e-9
+
+
+def test_a_family_makes_no_rows_of_its_pairs(spark, monkeypatch):
+    asked, products = [], sh.real_products
+    monkeypatch.setattr(sh, "real_products", lambda pairs, *rest: asked.append(pairs) or products(pairs, *rest))
+    shape = {1: (1.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0), 3: (0.0, 0.0, 1.0), 4: (1.0, 0.1, 0.0)}
+    ref = spark.createDataFrame([(1, m, n, 1, v) for m in (1, 2, 3) for n, v in enumerate(shape[m])], "cmp_id int, i int, node_id int, dof int, value double")
+    states = spark.createDataFrame([(1, d, m, n, 1, v) for d in (1, 2) for m in (1, 2, 4) for n, v in enumerate(shape[m])], "cmp_id int, direction int, j int, node_id int, dof int, value double")
+    modes = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0)], "cmp_id int, i int, hz double")
+    changed = spark.createDataFrame([(1, d, m, 10.0 * m * (1 + 0.1 * d), "E", side, 0.9 + 0.1 * d, 1.05) for d, side in ((1, "minus"), (2, "plus")) for m in (1, 2)],
+                                    "cmp_id int, direction int, j int, hz double, parameter string, side string, value double, p0 double")
+    out = comparison.family_response(ref, states, modes, changed)
+    assert asked == [None]
+    # the reference mode 3 and the mode 4 of the states are not listed, so the first is not followed and the second makes nothing ambiguous
+    assert sorted((r.i, r.direction, r.j, r.status) for r in out["branches"].collect()) == [(1, 1, 1, "TRACKED"), (1, 2, 1, "TRACKED"), (2, 1, 2, "TRACKED"), (2, 2, 2, "TRACKED")]
+    assert out["sensitivities"].count() == 2
