@@ -10,6 +10,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ MODULUS_TO_MPA = {"MPa": 1.0, "N/mm2": 1.0, "N/mm^2": 1.0, "N/mm²": 1.0, "GPa":
                   "N/m2": 1.0e-6, "N/m^2": 1.0e-6, "N/m²": 1.0e-6}
 # Targets that one cell row holds at most; queries of fuller cells go down the octree.
 CELL_TARGETS = 1024
+# Nodes of a key that one task passes over at first, and rows that it holds while it looks for the nodes nearest to a grid.
+GRID_PART, GRID_ROWS = 65536, 8192
 UNIT_SCALES = (1.0e-6, 1.0e-3, 1.0, 1.0e3, 1.0e6)
 RMS_FACTOR, RMS_WINDOW, MATCH_FRACTION = 1.5, 1.0e-8, 0.03
 SQUARE_SYMMETRIES = {
@@ -607,26 +610,107 @@ def shape_families(points: DataFrame, keys: list[str], policy: ShapeFamilyPolicy
     return c.withColumn("family", name).withColumn("torsion", F.coalesce((F.col("parity_x") == "O") & (F.col("parity_y") == "O"), F.lit(False)))
 
 
-def nodal_lines(plane: DataFrame, keys: list[str], n: int = 41, floor: float = 0.05) -> DataFrame:
-    """Nodal-line counts along x and y: nearest-node resampling on an n x n grid, sign changes per inner row / column."""
-    top = plane.groupBy(*keys).agg((F.max(F.abs("w")) * floor).alias("_floor"))
-    step = 2.0 / (n - 1)
-    grid = (dealt(top.select(*keys).withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), *keys, "gi").withColumn("gj", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
-    q = grid.withColumn("x", F.col("gi") * F.lit(step) - 1.0).withColumn("y", F.col("gj") * F.lit(step) - 1.0).withColumn("z", F.lit(0.0))
-    t = plane.select(*keys, "node_id", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z"))
-    near = nearest_points(q, t, keys, ["gi", "gj"], "node_id", ids=top).join(plane.select(*keys, "node_id", "w"), [*keys, "node_id"]).join(top, keys)
-    near = keep(near.select(*keys, "gi", "gj", "w", "_floor"))
-    sign = F.when(F.abs("w") > F.col("_floor"), F.signum("w"))
+def _runs(batches, keys: list[str]):
+    """The slices of equal keys in sorted Arrow batches, with whether a run begins; a run may go on in the next batch."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            code = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        own = tuple(batch.column(k)[0].as_py() for k in keys)
+        new[0] = last is None or any(x != y and (x == x or y == y) for x, y in zip(own, last))
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        at = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
+        for low, high in zip(at, at[1:]):
+            yield bool(new[low]), batch.slice(low, high - low)
+
+
+def _nearest_of(u: np.ndarray, v: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """The row nearest to each point of the grid axis x axis, of equally near ones the first."""
+    n, step = len(axis), max(1, 2**20 // len(axis) ** 2)
+    best, at = np.full((n, n), np.inf), np.zeros((n, n), np.int64)
+    for low in range(0, len(u), step):
+        d2 = ((axis[:, None] - u[low:low + step]) ** 2)[:, None, :] + ((axis[:, None] - v[low:low + step]) ** 2)[None, :, :]
+        i = np.where(np.isnan(d2), np.inf, d2).argmin(2) if np.isnan(d2.sum()) else d2.argmin(2)
+        d = np.take_along_axis(d2, i[:, :, None], 2)[:, :, 0]
+        at, best = np.where(d < best, i + low, at), np.fmin(d, best)
+    return at
+
+
+def _grid_nodes(batches, groups: list[str], axis: np.ndarray):
+    """The rows of each run of ``groups`` as a table; of a run longer than ``GRID_ROWS`` those nearest to some grid point, so it is never held whole."""
+    def cut(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        return rows.take(np.unique(_nearest_of(rows["u"].to_numpy(), rows["v"].to_numpy(), axis))).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for new, part in _runs(batches, groups):
+        if new and held:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(part)
+        if sum(x.num_rows for x in held) > max(GRID_ROWS, 2 * len(axis) ** 2):
+            held = cut(held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sign_changes(low: np.ndarray, high: np.ndarray, inner: np.ndarray, named: np.ndarray) -> int | None:
+    """The median of the sign changes along the rows of a grid, leaving out its first and last row and points without a sign (NaN)."""
+    keep_ = np.arange(1, len(low) - 1)[named[1:-1].any(1)]
+    low, high, inner = low[keep_], high[keep_], inner[keep_]
+    signed = ~np.isnan(low)
+    before = np.maximum.accumulate(np.where(signed, np.arange(low.shape[1]), -1), axis=1)[:, :-1]
+    other = (before >= 0) & signed[:, 1:] & (np.take_along_axis(high, np.maximum(before, 0), 1) != low[:, 1:])
+    return math.floor(np.median(other.sum(1) + np.where(signed, inner, 0).sum(1))) if len(keep_) else None
 
-    def changes(line: str, along: str) -> DataFrame:
-        # one grid line holds n values, so the ordered array is bounded by the grid size
-        arr = near.filter(F.col(line).between(1, n - 2)).groupBy(*keys, line).agg(
-            F.transform(F.array_sort(F.collect_list(F.when(sign.isNotNull(), F.struct(F.col(along), sign.alias("s"))))), lambda v: v["s"]).alias("s"))
-        k = F.size("s")
-        steps = F.zip_with(F.slice("s", 1, F.greatest(k - 1, F.lit(0))), F.slice("s", 2, F.greatest(k - 1, F.lit(0))), lambda a, b: (a != b).cast("int"))
-        return arr.select(*keys, F.aggregate(steps, F.lit(0), lambda a, v: a + v).alias("c")).groupBy(*keys).agg(F.floor(F.percentile("c", F.lit(0.5))).alias("c"))
 
-    return changes("gj", "gi").withColumnRenamed("c", "nodal_x").join(changes("gi", "gj").withColumnRenamed("c", "nodal_y"), keys)
+def nodal_lines(plane: DataFrame, keys: list[str], n: int = 41, floor: float = 0.05) -> DataFrame:
+    """Nodal-line counts along x and y: nearest-node resampling on an n x n grid, sign changes per inner row / column.
+
+    Grid points are not rows: a kernel holds the grid of one key and passes over the key's nodes, which come sorted by their
+    id. Keys with many nodes are first cut, in parts, to the nodes that are nearest to some grid point. A node id that repeats
+    is nearest at any of its places and has all of its signs; a NULL id leaves its grid points out."""
+    axis = np.arange(n) * (2.0 / (n - 1)) - 1.0
+    for k in keys:
+        plane = plane.filter(F.col(k).isNotNull())
+    top = plane.groupBy(*keys).agg((F.max(F.abs("w")) * floor).alias("_floor"), F.ceil(F.count(F.lit(1)) / GRID_PART).alias("_parts"))
+    sign = F.when(F.abs("w") > F.col("_floor"), F.signum("w"))
+    code = F.when(F.isnan(sign), 2.0).otherwise(sign)
+    place = F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct(F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")))
+    t = plane.join(top, keys).groupBy(*keys, "_parts", "node_id").agg(F.collect_set(place).alias("_at"), F.collect_set(code).alias("_s"))
+    named = F.col("node_id").isNotNull()
+    t = t.select(*keys, F.pmod(F.xxhash64("node_id"), "_parts").alias("_part"), "node_id", F.explode("_at").alias("_p"), named.alias("_named"),
+                 F.when(named, F.array_min("_s")).alias("_lo"), F.when(named, F.array_max("_s")).alias("_hi"), (F.size("_s") - 1.0).alias("_inner"))
+    t = t.select(*keys, "_part", "node_id", "_p.u", "_p.v", "_named", "_lo", "_hi", "_inner")
+    parts, whole = [*keys, "_part"], T.StructType([*[plane.schema[k] for k in keys], T.StructField("nodal_x", T.LongType()), T.StructField("nodal_y", T.LongType())])
+
+    def cut(batches):
+        out, rows = [], 0
+        for part in _grid_nodes(batches, parts, axis):
+            out, rows = [*out, part], rows + part.num_rows
+            if rows > 8192:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out, rows = [], 0
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    def count(batches):
+        for rows in _grid_nodes(batches, keys, axis):
+            rows = rows.combine_chunks()
+            column = lambda c: rows[c].to_numpy()
+            at = _nearest_of(column("u"), column("v"), axis)
+            grids = [column(c).astype(float)[at] for c in ("_lo", "_hi", "_inner")] + [column("_named")[at]]
+            # the grid is (x, y), so its transpose has a line of constant y in a row, along x
+            x, y = _sign_changes(*[g.T for g in grids]), _sign_changes(*grids)
+            if x is not None and y is not None:
+                yield pa.RecordBatch.from_arrays([*[rows[k].combine_chunks()[:1] for k in keys], pa.array([x], pa.int64()), pa.array([y], pa.int64())], names=whole.names)
+
+    t = t.repartition(*parts).sortWithinPartitions(*parts, "node_id").mapInArrow(cut, t.schema)
+    return t.repartition(*keys).sortWithinPartitions(*keys, "node_id").mapInArrow(count, whole)
 
 
 def grid_pitch(points: DataFrame, keys: list[str], pid: str) -> DataFrame:

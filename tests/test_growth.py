@@ -1,6 +1,7 @@
 """Plans and files that must not grow with the rows: few exchanges, no pair rows, few files."""
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from modalframe.operators import coverage as cv
@@ -27,6 +28,44 @@ def test_far_queries_are_settled_without_the_octree(spark, monkeypatch):
     assert {r.qid: r.tid for r in near.collect()} == {0: 3, 1: 27, 2: 55, 3: 70}
 
 
+def lines_by_hand(rows, n):
+    """(x, y) of one key's (node_id, u, v, w): the nearest id of each grid point, all signs of that id, the median of the inner lines."""
+    top = 0.05 * max(abs(w) for *_, w in rows)
+    near = {}
+    for i in range(n):
+        for j in range(n):
+            x, y = i * (2.0 / (n - 1)) - 1.0, j * (2.0 / (n - 1)) - 1.0
+            _, named, node = min(((x - u) ** 2 + (y - v) ** 2, d is not None, d or 0) for d, u, v, _ in rows if u is not None)
+            if named:
+                near[i, j] = sorted(np.sign(w) for d, *_, w in rows if d == node and abs(w) > top)
+    counts = [[], []]
+    for out, turn in zip(counts, (lambda a, b: (b, a), lambda a, b: (a, b))):
+        for line in range(1, n - 1):
+            on = [near[turn(line, k)] for k in range(n) if turn(line, k) in near]
+            signs = [s for point in on for s in point]
+            out += [sum(a != b for a, b in zip(signs, signs[1:]))] if on else []
+    return tuple(int(np.floor(np.median(c))) for c in counts)
+
+
+def test_nodal_lines_of_a_grid_that_is_never_rows(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("descended")
+
+    monkeypatch.setattr(sp, "_descend", never)
+    monkeypatch.setattr(sp, "GRID_PART", 5000, raising=False)
+    rng, n = np.random.default_rng(3), 9
+    shape = lambda u, v: float(np.cos(3 * u) * np.sin(4 * v))
+    ring = [(i, np.cos(i / 7), np.sin(i / 7), shape(np.cos(i / 7), np.sin(i / 7))) for i in range(44)]  # a hole that no cell spans
+    many = [(i, float(u), float(v), shape(u, v)) for i, (u, v) in enumerate(rng.uniform(-1, 1, (12000, 2)))]  # cut in parts, and within a part
+    ties = [(i, u, v, w) for i, (u, v, w) in enumerate([(-1.0, -1.0, 1.0), (-1.0, 1.0, -1.0), (1.0, -1.0, -1.0), (1.0, 1.0, 1.0)])]
+    odd = [*ring, (3, 0.1, 0.2, -0.7), (3, 0.1, 0.2, 0.9), (5, None, 0.1, -0.6), (None, -0.6, 0.5, 0.8)]
+    keys = {1: ring, 2: many, 3: ties, 4: odd, 5: [(1, None, 0.0, 1.0)], None: ring}
+    rows = [(k, r[0], *[None if x is None else float(x) for x in r[1:]]) for k, v in keys.items() for r in v]
+    out = sp.nodal_lines(spark.createDataFrame(rows, "k int, node_id int, u double, v double, w double").repartition(3), ["k"], n)
+    assert "Generate explode(sequence" not in plan(out) and plan(out).count("Join") == 1
+    assert {r.k: (r.nodal_x, r.nodal_y) for r in out.collect()} == {k: lines_by_hand(keys[k], n) for k in (1, 2, 3, 4)}
+
+
 def test_repeated_query_ids_answer_for_all_their_rows(spark):
     t = spark.createDataFrame([(1, i, float(i), 0.0, 0.0) for i in range(10)], "g int, tid int, x double, y double, z double")
     q = spark.createDataFrame([(1, 7, 2.1, 0.0, 0.0), (1, 7, 2.1, 0.0, 0.0), (1, None, 8.2, 0.0, 0.0)], "g int, qid int, x double, y double, z double")
