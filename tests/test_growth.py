@@ -66,6 +66,18 @@ def test_nodal_lines_of_a_grid_that_is_never_rows(spark, monkeypatch):
     assert {r.k: (r.nodal_x, r.nodal_y) for r in out.collect()} == {k: lines_by_hand(keys[k], n) for k in (1, 2, 3, 4)}
 
 
+def test_families_of_shapes_with_holes_take_one_plan(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("descended")
+
+    monkeypatch.setattr(sp, "_descend", never)
+    side = [i / 8 - 1 for i in range(17)]
+    # x * y without its middle, which no node is near
+    rows = [(1, i * 17 + j, x, y, x * y) for i, x in enumerate(side) for j, y in enumerate(side) if max(abs(x), abs(y)) > 0.8]
+    out = sp.shape_families(spark.createDataFrame(rows, "k int, node_id int, x double, y double, w double"), ["k"])
+    assert [(r.family, r.torsion) for r in out.collect()] == [("Px:O|Py:O|nx:1|ny:1", True)]
+
+
 def test_repeated_query_ids_answer_for_all_their_rows(spark):
     t = spark.createDataFrame([(1, i, float(i), 0.0, 0.0) for i in range(10)], "g int, tid int, x double, y double, z double")
     q = spark.createDataFrame([(1, 7, 2.1, 0.0, 0.0), (1, 7, 2.1, 0.0, 0.0), (1, None, 8.2, 0.0, 0.0)], "g int, qid int, x double, y double, z double")
