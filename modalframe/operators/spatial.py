@@ -26,6 +26,8 @@ MODULUS_TO_MPA = {"MPa": 1.0, "N/mm2": 1.0, "N/mm^2": 1.0, "N/mm²": 1.0, "GPa":
                   "N/m2": 1.0e-6, "N/m^2": 1.0e-6, "N/m²": 1.0e-6}
 # Targets that one cell row holds at most; queries of fuller cells go down the octree.
 CELL_TARGETS = 1024
+# Nodes of a cell that the kernel of orientations holds; fuller cells are left to the octree.
+CELL_HELD = 8 * CELL_TARGETS
 # Nodes of a key that one task passes over at first, and rows that it holds while it looks for the nodes nearest to a grid.
 GRID_PART, GRID_ROWS = 65536, 8192
 UNIT_SCALES = (1.0e-6, 1.0e-3, 1.0, 1.0e3, 1.0e6)
@@ -256,32 +258,206 @@ def orientation_array() -> Column:
     return F.array(*rows)
 
 
-def score_orientations(fe: DataFrame, exp: DataFrame, scales: DataFrame, neighbours: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Score every signed axis permutation x scale of each dataset: (candidates, maps).
+def _runs(batches, keys: list[str]):
+    """The slices of equal keys in sorted Arrow batches, with whether a run begins; a run may go on in the next batch."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            code = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        own = tuple(batch.column(k)[0].as_py() for k in keys)
+        new[0] = last is None or any(x != y and (x == x or y == y) for x, y in zip(own, last))
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        at = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
+        for low, high in zip(at, at[1:]):
+            yield bool(new[low]), batch.slice(low, high - low)
 
-    ``fe``: dataset_id, node_id, xyz; ``exp``: dataset_id, point_id, xyz; ``scales``: dataset_id, scale_no, sx, sy, sz.
-    With unequal axis scales use ``neighbours=8``: the nearest nodes in the FE metric are refined in the raw metric.
-    """
-    key = ["dataset_id"]
-    cen = lambda d, c: extents(d, key).select("dataset_id", *[F.col(f"{a}_mid").alias(f"_m{a}") for a in XYZ], F.col("span").alias("_span"))
-    fec = fe.join(cen(fe, "a").drop("_span"), key).select("dataset_id", "node_id", *[(F.col(a) - F.col(f"_m{a}")).alias(a) for a in XYZ])
-    exc = exp.join(cen(exp, "e"), key).select("dataset_id", "point_id", "_span", *[(F.col(a) - F.col(f"_m{a}")).alias(f"e{a}") for a in XYZ])
-    q = dealt(exc.join(scales, key), *key, "point_id").withColumn("o", F.explode(orientation_array()))
+
+def _finite(*cols: str) -> Column:
+    """Whether all of the columns hold finite numbers; never NULL."""
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    return out
+
+
+def _turned_points(rows: DataFrame, fec: DataFrame, ids: DataFrame, neighbours: int) -> DataFrame:
+    """The map of rows (dataset_id, point_id, scale_no, _span, ex .. sz) with their orientation ``o``: a query each, whatever repeats or is missing."""
+    key, qid = ["dataset_id"], ["scale_no", "orientation", "point_id"]
     scaled = F.array(F.col("ex") / F.col("sx"), F.col("ey") / F.col("sy"), F.col("ez") / F.col("sz"))
     turned = F.zip_with(scaled, "o.sign", lambda v, s: v * s)
+    q = rows.withColumn("orientation", F.col("o.no"))
     for i, a in enumerate(XYZ):
         q = q.withColumn(a, F.get(turned, F.array_position("o.perm", F.lit(i)).cast("int") - 1))
-    qid = ["scale_no", "orientation", "point_id"]
-    q = q.withColumn("orientation", F.col("o.no"))
-    near = nearest_points(q, fec, key, qid, "node_id", neighbours, ids=exc)
+    near = nearest_points(q, fec, key, qid, "node_id", neighbours, ids=ids)
     full = near.join(q.select("dataset_id", *qid, "o", "_span", "sx", "sy", "sz", "ex", "ey", "ez"), [*key, *qid]).join(
         fec.select("dataset_id", "node_id", F.array(*XYZ).alias("_n")), ["dataset_id", "node_id"])
     back = [F.get("_n", F.get("o.perm", F.lit(j))) * F.get("o.sign", F.lit(j)) * F.col(f"s{a}") - F.col(f"e{a}") for j, a in enumerate(XYZ)]
     d = F.sqrt(back[0] * back[0] + back[1] * back[1] + back[2] * back[2])
     best = full.withColumn("residual", d).groupBy(*key, *qid).agg(
-        F.min(F.struct("residual", "nearness", "node_id")).alias("b"), F.first("o.det").alias("det"), F.first("_span").alias("_span"),
+        F.min(F.struct("residual", "nearness", "node_id")).alias("b"), F.first("_span").alias("_span"),
         F.first("sx").alias("sx"), F.first("sy").alias("sy"), F.first("sz").alias("sz"))
-    maps = best.select(*key, *qid, F.col("b.node_id").alias("node_id"), F.col("b.residual").alias("residual"), "det", "_span", "sx", "sy", "sz")
+    return best.select(*key, *qid, F.col("b.node_id").alias("node_id"), F.col("b.residual").alias("residual"), "_span", "sx", "sy", "sz")
+
+
+_CELL, _BOX = ["dataset_id", "_salt", "_cx", "_cy", "_cz"], ["_n", "_h", "_flat", "_ux", "_uy", "_uz", "_rows", "_whole", "_h0"]
+
+
+def _all_orientations(names: list[str], neighbours: int):
+    """Kernel over sorted cells, the nodes of each before the points that ask it: the residual and node of every point's images.
+
+    A point row asks for one axis order in both signs of each axis (``_perm``) or for all six (-1). An image that nodes of
+    other cells may be nearer to, or whose cell is too full, has no residual."""
+    perms, signs = list(itertools.permutations(range(3))), np.array(list(itertools.product((-1.0, 1.0), repeat=3)))
+
+    def images(v, s, e, perm, t, box):
+        d2 = [[(v[:, j:j + 1] * w - t[:, perm[j]]) ** 2 for w in (-1.0, 1.0)] for j in range(3)]
+        x, y, z = (perm.index(i) for i in range(3))
+        for sign in signs:
+            side = [int(w > 0) for w in sign]
+            far = (d2[x][side[x]] + d2[y][side[y]]) + d2[z][side[z]]
+            near = far.argmin(1)[:, None] if neighbours == 1 else far.argsort(1, kind="stable")[:, :neighbours]
+            back = [t[near, perm[j]] * sign[j] * s[:, j:j + 1] - e[:, j:j + 1] for j in range(3)]
+            residual = np.sqrt(back[0] * back[0] + back[1] * back[1] + back[2] * back[2])
+            pick = residual.argmin(1)[:, None]
+            node, residual = np.take_along_axis(near, pick, 1)[:, 0], np.take_along_axis(residual, pick, 1)[:, 0]
+            last = np.take_along_axis(far, near[:, -1:], 1)[:, 0]
+            if not box["_whole"]:
+                # nodes without a place could be nearer than anything, so only what is as near as nearest_points would have it is settled
+                residual = np.where((near.shape[1] == min(neighbours, box["_rows"])) & (np.sqrt(last) <= box["_h0"]), residual, np.nan)
+            if box["_n"] > len(t):
+                # as in nearest_points: what no asked cell holds is off the moved image by more than _h along one axis
+                off = {"xyz"[perm[j]]: np.maximum(np.abs(v[:, j]) - box[f"_u{'xyz'[perm[j]]}"], 0.0) for j in range(3)}
+                least = np.minimum(off["x"], off["y"]) if box["_flat"] else np.minimum(np.minimum(off["x"], off["y"]), off["z"])
+                beyond = off["x"] ** 2 + off["y"] ** 2 + off["z"] ** 2 + box["_h"] ** 2 + 2 * box["_h"] * least
+                residual = np.where((near.shape[1] == min(neighbours, box["_n"])) & (last <= beyond * (1 - 1e-9)), residual, np.nan)
+            yield node, residual
+
+    def answer(part, nodes, t, box):
+        read = lambda *c: np.column_stack([part.column(x).to_numpy(zero_copy_only=False) for x in c])
+        perm = part.column("_perm")[0].as_py()
+        asked = perms if perm < 0 else [perms[perm]]
+        if t is None:
+            node, residual = np.zeros((part.num_rows, 8 * len(asked)), np.int64), np.full((part.num_rows, 8 * len(asked)), np.nan)
+            nodes = pa.nulls(1, part.schema.field("node_id").type)
+        else:
+            got = [x for p in asked for x in images(read("x", "y", "z"), read("sx", "sy", "sz"), read("ex", "ey", "ez"), p, t, box)]
+            node, residual = (np.column_stack([x[i] for x in got]) for i in (0, 1))
+        at = pa.array(np.arange(0, residual.size + 1, residual.shape[1], dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(at, v) for v in (nodes.take(pa.array(node.ravel())), pa.array(residual.ravel(), from_pandas=True))]
+        return pa.RecordBatch.from_arrays([*[part.column(c) for c in names[:-2]], *lists], names=names)
+
+    def run(batches):
+        cell, held, full, t, nodes, box = None, [], False, None, None, {}
+        for new, part in _runs(batches, [*_CELL, "_tag", "_perm"]):
+            own = tuple(part.column(c)[0].as_py() for c in _CELL)
+            if own != cell:
+                cell, held, full, t = own, [], False, None
+            if part.column("_tag")[0].as_py() == 0:
+                held, full = ([], True) if full or sum(x.num_rows for x in held) + part.num_rows > CELL_HELD else ([*held, part], False)
+                continue
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                nodes, t, held = rows["node_id"].combine_chunks(), np.column_stack([rows[c].to_numpy() for c in XYZ]), []
+                box = {c: rows[c][0].as_py() for c in _BOX}
+            step = max(1, 2**18 // (1 if t is None else len(t)))
+            for low in range(0, part.num_rows, step):
+                yield answer(part.slice(low, step), nodes, t, box)
+
+    return run
+
+
+def _mapped_in_cells(base: DataFrame, t: DataFrame, size: DataFrame, neighbours: int) -> DataFrame:
+    """The images of plain points: dataset_id, point_id, scale_no, _span, ex .. sz, orientation, node_id, residual (NULL if not settled).
+
+    Only points and nodes are shuffled, not images. Nodes and images meet by cells of their coordinates without signs (the
+    nodes lie about their centre), so the eight images of an axis order ask one cell; a dataset of few nodes is one cell."""
+    fold = lambda c: F.floor(F.abs(c) / F.col("_h"))
+    around = lambda c: F.sequence(F.greatest(c - 1, F.lit(0)), c + 1)
+    zero = F.lit(0).cast("bigint")
+    nodes = t.join(size, "dataset_id")
+    for c in XYZ:
+        flat = F.col("_one") | F.col("_flat") if c == "z" else F.col("_one")
+        nodes = nodes.withColumn(f"_c{c}", F.explode(F.when(flat, F.array(zero)).otherwise(around(fold(F.col(c))))))
+    nodes = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
+    nodes = nodes.select(*_CELL, F.lit(0).alias("_tag"), F.lit(-1).alias("_perm"), "node_id", *XYZ, *_BOX)
+    orders = F.array(*[F.struct(F.lit(i).alias("no"), *[F.lit(p.index(k)).alias(c) for k, c in enumerate(XYZ)]) for i, p in enumerate(itertools.permutations(range(3)))])
+    none = F.array(F.struct(F.lit(-1).alias("no"), *[F.lit(0).alias(c) for c in XYZ]))
+    points = base.join(size, "dataset_id").withColumn("_o", F.explode(F.when(F.col("_one"), none).otherwise(orders))).withColumn("_v", F.array("x", "y", "z"))
+    for c in XYZ:
+        moved = F.least(F.abs(F.get("_v", F.col(f"_o.{c}"))), F.col(f"_u{c}"))
+        points = points.withColumn(f"_c{c}", F.when(F.col("_one") | (F.col("_flat") if c == "z" else F.lit(False)), zero).otherwise(fold(moved)))
+    points = points.withColumn("_salt", F.pmod(F.xxhash64("point_id"), "_salts"))
+    carried = ["point_id", "scale_no", "_span", "ex", "ey", "ez", "sx", "sy", "sz"]
+    points = points.select(*_CELL, F.lit(1).alias("_tag"), F.col("_o.no").alias("_perm"), *XYZ, *carried)
+    both = dealt(nodes.unionByName(points, allowMissingColumns=True), *_CELL).sortWithinPartitions(*_CELL, "_tag", "_perm", "node_id")
+    own = ["dataset_id", *carried, "_perm"]
+    whole = T.StructType([*[both.schema[c] for c in own], T.StructField("_nodes", T.ArrayType(both.schema["node_id"].dataType)), T.StructField("_residuals", T.ArrayType(T.DoubleType()))])
+    got = both.mapInArrow(_all_orientations(whole.names, neighbours), whole)
+    got = got.select(*own, F.posexplode(F.arrays_zip("_nodes", "_residuals")).alias("_i", "_r"))
+    return got.select("dataset_id", *carried, (F.greatest(F.col("_perm"), F.lit(0)) * 8 + F.col("_i")).alias("orientation"), F.col("_r._nodes").alias("node_id"), F.col("_r._residuals").alias("residual"))
+
+
+def score_orientations(fe: DataFrame, exp: DataFrame, scales: DataFrame, neighbours: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Score every signed axis permutation x scale of each dataset: (candidates, maps).
+
+    ``fe``: dataset_id, node_id, xyz; ``exp``: dataset_id, point_id, xyz; ``scales``: dataset_id, scale_no, sx, sy, sz.
+    With unequal axis scales use ``neighbours=8``: the nearest nodes in the FE metric are refined in the raw metric.
+    Images of points meet the nodes in a kernel (`_mapped_in_cells`); what it cannot settle, and identities that stand for
+    several places, go through `nearest_points`. A point without a place takes the first node and has no residual.
+    """
+    key = ["dataset_id"]
+    cen = lambda d, c: extents(d, key).select("dataset_id", *[F.col(f"{a}_mid").alias(f"_m{a}") for a in XYZ], F.col("span").alias("_span"))
+    fec = fe.join(cen(fe, "a").drop("_span"), key).select("dataset_id", "node_id", *[(F.col(a) - F.col(f"_m{a}")).alias(a) for a in XYZ])
+    exc = exp.join(cen(exp, "e"), key).select("dataset_id", "point_id", "_span", *[(F.col(a) - F.col(f"_m{a}")).alias(f"e{a}") for a in XYZ])
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    t = fec.groupBy("dataset_id", "node_id").agg(F.collect_set(F.when(placed, F.struct(*XYZ))).alias("_at"), F.count(F.when(~placed, 1)).alias("_gaps"), F.count(F.lit(1)).alias("_rows"))
+    several = (F.size("_at") > 1) | (F.col("_gaps") > 0) & (F.size("_at") > 0) | F.col("node_id").isNull()
+    t = t.select("dataset_id", "node_id", F.get("_at", F.lit(0)).alias("_p"), "_gaps", "_rows", several.alias("_bad"),
+                 (F.lit(1) if neighbours == 1 else F.col("_rows")).alias("_copies")).select("*", "_p.*").drop("_p")
+    p = exc.filter(F.col("point_id").isNotNull()).groupBy("dataset_id", "point_id").agg(
+        F.first("_span").alias("_span"), F.collect_set(F.struct("ex", "ey", "ez")).alias("_at")).select(
+        "dataset_id", "point_id", "_span", F.get("_at", F.lit(0)).alias("_e"), (F.size("_at") > 1).alias("_clash")).select("*", "_e.*").drop("_e")
+    s = scales.filter(F.col("scale_no").isNotNull()).groupBy("dataset_id", "scale_no").agg(F.count(F.lit(1)).alias("_m"), *[F.first(f"s{a}").alias(f"s{a}") for a in XYZ])
+    span = {c: F.max(c) - F.min(c) for c in XYZ}
+    size = t.groupBy(*key).agg(
+        F.sum(F.when(F.col("x").isNotNull(), F.col("_copies"))).alias("_n"), F.sum("_rows").alias("_rows"), (F.sum("_gaps") == 0).alias("_whole"),
+        F.bool_or(F.col("_bad") | F.col("x").isNotNull() & ~_finite(*XYZ)).alias("_bad"), F.min("node_id").alias("_first"),
+        F.array_sort(F.array(*span.values())).alias("_s"), span["z"].alias("_sz"), *[F.max(F.abs(c)).alias(f"_u{c}") for c in XYZ])
+    wide = lambda times, n: F.greatest(times * F.sqrt(F.get("_s", F.lit(1)) * F.get("_s", F.lit(2)) / n), F.get("_s", F.lit(2)) / n, F.lit(1e-9)) * math.sqrt(neighbours)
+    # a cell's nodes are repeated for each part of the points, so parts are only made where points are many times the nodes
+    load = p.groupBy(*key).agg(F.count(F.lit(1)).alias("_p")).join(s.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")), key)
+    size = size.join(load, key).withColumn("_h", wide(3.0, F.col("_n"))).withColumn("_h0", wide(1.5, F.col("_rows"))).withColumn("_flat", F.col("_sz") <= F.col("_h")).withColumn(
+        "_one", F.col("_n") <= 2 * CELL_TARGETS).withColumn("_salts", F.ceil(F.col("_p") * F.col("_k") / (16 * F.greatest(F.col("_n"), F.lit(1)))))
+    base = p.join(s, key).join(size.select(*key, "_bad", "_first", "_n"), key)
+    for a in XYZ:
+        base = base.withColumn(a, F.col(f"e{a}") / F.col(f"s{a}"))
+    gap = F.col("_n").isNull() | F.col("ex").isNull() | F.col("ey").isNull() | F.col("ez").isNull()
+    good = _finite(*XYZ, "ex", "ey", "ez", "sx", "sy", "sz")
+    base = base.withColumn("_kind", F.when(F.col("_bad") | F.col("_clash") | (F.col("_m") > 1), "odd").when(gap, "gap").when(good, "plain").otherwise("odd"))
+    own = ["dataset_id", "scale_no", "orientation", "point_id", "node_id", "residual", "_span", "sx", "sy", "sz"]
+    plain, clean = base.filter("_kind = 'plain'").drop("_bad", "_first", "_n"), t.filter(F.col("x").isNotNull())
+    if neighbours > 1:
+        clean = clean.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+    clean, size = clean.select(*key, "node_id", *XYZ), size.filter(~F.col("_bad")).select(*key, "_salts", "_one", *_BOX)
+    gaps = base.filter("_kind = 'gap'").withColumn("orientation", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("node_id", F.col("_first")).withColumn("residual", F.lit(None).cast("double"))
+    maps = _mapped_in_cells(plain, clean, size, neighbours).filter(F.col("residual").isNotNull()).select(*own).unionByName(gaps.select(*own))
+    pid = ["dataset_id", "point_id", "scale_no"]
+    rest = [base.filter("_kind = 'odd'").select(*pid, F.sequence(F.lit(0), F.lit(47)).alias("_no"))]
+    large = size.filter(~(F.col("_one") & F.col("_whole")))
+    if not large.isEmpty():
+        still = _mapped_in_cells(plain, clean, large, neighbours).filter(F.col("residual").isNull())
+        rest.append(still.groupBy(*pid).agg(F.collect_list("orientation").alias("_no")))
+    for ids in map(keep, rest):
+        if not ids.isEmpty():
+            asked = F.filter(orientation_array(), lambda o: F.array_contains("_no", o["no"]))
+            rows = dealt(exc.join(scales, key).join(ids, pid), *key, "point_id").withColumn("o", F.explode(asked))
+            maps = maps.unionByName(_turned_points(rows, fec, exc, neighbours).select(*own))
+    dets = F.transform(orientation_array(), lambda o: o["det"])
+    maps = maps.withColumn("det", F.get(dets, F.col("orientation")))
     tol = F.greatest(F.col("_span") * MATCH_FRACTION, F.lit(1e-12))
     cand = maps.groupBy(*key, "scale_no", "orientation").agg(
         (F.sqrt(F.avg(F.col("residual") * F.col("residual"))) / F.first("_span")).alias("rms"),
@@ -610,24 +786,6 @@ def shape_families(points: DataFrame, keys: list[str], policy: ShapeFamilyPolicy
     return c.withColumn("family", name).withColumn("torsion", F.coalesce((F.col("parity_x") == "O") & (F.col("parity_y") == "O"), F.lit(False)))
 
 
-def _runs(batches, keys: list[str]):
-    """The slices of equal keys in sorted Arrow batches, with whether a run begins; a run may go on in the next batch."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            code = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            new[1:] |= code[1:] != code[:-1]
-        own = tuple(batch.column(k)[0].as_py() for k in keys)
-        new[0] = last is None or any(x != y and (x == x or y == y) for x, y in zip(own, last))
-        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
-        at = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
-        for low, high in zip(at, at[1:]):
-            yield bool(new[low]), batch.slice(low, high - low)
-
-
 def _nearest_of(u: np.ndarray, v: np.ndarray, axis: np.ndarray) -> np.ndarray:
     """The row nearest to each point of the grid axis x axis, of equally near ones the first."""
     n, step = len(axis), max(1, 2**20 // len(axis) ** 2)

@@ -1,4 +1,5 @@
 """Plans and files that must not grow with the rows: few exchanges, no pair rows, few files."""
+import itertools
 import os
 
 import numpy as np
@@ -78,6 +79,57 @@ def test_families_of_shapes_with_holes_take_one_plan(spark, monkeypatch):
     assert [(r.family, r.torsion) for r in out.collect()] == [("Px:O|Py:O|nx:1|ny:1", True)]
 
 
+def images_by_hand(nodes, points, scale, k):
+    """Per orientation and point, the least residual of the k nearest nodes in the metric of the nodes."""
+    mid = lambda v: (v.min(0) + v.max(0)) / 2
+    nodes, points, out, no = nodes - mid(nodes), points - mid(points), {}, 0
+    for perm in itertools.permutations(range(3)):
+        for sign in itertools.product((-1.0, 1.0), repeat=3):
+            q = np.empty_like(points)
+            q[:, perm] = points / scale * sign
+            near = np.argsort(((q[:, None] - nodes[None]) ** 2).sum(2), axis=1, kind="stable")[:, :k]
+            out[no] = np.sqrt(((nodes[near][:, :, perm] * sign * scale - points[:, None]) ** 2).sum(2)).min(1)
+            no += 1
+    return out
+
+
+def test_images_of_points_meet_the_nodes_without_rows_of_their_own(spark, monkeypatch):
+    asked, nearest = [], sp.nearest_points
+    monkeypatch.setattr(sp, "nearest_points", lambda q, *rest, **more: asked.append(q.count()) or nearest(q, *rest, **more))
+    rng = np.random.default_rng(11)
+    block = rng.uniform(0, [9, 6, 5], (150, 3))  # one cell; some images are far from all nodes
+    plate = np.c_[rng.uniform(0, [90, 60], (5000, 2)), rng.uniform(0, 0.1, 5000)]  # many cells, and a hole
+    plate = plate[(abs(plate[:, 0] - 30) > 8) | (abs(plate[:, 1] - 20) > 8)]
+    sets = {1: (block, rng.uniform(0, [18, 15, 10], (40, 3)), (2.0, 2.5, 2.0)), 2: (plate, rng.uniform(0, [90, 60, 0.1], (25, 3)), (1.0, 1.0, 1.0))}
+    frame = lambda of, name: spark.createDataFrame([(d, i, *map(float, r)) for d, v in sets.items() for i, r in enumerate(v[of])], f"dataset_id long, {name} long, x double, y double, z double")
+    scales = spark.createDataFrame([(d, 0, *v[2]) for d, v in sets.items()], "dataset_id long, scale_no int, sx double, sy double, sz double")
+    for k in (1, 3):
+        cand, maps = sp.score_orientations(frame(0, "node_id"), frame(1, "point_id"), scales, k)
+        want = {(d, no, i): r for d, v in sets.items() for no, row in images_by_hand(*map(np.asarray, v), k).items() for i, r in enumerate(row)}
+        got = {(r.dataset_id, r.orientation, r.point_id): r.residual for r in maps.collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+        assert cand.count() == 96
+    # a small set asks nothing of nearest_points, of a large one only what the hole leaves open
+    assert len(asked) <= 2 and all(0 < n < 0.5 * 25 * 48 for n in asked)
+    asked.clear()
+    small = lambda df: df.filter("dataset_id = 1")
+    assert sp.score_orientations(small(frame(0, "node_id")), small(frame(1, "point_id")), small(scales))[0].count() == 48
+    assert not asked
+
+
+def test_odd_points_and_nodes_keep_their_images(spark):
+    nodes = [(1, 1, 0.0, 0.0, 0.0), (1, 2, 4.0, 0.0, 0.0), (1, 2, 4.0, 3.0, 0.0), (1, 3, 0.0, 3.0, 1.0), (2, 5, 0.0, 0.0, 0.0), (2, 6, 4.0, 3.0, 1.0), (2, 6, 4.0, 3.0, 1.0)]
+    points = [(d, i, *p) for d in (1, 2) for i, p in ((1, (0.0, 0.0, 0.0)), (2, (4.0, 3.0, 1.0)), (2, (4.0, 3.0, 1.0)), (3, (0.0, 3.0, 0.0)), (3, (0.1, 3.0, 0.0)), (4, (None, 1.0, 0.0)), (None, (1.0, 1.0, 0.0)))]
+    at = "x double, y double, z double"
+    scales = spark.createDataFrame([(d, 0, 1.0, 1.0, 1.0) for d in (1, 2)], "dataset_id long, scale_no int, sx double, sy double, sz double")
+    cand, maps = sp.score_orientations(spark.createDataFrame(nodes, f"dataset_id long, node_id long, {at}"), spark.createDataFrame(points, f"dataset_id long, point_id long, {at}"), scales)
+    same = next(i for i, (p, s) in enumerate(itertools.product(itertools.permutations(range(3)), itertools.product((-1, 1), repeat=3))) if p == (0, 1, 2) and s == (1, 1, 1))
+    got = {(r.dataset_id, r.point_id): (r.node_id, None if r.residual is None else round(r.residual, 6)) for r in maps.filter(F.col("orientation") == same).collect()}
+    # the id 2 stands for two places and the point 3 too, of which the nearest counts; the point without a place has the first node
+    assert got == {(1, 1): (1, 0.0), (1, 2): (2, 1.0), (1, 3): (3, 1.0), (1, 4): (1, None), (2, 1): (5, 0.0), (2, 2): (6, 0.0), (2, 3): (5, 3.0), (2, 4): (5, None)}
+    assert maps.count() == 8 * 48 and cand.count() == 96
+
+
 def test_repeated_query_ids_answer_for_all_their_rows(spark):
     t = spark.createDataFrame([(1, i, float(i), 0.0, 0.0) for i in range(10)], "g int, tid int, x double, y double, z double")
     q = spark.createDataFrame([(1, 7, 2.1, 0.0, 0.0), (1, 7, 2.1, 0.0, 0.0), (1, None, 8.2, 0.0, 0.0)], "g int, qid int, x double, y double, z double")
